@@ -6,5 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from strandline.sources.views import with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, *views: str) -> Callable[[Query], Query]:
+    """Register a query, and the SQL over the named views that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = with_views(" ".join(sql.split("\n")).strip(), *views)
+        return f
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from strandline.plans import corpus, events, findings, vectors  # noqa: F401
+
+
+load()
