@@ -1 +1,218 @@
-"""Queries over job events and usage."""
+"""Queries over job events, usage, projects and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandline.functions.rules import PRICES
+from strandline.plans.registry import query
+from strandline.sources import views
+from strandline.streaming import jobs
+
+_AS_OF = "timestamp '2024-01-20 00:00:00'"
+
+
+def _price(model):
+    """Dollars for a million tokens, as decimals; unknown models are free."""
+    out = None
+    for name, price in PRICES.items():
+        out = F.when(model == name, F.lit(price).cast("decimal(8,2)")) if out is None else out.when(model == name, F.lit(price).cast("decimal(8,2)"))
+    return out.otherwise(F.lit("0").cast("decimal(8,2)"))
+
+
+_PRICE = "case model " + " ".join(f"when '{k}' then {v}" for k, v in PRICES.items()) + " else 0 end"
+
+
+@query("s17_event_source", "select kind, count(*) as n from job_events group by 1", "job_events")
+def event_source(spark, sf_dir):
+    """The events read as a stream of files."""
+    kinds = jobs.arriving(spark, sf_dir).select(F.expr("case event_type when 'signup' then 'started' when 'purchase' then 'completed' when 'error' then 'failed' when 'view' then 'progress' else 'heartbeat' end").alias("kind"))
+    return jobs.settled(kinds.groupBy("kind").agg(F.count("*").alias("n")), ["kind"])
+
+
+@query("f19_repo_url_allowed", "select page_id, starts_with(url, 'https://') and regexp_matches(url, '^https://([^/?#]*\\.)?example\\.(com|org)([/?#:]|$)') as allowed from pages")
+def repo_url_allowed(spark, sf_dir):
+    host = F.try_parse_url("url", F.lit("HOST"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (F.col("url").startswith("https://") & F.coalesce(host.rlike(r"(^|\.)example\.(com|org)$"), F.lit(False))).alias("allowed"))
+
+
+@query("f20_project_name_valid", "select project_id, length(name) <= 200 and regexp_matches(name, '^[\\w\\s.-]+$') as valid from projects", "projects")
+def project_name_valid(spark, sf_dir):
+    return views.projects(spark, sf_dir).select("project_id", ((F.length("name") <= 200) & F.col("name").rlike(r"^[\w\s.-]+$")).alias("valid"))
+
+
+@query("f22_quota_checks", "with u as (select org_id, sum(tokens)::bigint as used from token_events group by 1) select org_id, used, used < 10000000 as enough_tokens, used < 5000000 as can_start from u", "token_events")
+def quota_checks(spark, sf_dir):
+    u = views.token_events(spark, sf_dir).groupBy("org_id").agg(F.sum("tokens").alias("used"))
+    return u.select("org_id", "used", (F.col("used") < 10_000_000).alias("enough_tokens"), (F.col("used") < 5_000_000).alias("can_start"))
+
+
+@query("f23_job_housekeeping", f"select project_id, count(*) filter (where kind = 'failed' and ts >= {_AS_OF} - interval 3 days and ts < {_AS_OF}) as retries, count(*) filter (where kind = 'completed' and ts < {_AS_OF} - interval 14 days) as expired from job_events group by 1", "job_events")
+def job_housekeeping(spark, sf_dir):
+    now, ts, kind = F.expr(_AS_OF), F.col("ts"), F.col("kind")
+    return views.job_events(spark, sf_dir).groupBy("project_id").agg(F.count_if((kind == "failed") & (ts >= now - F.expr("interval 3 days")) & (ts < now)).alias("retries"), F.count_if((kind == "completed") & (ts < now - F.expr("interval 14 days"))).alias("expired"))
+
+
+@query("f25_status_transition_check", "with l as (select event_id, kind, lag(kind) over (partition by project_id order by ts, event_id) as before from job_events) select event_id, before from l where kind = 'started' and before = 'progress'", "job_events")
+def status_transition_check(spark, sf_dir):
+    before = F.lag("kind").over(Window.partitionBy("project_id").orderBy("ts", "event_id"))
+    return views.job_events(spark, sf_dir).withColumn("before", before).where("kind = 'started' and before = 'progress'").select("event_id", "before")
+
+
+@query("j1_project_report", "select p.project_id, c.c_name as owner, p.status from projects p left join customer c on c.c_custkey = p.api_key_id and c.c_acctbal > 5000", "projects")
+def project_report(spark, sf_dir):
+    owners = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 5000").select(F.col("c_custkey").alias("api_key_id"), F.col("c_name").alias("owner"))
+    return views.projects(spark, sf_dir).join(owners, "api_key_id", "left").select("project_id", "owner", "status")
+
+
+@query("j9_missing_parts", "with n as (select l_orderkey, max(l_linenumber) as parts from lineitem group by 1), a as (select l_orderkey, unnest(range(1, parts + 2)) as part from n) select a.l_orderkey as session_id, a.part::int as part from a where not exists (select 1 from lineitem l where l.l_orderkey = a.l_orderkey and l.l_linenumber = a.part)")
+def missing_parts(spark, sf_dir):
+    """Part numbers up to one more than the highest that no row of the session has."""
+    got = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("int").alias("part"))
+    wanted = got.groupBy("session_id").agg(F.max("part").alias("n")).select("session_id", F.explode(F.sequence(F.lit(1), F.col("n") + 1)).alias("part"))
+    return wanted.join(got, ["session_id", "part"], "left_anti")
+
+
+@query("a18_a19_telemetry_cost", f"select org_id, model, sum(tokens)::bigint as tokens, count(*) as calls, round(sum(tokens) * ({_PRICE}) / 1000000, 4)::double as cost from token_events group by org_id, model", "token_events")
+def telemetry_cost(spark, sf_dir):
+    g = views.token_events(spark, sf_dir).groupBy("org_id", "model").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls"))
+    return g.withColumn("cost", F.round(F.col("tokens").cast("decimal(20,0)") * _price(F.col("model")) / 1_000_000, 4).cast("double"))
+
+
+@query("a20_over_budget", f"with c as (select org_id, sum(tokens * ({_PRICE})) / 1000000 as cost from token_events group by 1) select org_id from c where cost > 20", "token_events")
+def over_budget(spark, sf_dir):
+    cost = F.sum(F.col("tokens").cast("decimal(20,0)") * _price(F.col("model"))) / 1_000_000
+    return views.token_events(spark, sf_dir).groupBy("org_id").agg(cost.alias("cost")).where("cost > 20").select("org_id")
+
+
+@query("a22_health_snapshot", f"select count(*) filter (where kind = 'failed') as failed, round(avg(value), 5) as avg_value, arg_max(value, (ts, event_id)) as last_value, count(*) filter (where kind = 'failed') > 5 as alert from job_events where ts >= {_AS_OF} - interval 1 hour and ts < {_AS_OF}", "job_events")
+def health_snapshot(spark, sf_dir):
+    now = F.expr(_AS_OF)
+    rows = views.job_events(spark, sf_dir).where((F.col("ts") >= now - F.expr("interval 1 hour")) & (F.col("ts") < now))
+    failed = F.count_if(F.col("kind") == "failed")
+    return rows.agg(failed.alias("failed"), F.round(F.avg("value"), 5).alias("avg_value"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), (failed > 5).alias("alert"))
+
+
+@query("a23_dashboard_metrics", "select count(*) as total, count(*) filter (where status = 5) as completed, round(avg(health_score))::int as avg_health, count(*) filter (where created_at >= timestamp '1997-01-01') as recent from projects", "projects")
+def dashboard_metrics(spark, sf_dir):
+    return views.projects(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("status") == 5).alias("completed"), F.round(F.avg("health_score")).cast("int").alias("avg_health"), F.count_if(F.col("created_at") >= F.expr("timestamp '1997-01-01'")).alias("recent"))
+
+
+@query("a24_projects_per_day", "with d as (select unnest(generate_series(date '1996-01-01', date '1996-03-01', interval 1 day))::date as day) select d.day::varchar as day, count(p.project_id) as projects from d left join projects p on p.created_at::date = d.day group by 1", "projects")
+def projects_per_day(spark, sf_dir):
+    days = spark.sql("select explode(sequence(date '1996-01-01', date '1996-03-01')) as day")
+    n = views.projects(spark, sf_dir).groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
+    return days.join(n, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("projects"))
+
+
+@query("a25_api_log_stats", "select client_id, round(avg(duration_ms), 5) as avg_ms, count(*) as requests, round(100.0 * count(*) filter (where status >= 500) / count(*), 5)::double as error_percent from api_log group by 1", "api_log")
+def api_log_stats(spark, sf_dir):
+    return views.api_log(spark, sf_dir).groupBy("client_id").agg(F.round(F.avg("duration_ms"), 5).alias("avg_ms"), F.count("*").alias("requests"), F.round(100.0 * F.count_if(F.col("status") >= 500) / F.count("*"), 5).alias("error_percent"))
+
+
+@query("a35_upload_progress", "with u as (select distinct l_orderkey, l_linenumber, l_quantity from lineitem) select l_orderkey as session_id, count(*) as parts, sum(l_quantity)::bigint as bytes, count(*) >= 4 as complete from u group by 1")
+def upload_progress(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("session_id"), "l_linenumber", "l_quantity").dropDuplicates()
+    return parts.groupBy("session_id").agg(F.count("*").alias("parts"), F.sum("l_quantity").cast("bigint").alias("bytes"), (F.count("*") >= 4).alias("complete"))
+
+
+@query("a36_checkpoint_progress", "select project_id, count(*) as total, count(*) filter (where kind = 'completed') as done, round(100.0 * count(*) filter (where kind = 'completed') / count(*), 5)::double as percent from job_events group by 1", "job_events")
+def checkpoint_progress(spark, sf_dir):
+    done = F.count_if(F.col("kind") == "completed")
+    return views.job_events(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("total"), done.alias("done"), F.round(F.try_divide(100.0 * done, F.count("*")), 5).alias("percent"))
+
+
+@query("w2_latest_checkpoint", "select project_id, event_id from (select project_id, event_id, row_number() over (partition by project_id order by ts desc, event_id desc) as r from job_events) where r = 1", "job_events")
+def latest_checkpoint(spark, sf_dir):
+    w = Window.partitionBy("project_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return views.job_events(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r = 1").select("project_id", "event_id")
+
+
+@query("w9_progress_delta", "with p as (select project_id, event_id, 5 + 15 * (event_id % 10) / 10.0 as percent, ts from job_events where kind = 'progress') select event_id, percent::double as percent, (percent - lag(percent) over (partition by project_id order by ts, event_id))::double as delta from p", "job_events")
+def progress_delta(spark, sf_dir):
+    w = Window.partitionBy("project_id").orderBy("ts", "event_id")
+    p = views.job_events(spark, sf_dir).where("kind = 'progress'").withColumn("percent", 5 + 15 * (F.col("event_id") % 10) / 10.0)
+    return p.select("event_id", "percent", (F.col("percent") - F.lag("percent").over(w)).alias("delta"))
+
+
+@query("w10_last_n_samples", "select kind, event_id from (select kind, event_id, row_number() over (partition by kind order by ts desc, event_id desc) as r from job_events) where r <= 1000", "job_events")
+def last_n_samples(spark, sf_dir):
+    w = Window.partitionBy("kind").orderBy(F.desc("ts"), F.desc("event_id"))
+    return views.job_events(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 1000").select("kind", "event_id")
+
+
+@query("k1_page", "select project_id, name, (select count(*) from projects where status = 5) as total from projects where status = 5 order by created_at desc, project_id limit 20 offset 20", "projects")
+def page(spark, sf_dir):
+    rows = views.projects(spark, sf_dir).where("status = 5")
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return rows.orderBy(F.desc("created_at"), "project_id").offset(20).limit(20).select("project_id", "name").crossJoin(F.broadcast(total))
+
+
+@query("k6_queue_order", f"select event_id, row_number() over (partition by project_id order by value desc, ts, event_id) as place from job_events where kind = 'started' and ts <= {_AS_OF}", "job_events")
+def queue_order(spark, sf_dir):
+    w = Window.partitionBy("project_id").orderBy(F.desc("value"), "ts", "event_id")
+    return views.job_events(spark, sf_dir).where((F.col("kind") == "started") & (F.col("ts") <= F.expr(_AS_OF))).select("event_id", F.row_number().over(w).alias("place"))
+
+
+def _stream(spark, sf_dir, view):
+    """A view's columns over the stream of arriving files."""
+    batch = {"job_events": views.job_events, "api_log": views.api_log, "token_events": views.token_events}[view]
+    real, views._read = views._read, jobs.arriving
+    try:
+        return batch(spark, sf_dir)
+    finally:
+        views._read = real
+
+
+@query("t1_t10_progress_latest", "select project_id, max(ts) as ts, arg_max(kind, (ts, event_id)) as kind, arg_max(value, (ts, event_id)) as value, arg_max(event_id, (ts, event_id)) as event_id from job_events group by 1", "job_events")
+def progress_latest(spark, sf_dir):
+    return jobs.settled(jobs.progress_latest(_stream(spark, sf_dir, "job_events")), ["project_id"])
+
+
+@query("t2_finding_stream", "select severity, count(*) as findings from findings group by 1", "findings")
+def finding_stream(spark, sf_dir):
+    return jobs.new_findings(views.findings(spark, sf_dir))
+
+
+@query("t3_stuck_jobs", "with g as (select project_id, event_id, epoch(date_trunc('second', lead(ts) over (partition by project_id order by ts, event_id)))::bigint - epoch(date_trunc('second', ts))::bigint as gap from job_events where kind = 'heartbeat') select project_id, event_id, gap, gap // 21600 as strikes from g where gap > 21600", "job_events")
+def stuck_jobs(spark, sf_dir):
+    return jobs.silences(views.job_events(spark, sf_dir), 21_600)
+
+
+@query("t4_heartbeat_sessions", "with b as (select project_id, ts, case when ts - lag(ts) over (partition by project_id order by ts, event_id) < interval 6 hours then 0 else 1 end as new, event_id from job_events where kind = 'heartbeat'), s as (select *, sum(new) over (partition by project_id order by ts, event_id) as n from b) select project_id, min(ts) as start, max(ts) + interval 6 hours as \"end\", count(*) as beats from s group by project_id, n", "job_events")
+def heartbeat_sessions(spark, sf_dir):
+    return jobs.heartbeat_sessions(views.job_events(spark, sf_dir), "6 hours")
+
+
+@query("t5_rate_limit_sliding", "with w as (select client_id, time_bucket(interval 10 minutes, ts) - k * interval 10 minutes as start from api_log, range(0, 6) r(k)) select client_id, start, count(*) as requests from w group by 1, 2 having count(*) > 2", "api_log")
+def rate_limit_sliding(spark, sf_dir):
+    return jobs.settled(jobs.over_rate(_stream(spark, sf_dir, "api_log"), 2, "1 hour", "10 minutes"), ["client_id", "start"])
+
+
+@query("t6_rate_limit_fixed", "select client_id, date_trunc('hour', ts) as start, count(*) as requests from api_log group by 1, 2 having count(*) > 1", "api_log")
+def rate_limit_fixed(spark, sf_dir):
+    return jobs.over_rate(views.api_log(spark, sf_dir), 1, "1 hour", None)
+
+
+@query("t7_token_budget", "select model, date_trunc('hour', ts) as start, sum(tokens)::bigint as tokens, sum(tokens) > 20000 as over from token_events group by 1, 2", "token_events")
+def token_budget(spark, sf_dir):
+    return jobs.settled(jobs.token_budget(_stream(spark, sf_dir, "token_events"), 20_000, "1 hour"), ["model", "start"])
+
+
+@query("t8_metrics_stream", "select kind, date_trunc('hour', ts) as start, count(*) as n, round(sum(value), 4) as total, arg_max(value, (ts, event_id)) as last from job_events group by 1, 2", "job_events")
+def metrics_stream(spark, sf_dir):
+    return jobs.settled(jobs.metrics(_stream(spark, sf_dir, "job_events")), ["kind", "start"]).withColumn("total", F.round("total", 4))
+
+
+@query("t9_j12_job_durations", "with a as (select * from job_events where kind = 'started'), b as (select * from job_events where kind in ('completed', 'failed')) select a.event_id as start_id, b.event_id as end_id, b.kind as outcome, epoch(date_trunc('second', b.ts))::bigint - epoch(date_trunc('second', a.ts))::bigint as seconds from a left join b on b.project_id = a.project_id and b.ts >= a.ts and b.ts <= a.ts + interval 2 days", "job_events")
+def job_durations(spark, sf_dir):
+    events = views.job_events(spark, sf_dir)
+    return jobs.job_durations(events.where("kind = 'started'"), events.where("kind in ('completed', 'failed')"))
+
+
+@query("t12_quota_usage", "with m as (select org_id, date_trunc('month', ts)::date::varchar as month, tokens, ts, event_id from token_events) select event_id, org_id, month, sum(tokens) over (partition by org_id, month order by ts, event_id)::bigint as used, sum(tokens) over (partition by org_id, month order by ts, event_id) > 3000000 as over from m", "token_events")
+def quota_usage(spark, sf_dir):
+    used = F.sum("tokens").over(Window.partitionBy("org_id", "month").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    m = views.token_events(spark, sf_dir).withColumn("month", F.to_date(F.date_trunc("month", "ts")).cast("string"))
+    return m.select("event_id", "org_id", "month", used.alias("used"), (used > 3_000_000).alias("over"))

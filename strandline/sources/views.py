@@ -75,5 +75,7 @@ SQL = {
 
 def with_views(body: str, *names: str) -> str:
     """body with the named views in front, as one statement; body may begin with more common table expressions."""
+    if not names:
+        return body
     views = ", ".join(f"{n} as ({SQL[n]})" for n in names)
-    return f"with {views}, {body[5:]}" if body.lower().startswith("with ") else f"with {views} {body}" if views else body
+    return f"with {views}, {body[5:]}" if body.lower().startswith("with ") else f"with {views} {body}"
