@@ -2,7 +2,7 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample (`sample` vectors, first by a hash of the id); every
 vector is indexed: its nearest centroid's list, and one code for each part of the residual. A query probes the lists whose
-centroids have the largest inner products with it. In a list, an asymmetric distance table (the query against every code
+centroids have the largest inner products with it, as many as hold the share `recall` of the nearest within the sample. In a list, an asymmetric distance table (the query against every code
 word) ranks the vectors; the best `rerank`, and all that tie with the last of them, are scored exactly. Queries whose lists
 hold too few vectors probe all lists.
 
@@ -30,6 +30,8 @@ from .common import small_batches, stored
 
 #: Vectors, and queries, of one block of a list.
 BLOCK = 4096
+#: Sampled vectors that are asked to find out how many lists to probe.
+PROBE_QUERIES = 256
 CODE_WORDS = 256
 
 
@@ -67,6 +69,18 @@ class Codebook:
         k = min(CODE_WORDS, len(x))
         return Codebook(centroids.astype(np.float32), np.stack([kmeans(residuals[:, p], k, 8, p) for p in range(parts)]).astype(np.float32))
 
+    def probes(self, x: np.ndarray, k: int, target: float) -> int:
+        """How many lists queries have to probe so that they hold that share of the nearest, measured within the sample."""
+        queries, k = x[:: max(1, len(x) // PROBE_QUERIES)], min(k, len(x) - 1)
+        if k < 1:
+            return len(self.centroids)
+        scores = queries @ x.T
+        scores[np.arange(len(queries)), np.arange(0, len(x), max(1, len(x) // PROBE_QUERIES))] = -np.inf
+        best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(queries @ self.centroids.T), axis=1), axis=1)
+        at = np.take_along_axis(place, nearest(x, self.centroids)[best], axis=1)
+        return int(np.quantile(at, target, method="higher")) + 1
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The list of each vector, and its codes."""
         at = nearest(x, self.centroids)
@@ -109,7 +123,7 @@ def best_of_block(book: Codebook, at: int, queries: pa.Table, vectors: pa.Table,
     return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 16_384, probes: int = 24, rerank: int = 96) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 16_384, recall: float = 0.96, rerank: int = 96) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row of queries, which has the columns of vectors."""
     spark = vectors.sparkSession
     small_batches(spark, 4096)
@@ -125,6 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     lists = max(1, min(1024, int(math.sqrt(total))))
     parts = next(p for p in (16, 8, 4, 2, 1) if dim % p == 0)
     book = Codebook.fit(drawn, min(lists, len(drawn)), parts)
+    probes = book.probes(drawn, k, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
