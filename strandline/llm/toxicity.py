@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             toxic.update(own)
     # a feature of few toxic documents says nothing of others; one that toxic documents have no more often cannot help
     base = sum(y) / len(y)
-    ids = {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n >= SEEN and n > 3 * base * seen[f]))}
+    ids = {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n >= SEEN and n > min(3 * base, (1 + base) / 2) * seen[f]))}
     inner, feature, sentence_of, doc_of, n_sentences = [], [], [], [], 0
     for d, bag in enumerate(bags):
         for words in filter(None, bag):
