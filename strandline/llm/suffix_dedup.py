@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .common import shared_dir, small_batches
 
 #: Bytes of text in a chunk; bytes of a minimiser; windows of a segment at most.
-CHUNK, MINIMISER, SEGMENT = 4 << 20, 16, 64
+CHUNK, MINIMISER, SEGMENT = 2 << 20, 16, 64
 #: Segments of a key from which on its windows are dealt one by one.
 HOT_KEY = 20_000
 #: Bytes of text for each range of keys and for each bucket of segments.
-RANGE, BUCKET = 32 << 20, 4 << 20
+RANGE, BUCKET = 8 << 20, 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -169,19 +169,31 @@ class ColumnwiseBWT:
 
 
 def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each of the distinct strings: which of its windows also start in a string of a smaller owner."""
+    """For each of the distinct strings: which of its windows also start in a string of a smaller owner.
+
+    A string whose windows have a key that no other string has shares no window; only the others are indexed."""
     lengths = np.array([len(s) for s in strings], np.int64)
+    data = b"".join(strings)
+    found = [np.zeros(n - length + 1, bool) for n in lengths.tolist()]
+    keys, first, _ = segments(data, np.cumsum(lengths), length)
+    of = np.searchsorted(np.cumsum(lengths), first, side="right")
+    pairs = np.unique(np.stack([keys, of.astype(np.uint64)]), axis=1) if len(keys) else np.zeros((2, 0), np.uint64)
+    _, at, n = np.unique(pairs[0], return_inverse=True, return_counts=True)
+    several = np.unique(pairs[1][n[at] > 1]).astype(np.int64)
+    if not len(several):
+        return found
+    lengths, owner = lengths[several], owner[several]
     starts = np.cumsum(lengths) - lengths
     with tempfile.TemporaryDirectory() as folder:
-        index = ColumnwiseBWT(np.frombuffer(b"".join(strings), np.uint8), starts, lengths, folder)
+        index = ColumnwiseBWT(np.frombuffer(b"".join(strings[k] for k in several.tolist()), np.uint8), starts, lengths, folder)
         columns = list(index.repeats(length))
     least = np.full(1 + max((int(g.max(initial=0)) for _, _, g in columns), default=0), np.iinfo(np.int64).max)
     for string, _, group in columns:
         np.minimum.at(least, group, owner[string])
-    found = np.zeros(int(lengths.sum()), bool)
     for string, offset, group in columns:
-        found[starts[string] + offset] = least[group] < owner[string]
-    return [found[a : a + n - length + 1] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        for k, w in zip(*(x[least[group] < owner[string]].tolist() for x in (several[string], offset)), strict=True):
+            found[k][w] = True
+    return found
 
 
 class Chunk:
@@ -275,7 +287,7 @@ def _join(messages: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(np.concatenate([none, *got])), np.concatenate([none, *hot])
 
 
-def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, hot_key: int = HOT_KEY) -> DataFrame:
     """(id, n_bytes, spans, kept) of every row: removed byte runs (end exclusive) and the bytes that are left."""
     spark = docs.sparkSession
     chunks = _pack(docs, key, text)
@@ -304,7 +316,7 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         counts = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in rows])[order].astype(np.int64)
         value = every[order][new]
         shared = value[(np.diff(np.r_[new, len(every)]) > 1) | np.logical_or.reduceat(several, new)]
-        hot = value[np.add.reduceat(counts, new) > HOT_KEY]
+        hot = value[np.add.reduceat(counts, new) > hot_key]
         for r, k in zip(rows, keys, strict=True):
             own = k[np.isin(k, shared, assume_unique=True)]
             yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "keys": own.tobytes(), "hot": own[np.isin(own, hot)].tobytes()}], schema=answer)
