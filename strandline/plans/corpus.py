@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strandline.functions.rules import BINARY_EXTENSIONS, CHUNKER_LANGUAGES, DECISION_POINTS, EXCLUDED_DIRS, ROUTER_LANGUAGES, SOURCE_EXTENSIONS, sql_case, sql_list
 from strandline.operators import files as ops
+from strandline.operators import retrieval, scans
 from strandline.plans.registry import query
 from strandline.sources import views
 
@@ -345,3 +346,66 @@ def indexing_result(spark, sf_dir):
 @query("r11_analysis_plan", f"with {_PLAN} select doc_id, decision, reason, tokens, language from p", "source_files")
 def analysis_plan(spark, sf_dir):
     return plan(spark, sf_dir).select("doc_id", "decision", "reason", "tokens", "language")
+
+
+@query("j6_scan_rules")
+def scan_rules(spark, sf_dir):
+    return scans.scan(_files(spark, sf_dir), scans.rule_table(spark))
+
+
+@query("j6_scan_words", "with l as (select doc_id, file_path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from source_files where not regexp_matches(lower(file_path), 'test|example|sample')) select doc_id, line::int as line, rule, severity from l, (values ('mail', '[a-z0-9.]+@[a-z0-9]+', 'Low'), ('insult', 'moron|idiot', 'High')) r(rule, pattern, severity) where regexp_matches(text, pattern)", "source_files")
+def scan_words(spark, sf_dir):
+    """The rule scan with rules that prose triggers."""
+    rules = scans.rule_table(spark, [("mail", "[a-z0-9.]+@[a-z0-9]+", "", "Low", ""), ("insult", "moron|idiot", "", "High", "")])
+    return scans.scan(_files(spark, sf_dir), rules).select("doc_id", "line", "rule", "severity")
+
+
+@query("x14_config_secrets")
+def config_secrets(spark, sf_dir):
+    return scans.config_secrets(_files(spark, sf_dir), scans.rule_table(spark, scans.CONFIG_RULES))
+
+
+@query("x16_debt_markers", "with m as (select doc_id, project_id, file_path, 0 as line, 'magic numbers' as kind from source_files where len(regexp_extract_all(content, '(^|[^\\w.])([2-9]\\d+)')) > 5 union all select doc_id, project_id, file_path, line::int, regexp_extract(text, '\\b(TODO|FIXME|HACK|XXX)\\b', 1) from (select doc_id, project_id, file_path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from source_files) where regexp_matches(text, '\\b(TODO|FIXME|HACK|XXX)\\b') union all select doc_id, project_id, file_path, 0, 'empty catch' from source_files where regexp_matches(content, 'catch\\s*(\\([^)]*\\))?\\s*\\{\\s*\\}')) select doc_id, project_id, file_path, line, kind from (select *, row_number() over (partition by project_id order by file_path, line, kind) as p from m) where p <= 50", "source_files")
+def debt_markers(spark, sf_dir):
+    return scans.debt_markers(_files(spark, sf_dir))
+
+
+@query("x8_x9_dependencies", "select doc_id, len(list_distinct(regexp_extract_all(content, '(?m)^(?:import|from)\\s+([^\\s]+)', 1)))::int as imports from source_files where ext = '.py'", "source_files")
+def dependencies(spark, sf_dir):
+    return _files(spark, sf_dir).where("ext = '.py'").select("doc_id", F.size(scans.dependencies(F.col("content"), F.col("ext"))).alias("imports"))
+
+
+@query("x18_normalize_path", "select doc_id, file_path as normalized, file_path as sanitized from source_files", "source_files")
+def normalize_path(spark, sf_dir):
+    odd = F.concat(F.lit("/./a/../"), "file_path")
+    return _files(spark, sf_dir).select("doc_id", scans.normalized_path(odd).alias("normalized"), scans.sanitized_path(F.concat(F.lit("../"), "file_path")).alias("sanitized"))
+
+
+@query("r6_hash_embedding")
+def hash_embedding(spark, sf_dir):
+    return _files(spark, sf_dir).select("doc_id", retrieval.hash_embedding(F.col("content")).alias("embedding"))
+
+
+@query("r9_index_project")
+def index_project(spark, sf_dir):
+    return retrieval.index_project(_files(spark, sf_dir), most=300, overlap=60, least=20).drop("chunk")
+
+
+@query("r10_incremental_index")
+def incremental_index(spark, sf_dir):
+    """Indexing again with the chunks of a third of the files already stored."""
+    files = _files(spark, sf_dir)
+    done = retrieval.index_project(files.where("doc_id % 3 = 0"), most=300, overlap=60, least=20).select("project_id", "chunk_hash")
+    return retrieval.index_project(files, stored=done, most=300, overlap=60, least=20).drop("chunk")
+
+
+@query("x24_format_context", "with r as (select project_id as qid, file_path, content, row_number() over (partition by project_id order by file_path) as place from source_files where ext = '.md') select qid, string_agg('## ' || file_path || ' (lines 1-' || len(string_split(content, chr(10))) || ')' || chr(10) || content, chr(10) || chr(10) order by place) as context from r where place <= 3 group by 1", "source_files")
+def format_context(spark, sf_dir):
+    w = Window.partitionBy("project_id").orderBy("file_path")
+    hits = _files(spark, sf_dir).where("ext = '.md'").withColumn("place", F.row_number().over(w)).where("place <= 3")
+    return retrieval.context(hits.select(F.col("project_id").alias("qid"), "place", "file_path", F.lit(1).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), F.col("content").alias("chunk")))
+
+
+@query("x17_simple_heuristics", "select project_id, bool_or(contains(lower(file_path), 'readme')) as has_readme, count(*) > 50 as many_files, count(*) filter (where len(string_split(content, chr(10))) > 100) as long_files from source_files group by 1", "source_files")
+def simple_heuristics(spark, sf_dir):
+    return _files(spark, sf_dir).groupBy("project_id").agg(F.bool_or(F.lower("file_path").contains("readme")).alias("has_readme"), (F.count("*") > 50).alias("many_files"), F.count_if(F.size(F.split("content", "\n")) > 100).alias("long_files"))
