@@ -52,23 +52,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _words(data: bytes, n: int) -> np.ndarray:
     """The eight bytes from each of the first n positions, as one number."""
-    padded, out = data + bytes(16), np.empty(n, np.uint64)
+    padded, out = data + bytes(64), np.empty(n, np.uint64)
     for r in range(min(8, n)):
         count = (n - r + 7) // 8
         out[r::8] = np.frombuffer(padded, "<u8", count, r)
     return out
 
 
-def segments(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first window and number of windows of each segment of the concatenated documents that end at `ends`."""
+def segments(data: bytes, ends: np.ndarray, length: int, gram: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first window and number of windows of each segment of the concatenated documents that end at `ends`.
+
+    The key of a window is the least hash of its strings of `gram` bytes, a multiple of 8."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none.astype(np.uint64), none, none
-    grams = len(data) - MINIMISER + 1
-    words = _words(data, grams + 8)
-    least = _mix(words[:grams] + _mix(words[8:]))
-    width, span = 1, length - MINIMISER + 1
+    grams = len(data) - gram + 1
+    words = _words(data, grams + gram - 8)
+    least = words[gram - 8 :]
+    for at in range(gram - 16, -8, -8):
+        least = words[at : at + grams] + _mix(least)
+    least = _mix(least)
+    width, span = 1, length - gram + 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -168,31 +173,63 @@ class ColumnwiseBWT:
                 yield string, self.lengths[string] - j, group[row]
 
 
-def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each of the distinct strings: which of its windows also start in a string of a smaller owner.
+def _shared(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (string, first window, windows) of windows with a key of long grams that another string has, too.
 
-    A string whose windows have a key that no other string has shares no window; only the others are indexed."""
+    Equal windows have equal keys, so no other window can stand in another string."""
     lengths = np.array([len(s) for s in strings], np.int64)
+    ends = np.cumsum(lengths)
     data = b"".join(strings)
-    found = [np.zeros(n - length + 1, bool) for n in lengths.tolist()]
-    keys, first, _ = segments(data, np.cumsum(lengths), length)
-    of = np.searchsorted(np.cumsum(lengths), first, side="right")
-    pairs = np.unique(np.stack([keys, of.astype(np.uint64)]), axis=1) if len(keys) else np.zeros((2, 0), np.uint64)
-    _, at, n = np.unique(pairs[0], return_inverse=True, return_counts=True)
-    several = np.unique(pairs[1][n[at] > 1]).astype(np.int64)
-    if not len(several):
-        return found
-    lengths, owner = lengths[several], owner[several]
-    starts = np.cumsum(lengths) - lengths
-    with tempfile.TemporaryDirectory() as folder:
-        index = ColumnwiseBWT(np.frombuffer(b"".join(strings[k] for k in several.tolist()), np.uint8), starts, lengths, folder)
-        columns = list(index.repeats(length))
-    least = np.full(1 + max((int(g.max(initial=0)) for _, _, g in columns), default=0), np.iinfo(np.int64).max)
-    for string, _, group in columns:
-        np.minimum.at(least, group, owner[string])
-    for string, offset, group in columns:
-        for k, w in zip(*(x[least[group] < owner[string]].tolist() for x in (several[string], offset)), strict=True):
-            found[k][w] = True
+    keys, first, count = segments(data, ends, length, (length - 10) // 8 * 8 if length >= 34 else MINIMISER)
+    of = np.searchsorted(ends, first, side="right")
+    order = np.lexsort((of, keys))
+    keys, by = keys[order], of[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    several = by[np.r_[new[1:], len(keys)] - 1] != by[new] if len(keys) else np.zeros(0, bool)
+    on = np.zeros(len(keys), bool)
+    on[order] = np.repeat(several, np.diff(np.r_[new, len(keys)]))
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, first[on], 1)
+    np.add.at(edge, first[on] + count[on], -1)
+    runs = np.flatnonzero(np.diff(np.r_[0, np.cumsum(edge)[:-1] > 0, 0])).reshape(-1, 2)
+    of = np.searchsorted(ends, runs[:, 0], side="right")
+    return of, runs[:, 0] - (ends - lengths)[of], runs[:, 1] - runs[:, 0]
+
+
+def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each of the distinct strings: which of its windows also start in a string of a smaller owner.
+
+    Only what can repeat is indexed: runs of windows with shared keys, each distinct run once, with its smallest owner."""
+    found = [np.zeros(len(s) - length + 1, bool) for s in strings]
+    least: dict[bytes, int] = {}
+    runs = []
+    for k, f, n in zip(*(x.tolist() for x in _shared(strings, length)), strict=True):
+        run = strings[k][f : f + n + length - 1]
+        if least.get(run, owner[k]) >= owner[k]:
+            least[run] = int(owner[k])
+        runs.append((k, f, n, run))
+    distinct = list(least)
+    several = sorted(set(_shared(distinct, length)[0].tolist()))
+    smallest: dict[bytes, np.ndarray] = {}
+    if several:
+        indexed = [distinct[k] for k in several]
+        lengths = np.array([len(s) for s in indexed], np.int64)
+        starts, owners = np.cumsum(lengths) - lengths, np.array([least[s] for s in indexed], np.int64)
+        with tempfile.TemporaryDirectory() as folder:
+            index = ColumnwiseBWT(np.frombuffer(b"".join(indexed), np.uint8), starts, lengths, folder)
+            columns = list(index.repeats(length))
+        of_class = np.full(1 + max(int(g.max(initial=0)) for _, _, g in columns), np.iinfo(np.int64).max)
+        for string, _, group in columns:
+            np.minimum.at(of_class, group, owners[string])
+        answer = np.zeros(int(lengths.sum()), np.int64)
+        for string, offset, group in columns:
+            answer[starts[string] + offset] = of_class[group]
+        smallest = {s: answer[a : a + len(s) - length + 1] for s, a in zip(indexed, starts.tolist(), strict=True)}
+    for k, f, n, run in runs:
+        if run in smallest:
+            found[k][f : f + n] = smallest[run] < owner[k]
+        elif least[run] < owner[k]:
+            found[k][f : f + n] = True
     return found
 
 
@@ -384,10 +421,14 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
                     bits_of[s], least[s] = answers[bucket][at : at + n], o
                     at += n
             gone = np.zeros(len(chunk.data) + length + 1, np.int32)
-            for s, owner, first, n in parts:
-                at = np.arange(first, first + n) if owner > least[s] else first + np.flatnonzero(bits_of[s])
-                gone[at] += 1
-                gone[at + length] -= 1
+            some = {s: np.flatnonzero(bits) for s, bits in bits_of.items() if bits.any()}
+            whole = [(first, n) for s, owner, first, n in parts if owner > least[s]]
+            single = [first + some[s] for s, owner, first, _ in parts if owner <= least[s] and s in some]
+            first, n = np.array([(0, 0), *whole], np.int64)[1:].T
+            at = np.concatenate([np.zeros(0, np.int64), *single])
+            for begin, end in ((first, first + n + length - 1), (at, at + length)):
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, end, -1)
             removed = np.cumsum(gone)[: len(chunk.data)] > 0
             rows, start = [], 0
             for i, end in zip(chunk.ids, chunk.ends.tolist(), strict=True):
