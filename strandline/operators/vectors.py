@@ -20,10 +20,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalized(v: Column) -> Column:
     """Unit length in double precision; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    scaled = lambda u, n: F.transform(u, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return _let(v, lambda u: _let(norm(u), lambda n: scaled(u, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -40,12 +45,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k of a stated query set (qid, q) against all vectors (chunk_id, embedding, ...).
 
     The queries go to every task in blocks of at most QUERY_ROWS; each task keeps its k best before the shuffle."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_ROWS))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    queries, vectors = queries.withColumn("q_norm", norm(F.col("q"))), vectors.withColumn("v_norm", norm(F.col("embedding")))
     found = None
     for b in range(blocks):
         block = F.broadcast(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))
-        scored = vectors.join(block, F.lit(True)).select("qid", "chunk_id", "file_path", "project_id", "token_count", cosine(F.col("embedding"), F.col("q")).alias("score"))
+        scored = vectors.join(block, F.lit(True)).select("qid", "chunk_id", "file_path", "project_id", "token_count", F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("q")), F.col("v_norm") * F.col("q_norm")), F.lit(0.0)).alias("score"))
         found = scored if found is None else found.unionByName(scored)
     # Spark keeps the k best of each task before the shuffle: a rank limit over a window is pushed below the exchange
     top = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
