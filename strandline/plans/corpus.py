@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from strandline.functions.rules import BINARY_EXTENSIONS, CHUNKER_LANGUAGES, DECISION_POINTS, EXCLUDED_DIRS, ROUTER_LANGUAGES, SOURCE_EXTENSIONS, sql_case, sql_list
 from strandline.operators import files as ops
-from strandline.operators import retrieval, scans
+from strandline.operators import retrieval, scans, units
 from strandline.plans.registry import query
-from strandline.sources import views
+from strandline.sources import tables, views
+from strandline.streaming import jobs
 
 #: Documents are short, so the registered queries route at smaller sizes than the defaults.
 DIRECT, RAG = 2048, 16384
@@ -409,3 +410,20 @@ def format_context(spark, sf_dir):
 @query("x17_simple_heuristics", "select project_id, bool_or(contains(lower(file_path), 'readme')) as has_readme, count(*) > 50 as many_files, count(*) filter (where len(string_split(content, chr(10))) > 100) as long_files from source_files group by 1", "source_files")
 def simple_heuristics(spark, sf_dir):
     return _files(spark, sf_dir).groupBy("project_id").agg(F.bool_or(F.lower("file_path").contains("readme")).alias("has_readme"), (F.count("*") > 50).alias("many_files"), F.count_if(F.size(F.split("content", "\n")) > 100).alias("long_files"))
+
+
+@query("s6_s7_s11_replace_project", "select doc_id, project_id, case when project_id = 'src3' then n_chars + 1 else n_chars end as n_chars from source_files where project_id <> 'src4' union all select doc_id, project_id, n_chars from source_files where project_id = 'src4' and doc_id % 2 = 0", "source_files")
+def replace_project(spark, sf_dir):
+    """A table by project, in which two projects' rows are replaced, read back."""
+    rows = _files(spark, sf_dir).select("doc_id", "project_id", "n_chars")
+    path = jobs.shared_path(spark, "projects")
+    tables.write_projects(rows, path)
+    new = rows.where("project_id = 'src3'").withColumn("n_chars", F.col("n_chars") + 1).unionByName(rows.where("project_id = 'src4' and doc_id % 2 = 0"))
+    tables.replace_projects(new, path)
+    return spark.read.schema("doc_id long, n_chars long, project_id string").parquet(path).select("doc_id", "project_id", "n_chars")
+
+
+@query("r2_r3_extract_units")
+def extract_units(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return units.brace_units(files).unionByName(scans.python_units(files))

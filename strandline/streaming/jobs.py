@@ -21,14 +21,18 @@ def arriving(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFram
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one where it is unset (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def settled(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Run a stream in update mode over all that is there, upserting by key: the last row of each key that any batch wrote.
 
     Batches and the stream's checkpoint are in the shared folder, so a restart goes on where it stopped."""
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")

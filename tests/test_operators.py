@@ -97,3 +97,12 @@ def test_watchdog_stream(spark, tmp_path):
     got = {(r["project_id"], r["strikes"], r["cancelled"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert (1, 1, False) in got and (1, 2, True) in got
     assert not any(p == 3 for p, _, _ in got)
+
+
+def test_brace_units():
+    from strandline.operators.units import units_of
+
+    code = 'using A;\npublic class B\n{\n  string s = "}"; // }\n  void M() { if (x) { } }\n}\nrecord C(int X);\nenum D { A }\nclass Open {\n'
+    assert list(units_of(code, ".cs")) == [("B", 2, 6), ("C", 7, 7), ("D", 8, 8)]
+    assert list(units_of("export function f() {\n return `}`;\n}\nclass G {}\n", ".ts")) == [("f", 1, 3), ("G", 4, 4)]
+    assert list(units_of("class X {}", ".md")) == []
