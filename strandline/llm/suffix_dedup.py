@@ -38,6 +38,8 @@ from .common import shared_dir, small_batches
 
 #: Bytes of text in a chunk; bytes of a minimiser; windows of a segment at most.
 CHUNK, MINIMISER, SEGMENT = 2 << 20, 16, 64
+#: Windows that are hashed at a time, so that the arrays fit a cache.
+PASS = 1 << 15
 #: Segments of a key from which on its windows are dealt one by one.
 HOT_KEY = 20_000
 #: Bytes of text for each range of keys and for each bucket of segments.
@@ -59,15 +61,9 @@ def _words(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def segments(data: bytes, ends: np.ndarray, length: int, gram: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first window and number of windows of each segment of the concatenated documents that end at `ends`.
-
-    The key of a window is the least hash of its strings of `gram` bytes, a multiple of 8."""
-    n = len(data) - length + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none.astype(np.uint64), none, none
-    grams = len(data) - gram + 1
+def _least(data: bytes, length: int, gram: int) -> np.ndarray:
+    """The least hash of the strings of `gram` bytes in each window."""
+    n, grams = len(data) - length + 1, len(data) - gram + 1
     words = _words(data, grams + gram - 8)
     least = words[gram - 8 :]
     for at in range(gram - 16, -8, -8):
@@ -77,7 +73,18 @@ def segments(data: bytes, ends: np.ndarray, length: int, gram: int = MINIMISER)
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[:n], least[span - width : span - width + n])
+    return np.minimum(least[:n], least[span - width : span - width + n])
+
+
+def segments(data: bytes, ends: np.ndarray, length: int, gram: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first window and number of windows of each segment of the concatenated documents that end at `ends`.
+
+    The key of a window is the least hash of its strings of `gram` bytes, a multiple of 8."""
+    n = len(data) - length + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return none.astype(np.uint64), none, none
+    least = np.concatenate([_least(data[i : i + PASS + length - 1], length, gram) for i in range(0, n, PASS)])
     starts = np.r_[0, ends[:-1]]
     whole = np.zeros(len(data) + 1, np.int32)  # windows that lie in one document
     long = ends - starts >= length
@@ -108,7 +115,7 @@ class ColumnwiseBWT:
 
     def __init__(self, strings: np.ndarray, starts: np.ndarray, lengths: np.ndarray, folder: str):
         self.n, self.lengths = len(starts), lengths
-        self.files = [Path(folder, name) for name in ("bwt", "lcp")]
+        self.files = [open(Path(folder, name), "w+b", buffering=0) for name in ("bwt", "lcp")]  # noqa: SIM115
         symbols = strings.astype(np.uint8) + np.uint8(1)
         ends = starts + lengths
         self._write(symbols[ends - 1], np.zeros(self.n, np.uint8))
@@ -152,11 +159,19 @@ class ColumnwiseBWT:
         return out
 
     def _write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for path, column in zip(self.files, (bwt, lcp), strict=True):
-            column.tofile(path)
+        self.rows = len(bwt)
+        for file, column in zip(self.files, (bwt, lcp), strict=True):
+            file.seek(0)
+            column.tofile(file)
 
     def _read(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(path, np.uint8) for path in self.files)
+        for file in self.files:
+            file.seek(0)
+        return tuple(np.fromfile(file, np.uint8, self.rows) for file in self.files)
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
 
     def repeats(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(string, offset, class) of the suffixes of at least `length` bytes, by columns; a class shares its first bytes."""
@@ -218,6 +233,7 @@ def repeated_windows(strings: list[bytes], owner: np.ndarray, length: int) -> li
         with tempfile.TemporaryDirectory() as folder:
             index = ColumnwiseBWT(np.frombuffer(b"".join(indexed), np.uint8), starts, lengths, folder)
             columns = list(index.repeats(length))
+            index.close()
         of_class = np.full(1 + max(int(g.max(initial=0)) for _, _, g in columns), np.iinfo(np.int64).max)
         for string, _, group in columns:
             np.minimum.at(of_class, group, owners[string])
