@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, decontaminate, html_extract, near_dup, pii, suffix_dedup, toxicity, warc
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 #: The vocabulary file; its path is a parameter of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -84,5 +85,3 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_suffix_dedup, op6_near_dup, op7_ann, op8_warc, op9_html, op10_chat)
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -1,13 +1,19 @@
 """The corpus pipeline: each stage on what the one before kept, against brute force."""
 
+import glob
+import os
+
+import duckdb
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from strandline.llm import bpe, toxicity
+from strandline.llm import bpe, queries, toxicity
 from strandline.llm.common import stored
+from strandline.llm.oracle import ORACLE_SQL
 from tests.llm.test_corpus_operators import brute_classes
 from tests.llm.test_text_operators import base_spans, brute_hits
 
@@ -51,6 +57,18 @@ def test_stages_against_brute_force(spark, sf_dir):
         assert r["token_ids"] == library.encode_ordinary(r["text"] or "")
 
 
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_queries_equal_their_sql(name, spark, sf_dir):
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    df = queries.QUERIES[name](spark, sf_dir)
+    result = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(columns).collect()), key=str) == sorted(result.fetchall(), key=str)
+
+
 def test_entry_has_all_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and [n for n in names if n.startswith("op")] == ["op1_bpe", "op2_pii", "op3_toxicity", "op4_decontaminate", "op5_suffix_dedup", "op6_near_dup", "op7_ann", "op8_warc", "op9_html", "op10_chat"]
