@@ -40,10 +40,10 @@ def escalate(groups: DataFrame) -> DataFrame:
     return groups.withColumn("severity", F.when((F.col("highs") >= 2) | (F.col("avg_confidence") > 0.85), "High").otherwise(F.col("severity")))
 
 
-def counts(found: DataFrame) -> DataFrame:
-    """Counts of each severity by project; total is of High, Medium and Low."""
+def counts(found: DataFrame, *by: str) -> DataFrame:
+    """Counts of each severity by project (or other columns); total is of High, Medium and Low."""
     n = lambda name: F.count_if(F.col("severity") == name)
-    return found.groupBy("project_id").agg(n("Critical").alias("critical_count"), n("High").alias("high_count"), n("Medium").alias("medium_count"), n("Low").alias("low_count"), n("Info").alias("info_count"), (n("High") + n("Medium") + n("Low")).alias("total"))
+    return found.groupBy(*(by or ("project_id",))).agg(n("Critical").alias("critical_count"), n("High").alias("high_count"), n("Medium").alias("medium_count"), n("Low").alias("low_count"), n("Info").alias("info_count"), (n("High") + n("Medium") + n("Low")).alias("total"))
 
 
 def health(high: Column, medium: Column, low: Column) -> Column:

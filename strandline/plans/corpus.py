@@ -105,20 +105,25 @@ def sensitive_files(spark, sf_dir):
     return _files(spark, sf_dir).join(F.broadcast(rules), F.expr("file_path rlike glob")).select("doc_id", "description", "severity")
 
 
-@query("j5_incremental_new_chunks", "with c as (select project_id, substr(sha256(left(content, 40)), 1, 16) as chunk_hash, doc_id from source_files), o as (select distinct project_id, chunk_hash from c where doc_id % 3 = 0) select project_id, chunk_hash from (select distinct project_id, chunk_hash from c) n where not exists (select 1 from o where o.project_id = n.project_id and o.chunk_hash = n.chunk_hash)", "source_files")
+@query("j5_incremental_new_chunks", "with c as (select project_id, substr(sha256(content), 1, 16) as chunk_hash, doc_id from source_files), o as (select distinct project_id, chunk_hash from c where doc_id % 3 = 0) select project_id, chunk_hash from (select distinct project_id, chunk_hash from c) n where not exists (select 1 from o where o.project_id = n.project_id and o.chunk_hash = n.chunk_hash)", "source_files")
 def incremental_new_chunks(spark, sf_dir):
-    chunks = _files(spark, sf_dir).select("doc_id", "project_id", F.substr(F.sha2(F.left(F.col("content"), F.lit(40)), 256), F.lit(1), F.lit(16)).alias("chunk_hash"))
+    chunks = _files(spark, sf_dir).select("doc_id", "project_id", F.substr(F.sha2("content", 256), F.lit(1), F.lit(16)).alias("chunk_hash"))
     return ops.new_chunks(chunks, chunks.where("doc_id % 3 = 0")).select("project_id", "chunk_hash")
 
 
-@query("j7_file_similarity_pairs", """with m as (select doc_id, project_id, file_path, ext, string_split(file_path, '/') as d from source_files where doc_id % 8 in (0, 1)), s as (select a.project_id, a.file_path as a, b.file_path as b, 0.3 * (a.ext = b.ext)::int + 0.3 * (a.d[1:-2] = b.d[1:-2])::int + 0.2 * len(list_intersect(a.d[1:-2], b.d[1:-2])) / len(list_distinct(list_concat(a.d[1:-2], b.d[1:-2]))) as score from m a join m b on a.project_id = b.project_id and a.d[1] = b.d[1] and a.file_path < b.file_path) select project_id, a, b, round(score, 6)::double as score from s""", "source_files")
+@query("j7_file_similarity_pairs", """with m as (select project_id, ext, string_split(file_path, '/')[1:-2] as d, count(*) as files, min(file_path) as file_path from source_files group by 1, 2, 3), s as (select a.project_id, a.file_path as a, b.file_path as b, a.files * b.files as pairs, 0.3 * (a.ext = b.ext)::int + 0.3 * (a.d = b.d)::int + 0.2 * len(list_intersect(a.d, b.d)) / len(list_distinct(list_concat(a.d, b.d))) as score from m a join m b on a.project_id = b.project_id and a.d[1] = b.d[1] and a.file_path < b.file_path) select project_id, a, b, pairs, round(score, 6)::double as score from s""", "source_files")
 def file_similarity_pairs(spark, sf_dir):
-    """Weighted similarity of the files of a project that share their top folder, which bounds the pairs."""
-    m = _files(spark, sf_dir).where("doc_id % 8 in (0, 1)").withColumn("parts", F.split("file_path", "/")).withColumn("d", F.slice("parts", F.lit(1), F.size("parts") - 1)).withColumn("top", F.element_at("d", 1))
+    """Weighted similarity between the files of a project that share their top folder.
+
+    Files of one folder and extension score alike, so they are one class: pairs are of classes, each named by its first file,
+    with the number of file pairs they stand for. The classes of a project are as few as its folders and extensions."""
+    parts = F.split("file_path", "/")
+    m = _files(spark, sf_dir).groupBy("project_id", "ext", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("d")).agg(F.count("*").alias("files"), F.min("file_path").alias("file_path"))
+    m = m.withColumn("top", F.element_at("d", 1))
     a, b = m.alias("a"), m.alias("b")
     both = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.top") == F.col("b.top")) & (F.col("a.file_path") < F.col("b.file_path")))
     score = 0.3 * (F.col("a.ext") == F.col("b.ext")).cast("int") + 0.3 * (F.col("a.d") == F.col("b.d")).cast("int") + 0.2 * F.size(F.array_intersect("a.d", "b.d")) / F.size(F.array_union("a.d", "b.d"))
-    return both.select("a.project_id", F.col("a.file_path").alias("a"), F.col("b.file_path").alias("b"), F.round(score, 6).alias("score"))
+    return both.select("a.project_id", F.col("a.file_path").alias("a"), F.col("b.file_path").alias("b"), (F.col("a.files") * F.col("b.files")).alias("pairs"), F.round(score, 6).alias("score"))
 
 
 _METRICS = f"m as (select doc_id, project_id, file_path, ext, len(string_split(content, chr(10)))::bigint as total_lines, {_LOC}::bigint as loc, len(regexp_extract_all(content, '\\b(class|struct|interface|record|enum)\\s+[A-Za-z0-9_]+'))::bigint as types, len(regexp_extract_all(content, '\\bnamespace\\s+[A-Za-z0-9_.]+'))::bigint as namespaces, ({_COMPLEXITY})::bigint as complexity from source_files)"

@@ -60,10 +60,11 @@ def severity_counts(spark, sf_dir):
     return ops.counts(_found(spark, sf_dir))
 
 
-@query("a8_a9_health_score", f"with c as (select {_COUNTS} from findings where ordinal % 97 = 5 group by 1), h as (select project_id, {_HEALTH} as health_score from c) select *, {_BAND.format(s='health_score')} as band from h", "findings")
+@query("a8_a9_health_score", f"with c as (select file_path, category, {_COUNTS} from findings group by file_path, category, project_id), h as (select project_id, file_path, category, {_HEALTH} as health_score from c) select *, {_BAND.format(s='health_score')} as band from h", "findings")
 def health_score(spark, sf_dir):
-    c = ops.counts(_found(spark, sf_dir).where("ordinal % 97 = 5"))
-    return c.select("project_id", ops.health(F.col("high_count"), F.col("medium_count"), F.col("low_count")).cast("int").alias("health_score")).withColumn("band", ops.band(F.col("health_score")))
+    """The score of each file of a project in each category."""
+    c = ops.counts(_found(spark, sf_dir), "project_id", "file_path", "category")
+    return c.select("project_id", "file_path", "category", ops.health(F.col("high_count"), F.col("medium_count"), F.col("low_count")).cast("int").alias("health_score")).withColumn("band", ops.band(F.col("health_score")))
 
 
 @query("a10_consolidate_findings", f"with {_GROUPS.format(source='findings')} select project_id, symbol, file_path, category, severity, confidence, merged, descriptions from g", "findings")

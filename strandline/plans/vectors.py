@@ -39,9 +39,9 @@ def vector_count(spark, sf_dir):
     return _vectors(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("vectors"))
 
 
-@query("s12_verify_index", "select doc_id::varchar as chunk_id from documents where doc_id < 2000 and not exists (select 1 from vectors v where v.chunk_id = doc_id::varchar)", "vectors")
+@query("s12_verify_index", "select doc_id::varchar as chunk_id from documents where not exists (select 1 from vectors v where v.chunk_id = doc_id::varchar)", "vectors")
 def verify_index(spark, sf_dir):
-    chunks = views.source_files(spark, sf_dir).where("doc_id < 2000").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    chunks = views.source_files(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"))
     return chunks.join(_vectors(spark, sf_dir), "chunk_id", "left_anti").select("chunk_id")
 
 
