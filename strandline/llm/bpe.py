@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 #: Entries of a worker's caches; a full cache is emptied, so memory stays bounded.
-CACHE = 400_000
+CACHE = 700_000
 
 
 class Vocabulary:
@@ -133,24 +134,28 @@ class Vocabulary:
         self.extend(data, last, len(data))
         return self.read_back(last)
 
+    def packed(self, text: str) -> bytes:
+        """The tokens of a text as 32-bit numbers."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
 class Pieces(dict):
-    """Tokens of a match of the pattern, computed once while the cache holds them."""
+    """Tokens of a match of the pattern as 32-bit numbers, computed once while the cache holds them."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else self.vocabulary.prefix_ids(data)
+        ids = array("i", (whole,) if whole is not None else self.vocabulary.prefix_ids(data)).tobytes()
         if len(piece) <= 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -216,10 +221,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         v = vocabulary(path, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            rows = [v.encode(t) if t else [] for t in texts]
+            rows = [v.packed(t) if t else b"" for t in texts]
             offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) for r in rows], out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
+            np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+            flat = np.frombuffer(b"".join(rows), np.int32)
             yield _put(batch, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
 
     return docs.mapInArrow(run, _with(docs.schema, out, T.ArrayType(T.IntegerType())))
@@ -232,7 +237,9 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "token_ids", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            yield _put(batch, out, pa.array([v.decode(x) if x else b"" for x in column], pa.binary()))
+            column = batch.column(batch.schema.get_field_index(ids))
+            flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
+            yield _put(batch, out, pa.array([v.decode(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary()))
 
     return rows.mapInArrow(run, _with(rows.schema, out, T.BinaryType()))
