@@ -4,11 +4,12 @@ Each document has its set of distinct word shingles, MinHash samples of it and a
 samples are folded, so that the bits of two sketches' XOR estimate how many samples differ, sharply for high similarities.
 
 1. Documents with equal sets are one class; only its smallest id goes on.
-2. Classes that share a band of samples share a bucket. Each is compared with the bucket's smallest id (a star, never all
-   pairs). Pairs whose sizes or sketches rule the threshold out go; the others are confirmed on the full sets of their texts.
-3. What that links are components. In buckets that still hold several of them, all members outside the largest one are
-   compared with all members of other components, in blocks of bounded size that any number of tasks share. So no bucket
-   pair between components stays uncompared, however large its bucket.
+2. Classes that share a band of samples share a bucket. Each is compared with the smallest leader (smallest id) of its
+   buckets: a star, never all pairs. Pairs whose sizes or sketches rule the threshold out go; the others are confirmed on the
+   full sets of their texts.
+3. What those links join are components. In buckets that hold several of them, members outside the largest one are compared
+   with the members of other components, in blocks of bounded size that any number of tasks share: first each with its
+   likeliest partner alone, then, in what is still apart, with all. So no bucket pair between components stays uncompared.
 4. Components again, over all confirmed links.
 
 With 32 bands of 4 samples a pair of similarity 0.8 shares no band with a probability of 5e-8.
@@ -32,9 +33,11 @@ from .common import small_batches, stored
 from .graph import components
 
 BANDS, ROWS = 32, 4
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 #: Members of one side of a block in which components are compared.
 BLOCK = 1024
+#: Rounds in which a member is compared with its likeliest partner only, which join most of what the stars left apart.
+BEST_ROUNDS = 2
 #: Ids that are broadcast at most, 8 bytes each; beyond, a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
 CACHE = 200_000
@@ -96,12 +99,14 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def most_bits(threshold: float) -> int:
-    """XOR bits that two sketches have at most if the sets are at least that similar, but for odds below 1e-9: six deviations
-    for the samples that differ, and again for the bits that those toggle."""
-    k = BANDS * ROWS
-    differ = min(k, k * (1 - threshold) + 6 * math.sqrt(k * threshold * (1 - threshold)))
-    odd = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ))
-    return int(odd + 6 * math.sqrt(odd * (1 - odd / SKETCH_BITS)))
+    """XOR bits that two sketches have at most if the sets are at least that similar: the mean and six deviations, of the
+    samples that differ and of the bits that these toggle."""
+    k, n = BANDS * ROWS, SKETCH_BITS
+    toggles = 2 * k * (1 - threshold)
+    mean = n / 2 * (1 - (1 - 2 / n) ** toggles)
+    folded = n / 4 + n * (n - 1) / 4 * (1 - 4 / n) ** toggles - n * n / 4 * (1 - 2 / n) ** (2 * toggles)
+    drawn = k * threshold * (1 - threshold) * (2 * (1 - 2 / n) ** toggles) ** 2
+    return math.ceil(mean + 6 * math.sqrt(max(folded, 0) + drawn))
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -164,8 +169,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _between(members: DataFrame, comps: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of different components that share a bucket."""
+def _between(members: DataFrame, comps: DataFrame, classes: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) of different components that share a bucket; best: only the likeliest for each member and block."""
     known = members.join(comps, members["rep"] == comps["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
     parts = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("big")).where("comps > 1")
@@ -174,31 +179,46 @@ def _between(members: DataFrame, comps: DataFrame, classes: DataFrame, threshold
     left = F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")
     right = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights")).cast("int")
     cells = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    as_left = rows.where("comp <> big").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: cells(left, j)))).withColumn("side", F.lit(0))
-    as_right = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: cells(i, right)))).withColumn("side", F.lit(1))
+    small = F.col("comp") != F.col("big")
+    as_left = rows.where(small).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: cells(left, j)))).withColumn("side", F.lit(0))
+    as_right = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: cells(i, right)))).withColumn("side", F.when(small, 1).otherwise(2))
     blocks = as_left.unionByName(as_right).select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "side", "rep", "comp", "n_shingles", "sketch")
     blocks = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     bits, percent = most_bits(threshold), round(threshold * 100)
 
-    def pairs(b: pa.Table) -> pa.RecordBatch:
+    def pairs(b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         side, rep, comp, n = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
-        sketch = b.column(7).combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sketch = b.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)  # unsigned, so that the count is of all bits
+        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in lefts:
-            y = rights[(comp[rights] != comp[x]) & (np.minimum(n[x], n[rights]) * 100 >= np.maximum(n[x], n[rights]) * percent)]
-            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= bits]
+            # two members outside the largest component meet in two blocks, and count in one
+            y = rights[(comp[rights] != comp[x]) & ((side[rights] == 2) | (rep[rights] > rep[x]) | best) & (np.minimum(n[x], n[rights]) * 100 >= np.maximum(n[x], n[rights]) * percent)]
+            apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
+            y = y[[np.argmin(apart)]] if best and len(y) and apart.min() <= bits else y[apart <= bits]
             found_a.append(np.minimum(rep[x], rep[y]))
             found_b.append(np.maximum(rep[x], rep[y]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+        return np.concatenate(found_a), np.concatenate(found_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for cell in by_group(batches, 3):
-            yield pairs(cell)
+            held.append(pairs(cell))
+            size += len(held[-1][0])
+            if size >= 4096:
+                yield _pairs(held)
+                held, size = [], 0
+        yield _pairs(held)
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Each pair of the list once."""
+    both = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+
 def by_group(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Rows of equal leading columns (whole numbers), from sorted batches; one group in memory at a time."""
     held: list[pa.RecordBatch] = []
@@ -227,11 +247,15 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "leader")
     members = stored(banded.join(stars, F.col("bucket") == F.col("b")).select("bucket", "rep", "leader"), "members")
-    side = lambda s: classes.select(F.col("rep").alias("a" if s == "a" else "b"), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    pairs = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    star = stored(confirmed(_possible(pairs.join(side("a"), "a").join(side("b"), "b"), threshold), docs, key, text, size, threshold), "star")
-    first = components(star)
-    more = confirmed(_between(members, first, classes, threshold), docs, key, text, size, threshold)
-    comps = components(star.union(more))
+    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    pairs = members.groupBy("rep").agg(F.min("leader").alias("a")).where("a <> rep").select("a", F.col("rep").alias("b"))
+    exact = lambda pairs: stored(confirmed(pairs, docs, key, text, size, threshold), "confirmed")
+    links = exact(_possible(pairs.join(side("a"), "a").join(side("b"), "b"), threshold))
+    comps = components(links)
+    for best in [True] * BEST_ROUNDS + [False]:
+        more = exact(_between(members, comps, classes, threshold, best))
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = components(links)
     reps = classes.select(F.col("set_id").alias("s"), "rep").join(comps, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("component", "rep").alias("component"))
     return signed.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("set_id")).alias("set_id")).join(reps, F.col("set_id") == F.col("s"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
