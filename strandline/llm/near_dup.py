@@ -10,6 +10,7 @@ samples are folded, so that the bits of two sketches' XOR estimate how many samp
 3. What those links join are components. In buckets that hold several of them, members outside the largest one are compared
    with the members of other components, in blocks of bounded size that any number of tasks share: first each with its
    likeliest partner alone, then, in what is still apart, with all. So no bucket pair between components stays uncompared.
+   Large buckets confirm their pairs inside the blocks, so rows grow with their members, not with pairs.
 4. Components again, over all confirmed links.
 
 With 32 bands of 4 samples a pair of similarity 0.8 shares no band with a probability of 5e-8.
@@ -37,7 +38,9 @@ SKETCH_BITS = 1024
 #: Members of one side of a block in which components are compared.
 BLOCK = 1024
 #: Rounds in which a member is compared with its likeliest partner only, which join most of what the stars left apart.
-BEST_ROUNDS = 2
+BEST_ROUNDS = 1
+#: Members of a bucket from which on pairs are confirmed inside its blocks.
+LARGE = 256
 #: Ids that are broadcast at most, 8 bytes each; beyond, a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
 CACHE = 200_000
@@ -169,43 +172,58 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _between(members: DataFrame, comps: DataFrame, classes: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different components that share a bucket; best: only the likeliest for each member and block."""
+def _cells(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """The blocks (bucket, i, j) in which members of different components meet, with n, the size of the bucket.
+
+    side 0: members outside the largest component, each in one row i of blocks; 1 and 2: these again and those of the largest
+    component, each in one column j."""
     known = members.join(comps, members["rep"] == comps["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
     parts = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("big")).where("comps > 1")
-    mixed = mixed.select(F.col("bucket").alias("bk"), "big", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
-    rows = known.join(mixed, known["bucket"] == mixed["bk"]).join(classes.select(F.col("rep").alias("r"), "n_shingles", "sketch"), F.col("rep") == F.col("r"))
+    mixed = mixed.select(F.col("bucket").alias("bk"), "n", "big", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
+    rows = known.join(mixed, known["bucket"] == mixed["bk"]).join(classes.select(F.col("rep").alias("r"), "n_shingles", "sketch", "bands"), F.col("rep") == F.col("r"))
     left = F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")
     right = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights")).cast("int")
     cells = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     small = F.col("comp") != F.col("big")
     as_left = rows.where(small).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: cells(left, j)))).withColumn("side", F.lit(0))
     as_right = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: cells(i, right)))).withColumn("side", F.when(small, 1).otherwise(2))
-    blocks = as_left.unionByName(as_right).select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "side", "rep", "comp", "n_shingles", "sketch")
-    blocks = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    bits, percent = most_bits(threshold), round(threshold * 100)
+    return as_left.unionByName(as_right).select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "side", "rep", "comp", "n_shingles", "sketch", "bands", "n")
+
 
-    def pairs(b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side, rep, comp, n = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
-        sketch = b.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)  # unsigned, so that the count is of all bits
-        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in lefts:
-            # two members outside the largest component meet in two blocks, and count in one
-            y = rights[(comp[rights] != comp[x]) & ((side[rights] == 2) | (rep[rights] > rep[x]) | best) & (np.minimum(n[x], n[rights]) * 100 >= np.maximum(n[x], n[rights]) * percent)]
-            apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
-            y = y[[np.argmin(apart)]] if best and len(y) and apart.min() <= bits else y[apart <= bits]
-            found_a.append(np.minimum(rep[x], rep[y]))
-            found_b.append(np.maximum(rep[x], rep[y]))
-        return np.concatenate(found_a), np.concatenate(found_b)
+def _meetings(b: pa.Table, threshold: float, best: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left member of a block, the places of the right members that may be linked with it.
+
+    best: the likeliest one alone. Else a pair counts in the first bucket that both have, and there in one of its blocks."""
+    bits, percent = most_bits(threshold), round(threshold * 100)
+    side, rep, comp, n = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
+    sketch = b.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)  # unsigned, so that the count is of all bits
+    bands = b.column(8).combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    bucket = b.column(0)[0].as_py()
+    lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+    for x in lefts.tolist():
+        y = rights[(comp[rights] != comp[x]) & ((side[rights] == 2) | (rep[rights] > rep[x]) | best) & (np.minimum(n[x], n[rights]) * 100 >= np.maximum(n[x], n[rights]) * percent)]
+        apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
+        if best:
+            y = y[[np.argmin(apart)]] if len(y) and apart.min() <= bits else y[:0]
+        else:
+            y = y[apart <= bits]
+            y = y[bands[x][np.argmax(bands[y] == bands[x], axis=1)] == bucket] if len(y) else y
+        yield x, y
+
+
+def _between(cells: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) of the blocks."""
+    blocks = cells.drop("n").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for cell in by_group(batches, 3):
-            held.append(pairs(cell))
-            size += len(held[-1][0])
-            if size >= 4096:
+            rep = cell.column(4).to_numpy()
+            for x, y in _meetings(cell, threshold, best):
+                held.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])))
+                size += len(y)
+            if size >= 65_536:
                 yield _pairs(held)
                 held, size = [], 0
         yield _pairs(held)
@@ -213,6 +231,36 @@ def _between(members: DataFrame, comps: DataFrame, classes: DataFrame, threshold
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
+def _inside(cells: DataFrame, docs: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) of the blocks of large buckets: the members' texts go to the blocks, so pairs never leave them."""
+    small_batches(docs.sparkSession, 128)
+    cells = stored(cells.drop("n"), "large")
+    texts = only(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col(key).isNotNull()), stored(cells.select(F.col("rep").alias("id")).distinct(), "ids"), "k")
+    one = texts.groupBy("k").agg(F.min("t").alias("t"))
+    blocks = cells.join(one, F.col("rep") == F.col("k")).drop("k").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    percent = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for cell in by_group(batches, 3):
+            rep, found = cell.column(4).to_numpy(), []
+            sets: dict[int, np.ndarray] = {}
+
+            def of(k: int, cell: pa.Table = cell, sets: dict[int, np.ndarray] = sets) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(cell.column(9)[k].as_py(), size, words)
+                return sets[k]
+
+            for x, ys in _meetings(cell, threshold, False):
+                for y in ys.tolist():
+                    common = len(np.intersect1d(of(x), of(y), assume_unique=True))
+                    if 100 * common >= percent * (len(of(x)) + len(of(y)) - common):
+                        found.append((np.array([min(rep[x], rep[y])]), np.array([max(rep[x], rep[y])])))
+            yield _pairs(found)
+
+    return blocks.mapInArrow(run, "a long, b long").distinct()
+
+
 def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Each pair of the list once."""
     both = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1)]), axis=1)
@@ -252,10 +300,15 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     exact = lambda pairs: stored(confirmed(pairs, docs, key, text, size, threshold), "confirmed")
     links = exact(_possible(pairs.join(side("a"), "a").join(side("b"), "b"), threshold))
     comps = components(links)
-    for best in [True] * BEST_ROUNDS + [False]:
-        more = exact(_between(members, comps, classes, threshold, best))
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = components(links)
+    for _ in range(BEST_ROUNDS):
+        more = exact(_between(_cells(members, comps, classes), threshold, True))
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        comps = components(links)
+    cells = _cells(members, comps, classes)
+    more = exact(_between(cells.where(F.col("n") < LARGE), threshold, False)).union(stored(_inside(cells.where(F.col("n") >= LARGE), docs, key, text, size, threshold), "inside"))
+    if not more.isEmpty():
+        comps = components(links.union(more))
     reps = classes.select(F.col("set_id").alias("s"), "rep").join(comps, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("component", "rep").alias("component"))
     return signed.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("set_id")).alias("set_id")).join(reps, F.col("set_id") == F.col("s"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

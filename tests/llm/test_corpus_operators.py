@@ -79,6 +79,7 @@ def brute_classes(rows, size, percent=80):
 @pytest.mark.parametrize(("size", "block"), [(2, 1024), (5, 7)])
 def test_near_duplicates_against_brute_force(spark, size, block, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "LARGE", 256 if block > 100 else 6)
     rng = random.Random(6)
     word = lambda: rng.choice("alpha Beta gamma delta eps zeta eta theta iota kappa lam mu nu xi".split()) + str(rng.randint(0, 9))
     rows = []
