@@ -1,8 +1,11 @@
 """Toxicity by multiple-instance learning: a document is toxic if at least one of its sentences is.
 
 A sentence's score is a logistic function of its words, each known by itself and by its beginnings and ends (so inflected and
-compound forms share what is learned); sentence scores are combined by noisy-or, 1 - prod(1 - p). The weights are trained from document labels alone, by gradient ascent on the likelihood of the noisy-or; afterwards the same
-sentence scores locate the offending sentences.
+compound forms share what is learned). The weights are trained from document labels alone, by gradient ascent on the likelihood
+of a noisy-or of the sentence scores, 1 - prod(1 - p); afterwards the same sentence scores locate the offending sentences.
+
+A document's score is that of its most toxic sentence. The noisy-or is for training only: beyond the lengths of the sample it
+would rise with the number of sentences alone, whatever they say. Pieces without a word are no sentences in either.
 
 The classifier is fitted on a bounded sample: at most `sample` labelled documents, first by a hash of the id, each of at most
 `sample_words` words (longer ones are not drawn). Everything else covers all rows. Scoring is a narrow step.
@@ -70,15 +73,13 @@ class Model:
         """The document's score, and the offending sentences."""
         if not text or not WORD.search(text):
             return 0.0, []
-        n, clean, spans = len(SENTENCE.findall(text)), 0.0, []
+        most, spans = float(1 / (1 + np.exp(-self.bias))), []
         for start, end, logit in self.sentences(text):
-            n -= 1
-            p = 1 / (1 + np.exp(-logit))
-            clean += np.log1p(-min(p, 1 - 1e-12))
+            p = float(1 / (1 + np.exp(-logit)))
+            most = max(most, p)
             if p > OFFENDING:
-                spans.append((start, end, float(p)))
-        clean += n * np.log1p(-1 / (1 + np.exp(-self.bias)))
-        return float(-np.expm1(clean)), spans
+                spans.append((start, end, p))
+        return most, spans
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int, sample_words: int) -> list:

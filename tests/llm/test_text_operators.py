@@ -129,6 +129,19 @@ def test_toxicity_locates_sentences_and_keeps_rows(spark):
     assert {r[0] for r in toxicity.score(docs, blank).select(F.round("toxicity", 6)).collect()} == {0.0}
 
 
+def test_toxicity_does_not_rise_with_length(spark):
+    rows = [(i, f"good words number {i}. you utter moron {i}! fine again." if i % 3 == 0 else f"good words number {i}. calm and fine.") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trained = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int"))
+    for model in (trained, toxicity.Model({"moron": 9.0, "calm": 1.0}, -8.0)):  # the second has about the bias that sf0.1 gives, and a weak feature
+        clean = "calm and fine. other words here. " * 10_000
+        assert model.score(clean)[0] < 0.3 and not model.score(clean)[1]
+        assert model.score(clean)[0] == model.score("calm and fine. other words here. ")[0]
+        score, spans = model.score(clean + "you utter moron! " + clean)
+        assert score > 0.5 and len(spans) == 1 and spans[0][0] == len(clean) - 1
+        assert model.score(". \n! ")[0] == 0 and model.score("calm. \n. \n. " * 1000)[0] < 0.3
+
+
 def brute_hits(text, items, size=10):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
