@@ -236,8 +236,8 @@ def _inside(cells: DataFrame, docs: DataFrame, key: str, text: str, size: int, t
     small_batches(docs.sparkSession, 128)
     cells = stored(cells.drop("n"), "large")
     texts = only(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col(key).isNotNull()), stored(cells.select(F.col("rep").alias("id")).distinct(), "ids"), "k")
-    one = texts.groupBy("k").agg(F.min("t").alias("t"))
-    blocks = cells.join(one, F.col("rep") == F.col("k")).drop("k").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    every = texts.distinct()  # an id may have several texts, and each may be the linked one
+    blocks = cells.join(every, F.col("rep") == F.col("k")).drop("k").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     percent = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

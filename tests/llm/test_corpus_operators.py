@@ -99,6 +99,16 @@ def test_near_duplicates_against_brute_force(spark, size, block, monkeypatch):
     assert near_dup.classes_of(df.limit(0), size=size).count() == 0
 
 
+def test_large_buckets_confirm_every_text_of_an_id(spark):
+    words = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    docs = spark.createDataFrame([(1, words("a")), (1, words("z")), (2, words("z") + " more")], "doc_id long, text string")
+    _, x, y = (r for t in docs.collect() for r in near_dup.signatures(spark.createDataFrame([t], docs.schema), "doc_id", "text", 2).collect())
+    bucket = next(p for p, q in zip(x["bands"], y["bands"], strict=True) if p == q)
+    cells = [(bucket, 0, 0, side, r["id"], r["id"], r["n_shingles"], r["sketch"], r["bands"], 300) for side, r in ((0, x), (2, y))]
+    cells = spark.createDataFrame(cells, "bucket long, i int, j int, side int, rep long, comp long, n_shingles long, sketch array<long>, bands array<long>, n long")
+    assert [tuple(r) for r in near_dup._inside(cells, docs, "doc_id", "text", 2, 0.8).collect()] == [(1, 2)]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(12, 32))

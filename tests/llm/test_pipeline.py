@@ -57,6 +57,16 @@ def test_stages_against_brute_force(spark, sf_dir):
         assert r["token_ids"] == library.encode_ordinary(r["text"] or "")
 
 
+def test_near_dedup_decides_by_row(spark, sf_dir):
+    words = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, words("a"))] * 3 + [(None, words("b"))] * 2 + [(7, words("c")), (7, words("d")), (3, words("c") + " more"), (9, words("e")), (None, words("e")), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert left.columns == docs.columns
+    expected = [(1, words("a")), (None, words("b")), (7, words("d")), (3, words("c") + " more"), (9, words("e")), (None, "")]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(expected, key=str)
+
+
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_queries_equal_their_sql(name, spark, sf_dir):
     con = duckdb.connect()
