@@ -9,14 +9,17 @@ How the strings get there, at any size:
 
 1. Documents are packed into stored chunks of a few MB of text. A window of `length` bytes is keyed by its minimiser, the
    least hash of the 16-byte strings in it; windows in a row with one key are one segment. Equal windows have equal keys.
-2. Each chunk sends its distinct keys, once each, to key ranges; those seen in one document only are settled there.
-3. For the other keys the chunk sends its distinct segments with their smallest document, to buckets by key. A key with
-   very many segments (a line that a third of all documents have, each in another context) is split: its windows go by
-   their own hash instead.
-4. A bucket builds the transform of its distinct segments and answers one bit for each window: a smaller document has it.
+2. Each chunk sends its distinct keys, once each, as flat rows dealt by key; a task settles which of them one document alone
+   has. As a chunk sends a key once among its tens of thousands, no key, however common, makes a task's share uneven.
+3. For the other keys the chunk has its distinct segments with their smallest document. A task combines those of many chunks
+   and sends them to buckets by key. A key with very many segments (a line that a third of all documents have, each in
+   another context) is split: its windows go by their own hash instead.
+4. A bucket merges equal segments, keeping the smallest document, and builds the transform of what still can repeat: stretches
+   whose longer strings another segment has, too. It answers one bit for each window: a smaller document has it.
 5. The chunk marks what the bits say and cuts it.
 
-Only keys, segments and bits are shuffled; no step holds more than a chunk or a bucket.
+Only keys, segments and bits are shuffled; no step holds more than a chunk, a bucket or the strings that a task combines.
+A bucket is bounded, so a round reads its two files front to back in one piece.
 
 Defined results: null texts are empty; texts shorter than `length` stay whole; repeated ids are one document, whose rows do
 not remove from each other; rows with a null id stay whole and count as no document; tables may be empty.
@@ -27,6 +30,7 @@ from __future__ import annotations
 import tempfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import pieces, shared_dir, stored
 
 #: Bytes of text in a chunk; bytes of a minimiser; windows of a segment at most.
 CHUNK, MINIMISER, SEGMENT = 2 << 20, 16, 64
@@ -44,6 +48,8 @@ PASS = 1 << 15
 HOT_KEY = 20_000
 #: Bytes of text for each range of keys and for each bucket of segments.
 RANGE, BUCKET = 8 << 20, 4 << 20
+#: Bytes of strings that a task combines before it sends them.
+SEND = 32 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -271,30 +277,43 @@ class Chunk:
             return keys, new, new.astype(bool)
         return keys[new], np.diff(np.r_[new, len(keys)]), np.minimum.reduceat(owner, new) != np.maximum.reduceat(owner, new)
 
-    def parts(self, shared: np.ndarray, hot: np.ndarray) -> tuple[dict[bytes, int], list[tuple[bytes, int, int, int]], np.ndarray]:
-        """(smallest owner by string), (string, owner, first window, windows) of each part, and the key of each.
-
-        A part is a segment with a shared key, or a window of one with a hot key."""
+    def parts(self, shared: np.ndarray, hot: np.ndarray) -> Parts:
+        """The parts of the chunk: segments with a shared key, and the windows one by one of those with a hot key."""
         at = np.searchsorted(shared, self.keys)
         on = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == self.keys) if len(shared) else np.zeros(0, np.int64)
+        on = on[np.argsort(self.owner[on], kind="stable")]  # the first of equal strings has the smallest owner
         burst = np.isin(self.keys[on], hot)
-        least: dict[bytes, int] = {}
-        parts, keys = [], []
-        for k, b in zip(on.tolist(), burst.tolist(), strict=True):
-            first, count, owner = int(self.first[k]), int(self.count[k]), int(self.owner[k])
-            for f, n in ([(first + i, 1) for i in range(count)] if b else [(first, count)]):
-                s = self.data[f : f + n + self.length - 1]
-                key = zlib.crc32(s) | 1 << 40 if b else int(self.keys[k])
-                if least.get(s, owner) >= owner:
-                    least[s] = owner
-                parts.append((s, owner, f, n))
-                keys.append(key)
-        return least, parts, np.array(keys, np.uint64)
+        pieces = np.where(burst, self.count[on], 1)
+        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(self.first[on], pieces) + step
+        count = np.where(np.repeat(burst, pieces), 1, np.repeat(self.count[on], pieces))
+        index: dict[bytes, int] = {}
+        data, ends = self.data, (first + count + self.length - 1).tolist()
+        number = np.fromiter((index.setdefault(data[f:e], len(index)) for f, e in zip(first.tolist(), ends, strict=True)), np.int64, len(first))
+        lead = np.zeros(len(index), np.int64)
+        lead[number[::-1]] = np.arange(len(number))[::-1]
+        owner, strings = np.repeat(self.owner[on], pieces), list(index)
+        keys = np.repeat(self.keys[on], pieces)[lead]
+        single = np.flatnonzero(np.repeat(burst, pieces)[lead])
+        keys[single] = [zlib.crc32(strings[k]) for k in single.tolist()]
+        return Parts(strings, keys, owner[lead], number, owner, first, count)
+
+
+@dataclass(frozen=True)
+class Parts:
+    """Distinct strings with key and smallest owner, and each part: number of its string, owner, first window, windows."""
+
+    strings: list[bytes]
+    keys: np.ndarray
+    least: np.ndarray
+    number: np.ndarray
+    owner: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
 
 
 def _pack(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Chunks of documents, stored: (chunk, ids, ends, data). Later steps find the same chunks under the same numbers."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -305,7 +324,7 @@ def _pack(docs: DataFrame, key: str, text: str) -> DataFrame:
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([zlib.compress(b"".join(texts), 1)], pa.binary())], names=["ids", "ends", "data"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append((t or "").encode("utf-8", "surrogatepass"))
@@ -322,135 +341,162 @@ def _pack(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.sparkSession.read.schema("chunk long, ids array<long>, ends array<long>, data binary").parquet(path)
 
 
-def _chunk(row: dict, length: int) -> Chunk:
-    return Chunk(row["ids"], np.array(row["ends"], np.int64), zlib.decompress(row["data"]), length)
+def _chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, Chunk, pa.RecordBatch]]:
+    """Number and content of each stored chunk, with its row."""
+    for row in pieces(batches, 1):
+        ids, ends, data = (row.column(k)[0].as_py() for k in (1, 2, 3))
+        yield row.column(0)[0].as_py(), Chunk(ids, np.array(ends, np.int64), zlib.decompress(data), length), row
+
+
+def _numbers(row: pa.RecordBatch, column: int) -> np.ndarray:
+    """The numbers of a row's list; none for a null."""
+    return row.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
 
+class Outbox:
+    """Strings of many chunks of a task, by bucket: combined before the shuffle, so that a bucket gets few messages of a task."""
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+    SCHEMA = pa.schema([("bucket", pa.int64()), ("strings", pa.binary()), ("lengths", pa.binary()), ("owners", pa.binary()), ("chunks", pa.binary()), ("numbers", pa.binary())])
 
+    def __init__(self, buckets: int):
+        self.buckets, self.size, self.held = buckets, 0, []
 
-def _join(messages: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Shared and hot keys that the ranges have answered."""
-    got = [np.frombuffer(m["keys"], np.uint64) for m in messages or []]
-    hot = [np.frombuffer(m["hot"], np.uint64) for m in messages or []]
-    none = np.zeros(0, np.uint64)
-    return np.sort(np.concatenate([none, *got])), np.concatenate([none, *hot])
+    def add(self, chunk: int, parts: Parts) -> None:
+        bucket = (_mix(parts.keys) % np.uint64(self.buckets)).astype(np.int64)
+        self.held.append((parts.strings, bucket, parts.least, np.full(len(bucket), chunk, np.int64), np.arange(len(bucket), dtype=np.int32)))
+        self.size += sum(map(len, parts.strings))
+
+    def flush(self) -> pa.RecordBatch:
+        strings = [s for h in self.held for s in h[0]]
+        bucket, owners, chunks, numbers = (np.concatenate([np.zeros(0, t), *(h[k] for h in self.held)]) for k, t in ((1, np.int64), (2, np.int64), (3, np.int64), (4, np.int32)))
+        order = np.argsort(bucket, kind="stable")
+        lengths = np.fromiter(map(len, strings), np.uint8, len(strings))
+        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else np.zeros(0, np.int64)
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = order[a:b]
+            out.append((int(bucket[own[0]]), zlib.compress(b"".join([strings[k] for k in own.tolist()]), 1), *(c[own].tobytes() for c in (lengths, owners, chunks, numbers))))
+        self.size, self.held = 0, []
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 6, self.SCHEMA, strict=True)], schema=self.SCHEMA)
 
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, hot_key: int = HOT_KEY) -> DataFrame:
     """(id, n_bytes, spans, kept) of every row: removed byte runs (end exclusive) and the bytes that are left."""
     spark = docs.sparkSession
     chunks = _pack(docs, key, text)
-    small_batches(spark, 2)
     total = chunks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     ranges, buckets = max(12, -(-total // RANGE)), max(12, -(-total // BUCKET))
 
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            keys, count, several = _chunk(row, length).distinct_keys()
-            place = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            cuts = np.searchsorted(place, np.arange(ranges + 1))
-            out = [(r, row["chunk"], keys[a:b].tobytes(), np.where(several[a:b], -1, 1).astype(np.int8).tobytes(), np.minimum(count[a:b], 65535).astype(np.uint16).tobytes()) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_pylist([dict(zip(("range", "chunk", "keys", "several", "counts"), x, strict=True)) for x in out], schema=sent)
-
-    sent = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("several", pa.binary()), ("counts", pa.binary())])
-    answer = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary())])
+        for number, chunk, _ in _chunks(batches, length):
+            keys, count, several = chunk.distinct_keys()
+            count = np.where(several, -count, count).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), number)), pa.array(count)], names=["key", "chunk", "segments"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), sent).to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        new = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
-        several = np.concatenate([np.frombuffer(r["several"], np.int8) for r in rows])[order] < 0
-        counts = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in rows])[order].astype(np.int64)
-        value = every[order][new]
-        shared = value[(np.diff(np.r_[new, len(every)]) > 1) | np.logical_or.reduceat(several, new)]
-        hot = value[np.add.reduceat(counts, new) > hot_key]
-        for r, k in zip(rows, keys, strict=True):
-            own = k[np.isin(k, shared, assume_unique=True)]
-            yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "keys": own.tobytes(), "hot": own[np.isin(own, hot)].tobytes()}], schema=answer)
-
-    answered = chunks.mapInArrow(send_keys, "range long, chunk long, keys binary, several binary, counts binary").groupBy("range").applyInArrow(settle, "chunk long, keys binary, hot binary")
-    path = shared_dir(spark, "keys")
-    answered.groupBy("chunk").agg(F.collect_list(F.struct("keys", "hot")).alias("answers")).write.parquet(path)
-    answers = spark.read.schema("chunk long, answers array<struct<keys:binary,hot:binary>>").parquet(path)
-    known = chunks.join(answers.withColumnRenamed("chunk", "of"), F.col("chunk") == F.col("of"), "left").drop("of")
-
-    parts_schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("strings", pa.binary()), ("lengths", pa.binary()), ("owners", pa.binary())])
-
-    def numbered(row: dict) -> tuple[Chunk, list[tuple[bytes, int, int, int]], list[tuple[int, list[bytes], list[int]]]]:
-        """The chunk's parts, and for each bucket its distinct strings in order with their smallest owners."""
-        chunk = _chunk(row, length)
-        least, parts, keys = chunk.parts(*_join(row["answers"]))
-        place = (_mix(keys) % np.uint64(buckets)).astype(np.int64).tolist()
-        by: dict[int, dict[bytes, int]] = {}
-        for (s, _, _, _), b in zip(parts, place, strict=True):
-            by.setdefault(b, {})[s] = least[s]
-        return chunk, parts, [(b, list(x), list(x.values())) for b, x in sorted(by.items())]
+        held = list(batches)
+        if not held:
+            return
+        key, chunk, segments = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        order = np.argsort(key, kind="stable")
+        key, chunk, segments = key[order], chunk[order], segments[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[new, len(key)])
+        shared = (n > 1) | (np.minimum.reduceat(segments, new) < 0)
+        hot = np.add.reduceat(np.abs(segments).astype(np.int64), new) > hot_key
+        on = np.repeat(shared, n)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[on]), pa.array(key[on]), pa.array(np.repeat(hot, n)[on])], names=["chunk", "key", "hot"])
+
+    # a chunk sends a key once, so that even a key of all documents is one of the tens of thousands of rows of each chunk
+    asked = chunks.mapInArrow(send_keys, "key long, chunk long, segments int").repartition(ranges, "key")
+    answers = asked.mapInArrow(settle, "chunk long, key long, hot boolean").groupBy("chunk")
+    known = stored(answers.agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")), "keys")
+    known = chunks.join(known.withColumnRenamed("chunk", "of"), F.col("chunk") == F.col("of"), "left").drop("of")
+
+    def parts_of(chunk: Chunk, row: pa.RecordBatch) -> Parts:
+        shared, hot = (_numbers(row, k).view(np.uint64) for k in (4, 5))
+        return chunk.parts(np.sort(shared), hot)
 
     def send_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            for bucket, strings, owners in numbered(row)[2]:
-                yield pa.RecordBatch.from_pylist([{"bucket": bucket, "chunk": row["chunk"], "strings": zlib.compress(b"".join(strings), 1), "lengths": np.array([len(s) for s in strings], np.uint8).tobytes(), "owners": np.array(owners, np.int64).tobytes()}], schema=parts_schema)
+        outbox = Outbox(buckets)
+        for number, chunk, row in _chunks(batches, length):
+            outbox.add(number, parts_of(chunk, row))
+            if outbox.size >= SEND:
+                yield outbox.flush()
+        yield outbox.flush()
 
-    bits_schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
+    bits_schema = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("bits", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[bytes, int] = {}
-        per_chunk = []
-        for row in pa.Table.from_batches(list(batches), parts_schema).to_pylist():
-            data, at, strings = zlib.decompress(row["strings"]), 0, []
+        index: dict[bytes, int] = {}
+        messages, owners = [], []
+        for row in pa.Table.from_batches(list(batches), Outbox.SCHEMA).to_pylist():
+            data, at, own = zlib.decompress(row["strings"]), 0, []
             for n in row["lengths"]:
-                strings.append(data[at : at + n])
+                own.append(index.setdefault(data[at : at + n], len(index)))
                 at += n
-            owners = np.frombuffer(row["owners"], np.int64).tolist()
-            for s, o in zip(strings, owners, strict=True):
-                if least.get(s, o) >= o:
-                    least[s] = o
-            per_chunk.append((row["chunk"], row["bucket"], strings, owners))
-        windows = dict(zip(least, repeated_windows(list(least), np.array(list(least.values()), np.int64), length), strict=True))
-        for chunk, bucket, strings, owners in per_chunk:
-            bits = [np.ones_like(windows[s]) if least[s] < o else windows[s] for s, o in zip(strings, owners, strict=True)]
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "bucket": bucket, "bits": np.packbits(np.concatenate(bits)).tobytes()}], schema=bits_schema)
-
-    decided = known.mapInArrow(send_parts, "bucket long, chunk long, strings binary, lengths binary, owners binary").groupBy("bucket").applyInArrow(build, "chunk long, bucket long, bits binary")
-    path = shared_dir(spark, "bits")
-    decided.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("decisions")).write.parquet(path)
-    decisions = spark.read.schema("chunk long, decisions array<struct<bucket:long,bits:binary>>").parquet(path)
+            messages.append([np.array(own, np.int64), *(np.frombuffer(row[c], t) for c, t in (("owners", np.int64), ("chunks", np.int64), ("numbers", np.int32)))])
+        string, owner, chunk, number = (np.concatenate(c) for c in zip(*messages, strict=True))
+        least = np.full(len(index), np.iinfo(np.int64).max)
+        np.minimum.at(least, string, owner)
+        windows = repeated_windows(list(index), least, length)
+        every = [np.ones_like(w) for w in windows]
+        hit = (owner > least[string]) | np.array([w.any() for w in windows], bool)[string]
+        order = np.flatnonzero(hit)[np.argsort(chunk[hit], kind="stable")]
+        cuts = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0, True]) if len(order) else order
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = order[a:b]
+            bits = [every[s] if more else windows[s] for s, more in zip(string[own].tolist(), (owner[own] > least[string[own]]).tolist(), strict=True)]
+            out.append((int(chunk[own[0]]), number[own].tobytes(), np.packbits(np.concatenate(bits)).tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), bits_schema, strict=True)], schema=bits_schema)
+
+    decided = known.mapInArrow(send_parts, "bucket long, strings binary, lengths binary, owners binary, chunks binary, numbers binary").groupBy("bucket").applyInArrow(build, "chunk long, numbers binary, bits binary")
+    decisions = stored(decided.groupBy("chunk").agg(F.collect_list("numbers").alias("numbers"), F.collect_list("bits").alias("bits")), "bits")
     whole = known.join(decisions.withColumnRenamed("chunk", "of"), F.col("chunk") == F.col("of"), "left").drop("of")
     out = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
+    def removed(chunk: Chunk, row: pa.RecordBatch) -> np.ndarray:
+        """Whether each byte of the chunk goes."""
+        gone = np.zeros(len(chunk.data) + length + 1, np.int32)
+        answers = [c[0].as_py() or [] for c in (row.column(6), row.column(7))]
+        if answers[0] or len(row.column(4).flatten()):
+            parts = parts_of(chunk, row)
+            begin, end = [parts.first[parts.owner > parts.least[parts.number]]], [(parts.first + parts.count + length - 1)[parts.owner > parts.least[parts.number]]]
+            size = np.fromiter(map(len, parts.strings), np.int64, len(parts.strings)) - length + 1
+            full, some = np.zeros(len(size), bool), {}
+            for numbers, bits in zip(*answers, strict=True):
+                own, bits = np.frombuffer(numbers, np.int32), np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+                start = np.cumsum(size[own]) - size[own]
+                full[own] = np.logical_and.reduceat(bits[: size[own].sum()], start)
+                some |= {k: bits[a : a + n] for k, a, n, f in zip(own.tolist(), start.tolist(), size[own].tolist(), full[own].tolist(), strict=True) if not f}
+            rest = parts.owner == parts.least[parts.number]
+            begin.append(parts.first[rest & full[parts.number]])
+            end.append((parts.first + parts.count + length - 1)[rest & full[parts.number]])
+            partly = np.zeros(len(size), bool)
+            partly[list(some)] = True
+            for k in np.flatnonzero(rest & partly[parts.number]).tolist():
+                at = parts.first[k] + np.flatnonzero(some[parts.number[k]])
+                begin.append(at)
+                end.append(at + length)
+            np.add.at(gone, np.concatenate(begin), 1)
+            np.add.at(gone, np.concatenate(end), -1)
+        return np.cumsum(gone)[: len(chunk.data)] > 0
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            chunk, parts, sent_parts = numbered(row)
-            bits_of: dict[bytes, np.ndarray] = {}
-            least: dict[bytes, int] = {}
-            answers = {d["bucket"]: np.unpackbits(np.frombuffer(d["bits"], np.uint8)).astype(bool) for d in row["decisions"] or []}
-            for bucket, strings, owners in sent_parts:
-                at = 0
-                for s, o in zip(strings, owners, strict=True):
-                    n = len(s) - length + 1
-                    bits_of[s], least[s] = answers[bucket][at : at + n], o
-                    at += n
-            gone = np.zeros(len(chunk.data) + length + 1, np.int32)
-            some = {s: np.flatnonzero(bits) for s, bits in bits_of.items() if bits.any()}
-            whole = [(first, n) for s, owner, first, n in parts if owner > least[s]]
-            single = [first + some[s] for s, owner, first, _ in parts if owner <= least[s] and s in some]
-            first, n = np.array([(0, 0), *whole], np.int64)[1:].T
-            at = np.concatenate([np.zeros(0, np.int64), *single])
-            for begin, end in ((first, first + n + length - 1), (at, at + length)):
-                np.add.at(gone, begin, 1)
-                np.add.at(gone, end, -1)
-            removed = np.cumsum(gone)[: len(chunk.data)] > 0
+        for _, chunk, row in _chunks(batches, length):
+            gone = removed(chunk, row)
+            before = np.r_[0, np.cumsum(gone)]
+            touched = before[chunk.ends] != before[np.r_[0, chunk.ends[:-1]]]
             rows, start = [], 0
-            for i, end in zip(chunk.ids, chunk.ends.tolist(), strict=True):
-                edges = np.flatnonzero(np.diff(np.r_[0, removed[start:end].astype(np.int8), 0])).reshape(-1, 2)
-                kept = np.frombuffer(chunk.data, np.uint8)[start:end][~removed[start:end]].tobytes() if len(edges) else chunk.data[start:end]
-                rows.append({"id": i, "n_bytes": end - start, "spans": [{"start": a, "end": b} for a, b in edges.tolist()], "kept": kept})
+            for i, end, some in zip(chunk.ids, chunk.ends.tolist(), touched.tolist(), strict=True):
+                spans, kept = [], chunk.data[start:end]
+                if some:
+                    own = gone[start:end]
+                    spans = [{"start": a, "end": b} for a, b in np.flatnonzero(np.diff(np.r_[0, own.astype(np.int8), 0])).reshape(-1, 2).tolist()]
+                    kept = np.frombuffer(kept, np.uint8)[~own].tobytes()
+                rows.append({"id": i, "n_bytes": end - start, "spans": spans, "kept": kept})
                 start = end
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
