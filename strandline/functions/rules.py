@@ -26,6 +26,89 @@ SEVERITY_CODES = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
 DIRECT, RAG = 10240, 204800
 
 
+#: Security rules: name, pattern, description, severity. Case is ignored.
+SECURITY_RULES = (
+    ("sql_injection", r"""("SELECT|'SELECT|"INSERT|'INSERT|"UPDATE|'UPDATE|"DELETE|'DELETE).*\+.*\w+""", "Potential SQL Injection vulnerability - string concatenation in SQL query", "Critical"),
+    ("credential", r"""(password|passwd|pwd|secret|api[_-]?key|apikey|token|auth)\s*[=:]\s*["'][^"']+["']""", "Potential hardcoded credential or secret", "Critical"),
+    ("weak_crypto", r"\b(MD5|SHA1|DES)\b", "Use of weak cryptographic algorithm", "High"),
+    ("weak_random", r"new\s+Random\s*\(\s*\)", "Insecure random number generator - use cryptographic RNG for security", "Medium"),
+    ("path_traversal", r"Path\.(Combine|Join).*Request\.(Query|Form|Path)", "Potential path traversal vulnerability", "High"),
+    ("command_injection", r"Process\.Start\s*\(.*\+", "Potential command injection - dynamic process execution", "Critical"),
+    ("xss", r"innerHTML\s*=|document\.write\(|\.html\(", "Potential XSS vulnerability - unsafe HTML manipulation", "High"),
+    ("deserialization", r"BinaryFormatter|NetDataContractSerializer|ObjectStateFormatter", "Insecure deserialization - vulnerable to remote code execution", "Critical"),
+    ("debug_code", r"console\.log\(|Debug\.WriteLine|debugger;", "Debug code that should be removed in production", "Low"),
+    ("tls_off", r"verify\s*=\s*false|ssl[_-]?verify\s*=\s*false|checkServerIdentity.*null", "SSL/TLS verification disabled", "Critical"),
+    ("open_endpoint", r"\[AllowAnonymous\]|\[Authorize\s*\(\s*\)\s*\]", "Review authentication configuration on endpoints", "Info"),
+)
+
+#: Advice of the security rules, and of those without one of their own.
+ADVICE = {
+    "sql_injection": "Use parameterized queries or an ORM to prevent SQL injection.",
+    "credential": "Move secrets to environment variables, Azure Key Vault, or a secrets manager.",
+    "weak_crypto": "Use SHA-256 or stronger for hashing, and bcrypt/Argon2 for passwords.",
+    "weak_random": "Use RandomNumberGenerator for cryptographic purposes.",
+    "command_injection": "Validate and sanitize all inputs used in process execution.",
+    "xss": "Sanitize user input before rendering in HTML. Use textContent or proper encoding.",
+    "deserialization": "Use JSON or XML serialization instead. Consider System.Text.Json or XmlSerializer.",
+}
+NO_ADVICE = "Review this code for security implications."
+
+#: Secrets in configuration files (case is ignored), what marks a placeholder, and the extensions.
+CONFIG_RULES = (
+    ("password", r"""["']?password["']?\s*[:=]\s*["'][^"']+["']"""),
+    ("connection", r"""["']?connectionstring["']?\s*[:=].*password\s*="""),
+    ("api_key", r"""["']?apikey["']?\s*[:=]\s*["'][^"']+["']"""),
+    ("secret", r"""["']?secret["']?\s*[:=]\s*["'][^"']+["']"""),
+)
+PLACEHOLDERS = ("${", "{{", "YOUR_", "REPLACE_")
+CONFIG_EXTENSIONS = (".json", ".yaml", ".yml", ".xml", ".config")
+
+#: Sensitive files: name as a pattern, description, severity.
+SENSITIVE_FILES = (
+    (r".*\.pem", "Private key file", "Critical"),
+    (r".*\.key", "Private key file", "Critical"),
+    (r".*\.pfx", "Certificate with private key", "Critical"),
+    (r".*\.p12", "Certificate with private key", "Critical"),
+    (r"id_rsa", "SSH private key", "Critical"),
+    (r"id_ed25519", "SSH private key", "Critical"),
+    (r"\.env", "Environment file with potential secrets", "High"),
+    (r".*\.env", "Environment file with potential secrets", "High"),
+    (r"secrets\.json", "Secrets configuration file", "High"),
+    (r"appsettings\..*\.json", "Configuration file - check for secrets", "Info"),
+    (r"web\.config", "Configuration file - check for connection strings", "Info"),
+)
+
+#: Manifests: path as a pattern, notice.
+MANIFESTS = (
+    (r"package\.json", "package.json found. Run 'npm audit' to check for known vulnerabilities."),
+    (r".*\.csproj", ".NET project files found. Use 'dotnet list package --vulnerable' to check for vulnerabilities."),
+    (r"requirements\.txt", "requirements.txt found. Use 'pip-audit' or 'safety check' to check for vulnerabilities."),
+)
+
+#: Debt markers (case is ignored), empty catches and magic numbers.
+DEBT_MARKER = r"\b(TODO|FIXME|HACK|XXX)\b"
+EMPTY_CATCH = r"catch\s*\([^)]*\)\s*\{\s*\}"
+MAGIC_NUMBER = r"(^|[^\w.])([2-9]\d+)\b"
+
+#: Types, methods and namespaces of C#.
+TYPES = r"\b(class|struct|interface|record|enum)\s+\w+"
+METHODS = r"\b(public|private|protected|internal)\s+(static\s+)?(async\s+)?[\w<>\[\],\s]+\s+\w+\s*\("
+NAMESPACES = r"\bnamespace\s+[\w\.]+"
+
+#: Themes of folders by words in their names.
+THEMES = ((("service",), "Services"), (("controller",), "Controllers"), (("repository", "data"), "Data Access"), (("model", "entity"), "Models"), (("interface", "contract"), "Interfaces"), (("middleware",), "Middleware"), (("test", "spec"), "Tests"), (("util", "helper"), "Utilities"))
+
+#: What is redacted; the e-mail pattern applies on demand.
+API_KEY, BEARER, PAIR, EMAIL = r"(aar_[a-zA-Z0-9]{20,})", r"Bearer\s+[a-zA-Z0-9\-_\.]+", r"(Password|Pwd|Secret|Key)=([^;]+)", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+REDACTED = "***REDACTED***"
+
+#: Hosts that repositories are cloned from.
+REPOSITORY_HOSTS = ("github.com", "gitlab.com", "bitbucket.org", "dev.azure.com")
+
+#: Words of credentials in the simple heuristics, and lines with these are left out.
+CREDENTIAL_WORDS, NO_CREDENTIAL = ("password", "secret", "apikey", "connectionstring"), ("string", "//", "todo")
+
+
 def sql_list(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 

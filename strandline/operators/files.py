@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.rules import BINARY_EXTENSIONS, CHUNKER_LANGUAGES, DECISION_POINTS, DIRECT, EXCLUDED_DIRS, RAG, ROUTER_LANGUAGES, SOURCE_EXTENSIONS
+from strandline.functions.rules import BINARY_EXTENSIONS, CHUNKER_LANGUAGES, DECISION_POINTS, DIRECT, EXCLUDED_DIRS, METHODS, NAMESPACES, RAG, ROUTER_LANGUAGES, SOURCE_EXTENSIONS, THEMES, TYPES
 
 WORDS = r"[\p{L}\p{M}\p{N}\p{Pc}]+"
 SPECIALS = "[{}()\\[\\];,.<>:=+\\-*/&|!?@#$%^~`\\\\'\"]"
@@ -43,6 +43,50 @@ def route(size: Column, direct: int = DIRECT, rag: int = RAG, allow_large: bool
     return F.when(size < direct, "DirectSend").when(size <= rag, "RagChunks").otherwise("RagChunks" if allow_large else "Skipped")
 
 
+def route_reason(size: Column, direct: int = DIRECT, rag: int = RAG, allow_large: bool = False) -> Column:
+    """Why `route` decides as it does."""
+    n = size.cast("string")
+    large = F.concat(F.lit("Large file ("), n, F.lit(" bytes) allowed via AllowLargeFiles override")) if allow_large else F.concat(F.lit("File size "), n, F.lit(f" bytes exceeds RagChunkThreshold {rag}"))
+    return F.when(size < direct, F.concat(F.lit("File size "), n, F.lit(f" bytes < DirectSendThreshold {direct}"))).when(size <= rag, F.concat(F.lit("File size "), n, F.lit(" bytes within RAG range"))).otherwise(large)
+
+
+def estimate(plan: DataFrame, warn: tuple[int, float] = (500_000, 10.0), approve: tuple[int, float] = (2_000_000, 50.0), most: int = 50) -> DataFrame:
+    """A row for each project of a plan (project_id, file_path, decision, tokens): tokens, cost, seconds, whether it needs approval,
+    warnings, and the first `most` skipped files. Thresholds are of tokens and of dollars. Skipped files are cut before they meet."""
+    live = F.col("decision") != "Skipped"
+    n = F.sum(F.when(live, F.col("tokens")).otherwise(0))
+    g = plan.groupBy("project_id").agg(n.alias("tokens"), F.count_if(live).alias("kept"), F.count_if(~live).alias("n_skipped"))
+    g = g.withColumn("cost", (F.col("tokens").cast("decimal(20,0)") * F.lit("0.00003").cast("decimal(8,5)")).cast("decimal(18,5)"))
+    warnings = F.array_compact(F.array(F.when(F.col("tokens") > warn[0], "large job"), F.when(F.col("cost") > warn[1], "high cost"), F.when(F.col("n_skipped") > 0, F.concat(F.col("n_skipped").cast("string"), F.lit(" files will be skipped")))))
+    w = Window.partitionBy("project_id").orderBy("file_path")
+    first = plan.where(~live).select(F.col("project_id"), "file_path").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    names = first.groupBy(F.col("project_id").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "file_path"))), lambda x: x["file_path"]).alias("skipped"))
+    rows = g.join(names, F.col("project_id") == F.col("p"), "left")
+    return rows.select("project_id", "tokens", F.col("cost").cast("double").alias("cost"), (F.floor(F.col("tokens") / 1000) + F.col("kept")).alias("seconds"), ((F.col("tokens") > approve[0]) | (F.col("cost") > approve[1])).alias("needs_approval"), warnings.alias("warnings"), F.coalesce("skipped", F.array().cast("array<string>")).alias("skipped"))
+
+
+def has_path_traversal(path: Column) -> Column:
+    """Climbing, a stream mark, an absolute path, or a colon other than that of a drive."""
+    return path.contains("..") | path.contains("::") | path.rlike(r"^[/\\]") | path.rlike(r"^(?:|..+):") | path.rlike(r"^.:.*:")
+
+
+def pack_prompt(path: Column, content: Column, most: int = 10_000, lines: int | None = None) -> Column:
+    """A file under its path, cut to so many characters, or to so many lines, with a note where it is cut."""
+    if lines is None:
+        cut, over = F.left(content, F.lit(most)), F.length(content) > most
+    else:
+        parts = F.split(content, "\n")
+        cut, over = F.array_join(F.slice(parts, 1, lines), "\n"), F.size(parts) > lines
+    return F.concat(F.lit("### "), path, F.lit("\n"), cut, F.when(over, "\n... (truncated)").otherwise(""))
+
+
+def storage_policy(projects: DataFrame, files: DataFrame, as_of: Column, keep_text: Column, days: int = 90, failed_days: int = 30) -> DataFrame:
+    """Files of projects within their retention; the text only where it is to be kept. projects: project_id, failed, finished_at."""
+    until = F.col("finished_at") + F.make_interval(days=F.when(F.col("failed"), failed_days).otherwise(days))
+    live = projects.where(F.col("finished_at").isNull() | (until > as_of)).select(F.col("project_id").alias("p"))
+    return files.join(live, F.col("project_id") == F.col("p"), "left_semi").withColumn("content", F.when(keep_text, F.col("content")))
+
+
 def skip_reason(path: Column, ext: Column, size: Column, rag: int = RAG) -> Column:
     """Null if the file is analysed. A file that is no source file has the code of an excluded path."""
     return F.when(is_excluded(path), "skipped_excluded_path").when(ext.isin(*BINARY_EXTENSIONS), "skipped_binary").when(~ext.isin(*SOURCE_EXTENSIONS), "skipped_excluded_path").when(size > rag, "skipped_too_large")
@@ -65,28 +109,34 @@ def cyclomatic(text: Column) -> Column:
     return sum((occurrences(text, k) for k in DECISION_POINTS), F.lit(1).cast("bigint"))
 
 
-def code_lines(files: DataFrame) -> DataFrame:
-    """(doc_id, loc): lines that are neither blank, nor line comments, nor inside a block comment."""
-    lines = files.select("doc_id", F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("t", F.trim("text"))
-    # a line that ends a comment closes it, else one that begins with /* opens it
-    event = F.when(F.col("t").endswith("*/"), 0).when(F.col("t").startswith("/*"), 1)
-    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    marked = lines.withColumn("open", F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit(0)))
-    code = (F.col("open") == 0) & ~F.col("t").startswith("/*") & (F.col("t") != "") & ~F.col("t").startswith("//")
-    return marked.groupBy("doc_id").agg(F.count_if(code).alias("loc"))
+def code_lines(content: Column) -> Column:
+    """Lines that are neither blank, nor line comments, nor inside a block comment: a fold over the file's own lines.
+
+    A line that begins with /* opens a comment, one that ends with */ closes it; neither counts."""
+    lines = F.transform(F.split(content, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(s: Column, t: Column) -> Column:
+        inside = s["open"] | t.startswith("/*")
+        counts = ~inside & (t != "") & ~t.startswith("//")
+        return F.struct((inside & ~t.endswith("*/")).alias("open"), (s["n"] + counts.cast("bigint")).alias("n"))
+
+    return F.aggregate(lines, start, step, lambda s: s["n"])
 
 
-def metrics(files: DataFrame) -> DataFrame:
-    """(doc_id, project_id, file_path, ext, total_lines, loc, types, methods, namespaces, complexity) by counting patterns."""
-    text = F.col("content")
+def metrics(files: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, project_id, file_path, ext, total_lines, loc, types, methods, namespaces, complexity).
+
+    C# files by patterns; of others only the lines and the lines that are not blank, the rest is 0."""
+    text, csharp = F.col("content"), F.col("ext") == ".cs"
     lines = F.split(text, "\n")
+    count = lambda pattern: F.when(csharp, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("bigint")
     return files.select(
         "doc_id", "project_id", "file_path", "ext",
         F.size(lines).cast("bigint").alias("total_lines"),
-        F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("bigint").alias("loc"),
-        F.regexp_count(text, F.lit(r"\b(class|struct|interface|record|enum)\s+[A-Za-z0-9_]+")).cast("bigint").alias("types"),
-        F.regexp_count(text, F.lit(r"\bnamespace\s+[A-Za-z0-9_.]+")).cast("bigint").alias("namespaces"),
-        cyclomatic(text).alias("complexity"),
+        F.when(csharp, code_lines(text)).otherwise(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r")) != "")).cast("bigint")).alias("loc"),
+        count(TYPES).alias("types"), count(METHODS).alias("methods"), count(NAMESPACES).alias("namespaces"),
+        F.when(csharp, cyclomatic(text)).otherwise(0).cast("bigint").alias("complexity"), *more,
     )
 
 
@@ -99,12 +149,45 @@ def risk_level(complexity: Column, loc: Column, methods: Column) -> Column:
     return F.when(points >= 7, "Critical").when(points >= 5, "High").when(points >= 3, "Medium").otherwise("Low")
 
 
+def aggregate_metrics(measured: DataFrame, *by: str) -> DataFrame:
+    """Sums of the metrics; without files all are zero."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
+    return measured.groupBy(*by).agg(F.count("*").alias("files"), total("loc"), total("total_lines"), total("types"), total("methods"), F.coalesce(F.round(F.avg("complexity"), 6), F.lit(0.0)).alias("avg_complexity"), F.coalesce(F.max("complexity"), F.lit(0).cast("bigint")).alias("max_complexity"))
+
+
+def summaries(files: DataFrame, imports: Column) -> DataFrame:
+    """The static summary of each file: language, lines, methods, complexity (the mean in whole numbers), risk, digest, imports."""
+    measured = metrics(files.withColumns({"_imports": imports, "_digest": F.sha2("content", 256)}), "_imports", "_digest")
+    mean = F.when(F.col("complexity") > 0, F.floor(F.col("complexity") / F.greatest(F.lit(1), F.col("methods")))).otherwise(0).cast("bigint")
+    return measured.select("doc_id", chunker_language(F.col("ext")).alias("language"), "loc", "methods", mean.alias("avg_complexity"), F.col("complexity").alias("max_complexity"), risk_level(F.col("complexity"), F.col("loc"), F.col("methods")).alias("risk"), F.col("_digest").alias("content_hash"), F.col("_imports").alias("imports"))
+
+
 def theme(directory: Column) -> Column:
     """Theme of a folder by words in its name."""
-    name = F.lower(directory)
-    out = F.when(name.contains("service"), "Services").when(name.contains("controller"), "Controllers").when(name.contains("repository") | name.contains("data"), "Data Access")
-    out = out.when(name.contains("model") | name.contains("entity"), "Models").when(name.contains("interface") | name.contains("contract"), "Interfaces").when(name.contains("middleware"), "Middleware")
-    return out.when(name.contains("test") | name.contains("spec"), "Tests").when(name.contains("util") | name.contains("helper"), "Utilities").otherwise("Mixed")
+    name, out = F.lower(directory), None
+    for words, value in THEMES:
+        has = name.rlike("|".join(words))
+        out = F.when(has, value) if out is None else out.when(has, value)
+    return out.otherwise("Mixed")
+
+
+def cluster_name(directory: Column) -> Column:
+    """The theme, or the folder's words each with a capital first letter, run together."""
+    words = F.filter(F.split(directory, "[_ -]"), lambda x: x != "")
+    pascal = F.array_join(F.transform(words, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, 1 << 30)))), "")
+    return F.when(theme(directory) != "Mixed", theme(directory)).otherwise(pascal)
+
+
+def format_bytes(size: Column) -> Column:
+    """Whole bytes; kilobytes and megabytes with one decimal, gigabytes with two."""
+    shown = lambda power, digits, unit: F.concat(F.format_string(f"%.{digits}f", size / float(1024**power)), F.lit(f" {unit}"))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, shown(1, 1, "KB")).when(size < 1024**3, shown(2, 1, "MB")).otherwise(shown(3, 2, "GB"))
+
+
+def high_priority(measured: DataFrame, complexity: float = 25, loc: int = 1000) -> DataFrame:
+    """Measured files beyond a threshold, or of risk High or Critical; most complex first."""
+    risk = risk_level(F.col("complexity"), F.col("loc"), F.col("methods"))
+    return measured.withColumn("risk", risk).where((F.col("complexity") > complexity) | (F.col("loc") > loc) | F.col("risk").isin("High", "Critical")).orderBy(F.desc("complexity"), "file_path")
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -129,34 +212,134 @@ def chunk_lines(files: DataFrame, lines: int = 20, overlap: int = 4) -> DataFram
     return cut.select("doc_id", "chunk_index", (F.col("at") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice("l", F.col("at") + 1, end - F.col("at")), "\n").alias("chunk"))
 
 
-def chunk_sliding(files: DataFrame, most: int = 1600, overlap: int = 200, least: int = 50) -> DataFrame:
-    """Greedy chunks of whole lines up to `most` tokens; the next one steps back until `overlap` tokens are reached.
+def line_tokens(lines: Column) -> Column:
+    """Tokens of each line: a quarter of its characters, at least one."""
+    return F.transform(lines, lambda x: F.greatest(F.lit(1), F.ceil(F.length(x) / 4)).cast("int"))
+
 
-    A fold over the lines' running token sums, inside the row: a file's lines never leave their task. A line always gets ahead,
-    even one over the limit. Chunks below `least` tokens go; a file left without chunks is one chunk."""
-    tokens = F.transform(F.split("content", "\n"), lambda x: F.greatest(F.lit(1), F.ceil(F.length(x) / 4)).cast("int"))
-    rows = files.select("doc_id", F.split("content", "\n").alias("l"), tokens.alias("t"))
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def windows_of(t: Column, most: int, overlap: int, least: int) -> Column:
+    """Greedy windows (first, last, tokens) over the lines' tokens, up to `most`; the next one steps back until `overlap` tokens
+    are reached. A line always gets ahead, even one over the limit. Windows below `least` tokens go; if none is left, one has all."""
     start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("sum"), F.array().cast("array<struct<first:int,last:int,tokens:int>>").alias("done"))
+    window = lambda first, last, tokens: F.struct(first.alias("first"), last.alias("last"), tokens.alias("tokens"))
 
-    def back(first: Column, last: Column, t: Column) -> Column:
-        """First line of the next chunk: behind `last`, less the lines that make up the overlap, but beyond `first`."""
+    def back(first: Column, last: Column) -> Column:
+        """First line of the next window: behind `last`, less the lines that make up the overlap, but beyond `first`."""
         state = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
         tail = F.reverse(F.slice(t, first + 1, last - first + 1))
         got = F.aggregate(tail, state, lambda s, x: F.when(s["sum"] >= overlap, s).otherwise(F.struct((s["sum"] + x).alias("sum"), (s["n"] + 1).alias("n"))))
         return F.greatest(first + 1, last + 1 - got["n"])
 
     def step(s: Column, i: Column) -> Column:
-        t = F.col("t")
-        over = (i > s["first"]) & (s["sum"] + t[i] > most)
-        chunk = F.struct(s["first"].alias("first"), (i - 1).alias("last"), s["sum"].alias("tokens"))
-        nxt = back(s["first"], i - 1, t)
-        again = F.aggregate(F.slice(t, nxt + 1, i - nxt), F.lit(0), lambda a, x: a + x)
-        fits = again + t[i] <= most
-        moved = F.struct(F.when(fits, nxt).otherwise(i).alias("first"), F.when(fits, again + t[i]).otherwise(t[i]).alias("sum"), F.concat(s["done"], F.array(chunk)).alias("done"))
-        return F.when(over, moved).otherwise(F.struct(s["first"].alias("first"), (s["sum"] + t[i]).alias("sum"), s["done"].alias("done")))
-
-    folded = F.aggregate(F.sequence(F.lit(0), F.size("t") - 1), start, step, lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (F.size("t") - 1).alias("last"), s["sum"].alias("tokens")))))
-    kept = rows.withColumn("c", folded).withColumn("k", F.filter("c", lambda c: c["tokens"] >= least))
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.size("t") - 1).alias("last"), F.aggregate("t", F.lit(0), lambda a, x: a + x).alias("tokens")))
-    out = kept.select("doc_id", "l", F.posexplode(F.when(F.size("k") > 0, F.col("k")).otherwise(whole)).alias("chunk_index", "c"))
+        at = F.get(t, i)
+        over = (i > s["first"]) & (s["sum"] + at > most)
+        nxt = back(s["first"], i - 1)
+        again = total(F.slice(t, nxt + 1, i - nxt))
+        fits = again + at <= most
+        moved = F.struct(F.when(fits, nxt).otherwise(i).alias("first"), F.when(fits, again + at).otherwise(at).alias("sum"), F.concat(s["done"], F.array(window(s["first"], i - 1, s["sum"]))).alias("done"))
+        return F.when(over, moved).otherwise(F.struct(s["first"].alias("first"), (s["sum"] + at).alias("sum"), s["done"].alias("done")))
+
+    folded = F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), start, step, lambda s: F.concat(s["done"], F.array(window(s["first"], F.size(t) - 1, s["sum"]))))
+    kept = F.filter(folded, lambda c: c["tokens"] >= least)
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(window(F.lit(0), F.size(t) - 1, total(t))))
+
+
+def chunk_sliding(files: DataFrame, most: int = 1600, overlap: int = 200, least: int = 50) -> DataFrame:
+    """Greedy chunks of whole lines, see windows_of. A fold inside the row: a file's lines never leave their task."""
+    rows = files.select("doc_id", F.split("content", "\n").alias("l")).withColumn("t", line_tokens(F.col("l"))).withColumn("c", windows_of(F.col("t"), most, overlap, least))
+    out = rows.select("doc_id", "l", F.posexplode("c").alias("chunk_index", "c"))
     return out.select("doc_id", "chunk_index", (F.col("c.first") + 1).alias("start_line"), (F.col("c.last") + 1).alias("end_line"), F.col("c.tokens").alias("tokens"), F.array_join(F.slice("l", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n").alias("chunk"))
+
+
+def chunk_corpus(files: DataFrame, most: int = 1600, overlap: int = 200, least: int = 50) -> DataFrame:
+    """Semantic chunks: (doc_id, project_id, file_path, language, chunk_index, total_chunks, name, type, start_line, end_line,
+    tokens, chunk). files have `units` (units.with_units).
+
+    A unit up to `most` tokens is a chunk, a larger one is cut by windows_of, one below `least` goes. A file of which no unit is
+    left is cut as a whole; a blank file has no chunk. All of it inside the file's row: no shuffle, and numbers without a window."""
+    rows = files.where(F.trim("content") != "").select("doc_id", "project_id", "file_path", chunker_language(F.col("ext")).alias("language"), F.split("content", "\n").alias("l"), "units").withColumn("t", line_tokens(F.col("l")))
+    inside = lambda u: F.slice(F.col("t"), u["start_line"], u["end_line"] - u["start_line"] + 1)
+    large = F.filter("units", lambda u: total(inside(u)) >= least)
+    whole = F.array(F.struct(F.element_at(F.split("file_path", "/"), -1).alias("name"), F.lit("file").alias("type"), F.lit(1).alias("start_line"), F.size("l").alias("end_line")))
+    rows = rows.withColumn("u", F.when(F.size(large) > 0, large).otherwise(whole))
+
+    def cut(u: Column) -> Column:
+        piece = lambda c: F.struct(u["name"].alias("name"), u["type"].alias("type"), (u["start_line"] + c["first"]).alias("start"), (u["start_line"] + c["last"]).alias("end"), c["tokens"].alias("tokens"))
+        return F.transform(windows_of(inside(u), most, overlap, least), piece)
+
+    rows = rows.withColumn("c", F.flatten(F.transform("u", cut))).withColumn("total_chunks", F.size("c"))
+    out = rows.select("doc_id", "project_id", "file_path", "language", "l", "total_chunks", F.posexplode("c").alias("chunk_index", "c"))
+    text = F.array_join(F.slice("l", F.col("c.start"), F.col("c.end") - F.col("c.start") + 1), "\n")
+    return out.select("doc_id", "project_id", "file_path", "language", "chunk_index", "total_chunks", F.col("c.name").alias("name"), F.col("c.type").alias("type"), F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), F.col("c.tokens").alias("tokens"), text.alias("chunk"))
+
+
+def token_spans(text: Column) -> Column:
+    """Pieces of a text (piece, tokens): cut at white space and before special characters; a piece of more than eight
+    characters is two tokens."""
+    parts = F.regexp_extract_all(text, F.lit(r"[{}()\[\];,.<>:=+\-*/&|!?@#$%^~][^\s{}()\[\];,.<>:=+\-*/&|!?@#$%^~]*|[^\s{}()\[\];,.<>:=+\-*/&|!?@#$%^~]+"), F.lit(0))
+    return F.transform(parts, lambda p: F.struct(p.alias("piece"), F.when(F.length(p) > 8, 2).otherwise(1).alias("tokens")))
+
+
+def similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How alike two files are, 0 to 1: language 0.3, folder 0.3, shared dependencies 0.2, complexity 0.2. a, b: language, dir
+    (its parts), dependencies, complexity."""
+    same = (a["language"].eqNullSafe(b["language"])).cast("int")
+    one, two = (F.array_join(x["dir"], "/") for x in (a, b))
+    parts = F.size(F.array_intersect(a["dir"], b["dir"])) / F.greatest(F.size(a["dir"]), F.size(b["dir"]), F.lit(1))
+    folder = F.when(one == two, 1.0).when(one.startswith(two) | two.startswith(one), 0.7).otherwise(parts)
+    shared = F.coalesce(F.try_divide(F.size(F.array_intersect(a["dependencies"], b["dependencies"])), F.size(F.array_union(a["dependencies"], b["dependencies"]))), F.lit(0.0))
+    near = F.greatest(F.lit(0.0), 1 - F.abs(a["complexity"] - b["complexity"]) / 50.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.3 * same + 0.3 * folder + 0.2 * shared + 0.2 * near))
+
+
+PARTS = ("language", "dir", "dependencies", "complexity")
+
+
+def merge_clusters(clusters: DataFrame, most: int = 25) -> DataFrame:
+    """(project_id, cluster, into) of clusters (project_id, cluster, files, and the parts of `similarity` of one of its files): a
+    project keeps its `most` largest; each other one goes into the kept one that is most like it."""
+    size = Window.partitionBy("project_id").orderBy(F.desc("files"), "cluster")
+    ranked = clusters.withColumn("place", F.row_number().over(size))
+    kept, rest = ranked.where(F.col("place") <= most), ranked.where(F.col("place") > most)
+    other = kept.select(F.col("project_id").alias("p"), F.col("cluster").alias("into"), *(F.col(c).alias(f"k_{c}") for c in PARTS))
+    pairs = rest.join(other, F.col("project_id") == F.col("p")).withColumn("score", similarity({c: F.col(c) for c in PARTS}, {c: F.col(f"k_{c}") for c in PARTS}))
+    best = pairs.groupBy("project_id", "cluster").agg(F.min_by("into", F.struct(-F.col("score"), "into")).alias("into"))
+    return kept.select("project_id", "cluster", F.col("cluster").alias("into")).unionByName(best)
+
+
+def split_cluster(files: DataFrame, threshold: float = 0.65, rounds: int = 8) -> DataFrame:
+    """(project_id, file_path, part) of the files of a project's largest cluster (project_id, file_path, parts of `similarity`).
+
+    Each round the first file that is left leads a part and takes all that are more alike than the threshold; a join with one
+    row of each project. What is left after the rounds is the last part."""
+    found, left = None, files
+    for number in range(1, rounds + 1):
+        lead = left.groupBy(F.col("project_id").alias("p")).agg(F.min_by(F.struct(*PARTS, "file_path"), "file_path").alias("lead"))
+        scored = left.join(F.broadcast(lead), F.col("project_id") == F.col("p")).withColumn("near", (F.col("file_path") == F.col("lead.file_path")) | (similarity({c: F.col(c) for c in PARTS}, {c: F.col(f"lead.{c}") for c in PARTS}) > threshold))
+        took = scored.where("near").select("project_id", "file_path", F.lit(number).alias("part"))
+        found = took if found is None else found.unionByName(took)
+        left = scored.where("not near").select(files.columns)
+    return found.unionByName(left.select("project_id", "file_path", F.lit(rounds + 1).alias("part")))
+
+
+def tree(files: DataFrame, depth: int = 5, most: int = 20) -> DataFrame:
+    """(project_id, tree): the folders and files of a project, indented, down to a depth; the first `most` files of each folder, and
+    how many more there are."""
+    path = F.split("file_path", "/")
+    n = F.size(path)
+    own = files.select("project_id", F.array_join(F.slice(path, F.lit(1), n - 1), "/").alias("dir"), F.element_at(path, -1).alias("name"), (n - 1).alias("depth")).where(F.col("depth") <= depth)
+    w = Window.partitionBy("project_id", "dir").orderBy("name")
+    counted = own.groupBy(F.col("project_id").alias("p"), F.col("dir").alias("d")).agg(F.count("*").alias("n"))
+    shown = own.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).join(counted, (F.col("project_id") == F.col("p")) & (F.col("dir") == F.col("d")))
+    # a file sorts behind its folder and before the folders in it; a folder's line sorts first
+    indent = lambda n: F.repeat(F.lit("  "), n)
+    line = F.struct(F.col("dir").alias("a"), F.lit(1).alias("kind"), F.col("k").alias("k"), F.concat(indent(F.col("depth")), "name").alias("text"))
+    more = shown.where((F.col("k") == most) & (F.col("n") > most)).select("project_id", F.struct(F.col("dir").alias("a"), F.lit(2).alias("kind"), F.col("k").alias("k"), F.concat(indent(F.col("depth")), (F.col("n") - most).cast("string"), F.lit(" more files")).alias("text")).alias("line"))
+    folders = directories(files).where(F.col("depth") <= depth).select("project_id", "dir", "depth").distinct()
+    heads = folders.select("project_id", F.struct(F.col("dir").alias("a"), F.lit(0).alias("kind"), F.lit(0).alias("k"), F.concat(indent(F.col("depth") - 1), F.element_at(F.split("dir", "/"), -1), F.lit("/")).alias("text")).alias("line"))
+    every = shown.select("project_id", line.alias("line")).unionByName(more).unionByName(heads)
+    return every.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["text"]), "\n").alias("tree"))

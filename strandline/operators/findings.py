@@ -17,22 +17,50 @@ def severity_code(severity: Column, default: str = "medium") -> Column:
     return out.otherwise(SEVERITY_CODES[default])
 
 
+#: Categories of findings.
+CATEGORIES = ("Performance", "Security", "Architecture", "CodeQuality", "Structure", "Complexity", "Maintainability", "BestPractice", "Other")
+
+
+def category(name: Column, default: str = "CodeQuality") -> Column:
+    """The category of a name in any case; the default for other names."""
+    out = None
+    for known in CATEGORIES:
+        has = F.lower(name) == known.lower()
+        out = F.when(has, known) if out is None else out.when(has, known)
+    return out.otherwise(default)
+
+
 def has_evidence(found: DataFrame) -> Column:
     """False for a finding without a file that has no explanation or little confidence."""
-    return ~(F.col("file_path").isNull() & ((F.trim("explanation") == "") | (F.col("confidence") < 0.3)))
+    blank = F.coalesce(F.trim("explanation"), F.lit("")) == ""
+    return ~(F.col("file_path").isNull() & (blank | (F.col("confidence") < 0.3)))
+
+
+def _single(name: str) -> Column:
+    """The group's value, if all its rows have one; a group of nulls and empty texts has none."""
+    return F.when(F.count(name) == F.count("*"), F.max(name)).alias(name)
+
+
+def merged(found: DataFrame, *more: Column) -> DataFrame:
+    """One row for each symbol, file and category of a project, nulls and empty texts alike. Severity: High if any, else Medium
+    if any, else the first's. Combined before the shuffle: no texts are gathered."""
+    any_of = lambda name: F.bool_or(F.lower("severity") == name)
+    keys = [F.coalesce(c, F.lit("")).alias(f"{c}_key") for c in ("symbol", "file_path")]
+    return found.groupBy("project_id", *keys, "category").agg(
+        _single("symbol"), _single("file_path"),
+        F.when(any_of("high"), "High").when(any_of("medium"), "Medium").otherwise(F.coalesce(F.min_by("severity", "ordinal"), F.lit("Medium"))).alias("severity"),
+        F.max("confidence").alias("confidence"), F.avg("confidence").alias("avg_confidence"), F.count_if(F.lower("severity") == "high").alias("highs"), F.count("*").alias("merged"), F.min("ordinal").alias("ordinal"), *more,
+    ).drop("symbol_key", "file_path_key")
 
 
 def consolidate(found: DataFrame) -> DataFrame:
-    """One row for each symbol, file and category of a project. Severity: High if any, else Medium if any, else the first's.
+    """merged, with the group's descriptions and explanations, joined in the order of `ordinal`, and the first suggestion.
 
-    Texts are joined in the order of `ordinal`; one shuffle on the group."""
-    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim(c) != "", F.struct("ordinal", F.col(c).alias("text"))))), lambda x: x["text"]), "\n")
-    any_of = lambda name: F.bool_or(F.col("severity") == name)
-    return found.groupBy("project_id", F.coalesce("symbol", F.lit("")).alias("symbol"), F.coalesce("file_path", F.lit("")).alias("file_path"), "category").agg(
-        F.when(any_of("High"), "High").when(any_of("Medium"), "Medium").otherwise(F.min_by("severity", "ordinal")).alias("severity"),
-        F.max("confidence").alias("confidence"), F.avg("confidence").alias("avg_confidence"), F.count_if(F.col("severity") == "High").alias("highs"), F.count("*").alias("merged"),
-        in_order("description").alias("descriptions"), F.min("ordinal").alias("ordinal"),
-    )
+    The texts of a group are its result, so they meet in one row."""
+    written = lambda c: F.when(F.trim(c) != "", F.struct("ordinal", F.col(c).alias("text")))
+    joined = lambda c, between: F.array_join(F.transform(F.array_sort(F.collect_list(written(c))), lambda x: x["text"]), between)
+    first = F.min_by("suggestion", F.when(F.trim("suggestion") != "", F.col("ordinal"))).alias("suggestion")
+    return merged(found, joined("description", "\n---\n").alias("description"), joined("explanation", "\n\n").alias("explanation"), first)
 
 
 def escalate(groups: DataFrame) -> DataFrame:
@@ -46,6 +74,18 @@ def counts(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*(by or ("project_id",))).agg(n("Critical").alias("critical_count"), n("High").alias("high_count"), n("Medium").alias("medium_count"), n("Low").alias("low_count"), n("Info").alias("info_count"), (n("High") + n("Medium") + n("Low")).alias("total"))
 
 
+REPORT_JSON = "project_id string, critical_count long, high_count long, medium_count long, low_count long, info_count long, total long, health_score int, findings array<struct<ordinal:bigint,agent:string,severity:string,category:string,file_path:string,symbol:string,description:string,explanation:string>>"
+
+
+def report_json(found: DataFrame) -> DataFrame:
+    """(value): a JSON text for each project: counts, score and its findings in order, which a report holds as one document."""
+    item = F.struct("ordinal", "agent", "severity", "category", "file_path", "symbol", "description", "explanation")
+    nested = found.groupBy(F.col("project_id").alias("p")).agg(F.array_sort(F.collect_list(item)).alias("findings"))
+    score = health(F.col("high_count"), F.col("medium_count"), F.col("low_count")).cast("int").alias("health_score")
+    rows = counts(found).select("*", score).join(nested, F.col("project_id").eqNullSafe(F.col("p"))).drop("p")
+    return rows.select(F.to_json(F.struct(*(c.split()[0] for c in REPORT_JSON.split(", ")))).alias("value"))
+
+
 def health(high: Column, medium: Column, low: Column) -> Column:
     return F.greatest(F.lit(0), 100 - F.least(high * 10, F.lit(50)) - F.least(medium * 3, F.lit(30)) - F.least(low, F.lit(20)))
 
@@ -61,9 +101,19 @@ def best_of(found: DataFrame, most: int) -> DataFrame:
     return found.withColumn("r", F.row_number().over(same)).where("r = 1").withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).drop("r")
 
 
-def report(found: DataFrame) -> DataFrame:
-    """A row for each project: counts of the merged findings, score, band and summary."""
-    merged = escalate(consolidate(found.where(has_evidence(found) & (F.trim("description") != ""))))
+def recommendations(found: DataFrame, most: int = 10) -> DataFrame:
+    """(project_id, place, suggestion): a project's first distinct suggestions, in the order of `ordinal`."""
+    distinct = found.where(F.trim("suggestion") != "").groupBy("project_id", "suggestion").agg(F.min("ordinal").alias("ordinal"))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("ordinal", "suggestion"))
+    return distinct.withColumn("place", place).where(F.col("place") <= most).select("project_id", "place", "suggestion")
+
+
+def report(found: DataFrame, most: int = 10) -> DataFrame:
+    """A row for each project: counts of the merged findings, score, band, summary and recommendations."""
+    kept = found.where(has_evidence(found) & (F.trim("description") != ""))
     score = health(F.col("high_count"), F.col("medium_count"), F.col("low_count"))
-    text = F.concat(F.lit("The overall code health is "), F.col("band"), F.lit(" with a score of "), F.col("health_score").cast("string"), F.lit("/100."))
-    return counts(merged).withColumn("health_score", score.cast("int")).withColumn("band", band(F.col("health_score"))).withColumn("summary", text)
+    n = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("The overall code health is "), F.col("band"), F.lit(" with a score of "), n("health_score"), F.lit("/100. Found "), n("high_count"), F.lit(" high, "), n("medium_count"), F.lit(" medium and "), n("low_count"), F.lit(" low severity findings."))
+    rows = counts(escalate(merged(kept))).withColumn("health_score", score.cast("int")).withColumn("band", band(F.col("health_score"))).withColumn("summary", text)
+    advice = recommendations(kept, most).groupBy(F.col("project_id").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "suggestion"))), lambda x: x["suggestion"]).alias("advice"))
+    return rows.join(advice, F.col("project_id").eqNullSafe(F.col("p")), "left").drop("p").withColumn("recommendations", F.coalesce(F.array_join("advice", "\n"), F.lit(""))).drop("advice")

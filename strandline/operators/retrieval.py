@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandline.operators.files import chunk_sliding, new_chunks
+from strandline.functions.rules import SOURCE_EXTENSIONS
+from strandline.operators.files import chunk_corpus, is_excluded
+from strandline.operators.units import with_units
 from strandline.operators.vectors import normalized
+from strandline.sources.tables import write_projects
 
 #: Words that add to a component of their own.
 KEYWORDS = ("async", "await", "class", "error", "function", "import", "interface", "password", "query", "return", "secret", "test", "token")
@@ -26,16 +30,49 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array_repeat(F.lit(0.0), dim)).otherwise(vector)
 
 
-def index_project(files: DataFrame, embed: Callable[[Column], Column] = hash_embedding, stored: DataFrame | None = None, **sizes) -> DataFrame:
-    """Chunks of all projects with hashes and vectors; with `stored` only chunks whose hash is new."""
-    named = files.select("doc_id", "project_id", "file_path")
-    chunks = chunk_sliding(files.where(F.trim("content") != ""), **sizes).join(named, "doc_id")
+def chunked(files: DataFrame, largest: int = 200_000, **sizes) -> DataFrame:
+    """Chunks of all projects with their hashes: source files outside excluded folders, of at most so many characters."""
+    usable = files.where(F.col("ext").isin(*SOURCE_EXTENSIONS) & ~is_excluded(F.col("file_path")) & (F.length("content") <= largest))
     digest = F.substr(F.sha2("chunk", 256), F.lit(1), F.lit(16))
     place = F.concat_ws(":", "project_id", "file_path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), digest)
-    chunks = chunks.withColumn("text_hash", digest).withColumn("chunk_hash", F.substr(F.sha2(place, 256), F.lit(1), F.lit(16)))
-    if stored is not None:
-        chunks = new_chunks(chunks, stored)
-    return chunks.withColumn("embedding", embed(F.col("chunk")))
+    return chunk_corpus(with_units(usable), **sizes).withColumn("text_hash", digest).withColumn("chunk_hash", F.substr(F.sha2(place, 256), F.lit(1), F.lit(16)))
+
+
+def embedded(chunks: DataFrame, embed: Callable[[Column], Column] = hash_embedding, dim: int = 64) -> DataFrame:
+    """chunks with `embedding`; where the embedding fails (null), the zero vector."""
+    return chunks.withColumn("embedding", F.coalesce(embed(F.col("chunk")), F.array_repeat(F.lit(0.0), dim)))
+
+
+def index_project(files: DataFrame, path: str, embed: Callable[[Column], Column] = hash_embedding, **sizes) -> DataFrame:
+    """Chunk and embed all projects, replace their folders below path, read them back and verify: the result row of each project.
+
+    One narrow job writes the chunks; the result is counted from what was written."""
+    chunks = chunked(files, **sizes)
+    write_projects(embedded(chunks, embed), path)
+    stored = files.sparkSession.read.parquet(path)
+    zero = lambda v: ~F.exists(v, lambda x: x != 0)
+    done = stored.groupBy(F.col("project_id").cast("string").alias("p")).agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"), F.sum("tokens").alias("tokens"), F.count_if(zero(F.col("embedding"))).alias("failed"), F.count_if((F.col("chunk_index") < 0) | (F.col("chunk_index") >= F.col("total_chunks"))).alias("out_of_range"))
+    seen = files.groupBy("project_id").agg(F.count_distinct("file_path").alias("seen"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    rows = seen.join(done, F.col("project_id") == F.col("p"), "left")
+    return rows.select("project_id", n("files").alias("files"), (F.col("seen") - n("files")).alias("skipped_files"), n("chunks").alias("chunks"), n("tokens").alias("tokens"), (n("chunks") - n("failed")).alias("embedded"), n("out_of_range").alias("out_of_range"))
+
+
+def incremental_index(files: DataFrame, stored: DataFrame, embed: Callable[[Column], Column] = hash_embedding, **sizes) -> tuple[DataFrame, DataFrame]:
+    """(new chunks with vectors, counts of new and skipped chunks by project); stored has project_id and chunk_hash. Only chunks
+    that are new are embedded."""
+    chunks = chunked(files, **sizes)
+    known = stored.select(F.col("project_id").alias("p"), F.col("chunk_hash").alias("h"), F.lit(True).alias("known")).distinct()
+    marked = chunks.dropDuplicates(["project_id", "chunk_hash"]).join(known, (F.col("project_id") == F.col("p")) & (F.col("chunk_hash") == F.col("h")), "left").drop("p", "h")
+    counts = marked.groupBy("project_id").agg(F.count_if(F.col("known").isNull()).alias("new"), F.count("known").alias("skipped"))
+    return embedded(marked.where("known is null").drop("known"), embed), counts
+
+
+def within_budget(hits: DataFrame, most: int) -> DataFrame:
+    """Hits (qid, place, token_count, ...) of each query, best first, while their tokens fit; with running and total tokens."""
+    w = Window.partitionBy("qid")
+    rows = hits.withColumn("running", F.sum("token_count").over(w.orderBy("place"))).withColumn("total", F.sum("token_count").over(w))
+    return rows.where(F.col("running") <= most)
 
 
 def context(hits: DataFrame) -> DataFrame:

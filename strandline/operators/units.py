@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Headers by extension.
 HEADERS = {
@@ -17,9 +19,14 @@ HEADERS = {
     ".ts": re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|interface)\s+(\w+)", re.M),
     ".js": re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class)\s+(\w+)", re.M),
 }
+#: Heads of Python units, which end where the next begins.
+PYTHON = re.compile(r"^(?:async[ \t]+)?(def|class)[ \t]+(\w+)", re.M)
 _SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{};]""", re.S)
 
 
+UNITS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())]))
+
+
 def body_end(text: str, start: int) -> int | None:
     """Where the unit that begins at start ends: behind its matching brace, or behind a semicolon before any brace."""
     depth = 0
@@ -35,23 +42,43 @@ def body_end(text: str, start: int) -> int | None:
     return None
 
 
-def units_of(text: str, ext: str) -> Iterator[tuple[str, int, int]]:
-    """Name, first and last line of each outermost unit, lines counted from 1."""
+def kind_of(head: str) -> str:
+    """class, interface, function and so on: the last such word of a header."""
+    found = re.findall(r"\b(class|struct|interface|record|enum|function|def)\b", head)
+    return "function" if found and found[-1] == "def" else found[-1] if found else "unknown"
+
+
+def units_of(text: str, ext: str) -> Iterator[tuple[str, str, int, int]]:
+    """Name, kind, first and last line of each outermost unit, lines counted from 1."""
+    if ext == ".py":
+        heads = list(PYTHON.finditer(text))
+        stops = [text.count("\n", 0, m.start()) for m in heads[1:]] + [text.count("\n") + 1] * bool(heads)
+        for m, stop in zip(heads, stops, strict=True):
+            yield m[2], kind_of(m[1]), text.count("\n", 0, m.start()) + 1, stop
+        return
     header, done = HEADERS.get(ext), 0
     for m in header.finditer(text) if header else ():
         if m.start() >= done and (end := body_end(text, m.end())):
             begin = m.start() + len(m[0]) - len(m[0].lstrip())
-            yield m[1], text.count("\n", 0, begin) + 1, text.count("\n", 0, end) + 1
+            yield m[1], kind_of(m[0]), text.count("\n", 0, begin) + 1, text.count("\n", 0, end) + 1
             done = end
 
 
-def brace_units(files: DataFrame) -> DataFrame:
-    """(doc_id, name, start_line, end_line) of the units of C#, Java, TypeScript and JavaScript files."""
-    schema = pa.schema([("doc_id", pa.int64()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])
+def with_units(files: DataFrame) -> DataFrame:
+    """files with `units`: name, type, first and last line of each unit; none for languages without a rule. A narrow step."""
+    schema = T.StructType([f for f in files.schema if f.name != "units"] + [T.StructField("units", UNITS)])
+    names = [f.name for f in schema][:-1]
+    kind = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [dict(zip(schema.names, (i, *u), strict=True)) for i, ext, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for u in units_of(text or "", ext)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+            found = [[dict(zip(("name", "type", "start_line", "end_line"), u, strict=True)) for u in units_of(text or "", ext or "")] for ext, text in zip(column("ext").to_pylist(), column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(found, kind)], names=[*names, "units"])
+
+    return files.mapInArrow(run, schema)
+
 
-    return files.where(files["ext"].isin(*HEADERS)).select("doc_id", "ext", "content").mapInArrow(run, "doc_id long, name string, start_line int, end_line int")
+def extract_units(files: DataFrame) -> DataFrame:
+    """(doc_id, name, type, start_line, end_line) of the units of all files."""
+    return with_units(files.select("doc_id", "ext", "content")).select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.*")

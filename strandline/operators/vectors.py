@@ -41,10 +41,12 @@ def fit(v: Column, dim: int) -> Column:
     return normalized(F.coalesce(padded, F.array_repeat(F.lit(0.0), dim)))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a stated query set (qid, q) against all vectors (chunk_id, embedding, ...).
+def knn(queries: DataFrame, vectors: DataFrame, k: int, *per: str) -> DataFrame:
+    """Exact cosine top-k of a stated query set (qid, q) against all vectors (chunk_id, embedding, ...); with `per`, the k best of
+    each query in each group of those columns.
 
-    The queries go to every task in blocks of at most QUERY_ROWS; each task keeps its k best before the shuffle."""
+    The queries go to every task in blocks of at most QUERY_ROWS, for which they are counted first; each task keeps its k best
+    before the shuffle, for Spark pushes a rank limit over a window below the exchange."""
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     queries, vectors = queries.withColumn("q_norm", norm(F.col("q"))), vectors.withColumn("v_norm", norm(F.col("embedding")))
     found = None
@@ -52,25 +54,69 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         block = F.broadcast(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))
         scored = vectors.join(block, F.lit(True)).select("qid", "chunk_id", "file_path", "project_id", "token_count", F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("q")), F.col("v_norm") * F.col("q_norm")), F.lit(0.0)).alias("score"))
         found = scored if found is None else found.unionByName(scored)
-    # Spark keeps the k best of each task before the shuffle: a rank limit over a window is pushed below the exchange
-    top = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+    top = Window.partitionBy("qid", *per).orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k)
 
 
 def file_risk(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_path, risk): a file's best score over all risk queries, divided by the best of all if that is above 0; else 0."""
-    best = hits.groupBy("file_path").agg(F.max("score").alias("s"))
-    top = best.agg(F.max("s").alias("top"))
-    scaled = best.crossJoin(F.broadcast(top)).select("file_path", F.when(F.col("top") > 0, F.col("s") / F.col("top")).otherwise(F.col("s")).alias("risk"))
-    return files.join(scaled, "file_path", "left").select("file_path", F.coalesce("risk", F.lit(0.0)).alias("risk"))
+    """(project_id, file_path, risk): a file's best score over all risk queries, divided by the best of its project if that is
+    above 0; else the score. Files without a hit have 0."""
+    best = hits.groupBy("project_id", "file_path").agg(F.max("score").alias("s"))
+    top = best.groupBy(F.col("project_id").alias("p")).agg(F.max("s").alias("top"))
+    scaled = best.join(top, F.col("project_id") == F.col("p")).select("project_id", "file_path", F.when(F.col("top") > 0, F.col("s") / F.col("top")).otherwise(F.col("s")).alias("risk"))
+    return files.join(scaled, ["project_id", "file_path"], "left").select("project_id", "file_path", F.coalesce("risk", F.lit(0.0)).alias("risk"))
+
+
+def process_order(risks: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Files of each project with a high-risk flag and their place: high-risk ones by score, then the rest by path."""
+    high = F.col("risk") > threshold
+    order = Window.partitionBy("project_id").orderBy(F.desc("high_risk"), F.desc_nulls_last(F.when(high, F.col("risk"))), "file_path")
+    return risks.withColumn("high_risk", high).withColumn("place", F.row_number().over(order))
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows by chunk_id, the highest version of each."""
-    newest = Window.partitionBy("chunk_id").orderBy(F.desc("version"))
-    return old.unionByName(new).withColumn("r", F.row_number().over(newest)).where("r = 1").drop("r")
+    """Rows by chunk_id, the highest version of each; of one version the new table's row."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    newest = Window.partitionBy("chunk_id").orderBy(F.desc("version"), F.desc("_new"))
+    return both.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r", "_new")
+
+
+def delete(vectors: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Vectors without those whose project or chunk is among `gone`, a stated list."""
+    return vectors.join(F.broadcast(gone.select(key)), key, "left_anti")
 
 
 def missing(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks with an embedding that the vector table lacks."""
     return chunks.where("embedding is not null").join(vectors.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def repair(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The vector table with what it lacks, with default names where a chunk has none, of version 0."""
+    lost = missing(chunks, vectors).withColumns({"semantic_type": F.coalesce("semantic_type", F.lit("unknown")), "semantic_name": F.coalesce("semantic_name", F.lit(""))})
+    return upsert(vectors, lost.withColumn("version", F.lit(0)).select(vectors.columns))
+
+
+def verify_index(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(project_id, chunks, vectors, missing, out_of_range) of each project: whether each chunk has a vector and a valid number."""
+    known = vectors.select("chunk_id", F.lit(True).alias("has")).distinct()
+    rows = chunks.join(known, "chunk_id", "left")
+    bad = (F.col("chunk_index") < 0) | (F.col("chunk_index") >= F.col("total_chunks"))
+    return rows.groupBy("project_id").agg(F.count("*").alias("chunks"), F.count("has").alias("vectors"), F.count_if(F.col("has").isNull()).alias("missing"), F.count_if(bad).alias("out_of_range"))
+
+
+def validity(vector: Column, dim: int) -> Column:
+    """Why a vector is refused; null for a good one."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(vector.isNull(), "missing").when(F.size(vector) != dim, "dimension").when(odd, "not a number").when(F.forall(vector, lambda x: x == 0), "zero")
+
+
+def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables without the rows of the projects that are gone, a stated list, and (table, removed, kept) of each."""
+    ids = F.broadcast(gone.select("project_id").distinct())
+    left = {name: df.join(ids, "project_id", "left_anti") for name, df in tables.items()}
+    counts = None
+    for name, df in tables.items():
+        n = df.join(ids.withColumn("_gone", F.lit(True)), "project_id", "left").agg(F.count("_gone").alias("removed"), F.count_if(F.col("_gone").isNull()).alias("kept")).select(F.lit(name).alias("table"), "removed", "kept")
+        counts = n if counts is None else counts.unionByName(n)
+    return left, counts

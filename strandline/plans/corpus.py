@@ -19,10 +19,6 @@ DIRECT, RAG = 2048, 16384
 _EXCLUDED = f"len(list_intersect(string_split(file_path, '/')[:-2], [{', '.join(repr(d) for d in EXCLUDED_DIRS)}])) > 0"
 _SKIP = f"case when {_EXCLUDED} then 'skipped_excluded_path' when ext in {sql_list(BINARY_EXTENSIONS)} then 'skipped_binary' when ext not in {sql_list(SOURCE_EXTENSIONS)} then 'skipped_excluded_path' when size_bytes > {RAG} then 'skipped_too_large' end"
 _ROUTE = f"case when size_bytes < {DIRECT} then 'DirectSend' when size_bytes <= {RAG} then 'RagChunks' else 'Skipped' end"
-_COMPLEXITY = " + ".join(["1", *(f"(length(content) - length(replace(content, '{k}', ''))) // {len(k)}" for k in DECISION_POINTS)])
-_LOC = "len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> ''))"
-
-
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.source_files(spark, sf_dir)
 
@@ -52,9 +48,14 @@ def storage_usage(spark, sf_dir):
     return _files(spark, sf_dir).groupBy("project_id").agg(F.sum("size_bytes").alias("stored_bytes"), F.count("*").alias("files"))
 
 
-@query("s19_storage_policy", "select doc_id, case when project_id in ('src1', 'src2') then content end as content from source_files", "source_files")
+@query("s19_storage_policy", "select doc_id, case when project_id in ('src1', 'src2') then content end as content from source_files where project_id <> 'src5' and project_id <> 'src6'", "source_files")
 def storage_policy(spark, sf_dir):
-    return _files(spark, sf_dir).select("doc_id", F.when(F.col("project_id").isin("src1", "src2"), F.col("content")).alias("content"))
+    """Two projects keep their texts; of two finished a while ago the failed one, and the one older still, are gone."""
+    files = _files(spark, sf_dir)
+    ended = F.when(F.col("project_id") == "src4", 40).when(F.col("project_id") == "src5", 40).when(F.col("project_id") == "src6", 100)
+    as_of = F.expr("timestamp '2024-06-01 00:00:00'")
+    projects = files.select("project_id").distinct().select("project_id", (F.col("project_id") == "src5").alias("failed"), (as_of - F.make_interval(days=ended)).alias("finished_at"))
+    return ops.storage_policy(projects, files, as_of, F.col("project_id").isin("src1", "src2")).select("doc_id", "content")
 
 
 @query("f1_extension", "select doc_id, lower(regexp_extract(file_path, '(\\.[^./\\\\]*)$', 1)) as extension from source_files", "source_files")
@@ -78,9 +79,10 @@ def file_kinds(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", ext.isin(*BINARY_EXTENSIONS).alias("is_binary"), ext.isin(*SOURCE_EXTENSIONS).alias("is_source"), (ext == ".cs").alias("is_csharp"), ext.isin(".csproj", ".fsproj", ".vbproj").alias("is_project"), (ext == ".sln").alias("is_solution"), ext.isin(".json", ".xml", ".yaml", ".yml", ".config").alias("is_config"))
 
 
-@query("f6_route_file", f"select doc_id, {_ROUTE} as decision from source_files", "source_files")
+@query("f6_route_file", f"select doc_id, {_ROUTE} as decision, case when size_bytes < {DIRECT} then 'File size ' || size_bytes || ' bytes < DirectSendThreshold {DIRECT}' when size_bytes <= {RAG} then 'File size ' || size_bytes || ' bytes within RAG range' else 'File size ' || size_bytes || ' bytes exceeds RagChunkThreshold {RAG}' end as reason from source_files", "source_files")
 def route_file(spark, sf_dir):
-    return _files(spark, sf_dir).select("doc_id", ops.route(F.col("size_bytes"), DIRECT, RAG).alias("decision"))
+    size = F.col("size_bytes")
+    return _files(spark, sf_dir).select("doc_id", ops.route(size, DIRECT, RAG).alias("decision"), ops.route_reason(size, DIRECT, RAG).alias("reason"))
 
 
 @query("f7_skip_reason", f"select doc_id, {_SKIP} as reason from source_files", "source_files")
@@ -93,77 +95,49 @@ def estimate_tokens(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", (F.col("size_bytes") / 4).cast("bigint").alias("tokens"), F.floor(F.col("size_bytes") * 0.25).alias("preflight_tokens"))
 
 
-@query("f21_threat_signature_scan", "select doc_id, signature from source_files, (values ('idiot'), ('555-'), ('@mail')) t(signature) where contains(content, signature)", "source_files")
-def threat_signature_scan(spark, sf_dir):
-    signatures = spark.createDataFrame([("idiot",), ("555-",), ("@mail",)], "signature string")
-    return _files(spark, sf_dir).join(F.broadcast(signatures), F.contains(F.col("content"), F.col("signature"))).select("doc_id", "signature")
+@query("j5_incremental_new_chunks", "with c as (select distinct project_id, substr(sha256(content), 1, 16) as chunk_hash from source_files), o as (select distinct project_id, substr(sha256(content), 1, 16) as chunk_hash, true as known from source_files where doc_id % 3 = 0) select c.project_id, count(*) filter (where known is null) as new, count(known) as skipped, string_agg(c.chunk_hash, ',' order by c.chunk_hash) filter (where known is null) as hashes from c left join o on o.project_id = c.project_id and o.chunk_hash = c.chunk_hash group by 1", "source_files")
+def incremental_new_chunks(spark, sf_dir):
+    chunks = _files(spark, sf_dir).select("doc_id", "project_id", F.substr(F.sha2("content", 256), F.lit(1), F.lit(16)).alias("chunk_hash"))
+    new = ops.new_chunks(chunks, chunks.where("doc_id % 3 = 0")).groupBy(F.col("project_id").alias("p")).agg(F.count("*").alias("new"), F.array_join(F.array_sort(F.collect_list("chunk_hash")), ",").alias("hashes"))
+    every = chunks.groupBy("project_id").agg(F.count_distinct("chunk_hash").alias("n"))
+    rows = every.join(new, F.col("project_id") == F.col("p"), "left").withColumn("new", F.coalesce("new", F.lit(0).cast("bigint")))
+    return rows.select("project_id", "new", (F.col("n") - F.col("new")).alias("skipped"), "hashes")
 
 
-@query("f24_sensitive_files", "select doc_id, case when ext = '.lock' then 'Lock file' else 'Configuration file' end as description, case when ext = '.lock' then 'High' else 'Info' end as severity from source_files where regexp_matches(file_path, '(^|/)f[0-9]*5\\.(lock|json)$')", "source_files")
-def sensitive_files(spark, sf_dir):
-    rules = spark.createDataFrame([(r"(^|/)f[0-9]*5\.lock$", "Lock file", "High"), (r"(^|/)f[0-9]*5\.json$", "Configuration file", "Info")], "glob string, description string, severity string")
-    return _files(spark, sf_dir).join(F.broadcast(rules), F.expr("file_path rlike glob")).select("doc_id", "description", "severity")
+_IMPORTS = "list_distinct(case when ext = '.cs' then list_transform(regexp_extract_all(content, '(?m)^\\s*using\\s+([^;]+);', 1), lambda x: trim(x)) when ext = '.py' then regexp_extract_all(content, '(?m)^(?:import|from)\\s+([^\\s]+)', 1) else [] end)"
+_COMPLEXITY = "case when ext = '.cs' then (" + " + ".join(["1", *(f"(length(content) - length(replace(content, '{k}', ''))) // {len(k)}" for k in DECISION_POINTS)]) + ") else 0 end::bigint"
+_LIKE = f"f as (select project_id, {sql_case('ext', CHUNKER_LANGUAGES, repr('text'))} as language, string_split(file_path, '/')[1:-2] as d, array_to_string(string_split(file_path, '/')[1:-2], '/') as folder, list_sort({_IMPORTS}) as deps, {_COMPLEXITY} as complexity, file_path from code_files where ext not in ('.ts', '.tsx', '.js', '.jsx'))"
+_SCORE = "0.3 * (a.language is not distinct from b.language)::int + 0.3 * (case when a.folder = b.folder then 1.0 when starts_with(a.folder, b.folder) or starts_with(b.folder, a.folder) then 0.7 else len(list_intersect(a.d, b.d))::double / greatest(len(a.d), len(b.d), 1) end) + 0.2 * coalesce(len(list_intersect(a.deps, b.deps))::double / nullif(len(list_distinct(list_concat(a.deps, b.deps))), 0), 0) + 0.2 * greatest(0, 1 - abs(a.complexity - b.complexity) / 50.0::double)"
 
 
-@query("j5_incremental_new_chunks", "with c as (select project_id, substr(sha256(content), 1, 16) as chunk_hash, doc_id from source_files), o as (select distinct project_id, chunk_hash from c where doc_id % 3 = 0) select project_id, chunk_hash from (select distinct project_id, chunk_hash from c) n where not exists (select 1 from o where o.project_id = n.project_id and o.chunk_hash = n.chunk_hash)", "source_files")
-def incremental_new_chunks(spark, sf_dir):
-    chunks = _files(spark, sf_dir).select("doc_id", "project_id", F.substr(F.sha2("content", 256), F.lit(1), F.lit(16)).alias("chunk_hash"))
-    return ops.new_chunks(chunks, chunks.where("doc_id % 3 = 0")).select("project_id", "chunk_hash")
+def _like(spark, sf_dir):
+    """Files with what their similarity needs; scripts are left to their own query."""
+    files = views.code_files(spark, sf_dir).where(~F.col("ext").isin(".ts", ".tsx", ".js", ".jsx"))
+    parts = F.split("file_path", "/")
+    complexity = F.when(F.col("ext") == ".cs", ops.cyclomatic(F.col("content"))).otherwise(0).cast("bigint")
+    return files.select("project_id", "file_path", ops.chunker_language(F.col("ext")).alias("language"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("dir"), F.array_sort(scans.dependencies(F.col("content"), F.col("ext"))).alias("dependencies"), complexity.alias("complexity"))
 
 
-@query("j7_file_similarity_pairs", """with m as (select project_id, ext, string_split(file_path, '/')[1:-2] as d, count(*) as files, min(file_path) as file_path from source_files group by 1, 2, 3), s as (select a.project_id, a.file_path as a, b.file_path as b, a.files * b.files as pairs, 0.3 * (a.ext = b.ext)::int + 0.3 * (a.d = b.d)::int + 0.2 * len(list_intersect(a.d, b.d)) / len(list_distinct(list_concat(a.d, b.d))) as score from m a join m b on a.project_id = b.project_id and a.d[1] = b.d[1] and a.file_path < b.file_path) select project_id, a, b, pairs, round(score, 6)::double as score from s""", "source_files")
+@query("j7_file_similarity_pairs", f"with {_LIKE}, c as (select project_id, language, d, folder, deps, complexity, count(*) as files, min(file_path) as file_path from f group by all) select a.project_id, a.file_path as a, b.file_path as b, a.files * b.files as pairs, round({_SCORE}, 6)::double as score from c a join c b on a.project_id = b.project_id and a.d[1] = b.d[1] and a.file_path < b.file_path", "code_files")
 def file_similarity_pairs(spark, sf_dir):
-    """Weighted similarity between the files of a project that share their top folder.
+    """Similarity between the files of a project that share their top folder.
 
-    Files of one folder and extension score alike, so they are one class: pairs are of classes, each named by its first file,
-    with the number of file pairs they stand for. The classes of a project are as few as its folders and extensions."""
-    parts = F.split("file_path", "/")
-    m = _files(spark, sf_dir).groupBy("project_id", "ext", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("d")).agg(F.count("*").alias("files"), F.min("file_path").alias("file_path"))
-    m = m.withColumn("top", F.element_at("d", 1))
+    Files that score alike are one class: pairs are of classes, each named by its first file, with the number of file pairs that
+    they stand for, so copies are not expanded into pairs."""
+    m = _like(spark, sf_dir).groupBy("project_id", *ops.PARTS).agg(F.count("*").alias("files"), F.min("file_path").alias("file_path"))
+    m = m.withColumn("top", F.get("dir", F.lit(0)))
     a, b = m.alias("a"), m.alias("b")
     both = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.top") == F.col("b.top")) & (F.col("a.file_path") < F.col("b.file_path")))
-    score = 0.3 * (F.col("a.ext") == F.col("b.ext")).cast("int") + 0.3 * (F.col("a.d") == F.col("b.d")).cast("int") + 0.2 * F.size(F.array_intersect("a.d", "b.d")) / F.size(F.array_union("a.d", "b.d"))
+    score = ops.similarity({c: F.col(f"a.{c}") for c in ops.PARTS}, {c: F.col(f"b.{c}") for c in ops.PARTS})
     return both.select("a.project_id", F.col("a.file_path").alias("a"), F.col("b.file_path").alias("b"), (F.col("a.files") * F.col("b.files")).alias("pairs"), F.round(score, 6).alias("score"))
 
 
-_METRICS = f"m as (select doc_id, project_id, file_path, ext, len(string_split(content, chr(10)))::bigint as total_lines, {_LOC}::bigint as loc, len(regexp_extract_all(content, '\\b(class|struct|interface|record|enum)\\s+[A-Za-z0-9_]+'))::bigint as types, len(regexp_extract_all(content, '\\bnamespace\\s+[A-Za-z0-9_.]+'))::bigint as namespaces, ({_COMPLEXITY})::bigint as complexity from source_files)"
-
-
-@query("x5_code_metrics", f"with {_METRICS} select doc_id, total_lines, loc, types, namespaces, complexity from m", "source_files")
-def code_metrics(spark, sf_dir):
-    return ops.metrics(_files(spark, sf_dir)).select("doc_id", "total_lines", "loc", "types", "namespaces", "complexity")
-
-
-@query("x6_cyclomatic", f"select doc_id, ({_COMPLEXITY})::bigint as complexity from source_files", "source_files")
-def cyclomatic(spark, sf_dir):
-    return _files(spark, sf_dir).select("doc_id", ops.cyclomatic(F.col("content")).alias("complexity"))
-
-
-_RISK = "case when pts >= 7 then 'Critical' when pts >= 5 then 'High' when pts >= 3 then 'Medium' else 'Low' end"
-_POINTS = "(case when complexity > 30 then 3 when complexity > 20 then 2 when complexity > 10 then 1 else 0 end + case when loc > 1000 then 3 when loc > 500 then 2 when loc > 250 then 1 else 0 end + case when types > 30 then 2 when types > 20 then 1 else 0 end)"
-
-
-@query("x7_file_risk_level", f"with {_METRICS} select doc_id, {_RISK} as risk from (select doc_id, {_POINTS} as pts from m)", "source_files")
-def file_risk_level(spark, sf_dir):
-    m = ops.metrics(_files(spark, sf_dir))
-    return m.select("doc_id", ops.risk_level(F.col("complexity"), F.col("loc"), F.col("types")).alias("risk"))
-
-
-@query("f17_high_priority_files", f"with {_METRICS} select project_id, file_path, complexity, loc from m where complexity > 3 or loc > 12", "source_files")
-def high_priority_files(spark, sf_dir):
-    m = ops.metrics(_files(spark, sf_dir))
-    return m.where("complexity > 3 or loc > 12").select("project_id", "file_path", "complexity", "loc").orderBy(F.desc("complexity"), "file_path")
-
-
-@query("w8_loc_with_block_comments", """with l as (select doc_id, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from source_files), e as (select *, trim(text) as t, case when ends_with(trim(text), '*/') then 0 when starts_with(trim(text), '/*') then 1 end as ev from l), o as (select *, coalesce(last_value(ev ignore nulls) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) as open from e) select doc_id, count(*) filter (where open = 0 and not starts_with(t, '/*') and t <> '' and not starts_with(t, '//')) as loc from o group by 1""", "source_files")
-def loc_with_block_comments(spark, sf_dir):
-    return ops.code_lines(_files(spark, sf_dir))
-
-
-@query("a1_aggregate_metrics", f"with {_METRICS} select project_id, count(*) as files, sum(loc)::bigint as loc, sum(total_lines)::bigint as total_lines, sum(types)::bigint as types, round(avg(complexity), 6) as avg_complexity, max(complexity) as max_complexity from m group by 1", "source_files")
-def aggregate_metrics(spark, sf_dir):
-    m = ops.metrics(_files(spark, sf_dir))
-    return m.groupBy("project_id").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum("total_lines").alias("total_lines"), F.sum("types").alias("types"), F.round(F.avg("complexity"), 6).alias("avg_complexity"), F.max("complexity").alias("max_complexity"))
+@query("a15_normalize_clusters", f"with {_LIKE}, c as (select project_id, folder as cluster, count(*) as files, arg_min(struct_pack(language := language, d := d, folder := folder, deps := deps, complexity := complexity), (file_path, complexity, language)) as x from f group by 1, 2), r as (select project_id, cluster, files, x.language as language, x.d as d, x.folder as folder, x.deps as deps, x.complexity as complexity, row_number() over (partition by project_id order by files desc, cluster) as place from c), m as (select a.project_id, a.cluster, arg_min(b.cluster, (-({_SCORE}), b.cluster)) as into_ from r a join r b on a.project_id = b.project_id where a.place > 4 and b.place <= 4 group by 1, 2) select project_id, cluster, cluster as \"into\" from r where place <= 4 union all select * from m", "code_files")
+def normalize_clusters(spark, sf_dir):
+    """Folders as clusters, of which each project keeps four; the others join the kept one that is most like them."""
+    first = F.min_by(F.struct(*ops.PARTS), F.struct("file_path", "complexity", "language")).alias("x")
+    c = _like(spark, sf_dir).groupBy("project_id", F.array_join("dir", "/").alias("cluster")).agg(F.count("*").alias("files"), first)
+    return ops.merge_clusters(c.select("project_id", "cluster", "files", "x.*"), 4)
 
 
 @query("a2_file_type_breakdown", "select project_id, ext, count(*) as files from source_files where ext <> '' group by 1, 2", "source_files")
@@ -171,23 +145,16 @@ def file_type_breakdown(spark, sf_dir):
     return _files(spark, sf_dir).where("ext <> ''").groupBy("project_id", "ext").agg(F.count("*").alias("files"))
 
 
-@query("a3_plan_counts", f"with {_PLAN} select project_id, count(*) filter (where decision = 'DirectSend') as direct, count(*) filter (where decision = 'RagChunks') as rag, count(*) filter (where decision = 'Skipped') as skipped, sum(case when decision <> 'Skipped' then tokens else 0 end)::bigint as tokens, sum(size_bytes)::bigint as bytes from p group by 1", "source_files")
+@query("a3_plan_counts", f"with {_PLAN} select project_id, count(*) filter (where decision = 'DirectSend') as direct, count(*) filter (where decision = 'RagChunks') as rag, count(*) filter (where decision = 'Skipped') as skipped, sum(case when decision <> 'Skipped' then tokens else 0 end)::bigint as tokens, sum(size_bytes)::bigint as bytes, sum(case when decision = 'RagChunks' then ceil(tokens / 1600.0) when decision = 'DirectSend' then 1 else 0 end)::bigint as chunks from p group by 1", "source_files")
 def plan_counts(spark, sf_dir):
     d = F.col("decision")
-    return plan(spark, sf_dir).groupBy("project_id").agg(F.count_if(d == "DirectSend").alias("direct"), F.count_if(d == "RagChunks").alias("rag"), F.count_if(d == "Skipped").alias("skipped"), F.sum(F.when(d != "Skipped", F.col("tokens")).otherwise(0)).alias("tokens"), F.sum("size_bytes").alias("bytes"))
+    return plan(spark, sf_dir).groupBy("project_id").agg(F.count_if(d == "DirectSend").alias("direct"), F.count_if(d == "RagChunks").alias("rag"), F.count_if(d == "Skipped").alias("skipped"), F.sum(F.when(d != "Skipped", F.col("tokens")).otherwise(0)).alias("tokens"), F.sum("size_bytes").alias("bytes"), F.sum(F.when(d == "RagChunks", F.ceil(F.col("tokens") / 1600)).when(d == "DirectSend", 1).otherwise(0)).alias("chunks"))
 
 
-@query("a4_estimate_analysis", f"with {_PLAN} select project_id, sum(case when decision <> 'Skipped' then tokens else 0 end)::bigint as tokens, round(sum(case when decision <> 'Skipped' then tokens else 0 end) * 0.00003, 6)::double as cost, (sum(case when decision <> 'Skipped' then tokens else 0 end) // 1000 + count(*) filter (where decision <> 'Skipped'))::bigint as seconds, array_to_string(list_slice(list(file_path order by file_path) filter (where decision = 'Skipped'), 1, 50), ',') as skipped from p group by 1", "source_files")
+@query("a4_estimate_analysis", f"with {_PLAN}, g as (select project_id, sum(case when decision <> 'Skipped' then tokens else 0 end)::bigint as tokens, count(*) filter (where decision <> 'Skipped') as kept, count(*) filter (where decision = 'Skipped') as n, list_slice(list(file_path order by file_path) filter (where decision = 'Skipped'), 1, 50) as skipped from p group by 1) select project_id, tokens, (tokens * 0.00003)::double as cost, tokens // 1000 + kept as seconds, tokens > 1000 as needs_approval, array_to_string(list_filter([case when tokens > 500 then 'large job' end, case when tokens * 0.00003 > 0.02 then 'high cost' end, case when n > 0 then n || ' files will be skipped' end], lambda x: x is not null), ',') as warnings, coalesce(array_to_string(skipped, ','), '') as skipped from g", "source_files")
 def estimate_analysis(spark, sf_dir):
-    live = F.col("decision") != "Skipped"
-    n = F.sum(F.when(live, F.col("tokens")).otherwise(0))
-    return plan(spark, sf_dir).groupBy("project_id").agg(n.alias("tokens"), F.round(n * 0.00003, 6).alias("cost"), (F.floor(n / 1000) + F.count_if(live)).alias("seconds"), F.array_join(F.slice(F.array_sort(F.collect_list(F.when(~live, F.col("file_path")))), 1, 50), ",").alias("skipped"))
-
-
-@query("a12_cluster_by_directory", "select project_id, split_part(file_path, '/', 1) as cluster, count(*) as files, sum(size_bytes)::bigint as bytes, case when contains(split_part(file_path, '/', 1), 'test') then 'Tests' when contains(split_part(file_path, '/', 1), 'data') then 'Data Access' else 'Mixed' end as theme from source_files group by 1, 2", "source_files")
-def cluster_by_directory(spark, sf_dir):
-    top = F.split("file_path", "/")[0]
-    return _files(spark, sf_dir).groupBy("project_id", top.alias("cluster")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).withColumn("theme", ops.theme(F.col("cluster")))
+    rows = ops.estimate(plan(spark, sf_dir), (500, 0.02), (1000, 1000.0))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("warnings", "skipped")})
 
 
 @query("a13_split_clusters_by_language", f"with c as (select project_id, split_part(file_path, '/', 1) as cluster, {sql_case('ext', CHUNKER_LANGUAGES, repr('text'))} as language, count(*) as files from source_files group by 1, 2, 3) select project_id, cluster, language, files, case when count(*) over (partition by project_id, cluster) > 1 then cluster || ' (' || language || ')' else cluster end as name from c", "source_files")
@@ -197,73 +164,28 @@ def split_clusters_by_language(spark, sf_dir):
     return c.withColumn("name", F.when(n > 1, F.concat("cluster", F.lit(" ("), "language", F.lit(")"))).otherwise(F.col("cluster")))
 
 
-@query("a14_cluster_risk", f"with {_METRICS}, r as (select project_id, split_part(file_path, '/', 1) as cluster, complexity, loc, {_POINTS} as pts from m) select project_id, cluster, case when bool_or(pts >= 7) then 'Critical' when bool_or(pts >= 5) or avg(complexity) > 25 then 'High' when avg(complexity) > 15 then 'Medium' else 'Low' end as risk, count(*) as files, sum(loc)::bigint as loc, round(avg(complexity), 6) as avg_complexity from r group by 1, 2", "source_files")
-def cluster_risk(spark, sf_dir):
-    m = ops.metrics(_files(spark, sf_dir)).withColumn("risk", ops.risk_level(F.col("complexity"), F.col("loc"), F.col("types")))
-    worst = F.when(F.bool_or(F.col("risk") == "Critical"), "Critical").when(F.bool_or(F.col("risk") == "High") | (F.avg("complexity") > 25), "High").when(F.avg("complexity") > 15, "Medium").otherwise("Low")
-    return m.groupBy("project_id", F.split("file_path", "/")[0].alias("cluster")).agg(worst.alias("risk"), F.count("*").alias("files"), F.sum("loc").alias("loc"), F.round(F.avg("complexity"), 6).alias("avg_complexity"))
-
-
-_DIRS = "d as (select project_id, file_path, array_to_string(list_slice(p, 1, k), '/') as dir, k as depth from (select project_id, file_path, string_split(file_path, '/') as p, unnest(range(1, len(string_split(file_path, '/')))) as k from source_files))"
-
-
-@query("a26_directory_stats", f"with {_DIRS} select project_id, dir, count(*) as files, max(depth)::int as depth, count(*) > 50 as crowded from d group by 1, 2", "source_files")
-def directory_stats(spark, sf_dir):
-    return ops.directories(_files(spark, sf_dir)).groupBy("project_id", "dir").agg(F.count("*").alias("files"), F.max("depth").alias("depth"), (F.count("*") > 50).alias("crowded"))
-
-
-@query("a27_naming_styles", f"with {_DIRS}, u as (select distinct project_id, string_split(dir, '/')[-1] as name from d) select project_id, count(*) filter (where regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$')) as pascal, count(*) filter (where contains(name, '-')) as kebab, count(*) filter (where contains(name, '_')) as snake, count(*) as dirs from u group by 1", "source_files")
-def naming_styles(spark, sf_dir):
-    names = ops.directories(_files(spark, sf_dir)).select("project_id", F.element_at(F.split("dir", "/"), -1).alias("name")).distinct()
-    return names.groupBy("project_id").agg(F.count_if(F.col("name").rlike("^[A-Z][a-zA-Z0-9]*$")).alias("pascal"), F.count_if(F.col("name").contains("-")).alias("kebab"), F.count_if(F.col("name").contains("_")).alias("snake"), F.count("*").alias("dirs"))
-
-
-@query("a28_project_profile", "select project_id, bool_or(contains(lower(file_path), 'test')) as has_tests, bool_or(contains(file_path, 'Controllers')) as has_controllers, bool_or(contains(file_path, 'Services')) as has_services, count(distinct ext) as file_types from source_files group by 1", "source_files")
-def project_profile(spark, sf_dir):
-    path = F.col("file_path")
-    return _files(spark, sf_dir).groupBy("project_id").agg(F.bool_or(F.lower(path).contains("test")).alias("has_tests"), F.bool_or(path.contains("Controllers")).alias("has_controllers"), F.bool_or(path.contains("Services")).alias("has_services"), F.count_distinct("ext").alias("file_types"))
-
-
-@query("a29_architecture_rules", """with p as (select project_id, bool_or(contains(lower(file_path), 'test')) as has_tests, bool_or(contains(lower(file_path), 'dockerfile')) as has_docker, count(*) as files from source_files group by 1) select project_id, 'No container file' as finding from p where files > 20 and not has_docker union all select project_id, 'No tests' from p where not has_tests""", "source_files")
-def architecture_rules(spark, sf_dir):
-    path = F.lower("file_path")
-    p = _files(spark, sf_dir).groupBy("project_id").agg(F.bool_or(path.contains("test")).alias("has_tests"), F.bool_or(path.contains("dockerfile")).alias("has_docker"), F.count("*").alias("files"))
-    rules = F.array(F.when((F.col("files") > 20) & ~F.col("has_docker"), "No container file"), F.when(~F.col("has_tests"), "No tests"))
-    return p.select("project_id", F.explode(F.array_compact(rules)).alias("finding"))
-
-
-@query("a31_metric_findings", f"with {_METRICS} select doc_id, 'complexity' as rule, case when complexity > 12 then 'High' else 'Medium' end as severity from m where complexity > 4 union all select doc_id, 'length', case when loc > 40 then 'Medium' else 'Low' end from m where loc > 20", "source_files")
-def metric_findings(spark, sf_dir):
-    c, loc = F.col("complexity"), F.col("loc")
-    row = lambda rule, severity: F.struct(F.lit(rule).alias("rule"), severity.alias("severity"))
-    found = F.array(F.when(c > 4, row("complexity", F.when(c > 12, "High").otherwise("Medium"))), F.when(loc > 20, row("length", F.when(loc > 40, "Medium").otherwise("Low"))))
-    return ops.metrics(_files(spark, sf_dir)).select("doc_id", F.explode(F.array_compact(found)).alias("f")).select("doc_id", "f.rule", "f.severity")
-
-
-@query("a33_skipped_summary", f"with {_PLAN}, s as (select project_id, file_path, row_number() over (partition by project_id order by file_path) as r, count(*) over (partition by project_id) as n from p where decision = 'Skipped') select project_id, max(n) as skipped, string_agg(file_path, ', ' order by file_path) || case when max(n) > 10 then ' and ' || (max(n) - 10) || ' more' else '' end as summary from s where r <= 10 group by 1", "source_files")
+@query("a33_skipped_summary", f"with {_PLAN}, s as (select project_id, file_path, row_number() over (partition by project_id order by file_path) as r, count(*) over (partition by project_id) as n from p where reason = 'skipped_too_large') select project_id, max(n) as skipped, string_agg(file_path, ', ' order by file_path) || case when max(n) > 10 then ' and ' || (max(n) - 10) || ' more' else '' end as summary from s where r <= 10 group by 1", "source_files")
 def skipped_summary(spark, sf_dir):
-    w = Window.partitionBy("project_id")
-    s = plan(spark, sf_dir).where("decision = 'Skipped'").withColumn("r", F.row_number().over(w.orderBy("file_path"))).withColumn("n", F.count("*").over(w)).where("r <= 10")
-    names = F.array_join(F.array_sort(F.collect_list("file_path")), ", ")
-    return s.groupBy("project_id").agg(F.max("n").alias("skipped"), names.alias("names")).select("project_id", "skipped", F.concat("names", F.when(F.col("skipped") > 10, F.concat(F.lit(" and "), (F.col("skipped") - 10).cast("string"), F.lit(" more"))).otherwise("")).alias("summary"))
-
-
-@query("w6_top_files_per_cluster", f"with {_METRICS}, r as (select project_id, split_part(file_path, '/', 1) as cluster, file_path, complexity, loc, row_number() over (partition by project_id, split_part(file_path, '/', 1) order by complexity desc, loc desc, file_path) as place from m) select * from r where place <= 5", "source_files")
-def top_files_per_cluster(spark, sf_dir):
-    w = Window.partitionBy("project_id", "cluster").orderBy(F.desc("complexity"), F.desc("loc"), "file_path")
-    m = ops.metrics(_files(spark, sf_dir)).select("project_id", F.split("file_path", "/")[0].alias("cluster"), "file_path", "complexity", "loc")
-    return m.withColumn("place", F.row_number().over(w)).where("place <= 5")
+    """Files that are too large, by project: how many, and the first ten."""
+    large = plan(spark, sf_dir).where("reason = 'skipped_too_large'").select("project_id", "file_path")
+    top = large.withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy("file_path"))).where("r <= 10")
+    names = top.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list("file_path")), ", ").alias("names"))
+    rows = names.join(large.groupBy("project_id").agg(F.count("*").alias("skipped")), "project_id")
+    return rows.select("project_id", "skipped", F.concat("names", F.when(F.col("skipped") > 10, F.concat(F.lit(" and "), (F.col("skipped") - 10).cast("string"), F.lit(" more"))).otherwise("")).alias("summary"))
 
 
-@query("k3_files_ordered", "select project_id, file_path, row_number() over (partition by project_id order by file_path) as place from source_files", "source_files")
+@query("k3_files_ordered", "select project_id, file_path from source_files", "source_files")
 def files_ordered(spark, sf_dir):
-    return _files(spark, sf_dir).select("project_id", "file_path", F.row_number().over(Window.partitionBy("project_id").orderBy("file_path")).alias("place")).orderBy("project_id", "file_path")
+    """Files in the order of a project's list. A range sort, so a large project is many tasks."""
+    return _files(spark, sf_dir).select("project_id", "file_path").orderBy("project_id", "file_path")
 
 
-@query("k4_deep_dive_files", f"with {_METRICS}, r as (select project_id, file_path, row_number() over (partition by project_id order by complexity desc, loc desc, file_path) as place from m) select * from r where place <= 5", "source_files")
-def deep_dive_files(spark, sf_dir):
-    w = Window.partitionBy("project_id").orderBy(F.desc("complexity"), F.desc("loc"), "file_path")
-    return ops.metrics(_files(spark, sf_dir)).select("project_id", "file_path", F.row_number().over(w).alias("place")).where("place <= 5")
+@query("k3_chunks_of_file", "with l as (select doc_id, file_path, len(string_split(content, chr(10))) as n from source_files), c as (select doc_id, file_path, n, unnest(range(0, greatest(n - 4 - 1, 0) + 1, 16)) as pos from l) select file_path, ((pos // 16))::int as chunk_index, (pos + 1)::int as start_line, least(pos + 20, n)::int as end_line from c where doc_id % 10 = 7", "source_files")
+def chunks_of_file(spark, sf_dir):
+    """The chunks of every tenth file, by file and number."""
+    files = _files(spark, sf_dir)
+    chunks = ops.chunk_lines(files).join(files.select("doc_id", "file_path"), "doc_id")
+    return chunks.where("doc_id % 10 = 7").select("file_path", "chunk_index", "start_line", "end_line").orderBy("file_path", "chunk_index")
 
 
 @query("x1_count_tokens", """select doc_id, case when length(content) = 0 then 0 else greatest(1, ceil((ceil(length(content) / 4.0) * 6 + ceil(len(regexp_extract_all(content, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+')) * 13 / 10.0) * 3 + len(regexp_extract_all(content, '[{}()\\[\\];,.<>:=+\\-*/&|!?@#$%^~`\\\\''"]')) // 2) / 10)) end::bigint as tokens from source_files""", "source_files")
@@ -282,51 +204,39 @@ def content_fingerprint(spark, sf_dir):
     return _files(spark, sf_dir).groupBy(F.sha2("content", 256).alias("fingerprint")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-@query("x10_redact", "select doc_id, regexp_replace(regexp_replace(content, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}', '***', 'g'), '(Password|Pwd|Secret|Key)=([^;]+)', '\\1=***', 'g') as content from source_files", "source_files")
-def redact(spark, sf_dir):
-    mail = F.regexp_replace("content", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "***")
-    return _files(spark, sf_dir).select("doc_id", F.regexp_replace(mail, "(Password|Pwd|Secret|Key)=([^;]+)", "$1=***").alias("content"))
-
-
-@query("x11_log_preview", "select doc_id, '[' || n_chars || ' chars, ' || substr(sha256(content), 1, 8) || '] ' || left(content, 40) as preview from source_files", "source_files")
-def log_preview(spark, sf_dir):
-    return _files(spark, sf_dir).select("doc_id", F.concat(F.lit("["), F.col("n_chars").cast("string"), F.lit(" chars, "), F.substr(F.sha2("content", 256), F.lit(1), F.lit(8)), F.lit("] "), F.left(F.col("content"), F.lit(40))).alias("preview"))
-
-
 @query("x12_match_line_numbers", "with l as (select doc_id, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from source_files) select doc_id, line::int as line, left(trim(text), 200) as text from l where regexp_matches(text, '[0-9]{3}-[0-9]{4}|worthless')", "source_files")
 def match_line_numbers(spark, sf_dir):
     lines = _files(spark, sf_dir).select("doc_id", F.posexplode(F.split("content", "\n")).alias("at", "text"))
     return lines.where(F.col("text").rlike("[0-9]{3}-[0-9]{4}|worthless")).select("doc_id", (F.col("at") + 1).alias("line"), F.left(F.trim("text"), F.lit(200)).alias("text"))
 
 
-@query("x19_has_path_traversal", "select doc_id, contains(file_path, '..') or contains(file_path, '::') or starts_with(file_path, '/') as traversal from source_files", "source_files")
+_ODD = "case doc_id % 7 when 0 then concat('../', file_path) when 1 then concat(file_path, '::$DATA') when 2 then concat('/', file_path) when 3 then concat('C:/', file_path) when 4 then concat('ab:', file_path) when 5 then concat('C:x:', file_path) else file_path end"
+
+
+@query("x19_has_path_traversal", f"select doc_id, contains(p, '..') or contains(p, '::') or starts_with(p, '/') or (contains(p, ':') and (instr(p, ':') <> 2 or contains(substr(p, 3), ':'))) as traversal from (select doc_id, {_ODD} as p from source_files)", "source_files")
 def has_path_traversal(spark, sf_dir):
-    return _files(spark, sf_dir).select("doc_id", F.col("file_path").rlike(r"\.\.|::|^/").alias("traversal"))
+    """Paths of which most are spoiled, each in its own way."""
+    return _files(spark, sf_dir).select("doc_id", ops.has_path_traversal(F.expr(_ODD)).alias("traversal"))
 
 
-@query("x25_pack_prompt", "select doc_id, '### ' || file_path || chr(10) || left(content, 500) || case when length(content) > 500 then chr(10) || '... (truncated)' else '' end as prompt from source_files", "source_files")
+@query("x25_pack_prompt", "select doc_id, '### ' || file_path || chr(10) || left(content, 500) || case when length(content) > 500 then chr(10) || '... (truncated)' else '' end as prompt, '### ' || file_path || chr(10) || array_to_string(list_slice(string_split(content, chr(10)), 1, 5), chr(10)) || case when len(string_split(content, chr(10))) > 5 then chr(10) || '... (truncated)' else '' end as by_lines from source_files", "source_files")
 def pack_prompt(spark, sf_dir):
-    return _files(spark, sf_dir).select("doc_id", F.concat(F.lit("### "), "file_path", F.lit("\n"), F.left(F.col("content"), F.lit(500)), F.when(F.length("content") > 500, "\n... (truncated)").otherwise("")).alias("prompt"))
+    path, content = F.col("file_path"), F.col("content")
+    return _files(spark, sf_dir).select("doc_id", ops.pack_prompt(path, content, 500).alias("prompt"), ops.pack_prompt(path, content, lines=5).alias("by_lines"))
 
 
-@query("x30_format_bytes", "select doc_id, case when size_bytes < 1024 then size_bytes || ' B' else (size_bytes // 1024) || ' KB' end as shown from source_files", "source_files")
-def format_bytes(spark, sf_dir):
-    size = F.col("size_bytes")
-    return _files(spark, sf_dir).select("doc_id", F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(F.floor(size / 1024).cast("string"), F.lit(" KB"))).alias("shown"))
+_TREE = """f as (select project_id, array_to_string(p[1:-2], '/') as dir, p[-1] as name, len(p) - 1 as depth from (select project_id, string_split(file_path, '/') as p from code_files)), k as (select *, row_number() over (partition by project_id, dir order by name) as k, count(*) over (partition by project_id, dir) as n from f where depth <= 5), d as (select distinct project_id, array_to_string(list_slice(p, 1, i), '/') as dir, i as depth from (select project_id, string_split(file_path, '/') as p, unnest(range(1, len(string_split(file_path, '/')))) as i from code_files) where i <= 5), l as (select project_id, dir, 1 as kind, k, repeat('  ', depth) || name as text from k where k <= 20 union all select project_id, dir, 2, k, repeat('  ', depth) || (n - 20) || ' more files' from k where k = 20 and n > 20 union all select project_id, dir, 0, 0, repeat('  ', depth - 1) || string_split(dir, '/')[-1] || '/' from d)"""
 
 
-@query("x31_file_summary", f"with {_METRICS} select doc_id, {sql_case('ext', CHUNKER_LANGUAGES, repr('text'))} as language, loc, complexity, {_RISK} as risk from (select *, {_POINTS} as pts from m)", "source_files")
-def file_summary(spark, sf_dir):
-    m = ops.metrics(_files(spark, sf_dir))
-    return m.select("doc_id", ops.chunker_language(F.col("ext")).alias("language"), "loc", "complexity", ops.risk_level(F.col("complexity"), F.col("loc"), F.col("types")).alias("risk"))
+@query("x33_directory_tree", f"with {_TREE} select project_id, string_agg(text, chr(10) order by dir, kind, k, text) as tree from l group by 1", "code_files")
+def directory_tree(spark, sf_dir):
+    return ops.tree(views.code_files(spark, sf_dir))
 
 
-@query("x33_directory_tree", "with r as (select project_id, split_part(file_path, '/', 1) as top, file_path, row_number() over (partition by project_id, split_part(file_path, '/', 1) order by file_path) as k, count(*) over (partition by project_id, split_part(file_path, '/', 1)) as n from source_files) select project_id, top, string_agg('  ' || file_path, chr(10) order by file_path) || case when max(n) > 20 then chr(10) || (max(n) - 20) || ' more files' else '' end as tree from r where k <= 20 group by 1, 2", "source_files")
-def directory_tree(spark, sf_dir):
-    w = Window.partitionBy("project_id", "top")
-    r = _files(spark, sf_dir).select("project_id", F.split("file_path", "/")[0].alias("top"), "file_path").withColumn("k", F.row_number().over(w.orderBy("file_path"))).withColumn("n", F.count("*").over(w)).where("k <= 20")
-    g = r.groupBy("project_id", "top").agg(F.array_join(F.transform(F.array_sort(F.collect_list("file_path")), lambda x: F.concat(F.lit("  "), x)), "\n").alias("t"), F.max("n").alias("n"))
-    return g.select("project_id", "top", F.concat("t", F.when(F.col("n") > 20, F.concat(F.lit("\n"), (F.col("n") - 20).cast("string"), F.lit(" more files"))).otherwise("")).alias("tree"))
+@query("x2_token_spans", """select doc_id, len(p)::int as pieces, list_sum(list_transform(p, lambda x: case when length(x) > 8 then 2 else 1 end))::bigint as tokens from (select doc_id, regexp_extract_all(content, '[{}()\\[\\];,.<>:=+\\-*/&|!?@#$%^~][^\\s{}()\\[\\];,.<>:=+\\-*/&|!?@#$%^~]*|[^\\s{}()\\[\\];,.<>:=+\\-*/&|!?@#$%^~]+') as p from code_files)""", "code_files")
+def token_spans(spark, sf_dir):
+    s = views.code_files(spark, sf_dir).select("doc_id", ops.token_spans(F.col("content")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("pieces"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"]).alias("tokens"))
 
 
 @query("u2_distinct_words", "select doc_id, len(list_distinct(string_split(content, ' ')))::int as words from source_files", "source_files")
@@ -344,9 +254,15 @@ def chunk_sliding(spark, sf_dir):
     return ops.chunk_sliding(_files(spark, sf_dir), 300, 60, 20).drop("chunk")
 
 
-@query("a21_indexing_result", "select project_id, count(*) as files, sum(size_bytes // 4)::bigint as tokens, count(*) filter (where length(trim(content)) = 0) as skipped from source_files group by 1", "source_files")
+@query("a21_indexing_result", "with l as (select project_id, file_path, content, len(string_split(content, chr(10))) as n from source_files), c as (select project_id, sum(len(range(0, greatest(n - 4 - 1, 0) + 1, 16)))::bigint as chunks from l where length(trim(content)) > 0 group by 1) select f.project_id, count(*) as files, count(*) filter (where length(trim(content)) = 0) as skipped, sum(size_bytes // 4)::bigint as tokens, max(chunks) as chunks, max(chunks) as embeddings from source_files f left join c on c.project_id = f.project_id group by 1", "source_files")
 def indexing_result(spark, sf_dir):
-    return _files(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("files"), F.sum(F.floor(F.col("size_bytes") / 4)).alias("tokens"), F.count_if(F.length(F.trim("content")) == 0).alias("skipped"))
+    """What indexing by lines gives: files, those skipped, tokens, chunks and embeddings of each project."""
+    files = _files(spark, sf_dir)
+    blank = F.length(F.trim("content")) == 0
+    starts = F.size(F.sequence(F.lit(0), F.greatest(F.size(F.split("content", "\n")) - 5, F.lit(0)), F.lit(16)))
+    n = F.sum(F.when(~blank, starts)).alias("chunks")
+    rows = files.groupBy("project_id").agg(F.count("*").alias("files"), F.count_if(blank).alias("skipped"), F.sum(F.floor(F.col("size_bytes") / 4)).alias("tokens"), n)
+    return rows.withColumn("embeddings", F.col("chunks"))
 
 
 @query("r11_analysis_plan", f"with {_PLAN} select doc_id, decision, reason, tokens, language from p", "source_files")
@@ -354,11 +270,6 @@ def analysis_plan(spark, sf_dir):
     return plan(spark, sf_dir).select("doc_id", "decision", "reason", "tokens", "language")
 
 
-@query("j6_scan_rules")
-def scan_rules(spark, sf_dir):
-    return scans.scan(_files(spark, sf_dir), scans.rule_table(spark))
-
-
 @query("j6_scan_words", "with l as (select doc_id, file_path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from source_files where not regexp_matches(lower(file_path), 'test|example|sample')) select doc_id, line::int as line, rule, severity from l, (values ('mail', '[a-z0-9.]+@[a-z0-9]+', 'Low'), ('insult', 'moron|idiot', 'High')) r(rule, pattern, severity) where regexp_matches(text, pattern)", "source_files")
 def scan_words(spark, sf_dir):
     """The rule scan with rules that prose triggers."""
@@ -366,21 +277,6 @@ def scan_words(spark, sf_dir):
     return scans.scan(_files(spark, sf_dir), rules).select("doc_id", "line", "rule", "severity")
 
 
-@query("x14_config_secrets")
-def config_secrets(spark, sf_dir):
-    return scans.config_secrets(_files(spark, sf_dir), scans.rule_table(spark, scans.CONFIG_RULES))
-
-
-@query("x16_debt_markers", "with m as (select doc_id, project_id, file_path, 0 as line, 'magic numbers' as kind from source_files where len(regexp_extract_all(content, '(^|[^\\w.])([2-9]\\d+)')) > 5 union all select doc_id, project_id, file_path, line::int, regexp_extract(text, '\\b(TODO|FIXME|HACK|XXX)\\b', 1) from (select doc_id, project_id, file_path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from source_files) where regexp_matches(text, '\\b(TODO|FIXME|HACK|XXX)\\b') union all select doc_id, project_id, file_path, 0, 'empty catch' from source_files where regexp_matches(content, 'catch\\s*(\\([^)]*\\))?\\s*\\{\\s*\\}')) select doc_id, project_id, file_path, line, kind from (select *, row_number() over (partition by project_id order by file_path, line, kind) as p from m) where p <= 50", "source_files")
-def debt_markers(spark, sf_dir):
-    return scans.debt_markers(_files(spark, sf_dir))
-
-
-@query("x8_x9_dependencies", "select doc_id, len(list_distinct(regexp_extract_all(content, '(?m)^(?:import|from)\\s+([^\\s]+)', 1)))::int as imports from source_files where ext = '.py'", "source_files")
-def dependencies(spark, sf_dir):
-    return _files(spark, sf_dir).where("ext = '.py'").select("doc_id", F.size(scans.dependencies(F.col("content"), F.col("ext"))).alias("imports"))
-
-
 @query("x18_normalize_path", "select doc_id, file_path as normalized, file_path as sanitized from source_files", "source_files")
 def normalize_path(spark, sf_dir):
     odd = F.concat(F.lit("/./a/../"), "file_path")
@@ -392,31 +288,35 @@ def hash_embedding(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", retrieval.hash_embedding(F.col("content")).alias("embedding"))
 
 
+SIZES = {"most": 60, "overlap": 15, "least": 5}
+
+
+@query("r4_chunk_corpus")
+def chunk_corpus(spark, sf_dir):
+    return ops.chunk_corpus(units.with_units(views.code_files(spark, sf_dir)), **SIZES).drop("chunk")
+
+
 @query("r9_index_project")
 def index_project(spark, sf_dir):
-    return retrieval.index_project(_files(spark, sf_dir), most=300, overlap=60, least=20).drop("chunk")
+    """Chunk, embed, write, read back and verify: a result row for each project."""
+    return retrieval.index_project(views.code_files(spark, sf_dir), jobs.shared_path(spark, "index"), **SIZES)
 
 
 @query("r10_incremental_index")
 def incremental_index(spark, sf_dir):
-    """Indexing again with the chunks of a third of the files already stored."""
-    files = _files(spark, sf_dir)
-    done = retrieval.index_project(files.where("doc_id % 3 = 0"), most=300, overlap=60, least=20).select("project_id", "chunk_hash")
-    return retrieval.index_project(files, stored=done, most=300, overlap=60, least=20).drop("chunk")
+    """Indexing again with the chunks of a third of the files already stored: new chunks and those skipped."""
+    files = views.code_files(spark, sf_dir)
+    done = retrieval.chunked(files.where("doc_id % 3 = 0"), **SIZES).select("project_id", "chunk_hash")
+    return retrieval.incremental_index(files, done, **SIZES)[1]
 
 
-@query("x24_format_context", "with r as (select project_id as qid, file_path, content, row_number() over (partition by project_id order by file_path) as place from source_files where ext = '.md') select qid, string_agg('## ' || file_path || ' (lines 1-' || len(string_split(content, chr(10))) || ')' || chr(10) || content, chr(10) || chr(10) order by place) as context from r where place <= 3 group by 1", "source_files")
+@query("x24_format_context", "with r as (select project_id as qid, file_path, content, row_number() over (partition by project_id order by file_path) as place from source_files) select qid, string_agg('## ' || file_path || ' (lines 1-' || len(string_split(content, chr(10))) || ')' || chr(10) || content, chr(10) || chr(10) order by place) as context from r where place <= 3 group by 1", "source_files")
 def format_context(spark, sf_dir):
     w = Window.partitionBy("project_id").orderBy("file_path")
-    hits = _files(spark, sf_dir).where("ext = '.md'").withColumn("place", F.row_number().over(w)).where("place <= 3")
+    hits = _files(spark, sf_dir).withColumn("place", F.row_number().over(w)).where("place <= 3")
     return retrieval.context(hits.select(F.col("project_id").alias("qid"), "place", "file_path", F.lit(1).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), F.col("content").alias("chunk")))
 
 
-@query("x17_simple_heuristics", "select project_id, bool_or(contains(lower(file_path), 'readme')) as has_readme, count(*) > 50 as many_files, count(*) filter (where len(string_split(content, chr(10))) > 100) as long_files from source_files group by 1", "source_files")
-def simple_heuristics(spark, sf_dir):
-    return _files(spark, sf_dir).groupBy("project_id").agg(F.bool_or(F.lower("file_path").contains("readme")).alias("has_readme"), (F.count("*") > 50).alias("many_files"), F.count_if(F.size(F.split("content", "\n")) > 100).alias("long_files"))
-
-
 @query("s6_s7_s11_replace_project", "select doc_id, project_id, case when project_id = 'src3' then n_chars + 1 else n_chars end as n_chars from source_files where project_id <> 'src4' union all select doc_id, project_id, n_chars from source_files where project_id = 'src4' and doc_id % 2 = 0", "source_files")
 def replace_project(spark, sf_dir):
     """A table by project, in which two projects' rows are replaced, read back."""
@@ -428,7 +328,14 @@ def replace_project(spark, sf_dir):
     return spark.read.schema("doc_id long, n_chars long, project_id string").parquet(path).select("doc_id", "project_id", "n_chars")
 
 
+_PY = "p as (select doc_id, text, line, len(string_split(content, chr(10))) as n from (select doc_id, content, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1)::int as line from code_files where ext = '.py')), h as (select doc_id, regexp_extract(text, '(?:def|class)[ \\t]+(\\w+)', 1) as name, line as start_line, coalesce(lead(line) over (partition by doc_id order by line) - 1, n)::int as end_line from p where regexp_matches(text, '^(?:async[ \\t]+)?(?:def|class)[ \\t]+\\w+'))"
+
+
+@query("r3_python_units", f"with {_PY} select doc_id, name, start_line, end_line from h", "code_files")
+def python_units(spark, sf_dir):
+    return scans.python_units(views.code_files(spark, sf_dir))
+
+
 @query("r2_r3_extract_units")
 def extract_units(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    return units.brace_units(files).unionByName(scans.python_units(files))
+    return units.extract_units(views.code_files(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.rules import PRICES
+from strandline.operators import jobs as ops
 from strandline.plans.registry import query
 from strandline.sources import views
 from strandline.streaming import jobs
@@ -13,14 +14,6 @@ from strandline.streaming import jobs
 _AS_OF = "timestamp '2024-01-20 00:00:00'"
 
 
-def _price(model):
-    """Dollars for a million tokens, as decimals; unknown models are free."""
-    out = None
-    for name, price in PRICES.items():
-        out = F.when(model == name, F.lit(price).cast("decimal(8,2)")) if out is None else out.when(model == name, F.lit(price).cast("decimal(8,2)"))
-    return out.otherwise(F.lit("0").cast("decimal(8,2)"))
-
-
 _PRICE = "case model " + " ".join(f"when '{k}' then {v}" for k, v in PRICES.items()) + " else 0 end"
 
 
@@ -31,33 +24,50 @@ def event_source(spark, sf_dir):
     return jobs.settled(kinds.groupBy("kind").agg(F.count("*").alias("n")), ["kind"])
 
 
-@query("f19_repo_url_allowed", "select page_id, starts_with(url, 'https://') and regexp_matches(url, '^https://([^/?#]*\\.)?example\\.(com|org)([/?#:]|$)') as allowed from pages")
+_URL = "case page_id % 6 when 0 then 'https://github.com/a/b' when 1 then 'http://github.com/a' when 2 then 'https://evilgithub.com/a' when 3 then 'https://ssh.dev.azure.com/x' when 4 then 'git@gitlab.com:a' else url end"
+
+
+@query("f19_repo_url_allowed", f"select page_id, starts_with(lower(u), 'https://') and regexp_matches(lower(u), '^https://([^/?#@]*@)?([^/?#:]*\\.)?(github\\.com|gitlab\\.com|bitbucket\\.org|dev\\.azure\\.com)([/?#:]|$)') as allowed from (select page_id, {_URL} as u from pages)")
 def repo_url_allowed(spark, sf_dir):
-    host = F.try_parse_url("url", F.lit("HOST"))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (F.col("url").startswith("https://") & F.coalesce(host.rlike(r"(^|\.)example\.(com|org)$"), F.lit(False))).alias("allowed"))
+    """Page addresses, most of them replaced by ones that the rule must tell apart."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", ops.repo_url_allowed(F.expr(_URL)).alias("allowed"))
 
 
-@query("f20_project_name_valid", "select project_id, length(name) <= 200 and regexp_matches(name, '^[\\w\\s.-]+$') as valid from projects", "projects")
+@query("f20_project_name_valid", "select project_id, length(name) <= 200 and regexp_matches(name, '^[\\w\\s.-]+$') as valid from (select project_id, case project_id % 5 when 0 then name || '!' when 1 then repeat(name, 40) else name end as name from projects)", "projects")
 def project_name_valid(spark, sf_dir):
-    return views.projects(spark, sf_dir).select("project_id", ((F.length("name") <= 200) & F.col("name").rlike(r"^[\w\s.-]+$")).alias("valid"))
+    name = F.expr("case project_id % 5 when 0 then concat(name, '!') when 1 then repeat(name, 40) else name end")
+    return views.projects(spark, sf_dir).select("project_id", ops.project_name_valid(name).alias("valid"))
 
 
-@query("f22_quota_checks", "with u as (select org_id, sum(tokens)::bigint as used from token_events group by 1) select org_id, used, used < 10000000 as enough_tokens, used < 5000000 as can_start from u", "token_events")
+_QUOTAS = "select org_id, 50 as credits, {cost} as credits_used, 10000000 as tokens, sum(tokens) as tokens_used, 2000 as storage, count(*) as storage_used, count(*) % 4 as running, 3 as most_running, org_id = 'org3' as suspended from token_events group by org_id"
+
+
+@query("f22_quota_checks", f"with u as ({_QUOTAS.format(cost=f'sum(tokens * ({_PRICE})) / 1000000')}) select org_id, not suspended and running < most_running and credits_used < credits as can_start, credits_used < credits as enough_credits, tokens_used < tokens as enough_tokens, storage_used < storage as enough_storage from u", "token_events")
 def quota_checks(spark, sf_dir):
-    u = views.token_events(spark, sf_dir).groupBy("org_id").agg(F.sum("tokens").alias("used"))
-    return u.select("org_id", "used", (F.col("used") < 10_000_000).alias("enough_tokens"), (F.col("used") < 5_000_000).alias("can_start"))
+    cost = F.sum(F.col("tokens").cast("decimal(20,0)") * ops.price(F.col("model"))) / 1_000_000
+    n = F.count("*")
+    u = views.token_events(spark, sf_dir).groupBy("org_id").agg(F.lit(50).alias("credits"), cost.alias("credits_used"), F.sum("tokens").alias("tokens_used"), n.alias("storage_used"), (n % 4).alias("running"))
+    return ops.quota_checks(u.withColumns({"tokens": F.lit(10_000_000), "storage": F.lit(2000), "most_running": F.lit(3), "suspended": F.col("org_id") == "org3"}))
+
 
+_KEPT = "select case event_id % 4 when 0 then 'job' when 1 then 'session' when 2 then 'period' else 'checkpoint' end as kind, event_id as id, case kind when 'failed' then case when event_id % 8 < 4 then 'failed' else 'pending_retry' end when 'heartbeat' then 'open' else kind end as status, cast(event_id % 6 as int) as retries, ts from job_events"
 
-@query("f23_job_housekeeping", f"select project_id, count(*) filter (where kind = 'failed' and ts >= {_AS_OF} - interval 3 days and ts < {_AS_OF}) as retries, count(*) filter (where kind = 'completed' and ts < {_AS_OF} - interval 14 days) as expired from job_events group by 1", "job_events")
+
+@query("f23_job_housekeeping", f"select kind, id, due from (select kind, id, case when kind = 'job' and status = 'pending_retry' and retries < 3 then 'retry' when kind = 'session' and status = 'open' and ts < {_AS_OF} then 'expire' when kind = 'period' and ts <= {_AS_OF} then 'reset' when kind = 'checkpoint' and status in ('completed', 'failed') and ts < {_AS_OF} - interval 14 days then 'delete' end as due from ({_KEPT}) t(kind, id, status, retries, ts)) where due is not null", "job_events")
 def job_housekeeping(spark, sf_dir):
-    now, ts, kind = F.expr(_AS_OF), F.col("ts"), F.col("kind")
-    return views.job_events(spark, sf_dir).groupBy("project_id").agg(F.count_if((kind == "failed") & (ts >= now - F.expr("interval 3 days")) & (ts < now)).alias("retries"), F.count_if((kind == "completed") & (ts < now - F.expr("interval 14 days"))).alias("expired"))
+    n, kind = F.col("event_id"), F.col("kind")
+    status = F.when(kind == "failed", F.when(n % 8 < 4, "failed").otherwise("pending_retry")).when(kind == "heartbeat", "open").otherwise(kind)
+    sort = F.when(n % 4 == 0, "job").when(n % 4 == 1, "session").when(n % 4 == 2, "period").otherwise("checkpoint")
+    rows = views.job_events(spark, sf_dir).select(sort.alias("kind"), n.alias("id"), status.alias("status"), (n % 6).cast("int").alias("retries"), "ts")
+    return ops.housekeeping(rows, F.expr(_AS_OF), 3, 14)
+
 
+_STATUS = "case kind when 'started' then 'queued' when 'progress' then 'analyzing' when 'heartbeat' then 'created' else kind end"
 
-@query("f25_status_transition_check", "with l as (select event_id, kind, lag(kind) over (partition by project_id order by ts, event_id) as before from job_events) select event_id, before from l where kind = 'started' and before = 'progress'", "job_events")
+
+@query("f25_status_transition_check", f"with l as (select project_id, event_id, {_STATUS} as status, lag({_STATUS}) over (partition by project_id order by ts, event_id) as before from job_events) select project_id, event_id, before, status from l where (before, status) in (('analyzing', 'queued'), ('created', 'created'), ('completed', 'created'), ('failed', 'created'))", "job_events")
 def status_transition_check(spark, sf_dir):
-    before = F.lag("kind").over(Window.partitionBy("project_id").orderBy("ts", "event_id"))
-    return views.job_events(spark, sf_dir).withColumn("before", before).where("kind = 'started' and before = 'progress'").select("event_id", "before")
+    return ops.bad_transitions(views.job_events(spark, sf_dir).withColumn("status", F.expr(_STATUS)))
 
 
 @query("j1_project_report", "select p.project_id, c.c_name as owner, p.status from projects p left join customer c on c.c_custkey = p.api_key_id and c.c_acctbal > 5000", "projects")
@@ -74,15 +84,15 @@ def missing_parts(spark, sf_dir):
     return wanted.join(got, ["session_id", "part"], "left_anti")
 
 
-@query("a18_a19_telemetry_cost", f"select org_id, model, sum(tokens)::bigint as tokens, count(*) as calls, round(sum(tokens) * ({_PRICE}) / 1000000, 4)::double as cost from token_events group by org_id, model", "token_events")
+@query("a18_a19_telemetry_cost", f"with m as (select org_id, model, sum(tokens) as tokens, count(*) as calls, sum(tokens) * ({_PRICE}) as cost from token_events group by 1, 2) select org_id, sum(tokens)::bigint as tokens, sum(calls)::bigint as calls, sum(case when contains(model, 'embedding') then calls else 0 end)::bigint as embedding_calls, string_agg(model || '=' || calls, ' ' order by model) as calls_by_model, round(sum(cost) / 1000000, 4)::double as cost from m group by 1", "token_events")
 def telemetry_cost(spark, sf_dir):
-    g = views.token_events(spark, sf_dir).groupBy("org_id", "model").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls"))
-    return g.withColumn("cost", F.round(F.col("tokens").cast("decimal(20,0)") * _price(F.col("model")) / 1_000_000, 4).cast("double"))
+    t = ops.telemetry(views.token_events(spark, sf_dir))
+    return t.withColumn("calls_by_model", F.array_join(F.transform(F.map_entries("calls_by_model"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), " "))
 
 
 @query("a20_over_budget", f"with c as (select org_id, sum(tokens * ({_PRICE})) / 1000000 as cost from token_events group by 1) select org_id from c where cost > 20", "token_events")
 def over_budget(spark, sf_dir):
-    cost = F.sum(F.col("tokens").cast("decimal(20,0)") * _price(F.col("model"))) / 1_000_000
+    cost = F.sum(F.col("tokens").cast("decimal(20,0)") * ops.price(F.col("model"))) / 1_000_000
     return views.token_events(spark, sf_dir).groupBy("org_id").agg(cost.alias("cost")).where("cost > 20").select("org_id")
 
 
@@ -106,21 +116,24 @@ def projects_per_day(spark, sf_dir):
     return days.join(n, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("projects"))
 
 
-@query("a25_api_log_stats", "select client_id, round(avg(duration_ms), 5) as avg_ms, count(*) as requests, round(100.0 * count(*) filter (where status >= 500) / count(*), 5)::double as error_percent from api_log group by 1", "api_log")
+@query("a25_api_log_stats", "select client_id, round(avg(duration_ms), 5) as avg_ms, count(*) as requests, round(100.0 * count(*) filter (where status >= 500) / count(*), 5)::double as error_percent, count(*) filter (where ts >= timestamp '2024-01-20 00:00:00' - interval 1 minute and ts < timestamp '2024-01-20 00:00:00') as last_minute from api_log group by 1", "api_log")
 def api_log_stats(spark, sf_dir):
-    return views.api_log(spark, sf_dir).groupBy("client_id").agg(F.round(F.avg("duration_ms"), 5).alias("avg_ms"), F.count("*").alias("requests"), F.round(100.0 * F.count_if(F.col("status") >= 500) / F.count("*"), 5).alias("error_percent"))
+    return views.api_log(spark, sf_dir).groupBy("client_id").agg(F.round(F.avg("duration_ms"), 5).alias("avg_ms"), F.count("*").alias("requests"), F.round(100.0 * F.count_if(F.col("status") >= 500) / F.count("*"), 5).alias("error_percent"), F.count_if((F.col("ts") >= F.expr(_AS_OF) - F.expr("interval 1 minute")) & (F.col("ts") < F.expr(_AS_OF))).alias("last_minute"))
 
 
-@query("a35_upload_progress", "with u as (select distinct l_orderkey, l_linenumber, l_quantity from lineitem) select l_orderkey as session_id, count(*) as parts, sum(l_quantity)::bigint as bytes, count(*) >= 4 as complete from u group by 1")
+@query("a35_upload_progress", "with u as (select distinct l_orderkey, l_linenumber, l_quantity from lineitem) select l_orderkey as session_id, count(distinct l_linenumber) as parts, 2 + l_orderkey % 5 as total_parts, sum(l_quantity)::bigint as bytes, count(distinct l_linenumber) >= 2 + l_orderkey % 5 as complete from u group by l_orderkey")
 def upload_progress(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("session_id"), "l_linenumber", "l_quantity").dropDuplicates()
-    return parts.groupBy("session_id").agg(F.count("*").alias("parts"), F.sum("l_quantity").cast("bigint").alias("bytes"), (F.count("*") >= 4).alias("complete"))
+    total = 2 + F.col("session_id") % 5
+    g = parts.groupBy("session_id").agg(F.count_distinct("l_linenumber").alias("parts"), F.sum("l_quantity").cast("bigint").alias("bytes"))
+    return g.select("session_id", "parts", total.alias("total_parts"), "bytes", (F.col("parts") >= total).alias("complete"))
 
 
-@query("a36_checkpoint_progress", "select project_id, count(*) as total, count(*) filter (where kind = 'completed') as done, round(100.0 * count(*) filter (where kind = 'completed') / count(*), 5)::double as percent from job_events group by 1", "job_events")
+@query("a36_checkpoint_progress", "select project_id, total, done, round(100.0 * done / total, 5)::double as percent, round(case when done > 0 then elapsed * (total - done) / done end, 5)::double as seconds_left from (select project_id, count(*) as total, count(*) filter (where kind = 'completed') as done, (epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))))::bigint as elapsed from job_events group by 1)", "job_events")
 def checkpoint_progress(spark, sf_dir):
-    done = F.count_if(F.col("kind") == "completed")
-    return views.job_events(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("total"), done.alias("done"), F.round(F.try_divide(100.0 * done, F.count("*")), 5).alias("percent"))
+    seconds = F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))
+    g = views.job_events(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "completed").alias("done"), seconds.alias("elapsed"))
+    return ops.remaining(g).select("project_id", "total", "done", F.round("percent", 5).alias("percent"), F.round("seconds_left", 5).alias("seconds_left"))
 
 
 @query("w2_latest_checkpoint", "select project_id, event_id from (select project_id, event_id, row_number() over (partition by project_id order by ts desc, event_id desc) as r from job_events) where r = 1", "job_events")
@@ -129,11 +142,12 @@ def latest_checkpoint(spark, sf_dir):
     return views.job_events(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r = 1").select("project_id", "event_id")
 
 
-@query("w9_progress_delta", "with p as (select project_id, event_id, 5 + 15 * (event_id % 10) / 10.0 as percent, ts from job_events where kind = 'progress') select event_id, percent::double as percent, (percent - lag(percent) over (partition by project_id order by ts, event_id))::double as delta from p", "job_events")
+@query("w9_progress_delta", "with p as (select project_id, event_id, ts, case event_id % 3 when 0 then 5 + 15 * (event_id % 10) / 10.0::double when 1 then 5 + 30 * (event_id % 10) / 10.0::double else 40 + 40 * (event_id % 10) / 10.0::double end as percent from job_events where kind = 'progress') select event_id, round(percent, 6) as percent, round(percent - lag(percent) over (partition by project_id order by ts, event_id), 6) as delta from p", "job_events")
 def progress_delta(spark, sf_dir):
     w = Window.partitionBy("project_id").orderBy("ts", "event_id")
-    p = views.job_events(spark, sf_dir).where("kind = 'progress'").withColumn("percent", 5 + 15 * (F.col("event_id") % 10) / 10.0)
-    return p.select("event_id", "percent", (F.col("percent") - F.lag("percent").over(w)).alias("delta"))
+    phase = F.element_at(F.array(*map(F.lit, ("indexing", "retrieval", "analysis"))), (F.col("event_id") % 3).cast("int") + 1)
+    p = ops.progress(views.job_events(spark, sf_dir).where("kind = 'progress'").withColumns({"phase": phase, "done": F.col("event_id") % 10, "total": F.lit(10)}))
+    return p.select("event_id", F.round("percent", 6).alias("percent"), F.round(F.col("percent") - F.lag("percent").over(w), 6).alias("delta"))
 
 
 @query("w10_last_n_samples", "select kind, event_id from (select kind, event_id, row_number() over (partition by kind order by ts desc, event_id desc) as r from job_events) where r <= 1000", "job_events")
@@ -142,11 +156,10 @@ def last_n_samples(spark, sf_dir):
     return views.job_events(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 1000").select("kind", "event_id")
 
 
-@query("k1_page", "select project_id, name, (select count(*) from projects where status = 5) as total from projects where status = 5 order by created_at desc, project_id limit 20 offset 20", "projects")
+@query("k1_page", "select project_id, name, total, ceil(total / 20.0)::bigint as pages, ceil(total / 20.0) > 2 as has_next, true as has_previous from (select project_id, name, created_at, count(*) over () as total from projects where status = 5) order by created_at desc, project_id limit 20 offset 20", "projects")
 def page(spark, sf_dir):
     rows = views.projects(spark, sf_dir).where("status = 5")
-    total = rows.agg(F.count("*").alias("total"))  # one row
-    return rows.orderBy(F.desc("created_at"), "project_id").offset(20).limit(20).select("project_id", "name").crossJoin(F.broadcast(total))
+    return ops.page(rows, [F.desc("created_at"), F.col("project_id")], 2).select("project_id", "name", "total", "pages", "has_next", "has_previous")
 
 
 @query("k6_queue_order", f"select event_id, row_number() over (partition by project_id order by value desc, ts, event_id) as place from job_events where kind = 'started' and ts <= {_AS_OF}", "job_events")
@@ -155,24 +168,14 @@ def queue_order(spark, sf_dir):
     return views.job_events(spark, sf_dir).where((F.col("kind") == "started") & (F.col("ts") <= F.expr(_AS_OF))).select("event_id", F.row_number().over(w).alias("place"))
 
 
-def _stream(spark, sf_dir, view):
-    """A view's columns over the stream of arriving files."""
-    batch = {"job_events": views.job_events, "api_log": views.api_log, "token_events": views.token_events}[view]
-    real, views._read = views._read, jobs.arriving
-    try:
-        return batch(spark, sf_dir)
-    finally:
-        views._read = real
-
-
 @query("t1_t10_progress_latest", "select project_id, max(ts) as ts, arg_max(kind, (ts, event_id)) as kind, arg_max(value, (ts, event_id)) as value, arg_max(event_id, (ts, event_id)) as event_id from job_events group by 1", "job_events")
 def progress_latest(spark, sf_dir):
-    return jobs.settled(jobs.progress_latest(_stream(spark, sf_dir, "job_events")), ["project_id"])
+    return jobs.settled(jobs.progress_latest(views.job_events(spark, sf_dir, jobs.arriving)), ["project_id"])
 
 
 @query("t2_finding_stream", "select severity, count(*) as findings from findings group by 1", "findings")
 def finding_stream(spark, sf_dir):
-    return jobs.new_findings(views.findings(spark, sf_dir))
+    return jobs.settled(jobs.new_findings(views.findings(spark, sf_dir, jobs.arriving)), ["severity"])
 
 
 @query("t3_stuck_jobs", "with g as (select project_id, event_id, epoch(date_trunc('second', lead(ts) over (partition by project_id order by ts, event_id)))::bigint - epoch(date_trunc('second', ts))::bigint as gap from job_events where kind = 'heartbeat') select project_id, event_id, gap, gap // 21600 as strikes from g where gap > 21600", "job_events")
@@ -182,37 +185,49 @@ def stuck_jobs(spark, sf_dir):
 
 @query("t4_heartbeat_sessions", "with b as (select project_id, ts, case when ts - lag(ts) over (partition by project_id order by ts, event_id) < interval 6 hours then 0 else 1 end as new, event_id from job_events where kind = 'heartbeat'), s as (select *, sum(new) over (partition by project_id order by ts, event_id) as n from b) select project_id, min(ts) as start, max(ts) + interval 6 hours as \"end\", count(*) as beats from s group by project_id, n", "job_events")
 def heartbeat_sessions(spark, sf_dir):
-    return jobs.heartbeat_sessions(views.job_events(spark, sf_dir), "6 hours")
+    return jobs.settled(jobs.heartbeat_sessions(views.job_events(spark, sf_dir, jobs.arriving), "6 hours"), mode="complete")
 
 
 @query("t5_rate_limit_sliding", "with w as (select client_id, time_bucket(interval 10 minutes, ts) - k * interval 10 minutes as start from api_log, range(0, 6) r(k)) select client_id, start, count(*) as requests from w group by 1, 2 having count(*) > 2", "api_log")
 def rate_limit_sliding(spark, sf_dir):
-    return jobs.settled(jobs.over_rate(_stream(spark, sf_dir, "api_log"), 2, "1 hour", "10 minutes"), ["client_id", "start"])
+    return jobs.settled(jobs.over_rate(views.api_log(spark, sf_dir, jobs.arriving), 2, "1 hour", "10 minutes"), ["client_id", "start"])
 
 
 @query("t6_rate_limit_fixed", "select client_id, date_trunc('hour', ts) as start, count(*) as requests from api_log group by 1, 2 having count(*) > 1", "api_log")
 def rate_limit_fixed(spark, sf_dir):
-    return jobs.over_rate(views.api_log(spark, sf_dir), 1, "1 hour", None)
+    return jobs.settled(jobs.over_rate(views.api_log(spark, sf_dir, jobs.arriving), 1, "1 hour", None), ["client_id", "start"])
 
 
 @query("t7_token_budget", "select model, date_trunc('hour', ts) as start, sum(tokens)::bigint as tokens, sum(tokens) > 20000 as over from token_events group by 1, 2", "token_events")
 def token_budget(spark, sf_dir):
-    return jobs.settled(jobs.token_budget(_stream(spark, sf_dir, "token_events"), 20_000, "1 hour"), ["model", "start"])
+    return jobs.settled(jobs.token_budget(views.token_events(spark, sf_dir, jobs.arriving), 20_000, "1 hour"), ["model", "start"])
 
 
-@query("t8_metrics_stream", "select kind, date_trunc('hour', ts) as start, count(*) as n, round(sum(value), 4) as total, arg_max(value, (ts, event_id)) as last from job_events group by 1, 2", "job_events")
+@query("t8_metrics_stream", "select kind, date_trunc('hour', ts) as start, count(*) as n, round(sum(value), 4) as total, arg_max(value, (ts, event_id)) as last, round(quantile_cont(value, 0.95), 4) as p95 from job_events group by 1, 2", "job_events")
 def metrics_stream(spark, sf_dir):
-    return jobs.settled(jobs.metrics(_stream(spark, sf_dir, "job_events")), ["kind", "start"]).withColumn("total", F.round("total", 4))
+    return jobs.settled(jobs.metrics(views.job_events(spark, sf_dir, jobs.arriving)), ["kind", "start"]).withColumn("total", F.round("total", 4)).withColumn("p95", F.round("p95", 4))
 
 
 @query("t9_j12_job_durations", "with a as (select * from job_events where kind = 'started'), b as (select * from job_events where kind in ('completed', 'failed')) select a.event_id as start_id, b.event_id as end_id, b.kind as outcome, epoch(date_trunc('second', b.ts))::bigint - epoch(date_trunc('second', a.ts))::bigint as seconds from a left join b on b.project_id = a.project_id and b.ts >= a.ts and b.ts <= a.ts + interval 2 days", "job_events")
 def job_durations(spark, sf_dir):
-    events = views.job_events(spark, sf_dir)
-    return jobs.job_durations(events.where("kind = 'started'"), events.where("kind in ('completed', 'failed')"))
+    """Starts joined with their finishes as two streams; starts that are still open at the end are added from the table."""
+    kinds = lambda events: (events.where("kind = 'started'"), events.where("kind in ('completed', 'failed')"))
+    live = lambda: views.job_events(spark, sf_dir, jobs.arriving)
+    ended = jobs.settled(jobs.job_durations(kinds(live())[0], kinds(live())[1], how="inner"), mode="append")
+    started = views.job_events(spark, sf_dir).where("kind = 'started'").select(F.col("event_id").alias("start_id"))
+    return ended.unionByName(started.join(ended.select("start_id"), "start_id", "left_anti"), allowMissingColumns=True)
+
+
+@query("t11_stream_new_chunks", "select distinct project_id || '-' || kind as chunk_id from job_events where project_id % 3 <> 0", "job_events")
+def stream_new_chunks(spark, sf_dir):
+    """Chunks named in arriving events, but those of every third project, which are stored."""
+    name = F.concat(F.col("project_id").cast("string"), F.lit("-"), F.col("kind")).alias("chunk_id")
+    stored = views.job_events(spark, sf_dir).where("project_id % 3 = 0").select(name).distinct()
+    arriving = views.job_events(spark, sf_dir, jobs.arriving).select(name, "ts")
+    return jobs.settled(jobs.new_chunks(arriving, stored), mode="append").select("chunk_id").distinct()
 
 
-@query("t12_quota_usage", "with m as (select org_id, date_trunc('month', ts)::date::varchar as month, tokens, ts, event_id from token_events) select event_id, org_id, month, sum(tokens) over (partition by org_id, month order by ts, event_id)::bigint as used, sum(tokens) over (partition by org_id, month order by ts, event_id) > 3000000 as over from m", "token_events")
+@query("t12_quota_usage", "with d as (select org_id, ts::date as day, sum(tokens) as tokens, count(*) as calls from token_events group by 1, 2), m as (select *, sum(tokens) over (partition by org_id, date_trunc('month', day) order by day)::bigint as used from d) select org_id, day::varchar as day, calls, used, used > 100000 as over, used > 120000 as suspended from m", "token_events")
 def quota_usage(spark, sf_dir):
-    used = F.sum("tokens").over(Window.partitionBy("org_id", "month").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    m = views.token_events(spark, sf_dir).withColumn("month", F.to_date(F.date_trunc("month", "ts")).cast("string"))
-    return m.select("event_id", "org_id", "month", used.alias("used"), (used > 3_000_000).alias("over"))
+    daily = jobs.settled(jobs.daily_usage(views.token_events(spark, sf_dir, jobs.arriving)), ["org_id", "day"])
+    return jobs.quota_usage(daily, 100_000, 20_000).select("org_id", F.col("day").cast("string").alias("day"), "calls", "used", "over", "suspended")

@@ -9,6 +9,7 @@ from strandline.functions.rules import SEVERITY_CODES, sql_case
 from strandline.operators import findings as ops
 from strandline.plans.registry import query
 from strandline.sources import views
+from strandline.streaming import jobs
 
 
 def _found(spark, sf_dir):
@@ -16,15 +17,18 @@ def _found(spark, sf_dir):
 
 
 _GATE = "not (file_path is null and (trim(explanation) = '' or confidence < 0.3))"
-_GROUPS = "g as (select project_id, coalesce(symbol, '') as symbol, coalesce(file_path, '') as file_path, category, case when bool_or(severity = 'High') then 'High' when bool_or(severity = 'Medium') then 'Medium' else arg_min(severity, ordinal) end as severity, max(confidence) as confidence, avg(confidence) as avg_confidence, count(*) filter (where severity = 'High') as highs, count(*) as merged, coalesce(string_agg(description, chr(10) order by ordinal) filter (where trim(description) <> ''), '') as descriptions, min(ordinal) as ordinal from {source} group by 1, 2, 3, 4)"
+_GROUPS = """g as (select project_id, case when count(symbol) = count(*) then max(symbol) end as symbol, case when count(file_path) = count(*) then max(file_path) end as file_path, category, case when bool_or(severity = 'High') then 'High' when bool_or(severity = 'Medium') then 'Medium' else arg_min(severity, ordinal) end as severity, max(confidence) as confidence, avg(confidence) as avg_confidence, count(*) filter (where severity = 'High') as highs, count(*) as merged, coalesce(string_agg(description, chr(10) || '---' || chr(10) order by ordinal) filter (where trim(description) <> ''), '') as description, coalesce(string_agg(explanation, chr(10) || chr(10) order by ordinal) filter (where trim(explanation) <> ''), '') as explanation, arg_min(suggestion, ordinal) filter (where trim(suggestion) <> '') as suggestion, min(ordinal) as ordinal from {source} group by project_id, coalesce(symbol, ''), coalesce(file_path, ''), category)"""
 _COUNTS = "project_id, count(*) filter (where severity = 'Critical') as critical_count, count(*) filter (where severity = 'High') as high_count, count(*) filter (where severity = 'Medium') as medium_count, count(*) filter (where severity = 'Low') as low_count, count(*) filter (where severity = 'Info') as info_count, count(*) filter (where severity in ('High', 'Medium', 'Low')) as total"
 _HEALTH = "greatest(0, 100 - least(high_count * 10, 50) - least(medium_count * 3, 30) - least(low_count, 20))::int"
 _BAND = "case when {s} >= 90 then 'excellent' when {s} >= 75 then 'good' when {s} >= 50 then 'fair' when {s} >= 25 then 'needs improvement' else 'critical' end"
 
 
-@query("f12_parse_enums", f"select ordinal, {sql_case('lower(severity)', SEVERITY_CODES, '2', False)} as severity_code, case when category = 'Other' then 'CodeQuality' else category end as category from findings", "findings")
+@query("f12_parse_enums", f"select ordinal, {sql_case('lower(severity)', SEVERITY_CODES, '2', False)} as severity_code, case lower(category) {' '.join(f"when '{c.lower()}' then '{c}'" for c in ops.CATEGORIES)} else 'CodeQuality' end as category, case lower(severity) {' '.join(f"when '{k}' then {v}" for k, v in SEVERITY_CODES.items())} else 0 end as agent_code from (select ordinal, case when ordinal % 7 = 0 then upper(severity) when ordinal % 11 = 0 then 'grave' else severity end as severity, case when ordinal % 5 = 0 then upper(category) when ordinal % 13 = 0 then 'none' else category end as category from findings)", "findings")
 def parse_enums(spark, sf_dir):
-    return _found(spark, sf_dir).select("ordinal", ops.severity_code(F.col("severity")).alias("severity_code"), F.when(F.col("category") == "Other", "CodeQuality").otherwise(F.col("category")).alias("category"))
+    """Names in any case, and unknown ones: Medium and CodeQuality in a report, Info from an agent."""
+    n, severity, category = F.col("ordinal"), F.col("severity"), F.col("category")
+    odd = _found(spark, sf_dir).select("ordinal", F.when(n % 7 == 0, F.upper(severity)).when(n % 11 == 0, "grave").otherwise(severity).alias("severity"), F.when(n % 5 == 0, F.upper(category)).when(n % 13 == 0, "none").otherwise(category).alias("category"))
+    return odd.select("ordinal", ops.severity_code(severity).alias("severity_code"), ops.category(category).alias("category"), ops.severity_code(severity, "info").alias("agent_code"))
 
 
 @query("f13_parse_line_range", "select ordinal, case when line_start > 0 then line_start end as first_line, case when line_start > 0 then coalesce(line_end, line_start) end as last_line from findings", "findings")
@@ -67,23 +71,22 @@ def health_score(spark, sf_dir):
     return c.select("project_id", "file_path", "category", ops.health(F.col("high_count"), F.col("medium_count"), F.col("low_count")).cast("int").alias("health_score")).withColumn("band", ops.band(F.col("health_score")))
 
 
-@query("a10_consolidate_findings", f"with {_GROUPS.format(source='findings')} select project_id, symbol, file_path, category, severity, confidence, merged, descriptions from g", "findings")
+@query("a10_consolidate_findings", f"with {_GROUPS.format(source='findings')} select project_id, symbol, file_path, category, severity, confidence, merged, description, explanation, suggestion from g", "findings")
 def consolidate_findings(spark, sf_dir):
-    return ops.consolidate(_found(spark, sf_dir)).select("project_id", "symbol", "file_path", "category", "severity", "confidence", "merged", "descriptions")
+    return ops.consolidate(_found(spark, sf_dir)).select("project_id", "symbol", "file_path", "category", "severity", "confidence", "merged", "description", "explanation", "suggestion")
 
 
 @query("a11_dedupe_and_merge", f"with {_GROUPS.format(source='findings')} select project_id, symbol, file_path, category, case when highs >= 2 or avg_confidence > 0.85 then 'High' else severity end as severity from g", "findings")
 def dedupe_and_merge(spark, sf_dir):
-    return ops.escalate(ops.consolidate(_found(spark, sf_dir))).select("project_id", "symbol", "file_path", "category", "severity")
+    return ops.escalate(ops.merged(_found(spark, sf_dir))).select("project_id", "symbol", "file_path", "category", "severity")
 
 
-@query("a32_recommendations", "with f as (select explanation, min(ordinal) as ordinal from findings where trim(explanation) <> '' group by 1) select explanation, ordinal, row_number() over (order by ordinal) as place from f order by ordinal limit 10", "findings")
+@query("a32_recommendations", "with f as (select project_id, suggestion, min(ordinal) as ordinal from findings where trim(suggestion) <> '' group by 1, 2) select * from (select project_id, suggestion, row_number() over (partition by project_id order by ordinal) as place from f) where place <= 10", "findings")
 def recommendations(spark, sf_dir):
-    first = _found(spark, sf_dir).where(F.trim("explanation") != "").groupBy("explanation").agg(F.min("ordinal").alias("ordinal")).orderBy("ordinal").limit(10)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("ordinal")))  # ten rows
+    return ops.recommendations(_found(spark, sf_dir))
 
 
-_REPORT = f"with s as (select * from findings where {_GATE} and trim(description) <> ''), {_GROUPS.format(source='s')}, e as (select project_id, case when highs >= 2 or avg_confidence > 0.85 then 'High' else severity end as severity from g), c as (select {_COUNTS} from e group by 1), h as (select *, {_HEALTH} as health_score from c) select *, {_BAND.format(s='health_score')} as band, 'The overall code health is ' || {_BAND.format(s='health_score')} || ' with a score of ' || health_score || '/100.' as summary from h"
+_REPORT = f"with s as (select * from findings where {_GATE} and trim(description) <> ''), {_GROUPS.format(source='s')}, e as (select project_id, case when highs >= 2 or avg_confidence > 0.85 then 'High' else severity end as severity from g), c as (select {_COUNTS} from e group by 1), h as (select *, {_HEALTH} as health_score from c), a as (select project_id as p, string_agg(suggestion, chr(10) order by place) as recommendations from (select project_id, suggestion, row_number() over (partition by project_id order by o) as place from (select project_id, suggestion, min(ordinal) as o from s where trim(suggestion) <> '' group by 1, 2)) where place <= 10 group by 1) select h.*, {_BAND.format(s='health_score')} as band, 'The overall code health is ' || {_BAND.format(s='health_score')} || ' with a score of ' || health_score || '/100. Found ' || high_count || ' high, ' || medium_count || ' medium and ' || low_count || ' low severity findings.' as summary, coalesce(recommendations, '') as recommendations from h left join a on a.p = h.project_id"
 
 
 @query("a34_report_rollup", _REPORT, "findings")
@@ -91,14 +94,14 @@ def report_rollup(spark, sf_dir):
     return ops.report(_found(spark, sf_dir))
 
 
-@query("s15_export_report_json", "select project_id, count(*) as findings, string_agg(ordinal::varchar, ',' order by ordinal) as ordinals from findings where severity = 'Critical' and confidence > 0.9 group by 1", "findings")
+@query("s15_export_report_json", f"with c as (select {_COUNTS} from findings group by 1), h as (select *, {_HEALTH} as health_score from c) select h.*, n.findings, n.ordinals, n.first_text from h join (select project_id, count(*) as findings, string_agg(ordinal::varchar, ',' order by ordinal) as ordinals, arg_min(description, ordinal) as first_text from findings group by 1) n on n.project_id = h.project_id", "findings")
 def export_report_json(spark, sf_dir):
-    """A JSON report for each project with its gravest findings, read back to show that it holds them in order."""
-    rows = _found(spark, sf_dir).where("severity = 'Critical' and confidence > 0.9")
-    nested = rows.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "category", "file_path"))).alias("findings"))
-    text = nested.select(F.to_json(F.struct("project_id", "findings")).alias("report"))
-    back = text.select(F.from_json("report", "project_id string, findings array<struct<ordinal:bigint,category:string,file_path:string>>").alias("r"))
-    return back.select("r.project_id", F.size("r.findings").cast("bigint").alias("findings"), F.array_join(F.transform("r.findings", lambda x: x["ordinal"].cast("string")), ",").alias("ordinals"))
+    """A JSON report for each project with counts, score and all its findings, written to the shared folder and read back."""
+    path = jobs.shared_path(spark, "reports")
+    ops.report_json(_found(spark, sf_dir)).write.text(path)
+    back = spark.read.text(path).select(F.from_json("value", ops.REPORT_JSON).alias("r"))
+    ids = F.array_join(F.transform("r.findings", lambda x: x["ordinal"].cast("string")), ",")
+    return back.select("r.project_id", *(f"r.{c}" for c in ("critical_count", "high_count", "medium_count", "low_count", "info_count", "total", "health_score")), F.size("r.findings").cast("bigint").alias("findings"), ids.alias("ordinals"), F.col("r.findings")[0]["description"].alias("first_text"))
 
 
 @query("w1_guardrail_dedupe", "with r as (select *, row_number() over (partition by project_id, agent, coalesce(file_path, ''), coalesce(symbol, ''), description order by confidence desc, ordinal) as r from findings), t as (select *, row_number() over (partition by project_id, agent order by confidence desc, ordinal) as place from r where r = 1) select ordinal, place from t where place <= 25", "findings")
@@ -109,21 +112,23 @@ def guardrail_dedupe(spark, sf_dir):
 @query("w7_top_findings_per_severity", "with r as (select project_id, severity, ordinal, row_number() over (partition by project_id, severity order by ordinal) as place, count(*) over (partition by project_id, severity) as n from findings) select project_id, severity, ordinal, place, greatest(n - 20, 0) as remaining from r where place <= 20", "findings")
 def top_findings_per_severity(spark, sf_dir):
     w = Window.partitionBy("project_id", "severity")
-    r = _found(spark, sf_dir).select("project_id", "severity", "ordinal", F.row_number().over(w.orderBy("ordinal")).alias("place"), F.count("*").over(w).alias("n"))
-    return r.where("place <= 20").select("project_id", "severity", "ordinal", "place", F.greatest(F.col("n") - 20, F.lit(0)).alias("remaining"))
+    found = _found(spark, sf_dir).select("project_id", "severity", "ordinal")
+    top = found.withColumn("place", F.row_number().over(w.orderBy("ordinal"))).where("place <= 20")  # cut before the shuffle
+    n = found.groupBy("project_id", "severity").agg(F.greatest(F.count("*") - 20, F.lit(0)).alias("remaining"))
+    return top.join(n, ["project_id", "severity"])
 
 
-@query("k2_findings_ordered", f"select project_id, ordinal, row_number() over (partition by project_id order by {sql_case('lower(severity)', SEVERITY_CODES, '2', False)} desc, file_path nulls first, ordinal) as place from findings", "findings")
+@query("k2_findings_ordered", f"select project_id, ordinal, {sql_case('lower(severity)', SEVERITY_CODES, '2', False)} as code, file_path from findings", "findings")
 def findings_ordered(spark, sf_dir):
-    w = Window.partitionBy("project_id").orderBy(F.desc(ops.severity_code(F.col("severity"))), F.asc_nulls_first("file_path"), "ordinal")
-    return _found(spark, sf_dir).select("project_id", "ordinal", F.row_number().over(w).alias("place"))
+    """All findings in the order of a project's list: gravest first, then by file. A range sort, so a large project is many tasks."""
+    code = ops.severity_code(F.col("severity"))
+    return _found(spark, sf_dir).select("project_id", "ordinal", code.alias("code"), "file_path").orderBy("project_id", F.desc("code"), F.asc_nulls_first("file_path"), "ordinal")
 
 
-@query("j2_report_findings", f"with c as (select {_COUNTS} from findings group by 1) select c.project_id, c.total, f.ordinal from c left join findings f on f.project_id = c.project_id and f.severity = 'Critical'", "findings")
+@query("j2_report_findings", f"with c as (select {_COUNTS} from findings group by 1) select c.project_id, c.total, f.ordinal, f.severity from c left join findings f on f.project_id = c.project_id", "findings")
 def report_findings(spark, sf_dir):
     found = _found(spark, sf_dir)
-    worst = found.where("severity = 'Critical'").select("project_id", "ordinal")
-    return ops.counts(found).select("project_id", "total").join(worst, "project_id", "left")
+    return ops.counts(found).select("project_id", "total").join(found.select("project_id", "ordinal", "severity"), "project_id", "left")
 
 
 @query("j8_findings_files", "select f.ordinal, d.doc_id from findings f left join (select project_id, 'src/f' || (doc_id % 50) || '.cs' as path, min(doc_id) as doc_id from source_files group by 1, 2) d on d.project_id = f.project_id and d.path = f.file_path", "findings", "source_files")
@@ -132,11 +137,13 @@ def findings_files(spark, sf_dir):
     return _found(spark, sf_dir).join(files, ["project_id", "file_path"], "left").select("ordinal", "doc_id")
 
 
-@query("u1_merge_agent_findings", "select ordinal, severity, description from findings where agent = 'Security' union all select ordinal, 'Info', 'Agent failed' from findings where agent = 'Structure' and confidence > 0.95", "findings")
+@query("u1_merge_agent_findings", "select ordinal, agent, severity, description from findings where not (agent = 'Structure' and confidence > 0.95) union all select ordinal, agent, 'Info', 'Agent failed' from findings where agent = 'Structure' and confidence > 0.95", "findings")
 def merge_agent_findings(spark, sf_dir):
+    """Findings of all agents; those of a failed one are replaced by a note that it failed."""
     found = _found(spark, sf_dir)
-    failed = found.where("agent = 'Structure' and confidence > 0.95").select("ordinal", F.lit("Info").alias("severity"), F.lit("Agent failed").alias("description"))
-    return found.where("agent = 'Security'").select("ordinal", "severity", "description", "category").unionByName(failed, allowMissingColumns=True).select("ordinal", "severity", "description")
+    failed = (F.col("agent") == "Structure") & (F.col("confidence") > 0.95)
+    notes = found.where(failed).select("ordinal", "agent", F.lit("Info").alias("severity"), F.lit("Agent failed").alias("description"))
+    return found.where(~failed).select("ordinal", "agent", "severity", "description").unionByName(notes)
 
 
 @query("r13_narrative_fallback", "with r as (select project_id, ordinal, '- [' || severity || '] ' || description as line, row_number() over (partition by project_id order by ordinal) as k from findings) select project_id, string_agg(line, chr(10) order by ordinal) as narrative from r where k <= 20 group by 1", "findings")
@@ -144,14 +151,3 @@ def narrative_fallback(spark, sf_dir):
     line = F.concat(F.lit("- ["), "severity", F.lit("] "), "description")
     r = _found(spark, sf_dir).select("project_id", "ordinal", line.alias("line"), F.row_number().over(Window.partitionBy("project_id").orderBy("ordinal")).alias("k")).where("k <= 20")
     return r.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n").alias("narrative"))
-
-
-@query("r12_review", _REPORT, "findings")
-def review(spark, sf_dir):
-    """Findings of all agents, appended, gated, merged and rolled up."""
-    found = _found(spark, sf_dir)
-    agents = [found.where(F.col("agent") == a) for a in views.AGENTS]
-    every = agents[0]
-    for more in agents[1:]:
-        every = every.unionByName(more)
-    return ops.report(every)

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, *views: str) -> Callable[[Query], Q
 
 def load() -> None:
     """Import the modules that register queries."""
-    from strandline.plans import corpus, events, findings, vectors  # noqa: F401
+    from strandline.plans import corpus, events, findings, review, vectors  # noqa: F401
 
 
 load()

@@ -22,24 +22,35 @@ def arriving(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFram
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where it is unset a local one, if the whole job
+    runs on this machine; a cluster without a shared folder is refused."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def settled(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Run a stream in update mode over all that is there, upserting by key: the last row of each key that any batch wrote.
+def settled(stream: DataFrame, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
+    """Run a stream over all that is there and return what it came to. In update mode the last row of each key that any batch
+    wrote, in append mode every row, in complete mode the rows of the last batch.
 
     Batches and the stream's checkpoint are in the shared folder, so a restart goes on where it stopped."""
     spark = stream.sparkSession
     path = shared_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(f"{path}/rows/*").withColumn("batch", F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("long"))
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
     newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
     return rows.withColumn("r", F.row_number().over(newest)).where("r = 1").drop("r", "batch")
 
@@ -52,7 +63,7 @@ def progress_latest(events: DataFrame) -> DataFrame:
 
 def new_findings(findings: DataFrame) -> DataFrame:
     """Counts by severity of findings, each counted once."""
-    once = findings.withWatermark("ts", LATE).dropDuplicates(["ordinal", "ts"]) if findings.isStreaming else findings.dropDuplicates(["ordinal"])
+    once = findings.withWatermark("ts", LATE).dropDuplicates(["ordinal", "ts"])
     return once.groupBy("severity").agg(F.count("*").alias("findings"))
 
 
@@ -77,19 +88,40 @@ def token_budget(usage: DataFrame, limit: int, length: str = "1 minute") -> Data
 
 
 def metrics(events: DataFrame, length: str = "1 hour") -> DataFrame:
-    """Count, sum and last value of each kind in each window."""
+    """Count, sum, last value and 95th percentile of each kind in each window."""
     rows = events.withWatermark("ts", LATE).groupBy("kind", F.window("ts", length).alias("w"))
-    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max_by("value", F.struct("ts", "event_id")).alias("last")).select("kind", F.col("w.start").alias("start"), "n", "total", "last")
+    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max_by("value", F.struct("ts", "event_id")).alias("last"), F.percentile("value", 0.95).alias("p95")).select("kind", F.col("w.start").alias("start"), "n", "total", "last", "p95")
 
 
-def job_durations(started: DataFrame, finished: DataFrame, within: str = "2 days") -> DataFrame:
-    """Each start with the finishes of its project that follow it within a time; starts without one stay.
+def new_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:
+    """Arriving chunks (chunk_id, ts, ...), each once, without those that a stored table has."""
+    once = chunks.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["chunk_id"])
+    return once.join(stored.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def daily_usage(usage: DataFrame) -> DataFrame:
+    """(org_id, day, tokens, calls) of usage (org_id, ts, tokens)."""
+    days = usage.withWatermark("ts", LATE).groupBy("org_id", F.window("ts", "1 day").alias("w"))
+    return days.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls")).select("org_id", F.to_date("w.start").alias("day"), "tokens", "calls")
+
+
+def quota_usage(daily: DataFrame, limit: int, grace: int) -> DataFrame:
+    """Running use of each organisation within its month, by day, with whether it is over the limit, and suspended beyond a grace.
+
+    Sums of days are summed up, so an organisation has at most 31 rows in a group."""
+    month = F.date_trunc("month", "day").cast("date")
+    used = F.sum("tokens").over(Window.partitionBy("org_id", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return daily.withColumn("month", month).withColumn("used", used).withColumn("over", F.col("used") > limit).withColumn("suspended", F.col("used") > limit + grace)
+
+
+def job_durations(started: DataFrame, finished: DataFrame, within: str = "2 days", how: str = "leftOuter") -> DataFrame:
+    """Each start with the finishes of its project that follow it within a time; starts without one stay, with how leftOuter.
 
     Both sides have a watermark and the condition a time range, so a stream's state is bounded."""
     a = started.withWatermark("ts", LATE).select(F.col("project_id").alias("p"), F.col("ts").alias("started_at"), F.col("event_id").alias("start_id"))
     b = finished.withWatermark("ts", LATE).select("project_id", F.col("ts").alias("finished_at"), F.col("kind").alias("outcome"), F.col("event_id").alias("end_id"))
     on = (F.col("p") == F.col("project_id")) & (F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= F.col("started_at") + F.expr(f"interval {within}"))
-    return a.join(b, on, "leftOuter").select("start_id", "end_id", "outcome", (F.unix_timestamp("finished_at") - F.unix_timestamp("started_at")).alias("seconds"))
+    return a.join(b, on, how).select("start_id", "end_id", "outcome", (F.unix_timestamp("finished_at") - F.unix_timestamp("started_at")).alias("seconds"))
 
 
 def silences(events: DataFrame, silent: int) -> DataFrame:

@@ -4,7 +4,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from strandline.operators import files, findings, vectors
+from strandline.operators import files, findings, review, vectors
+from strandline.operators import jobs as state
 from strandline.streaming import jobs
 
 
@@ -23,7 +24,47 @@ def test_excluded_paths(spark):
 def test_block_comments_do_not_count(spark):
     text = "/* a\n b */\nint x;\n// c\n\n/* d */\ny();\n/* open\nz"
     df = spark.createDataFrame([(1, text)], "doc_id long, content string")
-    assert files.code_lines(df).collect()[0]["loc"] == 2
+    assert df.select(files.code_lines(F.col("content"))).first()[0] == 2
+    both = spark.createDataFrame([(1, "p", "a.cs", ".cs", text), (2, "p", "a.py", ".py", "class A:\n\n  if x: y")], "doc_id long, project_id string, file_path string, ext string, content string")
+    assert [(r["loc"], r["total_lines"], r["types"], r["complexity"]) for r in files.metrics(both).orderBy("doc_id").collect()] == [(2, 9, 0, 1), (2, 3, 0, 0)]
+
+
+def test_methods_count_for_risk(spark):
+    code = "namespace A.B;\npublic class C\n{\n" + "\n".join(f"    public static async Task<int> M{k}(int a) {{ return 1; }}" for k in range(25)) + "\n}"
+    row = files.metrics(spark.createDataFrame([(1, "p", "a.cs", ".cs", code)], "doc_id long, project_id string, file_path string, ext string, content string")).first()
+    assert (row["types"], row["methods"], row["namespaces"]) == (1, 25, 1)
+    points = spark.createDataFrame([(31, 1001, 31), (21, 501, 21), (11, 251, 20), (10, 250, 20)], "c int, n int, m int")
+    assert [r[0] for r in points.select(files.risk_level(F.col("c"), F.col("n"), F.col("m"))).collect()] == ["Critical", "High", "Low", "Low"]
+
+
+def test_sizes_are_shown_with_decimals(spark):
+    df = spark.createDataFrame([(1023,), (10240,), (1536 * 1024,), (2 << 30,)], "n long")
+    assert [r[0] for r in df.select(files.format_bytes(F.col("n"))).collect()] == ["1023 B", "10.0 KB", "1.5 MB", "2.00 GB"]
+
+
+def test_consolidated_texts(spark):
+    rows = [(1, "p", "S", None, "C", "low", 0.2, "a", "x", " ", "A"), (2, "p", "S", "", "C", "MEDIUM", 0.9, "b", "", "fix", "A"), (3, "p", None, "f", "C", "Info", 0.1, " ", None, None, "B")]
+    found = spark.createDataFrame(rows, "ordinal long, project_id string, symbol string, file_path string, category string, severity string, confidence double, description string, explanation string, suggestion string, agent string")
+    got = sorted((tuple(r[c] for c in ("symbol", "file_path", "severity", "description", "explanation", "suggestion")) for r in findings.consolidate(found).collect()), key=str)
+    assert got == [("S", None, "Medium", "a\n---\nb", "x", "fix"), (None, "f", "Info", "", "", None)]
+    assert findings.consolidate(found.limit(0)).count() == 0
+
+
+def test_review_of_a_small_project(spark):
+    schema = "doc_id long, project_id string, file_path string, content string, ext string"
+    rows = [(1, "p", "src/a.cs", "password = 'x1'\n// TODO", ".cs"), (2, "p", "src/k.pem", "", ".pem"), (3, "q", "tests/a.cs", "int x;", ".cs")]
+    df = spark.createDataFrame(rows, schema)
+    rules = {(r["project_id"], r["agent"], r["rule"]) for r in review.rule_findings(df).collect()}
+    assert rules == {("p", "Security", "Security Pattern Match"), ("p", "CodeQuality", "Technical Debt Marker"), ("p", "Security", "Sensitive File Detected"), ("p", "Structure", "Missing Test Directory"), ("p", "ArchitectureAdvisor", "Missing Test Project"), ("p", "ArchitectureAdvisor", "Missing CI/CD Pipeline"), ("q", "ArchitectureAdvisor", "Missing CI/CD Pipeline")}
+    got = {r["project_id"]: r for r in review.review(df, confidence=0.5).collect()}
+    assert (got["p"]["critical_count"], got["p"]["high_count"], got["p"]["medium_count"], got["p"]["info_count"]) == (2, 1, 1, 1) and got["q"]["medium_count"] == 1
+    assert "Add unit tests" in got["p"]["recommendations"] and got["q"]["band"] == "excellent"
+    assert review.review(df).where("project_id = 'q'").count() == 0  # a finding without file and confidence does not pass the gate
+
+
+def test_host_must_be_the_stated_one_or_below(spark):
+    df = spark.createDataFrame([("https://github.com/a",), ("HTTPS://x.GitHub.com/a",), ("https://evilgithub.com",), ("http://github.com",), ("https://github.com.evil.org",), ("git@github.com:a",), (None,)], "u string")
+    assert [r[0] for r in df.select(state.repo_url_allowed(F.col("u"))).collect()] == [True, True, False, False, False, False, False]
 
 
 def sliding(lines, most, overlap, least):
@@ -103,6 +144,6 @@ def test_brace_units():
     from strandline.operators.units import units_of
 
     code = 'using A;\npublic class B\n{\n  string s = "}"; // }\n  void M() { if (x) { } }\n}\nrecord C(int X);\nenum D { A }\nclass Open {\n'
-    assert list(units_of(code, ".cs")) == [("B", 2, 6), ("C", 7, 7), ("D", 8, 8)]
-    assert list(units_of("export function f() {\n return `}`;\n}\nclass G {}\n", ".ts")) == [("f", 1, 3), ("G", 4, 4)]
+    assert list(units_of(code, ".cs")) == [("B", "class", 2, 6), ("C", "record", 7, 7), ("D", "enum", 8, 8)]
+    assert list(units_of("export function f() {\n return `}`;\n}\nclass G {}\n", ".ts")) == [("f", "function", 1, 3), ("G", "class", 4, 4)]
     assert list(units_of("class X {}", ".md")) == []
