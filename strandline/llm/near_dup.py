@@ -10,7 +10,8 @@ samples are folded, so that the bits of two sketches' XOR estimate how many samp
 3. What those links join are components. In buckets that hold several of them, members outside the largest one are compared
    with the members of other components, in blocks of bounded size that any number of tasks share: first each with its
    likeliest partner alone, then, in what is still apart, with all. So no bucket pair between components stays uncompared.
-   Large buckets confirm their pairs inside the blocks, so rows grow with their members, not with pairs.
+   Large buckets confirm their pairs inside the blocks, so rows grow with their members, not with pairs. Buckets crowded with
+   unlike members are cut by a second band first, so that the work there does not grow with the square of the members.
 4. Components again, over all confirmed links.
 
 With 32 bands of 4 samples a pair of similarity 0.8 shares no band with a probability of 5e-8.
@@ -30,13 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import pieces, stored
 from .graph import components
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 1024
-#: Members of one side of a block in which components are compared.
+#: Members, by weight, of one side of a block in which components are compared.
 BLOCK = 1024
+#: Shingles that weigh as much in a block as one member more.
+WEIGHT = 1000
+#: Members outside the largest component from which on a bucket is cut by a second band.
+CROWD = 4096
 #: Rounds in which a member is compared with its likeliest partner only, which join most of what the stars left apart.
 BEST_ROUNDS = 1
 #: Members of a bucket from which on pairs are confirmed inside its blocks.
@@ -114,11 +119,10 @@ def most_bits(threshold: float) -> int:
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(id, n_shingles, set_id, bands, sketch) of each document."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in pieces(batches):
             n, sets, bands, sketches = [], [], [], []
             for t in batch.column(1).to_pylist():
                 values = shingles(t, size, words)
@@ -149,7 +153,6 @@ def only(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> D
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on the full sets of their texts."""
-    small_batches(docs.sparkSession, 128)
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = only(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), ids, "k")
@@ -158,7 +161,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in pieces(batches, 128):
             holds, seen = [], {}
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 for t in (ta, tb):
@@ -172,23 +175,39 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _places(members: DataFrame, comps: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with component and weight, mixed buckets): the buckets that hold several components.
+
+    A member weighs as much as its set is large, so blocks are bounded by bytes, too."""
+    sized = members.join(classes.select(F.col("rep").alias("r"), (1 + F.col("n_shingles") / WEIGHT).alias("weight")), F.col("rep") == F.col("r")).drop("r")
+    known = sized.join(comps, sized["rep"] == comps["node"], "left").select("bucket", "also", "rep", F.coalesce("component", "rep").alias("comp"), "weight")
+    parts = known.groupBy("bucket", "also", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    most = F.struct("n", "comp")
+    mixed = parts.groupBy("bucket", "also").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", most).alias("big"), F.sum("w").alias("w"), F.max_by("w", most).alias("w_big")).where("comps > 1")
+    return known, mixed.select(F.col("bucket").alias("bk"), F.col("also").alias("al"), "n", "most", "big", F.ceil((F.col("w") - F.col("w_big")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("w") / BLOCK).cast("int").alias("rights"))
+
+
 def _cells(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """The blocks (bucket, i, j) in which members of different components meet, with n, the size of the bucket.
+    """The blocks (bucket, also, i, j) in which members of different components meet, with n, the size of the bucket.
 
     side 0: members outside the largest component, each in one row i of blocks; 1 and 2: these again and those of the largest
-    component, each in one column j."""
-    known = members.join(comps, members["rep"] == comps["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-    parts = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("big")).where("comps > 1")
-    mixed = mixed.select(F.col("bucket").alias("bk"), "n", "big", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
-    rows = known.join(mixed, known["bucket"] == mixed["bk"]).join(classes.select(F.col("rep").alias("r"), "n_shingles", "sketch", "bands"), F.col("rep") == F.col("r"))
+    component, each in one column j. A crowded bucket, with very many members outside its largest component, is cut by a second
+    band: its members meet only where they share another band (`also`) too, as linked ones do but for a share of 1e-7."""
+    at = lambda known, mixed: known.join(mixed, (F.col("bucket") == F.col("bk")) & (F.col("also") == F.col("al")))
+    known, mixed = _places(members, comps, classes)
+    crowded = F.col("n") - F.col("most") > CROWD
+    plain = at(known, mixed.where(~crowded))
+    dense = at(known, mixed.where(crowded)).select("bucket", "rep").join(classes.select(F.col("rep").alias("r"), "bands"), F.col("rep") == F.col("r"))
+    cut = dense.select("bucket", F.explode("bands").alias("also"), "rep").where("also <> bucket")
+    rows = plain.unionByName(at(*_places(cut, comps, classes)))
+    rows = rows.join(classes.select(F.col("rep").alias("r"), "n_shingles", "sketch", "bands"), F.col("rep") == F.col("r"))
     left = F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")
     right = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights")).cast("int")
     cells = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     small = F.col("comp") != F.col("big")
     as_left = rows.where(small).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: cells(left, j)))).withColumn("side", F.lit(0))
     as_right = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: cells(i, right)))).withColumn("side", F.when(small, 1).otherwise(2))
-    return as_left.unionByName(as_right).select("bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "side", "rep", "comp", "n_shingles", "sketch", "bands", "n")
+    return as_left.unionByName(as_right).select("bucket", "also", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "side", "rep", "comp", "n_shingles", "sketch", "bands", "n")
 
 
 def _meetings(b: pa.Table, threshold: float, best: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -196,10 +215,10 @@ def _meetings(b: pa.Table, threshold: float, best: bool) -> Iterator[tuple[int,
 
     best: the likeliest one alone. Else a pair counts in the first bucket that both have, and there in one of its blocks."""
     bits, percent = most_bits(threshold), round(threshold * 100)
-    side, rep, comp, n = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
-    sketch = b.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)  # unsigned, so that the count is of all bits
-    bands = b.column(8).combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-    bucket = b.column(0)[0].as_py()
+    side, rep, comp, n = (b.column(k).to_numpy() for k in (4, 5, 6, 7))
+    sketch = b.column(8).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)  # unsigned, so that the count is of all bits
+    bands = b.column(9).combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    bucket, also = b.column(0)[0].as_py(), b.column(1)[0].as_py()
     lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
     for x in lefts.tolist():
         y = rights[(comp[rights] != comp[x]) & ((side[rights] == 2) | (rep[rights] > rep[x]) | best) & (np.minimum(n[x], n[rights]) * 100 >= np.maximum(n[x], n[rights]) * percent)]
@@ -208,18 +227,23 @@ def _meetings(b: pa.Table, threshold: float, best: bool) -> Iterator[tuple[int,
             y = y[[np.argmin(apart)]] if len(y) and apart.min() <= bits else y[:0]
         else:
             y = y[apart <= bits]
-            y = y[bands[x][np.argmax(bands[y] == bands[x], axis=1)] == bucket] if len(y) else y
+            if len(y):
+                same = bands[y] == bands[x]
+                first = bands[x][np.argmax(same, axis=1)] == bucket
+                if also != bucket:  # and in the first other band that both have
+                    first &= bands[x][np.argmax(same & (bands[x] != bucket), axis=1)] == also
+                y = y[first]
         yield x, y
 
 
 def _between(cells: DataFrame, threshold: float, best: bool) -> DataFrame:
     """Candidate pairs (a, b) of the blocks."""
-    blocks = cells.drop("n").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    blocks = cells.drop("n").repartition("bucket", "also", "i", "j").sortWithinPartitions("bucket", "also", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for cell in by_group(batches, 3):
-            rep = cell.column(4).to_numpy()
+        for cell in by_group(batches, 4):
+            rep = cell.column(5).to_numpy()
             for x, y in _meetings(cell, threshold, best):
                 held.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])))
                 size += len(y)
@@ -233,22 +257,21 @@ def _between(cells: DataFrame, threshold: float, best: bool) -> DataFrame:
 
 def _inside(cells: DataFrame, docs: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
     """Links (a, b) of the blocks of large buckets: the members' texts go to the blocks, so pairs never leave them."""
-    small_batches(docs.sparkSession, 128)
     cells = stored(cells.drop("n"), "large")
     texts = only(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col(key).isNotNull()), stored(cells.select(F.col("rep").alias("id")).distinct(), "ids"), "k")
     every = texts.distinct()  # an id may have several texts, and each may be the linked one
-    blocks = cells.join(every, F.col("rep") == F.col("k")).drop("k").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    blocks = cells.join(every, F.col("rep") == F.col("k")).drop("k").repartition("bucket", "also", "i", "j").sortWithinPartitions("bucket", "also", "i", "j")
     percent = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for cell in by_group(batches, 3):
-            rep, found = cell.column(4).to_numpy(), []
+        for cell in by_group(batches, 4):
+            rep, found = cell.column(5).to_numpy(), []
             sets: dict[int, np.ndarray] = {}
 
             def of(k: int, cell: pa.Table = cell, sets: dict[int, np.ndarray] = sets) -> np.ndarray:
                 if k not in sets:
-                    sets[k] = shingles(cell.column(9)[k].as_py(), size, words)
+                    sets[k] = shingles(cell.column(10)[k].as_py(), size, words)
                 return sets[k]
 
             for x, ys in _meetings(cell, threshold, False):
@@ -294,7 +317,7 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     classes = stored(full.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "leader")
-    members = stored(banded.join(stars, F.col("bucket") == F.col("b")).select("bucket", "rep", "leader"), "members")
+    members = stored(banded.join(stars, F.col("bucket") == F.col("b")).select("bucket", F.col("bucket").alias("also"), "rep", "leader"), "members")
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     pairs = members.groupBy("rep").agg(F.min("leader").alias("a")).where("a <> rep").select("a", F.col("rep").alias("b"))
     exact = lambda pairs: stored(confirmed(pairs, docs, key, text, size, threshold), "confirmed")
