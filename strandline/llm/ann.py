@@ -9,8 +9,10 @@ hold too few vectors probe all lists.
 A list is dealt to blocks of bounded size, and so are a list's queries, so that a list with a third of all vectors is shared
 by many tasks; each block returns its best for each query.
 
-Defined results: vectors that are null, zero, hold null or non-finite components or are not of the commonest length take no
-part, neither as query nor as candidate; equal scores go to the smaller id; repeated ids are candidates each, but none of a
+Everything is in double precision, so a score is the inner product of the vectors as they are.
+
+Defined results: vectors that are null, zero, hold null or non-finite components or are not of length `dim` (the commonest, where
+it is not given) take no part, neither as query nor as candidate; equal scores go to the smaller id; repeated ids are candidates each, but none of a
 query's own id; with no vectors the result is empty.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, stored
+from .common import pieces, stored
 
 #: Vectors, and queries, of one block of a list.
 BLOCK = 4096
@@ -67,7 +69,7 @@ class Codebook:
         centroids = kmeans(x, lists, 12, 1)
         residuals = (x - centroids[nearest(x, centroids)]).reshape(len(x), parts, -1)
         k = min(CODE_WORDS, len(x))
-        return Codebook(centroids.astype(np.float32), np.stack([kmeans(residuals[:, p], k, 8, p) for p in range(parts)]).astype(np.float32))
+        return Codebook(centroids, np.stack([kmeans(residuals[:, p], k, 8, p) for p in range(parts)]))
 
     def probes(self, x: np.ndarray, k: int, target: float) -> int:
         """How many lists queries have to probe so that they hold that share of the nearest, measured within the sample."""
@@ -97,7 +99,7 @@ class Codebook:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def best_of_block(book: Codebook, at: int, queries: pa.Table, vectors: pa.Table, dim: int, k: int, rerank: int) -> pa.Table:
@@ -106,13 +108,13 @@ def best_of_block(book: Codebook, at: int, queries: pa.Table, vectors: pa.Table,
     codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(vid), -1)
     out_q, out_v, out_s = [], [], []
     for i in range(0, len(q), 256):
-        near = book.approximate(q[i : i + 256], at, codes)
+        near = np.nan_to_num(book.approximate(q[i : i + 256], at, codes), nan=np.inf)  # what overflows is scored exactly
         near[qid[i : i + 256, None] == vid[None, :]] = -np.inf
-        cut = np.partition(near, len(vid) - rerank, axis=1)[:, len(vid) - rerank] if len(vid) > rerank else np.full(len(near), -1e38)
-        row, col = np.nonzero(near >= np.maximum(cut, -1e38)[:, None])
+        cut = np.partition(near, len(vid) - rerank, axis=1)[:, len(vid) - rerank] if len(vid) > rerank else np.full(len(near), -np.inf)
+        row, col = np.nonzero((near >= cut[:, None]) & (qid[i : i + 256, None] != vid[None, :]))
         exact = np.zeros(len(row))
         for d in range(dim):  # in order of the components, in double precision
-            exact += q[i + row, d].astype(np.float64) * x[col, d]
+            exact += q[i + row, d] * x[col, d]
         order = np.lexsort((vid[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -123,42 +125,44 @@ def best_of_block(book: Codebook, at: int, queries: pa.Table, vectors: pa.Table,
     return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 16_384, recall: float = 0.96, rerank: int = 96) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each row of queries, which has the columns of vectors."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", dim: int | None = None, sample: int = 16_384, lists: int | None = None, recall: float = 0.96, rerank: int = 96) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each row of queries, which has the columns of vectors.
+
+    lists: the root of the number of vectors where it is not given, but no more than a quarter of the sample that they are
+    fitted on. For tables of billions give more of both: the work of a query falls with lists."""
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
-    named = lambda df: df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    named = lambda df: df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     every = named(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
-    sizes = every.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    sizes = (every.where(F.size("v") == dim) if dim else every).groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], schema)
     dim, total = sizes["dim"], sizes["n"]
     every = every.where(F.size("v") == dim)
-    drawn = np.array([r["v"] for r in every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()], np.float32)
-    lists = max(1, min(1024, int(math.sqrt(total))))
+    drawn = np.array([r["v"] for r in every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()], np.float64)
+    lists = lists or max(1, min(len(drawn) // 4, int(math.sqrt(total))))
     parts = next(p for p in (16, 8, 4, 2, 1) if dim % p == 0)
     book = Codebook.fit(drawn, min(lists, len(drawn)), parts)
     probes = book.probes(drawn, k, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 4096):
             at, codes = book.encode(_matrix(b.column(1), dim))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "vec_id", "v", "codes"])
 
-    indexed = stored(every.mapInArrow(index, "list int, vec_id long, v array<float>, codes binary"), "vectors")
-    n_of = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each list, 1024 at most
+    indexed = stored(every.mapInArrow(index, "list int, vec_id long, v array<double>, codes binary"), "vectors")
+    n_of = indexed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each list
     asked = named(queries).where(F.size("v") == dim).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def found(asked: DataFrame, probes: int) -> DataFrame:
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches, 4096):
                 near = _matrix(b.column(1), dim) @ book.centroids.T
                 n = min(probes, near.shape[1])
                 at = np.argpartition(-near, n - 1, axis=1)[:, :n].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(at), pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
 
-        probed = asked.mapInArrow(probe, "query_id long, q array<float>, lists array<int>").select("query_id", "q", F.explode("lists").alias("list"))
+        probed = asked.mapInArrow(probe, "query_id long, q array<double>, lists array<int>").select("query_id", "q", F.explode("lists").alias("list"))
         of_list = probed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")).join(F.broadcast(n_of), "list")
         place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
