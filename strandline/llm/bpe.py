@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import pieces
 
 #: Entries of a worker's caches; a full cache is emptied, so memory stays bounded.
 CACHE = 700_000
@@ -215,11 +215,10 @@ def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """docs with the tokens of every whole text as array<int>. A narrow step: no shuffle, a batch of rows in memory."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             rows = [v.packed(t) if t else b"" for t in texts]
             offsets = np.zeros(len(rows) + 1, np.int32)
@@ -232,11 +231,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """rows with the bytes that the tokens stand for, as binary; null tokens give empty bytes."""
-    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             column = batch.column(batch.schema.get_field_index(ids))
             flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
             ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import pieces
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -145,13 +145,12 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1) and toxic_spans, the offending sentences (code points, end exclusive)."""
-    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema if f.name.lower() not in ("toxicity", "toxic_spans")]
     names = [f.name for f in keep]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [model.score(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             spans = [[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in found]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
@@ -161,5 +160,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def held_out(key: Column) -> Column:
-    """The fold that is never learned from."""
-    return F.crc32(key.cast("string")) % 4 == 2
+    """The fold that is never learned from; a row without a key is not in it, and has no label either."""
+    return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
