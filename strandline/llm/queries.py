@@ -79,7 +79,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.windows(turns.unionByName(more)))
+    vocabulary = (public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return chat.read_back(chat.windows(turns.unionByName(more), vocabulary))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
