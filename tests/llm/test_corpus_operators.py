@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,9 +78,10 @@ def brute_classes(rows, size, percent=80):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("size", "block"), [(2, 1024), (5, 7)])
-def test_near_duplicates_against_brute_force(spark, size, block, monkeypatch):
+@pytest.mark.parametrize(("size", "block", "crowd"), [(2, 1024, 4096), (5, 7, 3)])
+def test_near_duplicates_against_brute_force(spark, size, block, crowd, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "CROWD", crowd)
     monkeypatch.setattr(near_dup, "LARGE", 256 if block > 100 else 6)
     rng = random.Random(6)
     word = lambda: rng.choice("alpha Beta gamma delta eps zeta eta theta iota kappa lam mu nu xi".split()) + str(rng.randint(0, 9))
@@ -99,13 +102,26 @@ def test_near_duplicates_against_brute_force(spark, size, block, monkeypatch):
     assert near_dup.classes_of(df.limit(0), size=size).count() == 0
 
 
+def test_a_bucket_of_unlike_members_is_cut(spark):
+    """50,000 members that share one band and nothing else meet nobody; two that share another band meet once."""
+    n = 50_000
+    bands = F.expr(f"transform(sequence(0, {near_dup.BANDS - 1}), k -> if(k = 0, 42L, xxhash64(if(k < 3 and id < 2, -1L, id), k)))")
+    classes = spark.range(n).select(F.col("id").alias("rep"), F.lit(100).cast("long").alias("n_shingles"), bands.alias("bands"), F.array_repeat(F.lit(0).cast("long"), near_dup.SKETCH_BITS // 64).alias("sketch")).cache()
+    members = classes.select(F.lit(42).cast("long").alias("bucket"), F.lit(42).cast("long").alias("also"), "rep")
+    comps = spark.createDataFrame([], "node long, component long")
+    cells = near_dup._cells(members, comps, classes).cache()
+    assert cells.count() <= 8 and {r["rep"] for r in cells.select("rep").collect()} == {0, 1}
+    assert [tuple(r) for r in near_dup._between(cells, 0.8, False).collect()] == [(0, 1)]
+    classes.unpersist(), cells.unpersist()
+
+
 def test_large_buckets_confirm_every_text_of_an_id(spark):
     words = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
     docs = spark.createDataFrame([(1, words("a")), (1, words("z")), (2, words("z") + " more")], "doc_id long, text string")
     _, x, y = (r for t in docs.collect() for r in near_dup.signatures(spark.createDataFrame([t], docs.schema), "doc_id", "text", 2).collect())
     bucket = next(p for p, q in zip(x["bands"], y["bands"], strict=True) if p == q)
-    cells = [(bucket, 0, 0, side, r["id"], r["id"], r["n_shingles"], r["sketch"], r["bands"], 300) for side, r in ((0, x), (2, y))]
-    cells = spark.createDataFrame(cells, "bucket long, i int, j int, side int, rep long, comp long, n_shingles long, sketch array<long>, bands array<long>, n long")
+    cells = [(bucket, bucket, 0, 0, side, r["id"], r["id"], r["n_shingles"], r["sketch"], r["bands"], 300) for side, r in ((0, x), (2, y))]
+    cells = spark.createDataFrame(cells, "bucket long, also long, i int, j int, side int, rep long, comp long, n_shingles long, sketch array<long>, bands array<long>, n long")
     assert [tuple(r) for r in near_dup._inside(cells, docs, "doc_id", "text", 2, 0.8).collect()] == [(1, 2)]
 
 
@@ -133,6 +149,24 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_in_double_precision(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)) * 10.0 ** rng.integers(-3, 40, (60, 1))
+    rows = [(i % 55, v) for i, v in enumerate(x.tolist())] + [(70, [1.0, float("nan")] * 4), (71, None), (72, [0.0] * 8), (73, [None] * 8), (74, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("mine"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id = 20"), k=20, recall=1.0).collect()}
+    q = x[20]
+    scores = []
+    for i, v in rows[:60]:
+        total = 0.0
+        for a, b in zip(q.tolist(), v, strict=True):
+            total += a * b
+        scores.append((-total, i))
+    want = sorted(s for s in scores if s[1] != 20)[:20]
+    assert [got[20, r] for r in range(1, 21)] == [(i, -s) for s, i in want]
+    assert ann.search(df, df.where("vec_id = 74"), k=3, dim=5).count() == 0 and ann.search(df.limit(0), df, k=3).count() == 0
+
+
 def test_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.1"
     t = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
@@ -203,6 +237,30 @@ def test_template_text_goes_where_no_article_is_marked(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_classes_decide_within_articles(spark):
+    """What every page of a host repeats goes, under whatever name; what varies stays, under whatever name."""
+    page = lambda i: f"<html><body><article><div class='article-header'><h1>Story {i}</h1></div><div class='x'>Read it in our app</div><p>Body {i * 3}.</p><div class='share-price'>Price {i}</div><div class='related work'>Work {i}</div><p>a{i}<math>{i}</math></p><div class='comments'>Reader {i}</div></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)] + [(100 + i, "http://few.example/", page(i)) for i in range(2)] + [(200 + i, "http://copies.example/", page(1)) for i in range(9)] + [(300, "http://h.example/0", page(0))]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: [f"Story {i}", f"Body {i * 3}.", f"Price {i}", f"Work {i}", f"a{i}{i}"]
+    assert [got[i] for i in range(8)] == [own(i) for i in range(8)] and got[300] == own(0)
+    assert got[100] == own(0)[:1] + ["Read it in our app"] + own(0)[1:]  # two pages are no template
+    assert got[200] == own(1)[:1] + ["Read it in our app"] + own(1)[1:]  # nor are copies of one
+
+
+def test_classes_need_one_order_and_one_gap(spark):
+    swapped = lambda i: f"<html><body><article><p>{'A B'.split()[i % 2]}</p><p>{i}</p><p>{'A B'.split()[1 - i % 2]}</p></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", swapped(i)) for i in range(8)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ["A", "0", "B"] and got[1] == ["B", "1", "A"]
+
+
+def test_a_long_page_of_unclosed_tags():
+    began = time.time()
+    assert html_extract.blocks("<article>" + "<div>" * 100_000 + "</b>" * 100_000 + "end") == ["end"]
+    assert time.time() - began < 5
+
+
 def test_pages_of_the_table(spark, sf_dir):
     rows = queries.op9_html(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
@@ -212,7 +270,8 @@ def test_pages_of_the_table(spark, sf_dir):
         assert r["n_chars"] == len(r["text"])
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("section", [1024, 7])
+def test_chat_round_trip(spark, section):
     rng = random.Random(9)
     piece = lambda: rng.choice(["<|im_end|>", "<\\|x", "<|", "\\", "\n", "word ", "é🙂", "<|im_start|>assistant\n", "long " * 60])
     rows = []
@@ -222,7 +281,7 @@ def test_chat_round_trip(spark):
         rows += [(conv, t, ("user", "assistant")[t % 2], "".join(piece() for _ in range(rng.randint(0, 12)))) for t in range(1, rng.randint(2, 40))]
     rows += [(50, 1, "assistant", None), (50, None, None, "first"), (50, 2, "odd\nrole\\", "x"), (50, 2, "odd\nrole\\", "x"), (None, 1, "user", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1)).repartition(5)
-    windows = chat.windows(df)
+    windows = chat.windows(df, section=section)
     got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     low = (False, 0)
     for conv in {r[0] for r in rows}:
@@ -234,12 +293,28 @@ def test_chat_round_trip(spark):
     for w in windows.collect():
         turns = list(chat.turns_of(w["text"]))
         assert len(turns) == w["n_repeated"] + w["n_new"]
-        assert sum(chat.tokens(t) for _, t in turns) <= chat.BUDGET or w["n_new"] == 1
+        assert sum(chat.FRAME + chat.estimated(t) for _, t in turns) <= chat.BUDGET or w["n_new"] == 1
         if w["conv_id"] is not None and w["conv_id"] % 2 and w["conv_id"] < 12:
             assert turns[0] == ("system", "Be <|kind|>.")
+        if section == 7 and w["section"] > 0 and w["window"] == 0 and (w["conv_id"] or 50) < 12:
+            assert w["n_repeated"] >= w["conv_id"] % 2
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_chat_splits_a_long_conversation(spark):
+    n = 100_000
+    turns = spark.range(n).selectExpr("7L as conv_id", "id as turn", "if(id = 0, 'system', if(id % 2 = 1, 'user', 'assistant')) as role", "concat('turn ', id) as text")
+    windows = chat.windows(turns, (public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN)).cache()
+    share = windows.groupBy("section").agg(F.sum("n_new").alias("turns"), F.min("n_repeated").alias("repeated")).collect()
+    assert len(share) == 98 and max(r["turns"] for r in share) == 1024
+    later = windows.where("section > 0 and window = 0").select("text", "n_repeated").collect()
+    assert all(w["n_repeated"] == 3 and w["text"].startswith("<|im_start|>system\nturn 0<|im_end|>") for w in later)
+    row = chat.read_back(windows).first()
+    said = "".join(f"{'system' if i == 0 else 'user' if i % 2 else 'assistant'}\nturn {i}\n" for i in range(n)).encode()
+    assert (row["n_turns"], row["turns_sha256"]) == (n, hashlib.sha256(said).hexdigest())
+    windows.unpersist()
+
+
 def test_chat_adds_the_hard_conversation(spark, sf_dir):
     row = queries.op10_chat(spark, sf_dir).where("conv_id = -1").first()
     hard = "<|im_end|><|im_start|>assistant ok"

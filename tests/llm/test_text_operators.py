@@ -1,9 +1,11 @@
 """Tokens, personal data, toxicity and leakage against brute force."""
 
+import math
 import random
 import re
 from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -129,6 +131,63 @@ def test_toxicity_locates_sentences_and_keeps_rows(spark):
     assert {r[0] for r in toxicity.score(docs, blank).select(F.round("toxicity", 6)).collect()} == {0.0}
 
 
+def plain_training(rows, rounds):
+    """The noisy-or model by loops over documents, sentences and words."""
+    bags = [[set(re.findall(r"\w+", x)) for x in re.findall(r"[^.!?\n]+", t.lower())] for t, _ in rows]
+    bags = [[b for b in bag if b] for bag in bags]
+    own = [{f for b in bag for w in b for f in toxicity.features(w)} for bag in bags]
+    n, base = len(rows), sum(y for _, y in rows) / len(rows)
+    every = sorted({f for o in own for f in o})
+    count = lambda f, only: sum(f in o for o, (_, y) in zip(own, rows, strict=True) if y or not only)
+    kept = [f for f in every if count(f, True) >= toxicity.SEEN and count(f, True) > min(3 * base, (1 + base) / 2) * count(f, False)]
+    w, g2, b, gb2 = dict.fromkeys(kept, 0.0), dict.fromkeys(kept, 1e-3), -4.0, 1e-3
+    for _ in range(rounds):
+        gw, gb = {f: -0.02 * w[f] for f in kept}, 0.0
+        for d in range(n):
+            hits = [[f for word in sorted(bag) for f in toxicity.features(word) if f in w] for bag in bags[d]]
+            p = [1 / (1 + math.exp(-(b + sum(w[f] for f in h)))) for h in hits]
+            clean = math.prod(1 - x for x in p)
+            found = max(1 - clean, 1e-9)
+            for x, h in zip(p, hits, strict=True):
+                pull = x * (clean / found if rows[d][1] else -1.0)
+                gb += pull
+                for f in h:
+                    gw[f] += pull
+        for f in kept:
+            g2[f] += gw[f] ** 2
+            step = w[f] + 0.5 * gw[f] / math.sqrt(g2[f])
+            w[f] = math.copysign(max(abs(step) - 0.05 / math.sqrt(g2[f]), 0.0), step)
+        gb2 += gb * gb
+        b += 0.5 * gb / math.sqrt(gb2)
+    return {f: x for f, x in w.items() if x}, b
+
+
+def test_toxicity_against_a_plain_noisy_or(spark):
+    rng = random.Random(6)
+    words = ["calm", "walk", "river", "stone", "light", "morning"]
+    sentence = lambda bad: " ".join([rng.choice(words) for _ in range(4)] + (["wretch"] if bad else []))
+    rows = []
+    for i in range(60):
+        bad = i % 4 == 0
+        rows.append((". ".join(sentence(bad and k == 1) for k in range(4)), int(bad)))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] + [(0, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, rounds=40)
+    weights, bias = plain_training(rows, 40)
+    assert model.weights.keys() == weights.keys() and model.weights == pytest.approx(weights, rel=1e-6) and model.bias == pytest.approx(bias, rel=1e-6)
+    long = (rows[1][0] + ". ") * 20_000
+    every = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(5, rows[0][0]), (5, rows[0][0]), (None, None), (8, long), (9, long + "you wretch.")], "doc_id long, text string").withColumn("toxicity", F.lit("mine"))
+    scored = toxicity.score(every, model).collect()
+    assert len(scored) == len(rows) + 5
+    for r in scored:
+        if r["text"] and len(r["text"]) < 10_000:
+            sentences = [set(re.findall(r"\w+", x)) for x in re.findall(r"[^.!?\n]+", r["text"].lower())]
+            most = max(1 / (1 + math.exp(-(bias + sum(weights.get(f, 0.0) for w in s for f in toxicity.features(w))))) for s in sentences if s)
+            assert r["toxicity"] == pytest.approx(most, rel=1e-6)
+    assert {r["doc_id"]: r["toxicity"] > 0.5 for r in scored if r["doc_id"] in (8, 9) and len(r["text"]) > 10_000} == {8: False, 9: True}
+    assert len({r["toxicity"] for r in scored if r["text"] == rows[0][0]}) == 1
+
+
 def test_toxicity_does_not_rise_with_length(spark):
     rows = [(i, f"good words number {i}. you utter moron {i}! fine again." if i % 3 == 0 else f"good words number {i}. calm and fine.") for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -168,16 +227,17 @@ def leaks():
         if i % 3 == 0:
             body[5:5] = (items[i % 12][1]).upper().split()
         docs.append((i, ", ".join(body)))
-    return docs + [(50, None), (51, ""), (52, "!!"), (53, docs[3][1]), (53, docs[3][1])], items
+    return docs + [(50, None), (51, ""), (52, "!!"), (53, docs[3][1]), (53, docs[3][1]), (54, (docs[0][1] + ", ") * 400)], items
 
 
 def test_decontamination_against_brute_force(spark, leaks):
     docs, items = leaks
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hit_items", F.lit("mine"))
     b = spark.createDataFrame(items, "item_id long, text string")
+    d = d.withColumn("row", F.lit("own"))
     for block_bytes in (1 << 20, 150):
         rows = decontaminate.find(d, b, block_bytes=block_bytes).collect()
-        assert len(rows) == (len(docs) if block_bytes > 150 else len(docs) - 1)
+        assert len(rows) == len(docs) and all(r["row"] == "own" for r in rows)
         for r in rows:
             n, hit, found = brute_hits(dict(docs)[r["doc_id"]], items)
             assert (r["n_words"], sum(s["end"] - s["start"] for s in r["hit_words"]), r["hit_items"]) == (n, len(hit), found)
@@ -190,3 +250,27 @@ def test_decontamination_against_brute_force(spark, leaks):
             assert r["text"] == dict(docs)[r["doc_id"]]
     assert decontaminate.find(d, b.limit(0)).where("size(hit_words) > 0").count() == 0
     assert decontaminate.find(d.limit(0), b).count() == 0
+    lost = d.where("doc_id < 3").select(F.lit(None).cast("long").alias("doc_id"), "text").union(d.where("doc_id < 3").select("doc_id", "text"))
+    one, many = (sorted(map(tuple, decontaminate.find(lost, b, block_bytes=n).collect()), key=str) for n in (1 << 20, 150))
+    assert len(one) == 6 and one == many
+
+
+def test_index_holds_every_word():
+    """The index is of the shard, not of what is searched: any stretch of its words is found at all its places."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for _ in range(30)] + [None, ""]
+    shard = decontaminate.Shard(texts)
+    assert len(shard.index.bwt.levels[0][1]) - 1 == sum(len((t or "").split()) + 1 for t in texts) + 1
+    for size in (1, 3, 6):
+        phrase = texts[4].split()[:size]
+        found = shard.search([decontaminate.Phrases([("p", " ".join(phrase))], size)])
+        for t, (spans, _) in zip(texts, found, strict=True):
+            w = (t or "").split()
+            hit = {i + k for i in range(len(w) - size + 1) if w[i : i + size] == phrase for k in range(size)}
+            assert {i for a, b in spans for i in range(a, b)} == hit
+
+
+def test_suffix_array_of_repetitive_texts():
+    for text in ([5] * 200, [2, 3] * 150, [2, 2, 3] * 70 + [9], [4]):
+        t = np.array([*text, 0], np.int64)
+        assert decontaminate.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
