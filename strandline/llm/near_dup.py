@@ -195,11 +195,13 @@ def _cells(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFram
     band: its members meet only where they share another band (`also`) too, as linked ones do but for a share of 1e-7."""
     at = lambda known, mixed: known.join(mixed, (F.col("bucket") == F.col("bk")) & (F.col("also") == F.col("al")))
     known, mixed = _places(members, comps, classes)
+    mixed = stored(mixed, "mixed")
     crowded = F.col("n") - F.col("most") > CROWD
-    plain = at(known, mixed.where(~crowded))
-    dense = at(known, mixed.where(crowded)).select("bucket", "rep").join(classes.select(F.col("rep").alias("r"), "bands"), F.col("rep") == F.col("r"))
-    cut = dense.select("bucket", F.explode("bands").alias("also"), "rep").where("also <> bucket")
-    rows = plain.unionByName(at(*_places(cut, comps, classes)))
+    rows = at(known, mixed.where(~crowded))
+    if not mixed.where(crowded).isEmpty():
+        dense = at(known, mixed.where(crowded)).select("bucket", "rep").join(classes.select(F.col("rep").alias("r"), "bands"), F.col("rep") == F.col("r"))
+        cut = dense.select("bucket", F.explode("bands").alias("also"), "rep").where("also <> bucket")
+        rows = rows.unionByName(at(*_places(cut, comps, classes)))
     rows = rows.join(classes.select(F.col("rep").alias("r"), "n_shingles", "sketch", "bands"), F.col("rep") == F.col("r"))
     left = F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")
     right = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights")).cast("int")
