@@ -131,13 +131,14 @@ def metrics(files: DataFrame, *more: str) -> DataFrame:
     text, csharp = F.col("content"), F.col("ext") == ".cs"
     lines = F.split(text, "\n")
     count = lambda pattern: F.when(csharp, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("bigint")
-    return files.select(
-        "doc_id", "project_id", "file_path", "ext",
+    measures = F.struct(
         F.size(lines).cast("bigint").alias("total_lines"),
         F.when(csharp, code_lines(text)).otherwise(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r")) != "")).cast("bigint")).alias("loc"),
         count(TYPES).alias("types"), count(METHODS).alias("methods"), count(NAMESPACES).alias("namespaces"),
-        F.when(csharp, cyclomatic(text)).otherwise(0).cast("bigint").alias("complexity"), *more,
+        F.when(csharp, cyclomatic(text)).otherwise(0).cast("bigint").alias("complexity"),
     )
+    # generated, so that a filter on a measure is not pushed below, where it would compute them all over again
+    return files.select("doc_id", "project_id", "file_path", "ext", *more, F.inline(F.array(measures)))
 
 
 def risk_level(complexity: Column, loc: Column, methods: Column) -> Column:

@@ -270,11 +270,12 @@ def analysis_plan(spark, sf_dir):
     return plan(spark, sf_dir).select("doc_id", "decision", "reason", "tokens", "language")
 
 
-@query("j6_scan_words", "with l as (select doc_id, file_path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from source_files where not regexp_matches(lower(file_path), 'test|example|sample')) select doc_id, line::int as line, rule, severity from l, (values ('mail', '[a-z0-9.]+@[a-z0-9]+', 'Low'), ('insult', 'moron|idiot', 'High')) r(rule, pattern, severity) where regexp_matches(text, pattern)", "source_files")
+@query("j6_scan_words", "with l as (select doc_id, file_path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from source_files where not regexp_matches(lower(file_path), 'test|example|sample')) select doc_id, line::int as line, 'mail' as rule, 'Low' as severity, unnest(regexp_extract_all(text, '(?i)[a-z0-9.]+@[a-z0-9]+')) as match from l union all select doc_id, line::int, 'insult', 'High', unnest(regexp_extract_all(text, '(?i)moron|idiot')) from l", "source_files")
 def scan_words(spark, sf_dir):
-    """The rule scan with rules that prose triggers."""
-    rules = scans.rule_table(spark, [("mail", "[a-z0-9.]+@[a-z0-9]+", "", "Low", ""), ("insult", "moron|idiot", "", "High", "")])
-    return scans.scan(_files(spark, sf_dir), rules).select("doc_id", "line", "rule", "severity")
+    """The matches of rules that prose triggers."""
+    files = _files(spark, sf_dir).where(~scans.is_test_path(F.col("file_path")))
+    found = scans.matches(files, (("mail", "[a-z0-9.]+@[a-z0-9]+"), ("insult", "moron|idiot")))
+    return found.select("doc_id", "line", "rule", scans.lookup(F.col("rule"), {"mail": "Low", "insult": "High"}).alias("severity"), "match")
 
 
 @query("x18_normalize_path", "select doc_id, file_path as normalized, file_path as sanitized from source_files", "source_files")
