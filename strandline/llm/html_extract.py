@@ -38,7 +38,7 @@ from .common import pieces, stored
 
 #: Pages of a host that a class must have: at least this many, and this share.
 SUPPORT, SHARE = 4, 0.6
-#: Template tokens of all hosts that are broadcast at most; beyond, pages and templates are joined by host.
+#: Template tokens of all hosts, and pages with copies, that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_TOKENS = 500_000
 
 #: The kinds of elements. SKIP goes with all it holds, OUTSIDE only where no article holds it.
@@ -179,6 +179,12 @@ def token_rows(pages: DataFrame) -> DataFrame:
     return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, token long, n long, first long, second long, last long")
 
 
+def _small(df: DataFrame, kind: str) -> DataFrame:
+    """df stored, and broadcast where its checked size allows."""
+    df = stored(df, kind)
+    return F.broadcast(df) if df.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else df
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, tokens): hashes of the tokens of each host's valid, nested equivalence classes. pages: page_id, host, html."""
     hashed = pages.where("host is not null and html is not null").withColumn("page", F.shiftrightunsigned(F.xxhash64("html"), 24))
@@ -186,11 +192,11 @@ def templates(pages: DataFrame) -> DataFrame:
     different = hashed.groupBy("host", "page").agg(F.count("*").alias("copies"))
     sizes = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= SUPPORT).withColumnRenamed("host", "of")
     # each of m equal pages counts for 1/m; their share of a vector is the same for all its tokens
-    copied = different.where("copies > 1").select(F.col("host").alias("ch"), F.col("page").alias("cp"), "copies")
+    copied = _small(different.where("copies > 1").select(F.col("host").alias("ch"), F.col("page").alias("cp"), "copies"), "copies")
     weighed = rows.join(copied, (F.col("host") == F.col("ch")) & (F.col("page") == F.col("cp")), "left")
     vectors = weighed.groupBy("host", "token").agg(F.round(F.sum(1 / F.coalesce("copies", F.lit(1))), 3).alias("on"), F.sum((F.col("n") * F.col("page")).cast("decimal(38,0)")).alias("vector"))
     often = vectors.where(F.col("on") >= SUPPORT).join(sizes, F.col("host") == F.col("of")).where(F.col("on") >= F.col("pages") * SHARE)
-    classes = often.select(F.col("host").alias("h"), F.col("token").alias("t"), F.xxhash64("vector").alias("class"))
+    classes = _small(often.select(F.col("host").alias("h"), F.col("token").alias("t"), F.xxhash64("vector").alias("class")), "classes")
     # one row for each class of each page: its tokens in order, whether they are in order, and the span of each round
     on_page = rows.join(classes, (F.col("host") == F.col("h")) & (F.col("token") == F.col("t"))).groupBy("host", "page", "class").agg(
         F.array_sort(F.collect_set(F.struct("first", "token"))).alias("by_first"), F.array_sort(F.collect_set(F.struct("last", "token"))).alias("by_last"),
