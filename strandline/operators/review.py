@@ -4,9 +4,12 @@ Every rule table is a stated constant of the plan. Findings are rows; agents are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.rules import CONFIG_RULES, DEBT_MARKER, SECURITY_RULES
 from strandline.operators import files as file_ops
 from strandline.operators import findings as finding_ops
 from strandline.operators import scans
@@ -154,22 +157,37 @@ def _shaped(df: DataFrame, agent: str, rule: str, category, explanation: str, su
     return df.select("project_id", F.lit(agent).alias("agent"), text(rule).alias("rule"), severity.alias("severity"), text(category).alias("category"), have("file_path", "string").alias("file_path"), have("line", "int").cast("int").alias("line"), text(rule).alias("description"), F.col(explanation).alias("explanation"), text(suggestion).alias("suggestion"))
 
 
-def rule_findings(files: DataFrame, **thresholds) -> DataFrame:
-    """Findings of all rules of the four agents, appended."""
+def facts_of(files: DataFrame) -> DataFrame:
+    """What the rules ask of whole files, in one pass: metrics, empty catches, magic numbers; the content of manifests alone."""
+    kept = F.when(F.col("file_path").isin(".gitignore", "package.json") | F.col("file_path").endswith(".csproj"), F.col("content"))
+    own = files.withColumns({"_catches": scans.catch_lines(F.col("content")), "_magic": scans.magic_numbers(F.col("content")), "_kept": kept})
+    return file_ops.metrics(own, "_catches", "_magic", "_kept").withColumnsRenamed({"_catches": "catches", "_magic": "magic", "_kept": "content"})
+
+
+def rule_findings(files: DataFrame, store: Callable[[DataFrame, str], DataFrame] | None = None, **thresholds) -> DataFrame:
+    """Findings of all rules of the four agents, appended.
+
+    Contents are read twice, once for whole files and once for their lines; `store` keeps what the passes give (small beside
+    the contents) as a table, from which all rules are answered. Without it the passes are repeated for each rule."""
+    keep = store or (lambda df, _: df)
+    path = F.col("file_path")
+    facts = keep(facts_of(files), "facts")
+    groups = {"secret": (scans.is_config(F.col("ext"), path), CONFIG_RULES), "debt": (F.lit(True), [("debt marker", DEBT_MARKER)]), "scan": (~scans.is_test_path(path), [r[:2] for r in SECURITY_RULES])}
+    hits = keep(scans.matches(files, [], **groups), "matches")
+    of = lambda kind: hits.where(F.col("kind") == kind).drop("kind")
     kinds = {"debt marker": "Technical Debt Marker", "empty catch": "Empty Catch Block", "magic numbers": "Magic Numbers Detected"}
     kind = F.col("kind")
-    debt = scans.debt_markers(files)
-    debt = _shaped(debt, "CodeQuality", scans.lookup(kind, kinds), F.when(kind == "empty catch", "CodeQuality").otherwise("Maintainability"), "description", F.col("suggestion"))
+    debt = _shaped(scans.debt_findings(of("debt"), facts), "CodeQuality", scans.lookup(kind, kinds), F.when(kind == "empty catch", "CodeQuality").otherwise("Maintainability"), "description", F.col("suggestion"))
     ignored = F.when(F.col("gitignored"), "File appears to be gitignored. Ensure it's not committed to version control.").otherwise("Ensure this file is added to .gitignore and not committed to version control.")
     every = [
-        structure_rules(files),
-        metric_findings(file_ops.metrics(files.where(~file_ops.is_excluded(F.col("file_path")))), **thresholds),
+        structure_rules(facts),
+        metric_findings(facts.where(~file_ops.is_excluded(path)), **thresholds),
         debt,
-        _shaped(scans.scan(files), "Security", "Security Pattern Match", "Security", "description", F.col("suggestion")),
-        _shaped(scans.sensitive_files(files), "Security", "Sensitive File Detected", "Security", "description", ignored),
-        _shaped(scans.config_secrets(files), "Security", "Potential Secret in Configuration", "Security", "description", "Use environment variables, Azure Key Vault, or a secrets manager for sensitive values."),
-        _shaped(scans.manifest_notices(files).withColumn("severity", F.lit("Info")), "Security", "Dependency Audit Recommended", "Security", "notice", None),
-        architecture_rules(profile(files)),
+        _shaped(scans.scan_findings(of("scan")), "Security", "Security Pattern Match", "Security", "description", F.col("suggestion")),
+        _shaped(scans.sensitive_files(facts), "Security", "Sensitive File Detected", "Security", "description", ignored),
+        _shaped(scans.secret_findings(of("secret")), "Security", "Potential Secret in Configuration", "Security", "description", "Use environment variables, Azure Key Vault, or a secrets manager for sensitive values."),
+        _shaped(scans.manifest_notices(facts).withColumn("severity", F.lit("Info")), "Security", "Dependency Audit Recommended", "Security", "notice", None),
+        architecture_rules(profile(facts)),
     ]
     out = every[0]
     for more in every[1:]:
@@ -177,12 +195,13 @@ def rule_findings(files: DataFrame, **thresholds) -> DataFrame:
     return out
 
 
-def review(files: DataFrame, most: int = 50, confidence: float = 0.0, **thresholds) -> DataFrame:
+def review(files: DataFrame, most: int = 50, confidence: float = 0.0, store: Callable[[DataFrame, str], DataFrame] | None = None, **thresholds) -> DataFrame:
     """A report for each project over the findings of all agents: the best `most` of each agent, gated, consolidated, rolled up.
 
     A rule's finding claims no confidence, so that one without a file does not pass the gate; give another confidence to keep
     them. Findings stand in the order of agent, rule, file, line and text, which is their ordinal."""
-    rows = rule_findings(files, **thresholds)
+    rows = rule_findings(files, store, **thresholds)
+    rows = store(rows, "findings") if store else rows
     place = F.array_position(F.array(*map(F.lit, AGENTS)), F.col("agent"))
     order = F.struct(place.alias("a"), "rule", F.coalesce("file_path", F.lit("")).alias("f"), F.coalesce("line", F.lit(0)).alias("l"), "explanation")
     found = rows.select("*", F.lit(confidence).alias("confidence"), F.lit(None).cast("string").alias("symbol"), order.alias("ordinal"))

@@ -11,7 +11,7 @@ from strandline.functions import rules as R
 from strandline.operators import files as ops
 from strandline.operators import intake, redaction, review, scans
 from strandline.plans.registry import query
-from strandline.sources import views
+from strandline.sources import tables, views
 
 #: The tables' files are small, so the registered queries look at smaller sizes than the defaults.
 COMPLEXITY, LOC, METHODS = (3, 5), (30, 60), 1
@@ -320,4 +320,4 @@ from (select project_id, case when count(*) filter (where severity = 'High') >=
 left join (select project_id, string_agg(suggestion, chr(10) order by place) as advice from (select project_id, suggestion, row_number() over (partition by project_id order by o) as place from (select project_id, suggestion, min(ordinal) as o from s where trim(suggestion) <> '' group by 1, 2)) where place <= 10 group by 1) a on a.project_id = c.project_id""", "s"), "code_files")
 def review_report(spark, sf_dir):
     """The review of every project from its files: rules of four agents, limits, consolidation, score and recommendations."""
-    return review.review(_files(spark, sf_dir), complexity=COMPLEXITY, loc=LOC, methods=METHODS)
+    return review.review(_files(spark, sf_dir), store=tables.stored, complexity=COMPLEXITY, loc=LOC, methods=METHODS)
