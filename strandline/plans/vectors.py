@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.operators import retrieval
 from strandline.operators import vectors as ops
 from strandline.plans.registry import query
 from strandline.sources import views
@@ -135,11 +136,11 @@ def summary_buckets(spark, sf_dir):
     return _hits(spark, sf_dir, 40).select("qid", "chunk_id", F.floor((F.col("place") - 1) / 10).cast("int").alias("bucket"))
 
 
-@query("r7_retrieve", f"with {_HITS}, t as (select qid, chunk_id, place, token_count, sum(token_count) over (partition by qid order by place)::bigint as running, sum(token_count) over (partition by qid)::bigint as total from h where place <= 20) select qid, chunk_id, running, total > 6000 as summarise from t where running <= 4000", "vectors")
+@query("r7_retrieve", f"with {_HITS}, t as (select qid, chunk_id, project_id || '/' || file_path as source, place, token_count, sum(token_count) over (partition by qid order by place)::bigint as running, sum(token_count) over (partition by qid)::bigint as total from h where place <= 20) select qid, chunk_id, source, running, total > 6000 as summarise from t where running <= 4000", "vectors")
 def retrieve(spark, sf_dir):
-    w = Window.partitionBy("qid")
-    t = _hits(spark, sf_dir, 20).withColumn("running", F.sum("token_count").over(w.orderBy("place"))).withColumn("total", F.sum("token_count").over(w))
-    return t.where("running <= 4000").select("qid", "chunk_id", "running", (F.col("total") > 6000).alias("summarise"))
+    """The best chunks of each query while their tokens fit, with their sources, and whether all of them would need a summary."""
+    t = retrieval.within_budget(_hits(spark, sf_dir, 20), 4000)
+    return t.select("qid", "chunk_id", F.concat("project_id", F.lit("/"), "file_path").alias("source"), "running", (F.col("total") > 6000).alias("summarise"))
 
 
 @query("r8_summary_plan", f"with {_HITS}, b as (select qid, ((place - 1) // 10)::int as bucket, place, chunk_id, token_count from h where place <= 40) select qid, bucket, sum(token_count)::bigint as tokens, string_agg(chunk_id, ' ' order by place) as document from b group by 1, 2", "vectors")
