@@ -99,7 +99,7 @@ NAMESPACES = r"\bnamespace\s+[\w\.]+"
 THEMES = ((("service",), "Services"), (("controller",), "Controllers"), (("repository", "data"), "Data Access"), (("model", "entity"), "Models"), (("interface", "contract"), "Interfaces"), (("middleware",), "Middleware"), (("test", "spec"), "Tests"), (("util", "helper"), "Utilities"))
 
 #: What is redacted; the e-mail pattern applies on demand.
-API_KEY, BEARER, PAIR, EMAIL = r"(aar_[a-zA-Z0-9]{20,})", r"Bearer\s+[a-zA-Z0-9\-_\.]+", r"(Password|Pwd|Secret|Key)=([^;]+)", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+BEARER, PAIR, EMAIL = r"Bearer\s+[a-zA-Z0-9\-_\.]+", r"(Password|Pwd|Secret|Key)=([^;]+)", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 REDACTED = "***REDACTED***"
 
 #: Hosts that repositories are cloned from.

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from strandline.functions.rules import BEARER, EMAIL, PAIR, REDACTED
 
 
-def redact(text: Column, emails: bool = False) -> Column:
-    """Keys of the service down to their first eight characters, bearer tokens, values of secrets in pairs, and e-mails on demand."""
-    out = F.regexp_replace(text, r"(?i)(aar_[a-zA-Z0-9]{4})[a-zA-Z0-9]{16,}", f"$1{REDACTED}")
+def redact(text: Column, emails: bool = False, prefix: str = "key_") -> Column:
+    """Keys of the service (its prefix and 20 characters at least) down to their first eight characters, bearer tokens, values of
+    secrets in pairs, and e-mails on demand."""
+    shown = max(0, 8 - len(prefix))
+    out = F.regexp_replace(text, f"(?i)({prefix}[a-zA-Z0-9]{{{shown}}})[a-zA-Z0-9]{{{20 - shown},}}", f"$1{REDACTED}")
     out = F.regexp_replace(out, f"(?i){BEARER}", f"Bearer {REDACTED}")
     out = F.regexp_replace(out, f"(?i){PAIR}", f"$1={REDACTED}")
     return F.regexp_replace(out, EMAIL, REDACTED) if emails else out

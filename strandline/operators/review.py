@@ -19,7 +19,7 @@ AGENTS = ("Structure", "CodeQuality", "Security", "ArchitectureAdvisor")
 #: Columns of a finding.
 COLUMNS = ("project_id", "agent", "rule", "severity", "category", "file_path", "line", "description", "explanation", "suggestion")
 
-#: Rules of a project's structure and architecture: name, severity, category, text, advice.
+#: Rules of projects and files by name: agent, severity, category, text, advice.
 TEXTS = {
     "Inconsistent Directory Naming": ("Structure", "Low", "Structure", "Mixed naming conventions detected: {} PascalCase, {} kebab-case directories.", "Choose a consistent naming convention for all directories."),
     "Excessive Folder Nesting": ("Structure", "Medium", "Structure", "Directory nesting is {} levels deep. This can make navigation difficult.", "Consider flattening the directory structure or using a more modular organization."),

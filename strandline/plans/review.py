@@ -249,12 +249,12 @@ def file_summary(spark, sf_dir):
     return ops.summaries(_files(spark, sf_dir), scans.dependencies(F.col("content"), F.col("ext"))).withColumn("imports", F.array_join(F.array_sort("imports"), " "))
 
 
-@query("x10_redact", f"select doc_id, regexp_replace(regexp_replace(regexp_replace(content, '(?i)(aar_[a-zA-Z0-9]{{4}})[a-zA-Z0-9]{{16,}}', '\\1{R.REDACTED}', 'g'), {q('(?i)' + R.BEARER)}, 'Bearer {R.REDACTED}', 'g'), {q('(?i)' + R.PAIR)}, '\\1={R.REDACTED}', 'g') as content from code_files", "code_files")
+@query("x10_redact", f"select doc_id, regexp_replace(regexp_replace(regexp_replace(content, '(?i)(key_[a-zA-Z0-9]{{4}})[a-zA-Z0-9]{{16,}}', '\\1{R.REDACTED}', 'g'), {q('(?i)' + R.BEARER)}, 'Bearer {R.REDACTED}', 'g'), {q('(?i)' + R.PAIR)}, '\\1={R.REDACTED}', 'g') as content from code_files", "code_files")
 def redact(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", redaction.redact(F.col("content")).alias("content"))
 
 
-@query("x11_log_preview", f"select doc_id, '[' || length(content) || ' chars, hash:' || substr(sha256(content), 1, 8) || '] ' || regexp_replace(regexp_replace(regexp_replace(left(content, 50) || case when length(content) > 50 then '...' else '' end, '(?i)(aar_[a-zA-Z0-9]{{4}})[a-zA-Z0-9]{{16,}}', '\\1{R.REDACTED}', 'g'), {q('(?i)' + R.BEARER)}, 'Bearer {R.REDACTED}', 'g'), {q('(?i)' + R.PAIR)}, '\\1={R.REDACTED}', 'g') as preview from code_files", "code_files")
+@query("x11_log_preview", f"select doc_id, '[' || length(content) || ' chars, hash:' || substr(sha256(content), 1, 8) || '] ' || regexp_replace(regexp_replace(regexp_replace(left(content, 50) || case when length(content) > 50 then '...' else '' end, '(?i)(key_[a-zA-Z0-9]{{4}})[a-zA-Z0-9]{{16,}}', '\\1{R.REDACTED}', 'g'), {q('(?i)' + R.BEARER)}, 'Bearer {R.REDACTED}', 'g'), {q('(?i)' + R.PAIR)}, '\\1={R.REDACTED}', 'g') as preview from code_files", "code_files")
 def log_preview(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", redaction.log_preview(F.col("content")).alias("preview"))
 

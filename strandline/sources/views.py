@@ -43,7 +43,7 @@ CODE = (
     '"apikey": "k-{n}",', '"apikey": "${KEY}",', 'secret: "YOUR_SECRET"', 'connectionString = "Server=db;Password=p{n};"', "// todo: tidy up {n}", "try { Go(); } catch (Exception e)~{ }", "int[] a = { 22, 33, 44, 55, 66, 77, 1{n} };",
     "using System.Text{n};~namespace App.Part{n};", "public class C{n}~{~    public int Size(int a)~    {~        if (a > 20 && a < 90) { return 21; }~        return a;~    }~    private static async Task<int> Load(string s) { return 3; }~}",
     "/* a block~   comment */~int x{n} = 1;", "import os~from pkg{n}.sub import name", "def work{n}(a):~    for i in a:~        yield i~~class K{n}:~    pass", "import React from 'react';~import { x } from \"./local{n}\";",
-    "export function run{n}(a) {~  if (a) { return [a]; }~}~class G{n} {}", "Authorization: Bearer abc.def-{n}", "key aar_abcdefghijklmnopqrstuv{n}",
+    "export function run{n}(a) {~  if (a) { return [a]; }~}~class G{n} {}", "Authorization: Bearer abc.def-{n}", "use key_abcdefghijklmnopqrstuv{n}",
 )
 CODE_EXTS = (".cs", ".py", ".ts", ".js", ".java", ".json", ".yml", ".config")
 #: Files with names of their own, by the rest of the number.
