@@ -17,6 +17,7 @@ a document the largest counts; null labels do not count; repeated rows are score
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -109,16 +110,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # a feature of few toxic documents says nothing of others; one that toxic documents have no more often cannot help
     base = sum(y) / len(y)
     ids = {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n >= SEEN and n > min(3 * base, (1 + base) / 2) * seen[f]))}
-    inner, feature, sentence_of, doc_of, n_sentences = [], [], [], [], 0
+    feature, sentence_of, doc_of, n_sentences = array("i"), array("i"), array("i"), 0
     for d, bag in enumerate(bags):
         for words in filter(None, bag):
             for w in sorted(words):
                 own = [ids[f] for f in near[w] if f in ids]
-                feature += own
-                sentence_of += [n_sentences] * len(own)
+                feature.extend(own)
+                sentence_of.extend([n_sentences] * len(own))
             doc_of.append(d)
             n_sentences += 1
-    flat, inner, doc_of, y = np.array(feature, np.int64), np.array(sentence_of, np.int64), np.array(doc_of, np.int64), np.array(y)
+    del rows, bags, near, seen, toxic  # the driver holds numbers from here on
+    flat, inner, doc_of, y = np.array(feature, np.int32), np.array(sentence_of, np.int32), np.array(doc_of, np.int32), np.array(y)
     w, b = np.zeros(len(ids)), -4.0
     g2, gb2 = np.full(len(ids), 1e-3), 1e-3
     for _ in range(rounds):
