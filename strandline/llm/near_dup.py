@@ -175,12 +175,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _places(members: DataFrame, comps: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _places(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members with component and weight, mixed buckets): the buckets that hold several components.
 
     A member weighs as much as its set is large, so blocks are bounded by bytes, too."""
-    sized = members.join(classes.select(F.col("rep").alias("r"), (1 + F.col("n_shingles") / WEIGHT).alias("weight")), F.col("rep") == F.col("r")).drop("r")
-    known = sized.join(comps, sized["rep"] == comps["node"], "left").select("bucket", "also", "rep", F.coalesce("component", "rep").alias("comp"), "weight")
+    known = members.join(comps, members["rep"] == comps["node"], "left").select("bucket", "also", "rep", F.coalesce("component", "rep").alias("comp"), (1 + F.col("n_shingles") / WEIGHT).alias("weight"))
     parts = known.groupBy("bucket", "also", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     most = F.struct("n", "comp")
     mixed = parts.groupBy("bucket", "also").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", most).alias("big"), F.sum("w").alias("w"), F.max_by("w", most).alias("w_big")).where("comps > 1")
@@ -194,14 +193,14 @@ def _cells(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFram
     component, each in one column j. A crowded bucket, with very many members outside its largest component, is cut by a second
     band: its members meet only where they share another band (`also`) too, as linked ones do but for a share of 1e-7."""
     at = lambda known, mixed: known.join(mixed, (F.col("bucket") == F.col("bk")) & (F.col("also") == F.col("al")))
-    known, mixed = _places(members, comps, classes)
+    known, mixed = _places(members, comps)
     mixed = stored(mixed, "mixed")
     crowded = F.col("n") - F.col("most") > CROWD
     rows = at(known, mixed.where(~crowded))
     if not mixed.where(crowded).isEmpty():
-        dense = at(known, mixed.where(crowded)).select("bucket", "rep").join(classes.select(F.col("rep").alias("r"), "bands"), F.col("rep") == F.col("r"))
-        cut = dense.select("bucket", F.explode("bands").alias("also"), "rep").where("also <> bucket")
-        rows = rows.unionByName(at(*_places(cut, comps, classes)))
+        dense = at(known, mixed.where(crowded)).select("bucket", "rep").join(classes.select(F.col("rep").alias("r"), "bands", "n_shingles"), F.col("rep") == F.col("r"))
+        cut = dense.select("bucket", F.explode("bands").alias("also"), "rep", "n_shingles").where("also <> bucket")
+        rows = rows.unionByName(at(*_places(cut, comps)))
     rows = rows.join(classes.select(F.col("rep").alias("r"), "n_shingles", "sketch", "bands"), F.col("rep") == F.col("r"))
     left = F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int")
     right = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights")).cast("int")
@@ -317,9 +316,9 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     signed = stored(signatures(docs, key, text, size), "signatures")
     full = signed.where("n_shingles > 0 and id is not null")
     classes = stored(full.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
+    banded = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("b"), "leader")
-    members = stored(banded.join(stars, F.col("bucket") == F.col("b")).select("bucket", F.col("bucket").alias("also"), "rep", "leader"), "members")
+    members = stored(banded.join(stars, F.col("bucket") == F.col("b")).select("bucket", F.col("bucket").alias("also"), "rep", "n_shingles", "leader"), "members")
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     pairs = members.groupBy("rep").agg(F.min("leader").alias("a")).where("a <> rep").select("a", F.col("rep").alias("b"))
     exact = lambda pairs: stored(confirmed(pairs, docs, key, text, size, threshold), "confirmed")

@@ -107,7 +107,7 @@ def test_a_bucket_of_unlike_members_is_cut(spark):
     n = 50_000
     bands = F.expr(f"transform(sequence(0, {near_dup.BANDS - 1}), k -> if(k = 0, 42L, xxhash64(if(k < 3 and id < 2, -1L, id), k)))")
     classes = spark.range(n).select(F.col("id").alias("rep"), F.lit(100).cast("long").alias("n_shingles"), bands.alias("bands"), F.array_repeat(F.lit(0).cast("long"), near_dup.SKETCH_BITS // 64).alias("sketch")).cache()
-    members = classes.select(F.lit(42).cast("long").alias("bucket"), F.lit(42).cast("long").alias("also"), "rep")
+    members = classes.select(F.lit(42).cast("long").alias("bucket"), F.lit(42).cast("long").alias("also"), "rep", "n_shingles")
     comps = spark.createDataFrame([], "node long, component long")
     cells = near_dup._cells(members, comps, classes).cache()
     assert cells.count() <= 8 and {r["rep"] for r in cells.select("rep").collect()} == {0, 1}

@@ -57,6 +57,21 @@ def test_stages_against_brute_force(spark, sf_dir):
         assert r["token_ids"] == library.encode_ordinary(r["text"] or "")
 
 
+def test_clashing_columns_and_odd_tables(spark, sf_dir):
+    """Columns with the names that stages use come back as they were; empty tables, nulls, repeats and a long text pass."""
+    names = ["toxicity", "toxic_spans", "n_words", "hit_words", "hit_items", "pii", "row", "bands", "bucket"]
+    rows = [(1, "mail a@b.cd now", "x"), (1, "mail a@b.cd now", "x"), (None, None, "y"), (3, "", "z"), (4, "calm word " * 60_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *(F.lit("mine").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        got = out.collect()
+        assert len(got) == (4 if name == "near_dedup" else 5), name
+        assert all(r[n] == "mine" for r in got for n in names), name
+        assert name == "bpe" or out.columns == docs.columns
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_near_dedup_decides_by_row(spark, sf_dir):
     words = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
     rows = [(1, words("a"))] * 3 + [(None, words("b"))] * 2 + [(7, words("c")), (7, words("d")), (3, words("c") + " more"), (9, words("e")), (None, words("e")), (None, "")]
