@@ -14,8 +14,21 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+#: Bytes of an Arrow batch on its way to Python, and Spark's own default.
+BATCH_BYTES, DEFAULT = "8388608b", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, for a batch of texts is held by the executor and by Python at once, and several tasks do so.
+    A session that says otherwise than Spark's default keeps what it says. The one value serves all operators."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, DEFAULT) == DEFAULT:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """A table of the data folder; with cols only those columns, so that other columns never clash with ours."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import apart, pieces, shared_dir, together
 
 #: Bytes of text after which a shard is closed.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Every how many text positions the suffix array is sampled.
 SAMPLE = 8
 
