@@ -47,4 +47,21 @@ with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as p
 select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (5 * (i // 4) + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int + 1, 1)), '') as payload_digest,
 case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to from p"""
 
-ORACLE_SQL = {"op4_decontaminate": DECONTAMINATE, "op5_suffix_dedup": SUFFIX_DEDUP, "op6_near_dup": NEAR_DUP, "op8_warc": WARC}
+#: crc32 by its table, for each distinct word of a document; of words one edit apart one is the other
+#: without a letter, or both are the same without the letter at one place.
+SPELLING = r"""
+with recursive tab as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(0, 256) r(i))),
+run as (select doc_id, word, count(*) as n from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as word from documents where text is not null) group by 1, 2),
+key as (select doc_id, word, n, hex(encode(doc_id::varchar || ':' || word)) as x from run where length(word) >= 5),
+crc as (select word, n, case when doc_id is null then 1 else xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(x) // 2), lambda k: ('0x' || substr(x, (2 * k + 1)::int, 2))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) end as h from key, tab),
+word as (select case when h % 97 = 0 then substr(word, 1, (h % length(word))::int) || substr(word, (h % length(word))::int + 2) else word end as word, n from crc),
+v as (select word, sum(n)::bigint as n from word group by 1 having sum(n) >= 3 and length(word) >= 5),
+cut as (select word, n, word as k, 0 as i from v union all select word, n, substr(word, 1, i::int - 1) || substr(word, i::int + 1), i from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+near as (select distinct a.word, a.n, b.word as b, b.n as nb from cut a join cut b on a.k = b.k and a.word <> b.word where a.i = b.i or a.i = 0 or b.i = 0),
+best as (select word, count(*) as n_near, max(nb) as nb, arg_min(b, (-nb, b)) as b from near group by 1),
+f as (select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when nb >= 2 * v.n then b end as form, case when nb >= 2 * v.n then nb end as form_n from v left join best on best.word = v.word),
+walk as (select word, word as reached, 0 as d from f union all select w.word, f.form, d + 1 from walk w join f on f.word = w.reached where f.form is not null),
+root as (select word, arg_max(reached, d) as root from walk group by 1)
+select f.word, form, root, n, n_near, form_n from f join root on root.word = f.word"""
+
+ORACLE_SQL = {"op4_decontaminate": DECONTAMINATE, "op5_suffix_dedup": SUFFIX_DEDUP, "op6_near_dup": NEAR_DUP, "op8_warc": WARC, "op12_spelling": SPELLING}

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, html_extract, near_dup, pii, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat, decontaminate, html_extract, near_dup, periodic, pii, spelling, suffix_dedup, token_files, toxicity, warc
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401
 
 #: The vocabulary file; its path is a parameter of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer file of the token files, a parameter as well.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def sha256(text) -> F.Column:
@@ -83,6 +86,45 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(more), vocabulary))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) where one text in ten ends in a periodic tail: words from place a on repeat those from a on, p apart."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.withColumn("h", h).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    tails = words.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+    tails = tails.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    once = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(once, times)), F.lit(1), F.col("n") - F.col("a"))
+    return tails.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(planted(table(spark, sf_dir, "documents", "doc_id", "text"))).drop("text")
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), sha256(lines).alias("runs_sha256"), sha256("collapsed").alias("collapsed_sha256"))
+    length = -F.col("longest.minus")
+    return found.select("doc_id", "n_runs", F.col("longest.start").alias("start"), length.alias("length"), F.col("longest.period").alias("period"), F.floor(1000 * length / F.col("longest.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def misspelt(doc: int, word: str) -> str:
+    """The word as the query counts it: one in 97 words of a document lacks a letter."""
+    h = zlib.crc32(f"{doc}:{word}".encode())
+    at = h % len(word)
+    return word if h % 97 else word[:at] + word[at + 1 :]
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents", "doc_id", "text"), shortest=5, least=3, change=misspelt)
+    return spelling.group(words, times=2).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER), end=2)
+    return token_files.read(files).select(F.col("id").alias("doc_id"), "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_suffix_dedup, op6_near_dup, op7_ann, op8_warc, op9_html, op10_chat)
+    f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_suffix_dedup, op6_near_dup, op7_ann, op8_warc, op9_html, op10_chat, op11_periodic, op12_spelling, op13_token_files)
 }
