@@ -133,7 +133,7 @@ def join_planes(planes: list[bytes], n: int) -> np.ndarray:
 class Writer:
     """Documents' ids to one file. Holds a block, and the index."""
 
-    def __init__(self, sink: BinaryIO, kind: str = "bit", block: int = BLOCK):
+    def __init__(self, sink: BinaryIO, kind: str = "byte", block: int = BLOCK):
         self.sink, self.kind, self.block = sink, kind, block
         self.squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
         self.held, self.n_held, self.n_ids, self.place = [], 0, 0, len(MAGIC)
@@ -238,7 +238,7 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if ":" in path.partition("/")[0] else f"file://{path}")
 
 
-def write(docs: DataFrame, path: str, end: int | None, key: str = "doc_id", text: str = "text", kind: str = "bit") -> DataFrame:
+def write(docs: DataFrame, path: str, end: int | None, key: str = "doc_id", text: str = "text", kind: str = "byte") -> DataFrame:
     """Encode the texts by the tokenizer file at path, each with the id `end` behind it (none if null), to files in the shared
     folder, by ascending id. Returns (file, path, first, ids, documents): first counts the ids of all files before."""
     if kind not in PLANES:
