@@ -213,71 +213,6 @@ def chunk_lines(files: DataFrame, lines: int = 20, overlap: int = 4) -> DataFram
     return cut.select("doc_id", "chunk_index", (F.col("at") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice("l", F.col("at") + 1, end - F.col("at")), "\n").alias("chunk"))
 
 
-def line_tokens(lines: Column) -> Column:
-    """Tokens of each line: a quarter of its characters, at least one."""
-    return F.transform(lines, lambda x: F.greatest(F.lit(1), F.ceil(F.length(x) / 4)).cast("int"))
-
-
-def total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
-
-
-def windows_of(t: Column, most: int, overlap: int, least: int) -> Column:
-    """Greedy windows (first, last, tokens) over the lines' tokens, up to `most`; the next one steps back until `overlap` tokens
-    are reached. A line always gets ahead, even one over the limit. Windows below `least` tokens go; if none is left, one has all."""
-    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("sum"), F.array().cast("array<struct<first:int,last:int,tokens:int>>").alias("done"))
-    window = lambda first, last, tokens: F.struct(first.alias("first"), last.alias("last"), tokens.alias("tokens"))
-
-    def back(first: Column, last: Column) -> Column:
-        """First line of the next window: behind `last`, less the lines that make up the overlap, but beyond `first`."""
-        state = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
-        tail = F.reverse(F.slice(t, first + 1, last - first + 1))
-        got = F.aggregate(tail, state, lambda s, x: F.when(s["sum"] >= overlap, s).otherwise(F.struct((s["sum"] + x).alias("sum"), (s["n"] + 1).alias("n"))))
-        return F.greatest(first + 1, last + 1 - got["n"])
-
-    def step(s: Column, i: Column) -> Column:
-        at = F.get(t, i)
-        over = (i > s["first"]) & (s["sum"] + at > most)
-        nxt = back(s["first"], i - 1)
-        again = total(F.slice(t, nxt + 1, i - nxt))
-        fits = again + at <= most
-        moved = F.struct(F.when(fits, nxt).otherwise(i).alias("first"), F.when(fits, again + at).otherwise(at).alias("sum"), F.concat(s["done"], F.array(window(s["first"], i - 1, s["sum"]))).alias("done"))
-        return F.when(over, moved).otherwise(F.struct(s["first"].alias("first"), (s["sum"] + at).alias("sum"), s["done"].alias("done")))
-
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), start, step, lambda s: F.concat(s["done"], F.array(window(s["first"], F.size(t) - 1, s["sum"]))))
-    kept = F.filter(folded, lambda c: c["tokens"] >= least)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(window(F.lit(0), F.size(t) - 1, total(t))))
-
-
-def chunk_sliding(files: DataFrame, most: int = 1600, overlap: int = 200, least: int = 50) -> DataFrame:
-    """Greedy chunks of whole lines, see windows_of. A fold inside the row: a file's lines never leave their task."""
-    rows = files.select("doc_id", F.split("content", "\n").alias("l")).withColumn("t", line_tokens(F.col("l"))).withColumn("c", windows_of(F.col("t"), most, overlap, least))
-    out = rows.select("doc_id", "l", F.posexplode("c").alias("chunk_index", "c"))
-    return out.select("doc_id", "chunk_index", (F.col("c.first") + 1).alias("start_line"), (F.col("c.last") + 1).alias("end_line"), F.col("c.tokens").alias("tokens"), F.array_join(F.slice("l", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n").alias("chunk"))
-
-
-def chunk_corpus(files: DataFrame, most: int = 1600, overlap: int = 200, least: int = 50) -> DataFrame:
-    """Semantic chunks: (doc_id, project_id, file_path, language, chunk_index, total_chunks, name, type, start_line, end_line,
-    tokens, chunk). files have `units` (units.with_units).
-
-    A unit up to `most` tokens is a chunk, a larger one is cut by windows_of, one below `least` goes. A file of which no unit is
-    left is cut as a whole; a blank file has no chunk. All of it inside the file's row: no shuffle, and numbers without a window."""
-    rows = files.where(F.trim("content") != "").select("doc_id", "project_id", "file_path", chunker_language(F.col("ext")).alias("language"), F.split("content", "\n").alias("l"), "units").withColumn("t", line_tokens(F.col("l")))
-    inside = lambda u: F.slice(F.col("t"), u["start_line"], u["end_line"] - u["start_line"] + 1)
-    large = F.filter("units", lambda u: total(inside(u)) >= least)
-    whole = F.array(F.struct(F.element_at(F.split("file_path", "/"), -1).alias("name"), F.lit("file").alias("type"), F.lit(1).alias("start_line"), F.size("l").alias("end_line")))
-    rows = rows.withColumn("u", F.when(F.size(large) > 0, large).otherwise(whole))
-
-    def cut(u: Column) -> Column:
-        piece = lambda c: F.struct(u["name"].alias("name"), u["type"].alias("type"), (u["start_line"] + c["first"]).alias("start"), (u["start_line"] + c["last"]).alias("end"), c["tokens"].alias("tokens"))
-        return F.transform(windows_of(inside(u), most, overlap, least), piece)
-
-    rows = rows.withColumn("c", F.flatten(F.transform("u", cut))).withColumn("total_chunks", F.size("c"))
-    out = rows.select("doc_id", "project_id", "file_path", "language", "l", "total_chunks", F.posexplode("c").alias("chunk_index", "c"))
-    text = F.array_join(F.slice("l", F.col("c.start"), F.col("c.end") - F.col("c.start") + 1), "\n")
-    return out.select("doc_id", "project_id", "file_path", "language", "chunk_index", "total_chunks", F.col("c.name").alias("name"), F.col("c.type").alias("type"), F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), F.col("c.tokens").alias("tokens"), text.alias("chunk"))
-
-
 def token_spans(text: Column) -> Column:
     """Pieces of a text (piece, tokens): cut at white space and before special characters; a piece of more than eight
     characters is two tokens."""

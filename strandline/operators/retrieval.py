@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.rules import SOURCE_EXTENSIONS
-from strandline.operators.files import chunk_corpus, is_excluded
-from strandline.operators.units import with_units
+from strandline.operators.chunking import chunk_corpus
+from strandline.operators.files import is_excluded
 from strandline.operators.vectors import normalized
 from strandline.sources.tables import write_projects
 
@@ -35,7 +35,7 @@ def chunked(files: DataFrame, largest: int = 200_000, **sizes) -> DataFrame:
     usable = files.where(F.col("ext").isin(*SOURCE_EXTENSIONS) & ~is_excluded(F.col("file_path")) & (F.length("content") <= largest))
     digest = F.substr(F.sha2("chunk", 256), F.lit(1), F.lit(16))
     place = F.concat_ws(":", "project_id", "file_path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), digest)
-    return chunk_corpus(with_units(usable), **sizes).withColumn("text_hash", digest).withColumn("chunk_hash", F.substr(F.sha2(place, 256), F.lit(1), F.lit(16)))
+    return chunk_corpus(usable, **sizes).withColumn("text_hash", digest).withColumn("chunk_hash", F.substr(F.sha2(place, 256), F.lit(1), F.lit(16)))
 
 
 def embedded(chunks: DataFrame, embed: Callable[[Column], Column] = hash_embedding, dim: int = 64) -> DataFrame:

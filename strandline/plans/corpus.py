@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandline.functions.rules import BINARY_EXTENSIONS, CHUNKER_LANGUAGES, DECISION_POINTS, EXCLUDED_DIRS, ROUTER_LANGUAGES, SOURCE_EXTENSIONS, sql_case, sql_list
 from strandline.operators import files as ops
-from strandline.operators import retrieval, scans, units
+from strandline.operators import chunking, retrieval, scans, units
 from strandline.plans.registry import query
 from strandline.sources import tables, views
 from strandline.streaming import jobs
@@ -249,9 +249,36 @@ def chunk_numbering(spark, sf_dir):
     return ops.chunk_lines(_files(spark, sf_dir)).select("doc_id", "chunk_index", F.count("*").over(Window.partitionBy("doc_id")).alias("total"), "start_line", "end_line")
 
 
-@query("r1_chunk_sliding")
+def _tokens_sql(chars: str, words: str, specials: str) -> str:
+    return f"case when {chars} <= 0 then 0 else greatest(1, ((({chars}) + 3) // 4 * 6 + (({words}) * 13 + 9) // 10 * 3 + ({specials}) // 2 + 9) // 10) end"
+
+
+def _window_sql(first: str, last: str) -> str:
+    """Tokens of the lines first to last, counted from 0, without the empty ones at the beginning: b[first + 1] is the first line
+    that is not empty, c, w and s are running sums."""
+    begin = f"b[({first}) + 1]"
+    return f"case when {begin} > {last} then 0 else " + _tokens_sql(f"(c[({last}) + 2] - c[{begin} + 1] + ({last}) - {begin})", f"(w[({last}) + 2] - w[{begin} + 1])", f"(s[({last}) + 2] - s[{begin} + 1])") + " end"
+
+
+def _sliding_sql(most: int, overlap: int, least: int) -> str:
+    """Common table expressions up to `cut` (doc_id, n, first, last, tokens): a step of the recursion for each window."""
+    last = f"list_max(list_filter(range(least(greatest(p, b[p + 1]), n - 1)::bigint, n), lambda j: j = least(greatest(p, b[p + 1]), n - 1) or {_window_sql('p', 'j')} <= {most}))"
+    back = f"greatest(p + 1, coalesce(list_max(list_filter(range(0, last + 2), lambda i: t[i + 1] <= t[last + 2] - {overlap})), 0))"
+    return f"""li as (select doc_id, unnest(string_split(content, chr(10))) as x, generate_subscripts(string_split(content, chr(10)), 1) - 1 as k from source_files where content is not null),
+lc as (select doc_id, k, length(x) as c, len(regexp_extract_all(x, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+')) as w, len(regexp_extract_all(x, '[{{}}()\\[\\];,.<>:=+\\-*/&|!?@#$%^~`\\\\''"]')) as s from li),
+lt as (select *, {_tokens_sql('c', 'w', 's')} as t, min(case when c > 0 then k end) over (partition by doc_id order by k rows between current row and unbounded following) as b from lc),
+ru as (select doc_id, k, sum(c) over o as c, sum(w) over o as w, sum(s) over o as s, sum(t) over o as t, b from lt window o as (partition by doc_id order by k)),
+sums as (select doc_id, count(*) as n, list_prepend(0::hugeint, list(c order by k)) as c, list_prepend(0::hugeint, list(w order by k)) as w, list_prepend(0::hugeint, list(s order by k)) as s, list_prepend(0::hugeint, list(t order by k)) as t, list(coalesce(b, 1099511627776) order by k) || [1099511627776] as b from ru group by 1),
+win as (select doc_id, 0::bigint as p, 0::bigint as last, 0 as step from sums union all
+select doc_id, case when step % 2 = 0 then p else {{back}} end, case when step % 2 = 0 then {last} else last end, step + 1 from win join sums using (doc_id) where step % 2 = 0 or last + 1 < n),""".replace("{back}", f"(case when {_window_sql(back, 'last + 1')} <= {most} then {back} else last + 1 end)") + f"""
+cut as (select doc_id, p, last, {_window_sql('p', 'last')} as tokens from win join sums using (doc_id) where step % 2 = 1),
+kept as (select * from cut where tokens >= {least}),
+every as (select doc_id, p, last, tokens from kept union all select doc_id, 0, n - 1, {_tokens_sql('(c[n + 1] + n - 1)', 'w[n + 1]', 's[n + 1]')} from sums where doc_id not in (select doc_id from kept))"""
+
+
+@query("r1_chunk_sliding", f"with recursive {_sliding_sql(300, 60, 20)} select doc_id, (row_number() over (partition by doc_id order by p) - 1)::int as chunk_index, (p + 1)::int as start_line, (last + 1)::int as end_line, tokens::int as tokens from every", "source_files")
 def chunk_sliding(spark, sf_dir):
-    return ops.chunk_sliding(_files(spark, sf_dir), 300, 60, 20).drop("chunk")
+    return chunking.chunk_sliding(_files(spark, sf_dir), 300, 60, 20).drop("chunk")
 
 
 @query("a21_indexing_result", "with l as (select project_id, file_path, content, len(string_split(content, chr(10))) as n from source_files), c as (select project_id, sum(len(range(0, greatest(n - 4 - 1, 0) + 1, 16)))::bigint as chunks from l where length(trim(content)) > 0 group by 1) select f.project_id, count(*) as files, count(*) filter (where length(trim(content)) = 0) as skipped, sum(size_bytes // 4)::bigint as tokens, max(chunks) as chunks, max(chunks) as embeddings from source_files f left join c on c.project_id = f.project_id group by 1", "source_files")
@@ -294,7 +321,7 @@ SIZES = {"most": 60, "overlap": 15, "least": 5}
 
 @query("r4_chunk_corpus")
 def chunk_corpus(spark, sf_dir):
-    return ops.chunk_corpus(units.with_units(views.code_files(spark, sf_dir)), **SIZES).drop("chunk")
+    return chunking.chunk_corpus(views.code_files(spark, sf_dir), **SIZES).drop("chunk")
 
 
 @query("r9_index_project")
@@ -339,4 +366,4 @@ def python_units(spark, sf_dir):
 
 @query("r2_r3_extract_units")
 def extract_units(spark, sf_dir):
-    return units.extract_units(views.code_files(spark, sf_dir))
+    return units.extract_units(views.code_files(spark, sf_dir), SIZES["most"])

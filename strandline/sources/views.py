@@ -123,4 +123,6 @@ def with_views(body: str, *names: str) -> str:
     if not names:
         return body
     views = ", ".join(f"{n} as ({SQL[n]})" for n in names)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {views}, {body[15:]}"
     return f"with {views}, {body[5:]}" if body.lower().startswith("with ") else f"with {views} {body}"

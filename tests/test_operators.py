@@ -67,38 +67,6 @@ def test_host_must_be_the_stated_one_or_below(spark):
     assert [r[0] for r in df.select(state.repo_url_allowed(F.col("u"))).collect()] == [True, True, False, False, False, False, False]
 
 
-def sliding(lines, most, overlap, least):
-    """Brute force of the greedy windows."""
-    t = [max(1, -(-len(x) // 4)) for x in lines]
-    out, first, total, i = [], 0, 0, 0
-    while i < len(t):
-        if i > first and total + t[i] > most:
-            out.append((first, i - 1, total))
-            back, n = 0, 0
-            for x in reversed(t[first:i]):
-                if back >= overlap:
-                    break
-                back, n = back + x, n + 1
-            nxt = max(first + 1, i - n)
-            again = sum(t[nxt:i])
-            first, total = (nxt, again + t[i]) if again + t[i] <= most else (i, t[i])
-        else:
-            total += t[i]
-        i += 1
-    out.append((first, len(t) - 1, total))
-    kept = [c for c in out if c[2] >= least]
-    return kept or [(0, len(t) - 1, sum(t))]
-
-
-def test_chunk_sliding_against_brute_force(spark):
-    texts = ["\n".join("x" * ((i * 37 + j * 11) % 90) for j in range(i * 7 % 40 + 1)) for i in range(12)] + ["", "y" * 4000, "a\n" + "z" * 2000 + "\nb\nc"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
-    rows = files.chunk_sliding(df, 60, 15, 5).orderBy("doc_id", "chunk_index").collect()
-    for i, text in enumerate(texts):
-        got = [(r["start_line"] - 1, r["end_line"] - 1, r["tokens"]) for r in rows if r["doc_id"] == i]
-        assert got == sliding(text.split("\n"), 60, 15, 5), i
-
-
 def test_new_chunks_are_neither_stored_nor_repeated(spark):
     batch = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b"), ("q", "a")], "project_id string, chunk_hash string")
     stored = spark.createDataFrame([("p", "b")], "project_id string, chunk_hash string")
@@ -138,12 +106,3 @@ def test_watchdog_stream(spark, tmp_path):
     got = {(r["project_id"], r["strikes"], r["cancelled"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert (1, 1, False) in got and (1, 2, True) in got
     assert not any(p == 3 for p, _, _ in got)
-
-
-def test_brace_units():
-    from strandline.operators.units import units_of
-
-    code = 'using A;\npublic class B\n{\n  string s = "}"; // }\n  void M() { if (x) { } }\n}\nrecord C(int X);\nenum D { A }\nclass Open {\n'
-    assert list(units_of(code, ".cs")) == [("B", "class", 2, 6), ("C", "record", 7, 7), ("D", "enum", 8, 8)]
-    assert list(units_of("export function f() {\n return `}`;\n}\nclass G {}\n", ".ts")) == [("f", "function", 1, 3), ("G", "class", 4, 4)]
-    assert list(units_of("class X {}", ".md")) == []

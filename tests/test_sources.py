@@ -5,9 +5,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import files, intake, replies, retrieval, scans, units
+from strandline.operators import files, intake, replies, retrieval, scans
 from strandline.sources import archives
-from tests.test_operators import sliding
 
 
 def test_archives(spark, tmp_path):
@@ -143,26 +142,6 @@ def test_archive_preflight(spark):
     assert float(cost) == pytest.approx(1000 * 0.00003 * 1.1 + 0.001)
 
 
-def brute_chunks(text, ext, most, overlap, least):
-    """Units by their rule, windows by the greedy fold."""
-    lines = text.split("\n")
-    found = [(n, t, a, b) for n, t, a, b in units.units_of(text, ext) if sum(max(1, -(-len(x) // 4)) for x in lines[a - 1 : b]) >= least] or [("f" + ext, "file", 1, len(lines))]
-    return [(n, t, a + first, a + last, tokens) for n, t, a, b in found for first, last, tokens in sliding(lines[a - 1 : b], most, overlap, least)]
-
-
-def test_chunk_corpus_against_brute_force(spark):
-    body = "\n".join(f"    int x{i} = {i};" for i in range(40))
-    texts = [(".cs", f"using A;\npublic class Small {{ }}\npublic class Large\n{{\n{body}\n}}\n"), (".cs", "no units here\n" * 30), (".py", f"import a\ndef f():\n{body}\nclass G:\n    pass"), (".ts", "export function f() {\n  return 1;\n}"), (".md", "words " * 200), (".cs", "  "), (".cs", None)]
-    df = spark.createDataFrame([(k, "p", f"src/f{e}", t, e) for k, (e, t) in enumerate(texts)], FILE)
-    rows = files.chunk_corpus(units.with_units(df), 60, 15, 5).orderBy("doc_id", "chunk_index").collect()
-    for k, (ext, text) in enumerate(texts):
-        own = [r for r in rows if r["doc_id"] == k]
-        want = brute_chunks(text, ext, 60, 15, 5) if text and text.strip() else []
-        assert [(r["name"], r["type"], r["start_line"], r["end_line"], r["tokens"]) for r in own] == want
-        assert [r["chunk_index"] for r in own] == list(range(len(own))) and all(r["total_chunks"] == len(own) for r in own)
-        assert all(r["chunk"] == "\n".join(text.split("\n")[r["start_line"] - 1 : r["end_line"]]) for r in own)
-
-
 def test_indexing_writes_verifies_and_skips(spark, tmp_path):
     text = lambda k: f"public class C{k}\n{{\n    int a = {k};\n    int bbbbbbbb = {k};\n}}\n"
     df = spark.createDataFrame([(k, f"p{k % 2}", f"src/f{k}.cs", text(k), ".cs") for k in range(6)] + [(9, "p0", "bin/x.cs", text(9), ".cs"), (10, "p1", "a.png", "x", ".png"), (11, "p2", "b.cs", " ", ".cs")], FILE)
