@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import os
 import re
 import struct
@@ -68,6 +69,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Bytes of each token: a byte-level token has a character for each.
+        self.sizes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
         #: Ids by what follows the space that a part begins with.
         self.known: dict[str, bytes] = {}
         self.wide, self.cut = re.compile(r" (?:\s|$)").search, re.compile(r" (?=\S)").split
@@ -75,14 +78,28 @@ class Encoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: set[str]) -> None:
-        """Remember the ids of these parts. Where there are too many known ones they go, for they can be learned again."""
+    def apart(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, with its space, from one call of the library for all of them behind one another."""
+        if not parts:
+            return []
+        parts = [" " + p for p in parts]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])
+        cuts = np.searchsorted(ends, wanted)
+        if len(ids) == 0 or not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], wanted):
+            return self.library(parts)  # the tokenizer is not byte-level: one call for each
+        data, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def learn(self, parts: set[str]) -> list[str]:
+        """Get to know these parts. Returns those to forget behind the batch: words with stops, which are put together at once.
+        Where there are too many known ones all go, for they can be learned again."""
         if len(self.known) + len(parts) > CACHE:
             self.known.clear()
         known = self.known
-        new = parts.difference(known)
         whole, words, stops = set(), {}, set()
-        for part in new:
+        for part in parts:
             word = part.rstrip(STOPS)
             if word != part and word[-1:].isalpha():
                 words[part] = word
@@ -91,16 +108,24 @@ class Encoder:
                     whole.add(word)
             else:
                 whole.add(part)
+        new = list(whole)
         behind = dict(zip(stops, self.library(list(stops)), strict=True))
-        known.update(zip(whole, self.library([" " + x for x in whole]), strict=True))
+        known.update(zip(new, self.apart(new), strict=True))
         known.update((part, known[word] + behind[part[len(word) :]]) for part, word in words.items())
+        return list(words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [self.cut(t) if self.wide(t) else t.split(" ") for t in texts]
         firsts = self.library([parts.pop(0) for parts in rows])
-        self.learn(set(itertools.chain.from_iterable(rows)))
-        get = self.known.__getitem__
-        return [first + b"".join(map(get, parts)) for first, parts in zip(firsts, rows, strict=True)]
+        get, unknown = self.known.get, set()
+        found = [list(map(get, parts)) for parts in rows]
+        for parts, ids in zip(rows, found, strict=True):
+            unknown.update(itertools.compress(parts, map(operator.not_, ids)))
+        passing = self.learn(unknown)
+        found = [ids if all(ids) else [x or get(p) for p, x in zip(parts, ids, strict=True)] for parts, ids in zip(rows, found, strict=True)]
+        for part in passing:
+            del self.known[part]
+        return [first + b"".join(ids) for first, ids in zip(firsts, found, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
