@@ -85,7 +85,7 @@ class Counts:
 
 
 SLIDING = "chunk_index int, start_line int, end_line int, tokens int, chunk string"
-_SLIDING = pa.struct([("chunk_index", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("tokens", pa.int32()), ("chunk", pa.string())])
+SLIDING_KIND = pa.struct([("chunk_index", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("tokens", pa.int32()), ("chunk", pa.string())])
 
 
 def sliding(text: str, most: int, overlap: int, least: int) -> list[tuple[int, int, int, int, str]]:
@@ -107,19 +107,19 @@ def chunk_sliding(files: DataFrame, most: int = 1600, overlap: int = 200, least:
                     new = sliding(text, most, overlap, least)
                     ids += [doc] * len(new)
                     rows += new
-            yield _batch([pa.array(ids, batch.column(0).type)], ["doc_id"], rows, _SLIDING)
+            yield as_batch([pa.array(ids, batch.column(0).type)], ["doc_id"], rows, SLIDING_KIND)
 
     rows = files.select("doc_id", "content")
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, {SLIDING}")
 
 
-def _batch(arrays: list[pa.Array], names: list[str], rows: list[tuple], kind: pa.StructType) -> pa.RecordBatch:
+def as_batch(arrays: list[pa.Array], names: list[str], rows: list[tuple], kind: pa.StructType) -> pa.RecordBatch:
     columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)]
     return pa.RecordBatch.from_arrays([*arrays, *columns], names=[*names, *(f.name for f in kind)])
 
 
 SEMANTIC = "chunk_index int, total_chunks int, name string, type string, namespace string, start_line int, end_line int, tokens int, chunk string"
-_SEMANTIC = pa.struct([("chunk_index", pa.int32()), ("total_chunks", pa.int32()), ("name", pa.string()), ("type", pa.string()), ("namespace", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("tokens", pa.int32()), ("chunk", pa.string())])
+SEMANTIC_KIND = pa.struct([("chunk_index", pa.int32()), ("total_chunks", pa.int32()), ("name", pa.string()), ("type", pa.string()), ("namespace", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("tokens", pa.int32()), ("chunk", pa.string())])
 
 
 def semantic(text: str | None, path: str | None, ext: str | None, most: int, overlap: int, least: int) -> list[tuple]:
@@ -163,7 +163,7 @@ def chunk_corpus(files: DataFrame, most: int = 1600, overlap: int = 200, least:
                 new = semantic(text, path, ext, most, overlap, least)
                 at += [k] * len(new)
                 out += new
-            yield _batch([batch.column(k).take(pa.array(at, pa.int64())) for k in range(4)], list(kept), out, _SEMANTIC)
+            yield as_batch([batch.column(k).take(pa.array(at, pa.int64())) for k in range(4)], list(kept), out, SEMANTIC_KIND)
 
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:4]) + f", {SEMANTIC}")
 

@@ -292,6 +292,16 @@ def units_of(text: str, ext: str, too_large: Callable[[int, int], bool] = lambda
     return found
 
 
+def units_within(text: str, ext: str, most: int | None) -> list[Unit]:
+    """The units, C# types of more than `most` tokens by their members; null: none is too large."""
+    from strandline.operators.chunking import Counts
+
+    if most is None or ext not in CSHARP:
+        return units_of(text, ext)
+    counts = Counts(text)
+    return units_of(text, ext, lambda first, last: counts.whole(first - 1, last - 1) > most)
+
+
 FIELDS = ("name", "type", "start_line", "end_line", "namespace")
 UNITS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("namespace", T.StringType())]))
 KIND = pa.struct([("name", pa.string()), ("type", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("namespace", pa.string())])
@@ -300,20 +310,13 @@ KIND = pa.struct([("name", pa.string()), ("type", pa.string()), ("start_line", p
 def with_units(files: DataFrame, most: int | None = None) -> DataFrame:
     """files with `units`: name, type, first and last line, namespace of each. A C# type of more than `most` tokens gives its
     members; null: none is too large. A narrow step; null texts have no units; a column `units` is replaced."""
-    from strandline.operators.chunking import Counts
-
     schema = T.StructType([f for f in files.schema if f.name != "units"] + [T.StructField("units", UNITS)])
     names = [f.name for f in schema][:-1]
 
-    def found(text: str, ext: str) -> list[dict]:
-        counts = Counts(text) if most is not None and ext in CSHARP else None
-        large = (lambda a, b: counts.whole(a - 1, b - 1) > most) if counts else (lambda a, b: False)
-        return [{k: getattr(u, k) for k in FIELDS} for u in units_of(text, ext, large)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "content"):
             column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
-            rows = [found(text or "", ext or "") for ext, text in zip(column("ext").to_pylist(), column("content").to_pylist(), strict=True)]
+            rows = [[{k: getattr(u, k) for k in FIELDS} for u in units_within(text or "", ext or "", most)] for ext, text in zip(column("ext").to_pylist(), column("content").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(rows, pa.list_(KIND))], names=[*names, "units"])
 
     return files.mapInArrow(run, schema)

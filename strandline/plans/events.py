@@ -9,7 +9,7 @@ from strandline.functions.rules import PRICES
 from strandline.operators import jobs as ops
 from strandline.plans.registry import query
 from strandline.sources import views
-from strandline.streaming import jobs
+from strandline.streaming import jobs, stateful, upsert
 
 _AS_OF = "timestamp '2024-01-20 00:00:00'"
 
@@ -183,6 +183,34 @@ def stuck_jobs(spark, sf_dir):
     return jobs.silences(views.job_events(spark, sf_dir), 21_600)
 
 
+_HEARD = "case when kind in ('heartbeat', 'progress') then e.us else w.heard end"
+
+
+def _stuck_sql(longest: int, silent: int, check: int, strikes: int) -> str:
+    """A step of the recursion for each event of a project: the job as the event leaves it, and the checks before the next one."""
+    c, most = check * 1_000_000, strikes
+    first = f"((greatest(least(started + {longest * 1_000_000}, heard + {silent * 1_000_000}) + 1, us) + {c - 1}) // {c} * {c})"
+    hits = f"case when started is null then 0 else greatest(0, least({most} - struck, (until - {first} + {c - 1}) // {c})) end"
+    after = "case when kind = 'started' then {0} when kind in ('completed', 'failed') then null when w.struck + w.n >= " + str(most) + " then null else {1} end"
+    step = (
+        f"select e.project_id, e.r, e.us, e.until, {after.format('e.us', 'w.started')} as started, {after.format('e.us', _HEARD)} as heard, "
+        "case when kind in ('started', 'heartbeat') then 0 else w.struck + w.n end as struck from w join e on e.project_id = w.project_id and e.r = w.r + 1"
+    )
+    return f"""with recursive h as (select (epoch_ms(max(ts)) - 10000) * 1000 as h from job_events),
+e as (select project_id, kind, epoch_us(ts) as us, row_number() over o as r, coalesce(lead(epoch_us(ts)) over o, h) as until from job_events, h where epoch_us(ts) < h window o as (partition by project_id order by ts, event_id)),
+w as (select project_id, 0::bigint as r, 0::bigint as us, 0::bigint as until, null::bigint as started, null::bigint as heard, 0::bigint as struck, 0::bigint as n from (select distinct project_id from e)
+union all select *, {hits} as n from ({step})),
+k as (select project_id, {first} + i * {c} as tick, started, (struck + i + 1)::int as strikes from (select *, unnest(range(0, n)) as i from w where n > 0))
+select project_id, make_timestamp(tick) as checked_at, case when tick - started > {longest * 1_000_000} then 'duration' else 'silence' end as reason, strikes, strikes >= {most} as cancelled from k"""
+
+
+@query("t3_stuck_job_stream", _stuck_sql(172_800, 43_200, 3_600, 3), "job_events")
+def stuck_job_stream(spark, sf_dir):
+    """The watchdog's strikes, by the stream with timers: jobs of more than two days, or silent for half a day, checked each hour."""
+    events = views.job_events(spark, sf_dir, jobs.arriving)
+    return jobs.settled(stateful.stuck_jobs(events, 172_800, 43_200, 3_600, 3), mode="append", stateful=True)
+
+
 @query("t4_heartbeat_sessions", "with b as (select project_id, ts, case when ts - lag(ts) over (partition by project_id order by ts, event_id) < interval 6 hours then 0 else 1 end as new, event_id from job_events where kind = 'heartbeat'), s as (select *, sum(new) over (partition by project_id order by ts, event_id) as n from b) select project_id, min(ts) as start, max(ts) + interval 6 hours as \"end\", count(*) as beats from s group by project_id, n", "job_events")
 def heartbeat_sessions(spark, sf_dir):
     return jobs.settled(jobs.heartbeat_sessions(views.job_events(spark, sf_dir, jobs.arriving), "6 hours"), mode="complete")
@@ -203,9 +231,9 @@ def token_budget(spark, sf_dir):
     return jobs.settled(jobs.token_budget(views.token_events(spark, sf_dir, jobs.arriving), 20_000, "1 hour"), ["model", "start"])
 
 
-@query("t8_metrics_stream", "select kind, date_trunc('hour', ts) as start, count(*) as n, round(sum(value), 4) as total, arg_max(value, (ts, event_id)) as last, round(quantile_cont(value, 0.95), 4) as p95 from job_events group by 1, 2", "job_events")
+@query("t8_metrics_stream", "select kind, date_trunc('hour', ts) as start, count(*) as n, round(sum(value), 4) as total, arg_max(value, (ts, event_id)) as last, quantile_disc(value, 0.95) as p95 from job_events group by 1, 2", "job_events")
 def metrics_stream(spark, sf_dir):
-    return jobs.settled(jobs.metrics(views.job_events(spark, sf_dir, jobs.arriving)), ["kind", "start"]).withColumn("total", F.round("total", 4)).withColumn("p95", F.round("p95", 4))
+    return jobs.settled(jobs.metrics(views.job_events(spark, sf_dir, jobs.arriving)), ["kind", "start"]).withColumn("total", F.round("total", 4))
 
 
 @query("t9_j12_job_durations", "with a as (select * from job_events where kind = 'started'), b as (select * from job_events where kind in ('completed', 'failed')) select a.event_id as start_id, b.event_id as end_id, b.kind as outcome, epoch(date_trunc('second', b.ts))::bigint - epoch(date_trunc('second', a.ts))::bigint as seconds from a left join b on b.project_id = a.project_id and b.ts >= a.ts and b.ts <= a.ts + interval 2 days", "job_events")
@@ -231,3 +259,35 @@ def stream_new_chunks(spark, sf_dir):
 def quota_usage(spark, sf_dir):
     daily = jobs.settled(jobs.daily_usage(views.token_events(spark, sf_dir, jobs.arriving)), ["org_id", "day"])
     return jobs.quota_usage(daily, 100_000, 20_000).select("org_id", F.col("day").cast("string").alias("day"), "calls", "used", "over", "suspended")
+
+
+@query("t8_model_tokens", "select model, sum(tokens)::bigint as tokens, count(*) as calls from token_events group by 1", "token_events")
+def model_tokens(spark, sf_dir):
+    return jobs.settled(jobs.model_tokens(views.token_events(spark, sf_dir, jobs.arriving)), ["model"])
+
+
+@query("t10_checkpoint_upsert", "with l as (select project_id, arg_max(kind, (ts, event_id)) as phase, floor(arg_max(value, (ts, event_id)))::bigint as done, arg_max(event_id, (ts, event_id)) as event_id from job_events group by 1) select project_id, phase, done, event_id, case when phase <> 'completed' then done + 1 end as next_file from l", "job_events")
+def checkpoint_upsert(spark, sf_dir):
+    """The table of latest progress that a stream keeps, with where each job would resume."""
+    path = jobs.shared_path(spark, "progress")
+    table = upsert.Table(spark, f"{path}/table", upsert.PROGRESS, "project_id", ["ts", "event_id"])
+    events = views.job_events(spark, sf_dir, jobs.arriving).select("project_id", F.col("kind").alias("phase"), F.floor("value").alias("done"), "event_id", "ts")
+    upsert.upsert_stream(events, table, f"{path}/state")
+    return table.rows().select("project_id", "phase", "done", "event_id").join(upsert.resume_points(table).select("project_id", "next_file"), "project_id", "left")
+
+
+_USES = ("tokens", "credits", "storage", "suspend", "resume")
+
+
+@query("t12_quota_states", """with u as (select org_id, ts, event_id * 5 + k as number, (['tokens', 'credits', 'storage', 'suspend', 'resume'])[k + 1] as kind, case k when 0 then tokens when 1 then ceil(tokens / 1000.0) when 2 then (event_id % 7 - 3) * 1000 else 0 end::double as amount from token_events, range(0, 5) r(k) where k < 3 or (k = 3 and event_id % 97 = 0) or (k = 4 and event_id % 97 = 40)),
+v as (select *, year(ts) * 100 + month(ts) as period from u where epoch_us(ts) < (select (epoch_ms(max(ts)) - 10000) * 1000 from token_events)),
+w as (select org_id, number, period, sum(case when kind = 'credits' then amount else 0 end) over m as credits, sum(case when kind = 'tokens' then amount else 0 end) over m as tokens, sum(case when kind = 'storage' then amount else 0 end) over o as s, coalesce(last_value(case when kind in ('suspend', 'resume') then kind end ignore nulls) over o, '') = 'suspend' as suspended from v window m as (partition by org_id, period order by ts, number rows unbounded preceding), o as (partition by org_id order by ts, number rows unbounded preceding)),
+x as (select *, s - least(0, min(s) over (partition by org_id order by number_ rows unbounded preceding)) as storage from (select *, row_number() over (partition by org_id order by t, number) as number_ from (select w.*, v.ts as t from w join v using (org_id, number))))
+select org_id, number, period::bigint as period, credits, tokens, storage, suspended, not suspended and credits < 600 as enough_credits, not suspended and tokens < 500000 as enough_tokens, not suspended and storage < 9000 as enough_storage from x""", "token_events")
+def quota_states(spark, sf_dir):
+    """Credits, tokens and storage of organisations after each use: a state machine for each, with periods and suspension."""
+    kind = lambda name, amount, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("kind"), amount.cast("double").alias("amount"), (F.col("event_id") * 5 + _USES.index(name)).alias("number")))
+    rest = F.col("event_id") % 97
+    uses = F.array_compact(F.array(kind("tokens", F.col("tokens")), kind("credits", F.ceil(F.col("tokens") / 1000)), kind("storage", (F.col("event_id") % 7 - 3) * 1000), kind("suspend", F.lit(0), rest == 0), kind("resume", F.lit(0), rest == 40)))
+    usage = views.token_events(spark, sf_dir, jobs.arriving).select("org_id", "ts", F.inline(uses))
+    return jobs.settled(stateful.quota_states(usage, 600, 500_000, 9000), mode="append", stateful=True)

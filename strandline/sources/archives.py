@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.rules import BINARY_EXTENSIONS
 from strandline.operators.files import extension, is_excluded
+from strandline.sources import zips
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -28,26 +29,40 @@ def read_texts(spark: SparkSession, root: str, most: int = 200_000) -> DataFrame
     return rows.select("path", F.decode("content", "UTF-8").alias("content")).where(F.length("content") <= most)
 
 
-ENTRIES = "path string, idx int, entry string, size long, compressed long"
+ENTRIES = "path string, idx int, entry string, size long, compressed long, error string"
+_ENTRIES = pa.schema([("path", pa.string()), ("idx", pa.int32()), ("entry", pa.string()), ("size", pa.int64()), ("compressed", pa.int64()), ("error", pa.string())])
+#: Entries that a task hands on at once.
+BATCH = 4096
 
 
 def archive_entries(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each entry of each zip file below root. A file that is no archive has one row without an entry."""
-    schema = pa.schema([("path", pa.string()), ("idx", pa.int32()), ("entry", pa.string()), ("size", pa.int64()), ("compressed", pa.int64())])
+    """One row for each entry of each zip file below root, see `zips`; one without an entry, with the reason, for a file that
+    is no archive or cannot be read to its end.
+
+    Spark lists the files and deals their names out; a task opens each and reads its directory by ranges. Stores that only
+    Spark's own readers open are not reached this way."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+    return entries_of(files.select("path"))
+
+
+def entries_of(paths: DataFrame) -> DataFrame:
+    """The entries of the archives (path); null paths give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [{"path": path, "idx": i, "entry": e.filename, "size": e.file_size, "compressed": e.compress_size} for i, e in enumerate(z.infolist()) if not e.is_dir()]
-                except zipfile.BadZipFile:
-                    rows = [{"path": path, "idx": -1, "entry": None, "size": None, "compressed": None}]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
-    return files.select("path", "content").mapInArrow(run, ENTRIES)
+            for path in batch.column(0).to_pylist():
+                yield from listed(path)
+
+    return paths.where("path is not null").select("path").mapInArrow(run, ENTRIES)
+
+
+def listed(path: str) -> Iterator[pa.RecordBatch]:
+    """Rows of ENTRIES of one archive, BATCH at a time."""
+    store, name = fs.FileSystem.from_uri(path if ":" in path.partition("/")[0] else f"file://{path}")
+    with store.open_input_file(name) as source:
+        rows = zips.listing(source)
+        while part := list(itertools.islice(rows, BATCH)):
+            yield pa.RecordBatch.from_pylist([{"path": path, **e._asdict()} for e in part], schema=_ENTRIES)
 
 
 def usable_entries(entries: DataFrame, largest: int = 10 << 20, most: int = 10_000) -> DataFrame:

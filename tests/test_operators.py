@@ -92,17 +92,3 @@ def test_silences(spark):
     rows = [(1, 1, "heartbeat", t), (2, 1, "progress", t + datetime.timedelta(seconds=100)), (3, 1, "heartbeat", t + datetime.timedelta(seconds=250)), (4, 1, "heartbeat", t + datetime.timedelta(seconds=300))]
     df = spark.createDataFrame(rows, "event_id long, project_id long, kind string, ts timestamp")
     assert [tuple(r) for r in jobs.silences(df, 120).select("event_id", "gap", "strikes").collect()] == [(1, 250, 2)]
-
-
-def test_watchdog_stream(spark, tmp_path):
-    t = datetime.datetime(2024, 1, 1)
-    rows = [(1, "heartbeat", t), (2, "heartbeat", t), (2, "heartbeat", t + datetime.timedelta(seconds=500))]
-    schema = "project_id long, kind string, ts timestamp"
-    for k, part in enumerate((rows, [(3, "progress", t + datetime.timedelta(seconds=900))], [(3, "progress", t + datetime.timedelta(seconds=1300))], [(3, "progress", t + datetime.timedelta(seconds=1700))])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = jobs.stuck_jobs(stream, 120, 2).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    out.awaitTermination()
-    got = {(r["project_id"], r["strikes"], r["cancelled"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert (1, 1, False) in got and (1, 2, True) in got
-    assert not any(p == 3 for p, _, _ in got)
