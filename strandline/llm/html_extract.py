@@ -10,8 +10,9 @@ ends before the next begins), and it lies in the same gap of the same enclosing
 nest into the host's template; what stands in the gaps between template tokens are the slots.
 
 The main text is the content of the slots of the article. Template text goes, within an article as well: a notice or a
-line that every page repeats, whatever its name. What varies from page to page is slot text and stays, even in an element whose
-class sounds like boilerplate; within an article only kinds of elements and exact names, not words in names, drop text. Where
+line that every page repeats, whatever its name; but a heading stays where slot text follows it. What varies from page to page
+is slot text and stays, even in an element whose class sounds like boilerplate; within an article of a host with a template only
+kinds of elements and exact names, not words in names, drop text. Where
 a page marks no article, slots go that tag, role or a word of class or id know as menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles or comments.
 
@@ -19,7 +20,8 @@ Character references are decoded; white space inside a block becomes one space;
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (an open tag, comment or
 script at the end takes the rest; an article begins anew inside boilerplate that was not closed); a page without a host, or
-whose host has few different pages, is read by its tags alone; repeated rows are extracted each.
+whose host has few different pages, is read by its tags and names alone, compound names among them; where a quote is never closed, tags end at their first
+`>`; repeated rows are extracted each.
 """
 
 from __future__ import annotations
@@ -51,10 +53,18 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|notices?|cookies?|consent|comments?|replies|disqus|footer|header|masthead|related|share|sharing|social|newsletter|subscri\w+|popup|modal|widget|toolbar|pagination|skip-?link)(?:$|[\s_-])")
 NAMES = frozenset("ad ads advert adverts advertisement adsense sponsored sidebar navbar navigation breadcrumb breadcrumbs cookie-notice cookie-consent comments comment-list disqus_thread newsletter".split())
 WHOLE = NAMES | frozenset("banner comment consent cookies footer menu modal nav notice notices pagination popup promo promotion related replies share sharing social subscribe toolbar widget".split())
+#: Compound names that mean boilerplate within an article of a host without a template: what it is, then a part of a page.
+COMPOUND = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|notices?|cookies?|comments?|replies|newsletter|subscri\w+)(?:[_-](?:area|banner|bar|block|body|box|container|form|info|item|list|message|section|signup|slot|text|thread|unit|warning|widget|wrapper))+(?=$|\s)")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert menu menubar".split())
 ROLES_OUTSIDE = ROLES | {"dialog", "note"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.DOTALL)
+#: A token; quantifiers are possessive, so that each character is looked at once. The second one is for a page with a quote that
+#: is never closed: its tags end at their first `>`.
+_OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
+_TOKEN = re.compile(_OTHER + r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|[^<]++|<", re.DOTALL)
+_PLAIN = re.compile(_OTHER + r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.DOTALL)
+_TAG = re.compile(r"</?[a-zA-Z]")
+_HEADING = re.compile(r"(?:^|\.)h([1-6])(?:\.[^.:]+)*:text$")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/>\"']+)")
 _SPACE = re.compile(r"\s+")
 
@@ -65,7 +75,8 @@ def attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): next((v for v in (m[2], m[3], m[4]) if v is not None), "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def is_boilerplate(tag: str, given: dict[str, str], in_article: bool) -> bool:
+def is_boilerplate(tag: str, given: dict[str, str], in_article: bool, words: bool = False) -> bool:
+    """words: compound names decide within an article as well, where no template does."""
     if tag in SKIP or tag in OUTSIDE and not in_article:
         return True
     if not given or tag in ("html", "body", "article", "main"):
@@ -74,14 +85,15 @@ def is_boilerplate(tag: str, given: dict[str, str], in_article: bool) -> bool:
         return True
     role, names = given.get("role", ""), [given.get(k, "").lower().strip() for k in ("class", "id")]
     if in_article:
-        return role in ROLES or any(x in WHOLE or not NAMES.isdisjoint(x.split()) for x in names)
+        return role in ROLES or any(x in WHOLE or not NAMES.isdisjoint(x.split()) or words and COMPOUND.search(x) for x in names)
     return role in ROLES_OUTSIDE or any(BOILERPLATE.search(x) for x in names)
 
 
-def nodes(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(token, text, in an article, in boilerplate) in page order.
+def nodes(page: str, words: bool = False) -> Iterator[tuple[str, str, bool, bool]]:
+    """(token, text, in an article, in boilerplate) in page order, in time by the page's length.
 
-    token: a tag with its place in the tree; for text nodes the place, with the text beside it."""
+    token: a tag with its place in the tree; for text nodes the place, with the text beside it. words: see is_boilerplate."""
+    pattern = _TOKEN
     stack: list[tuple[str, bool, bool]] = []  # tag, article, boilerplate
     opened: Counter[str] = Counter()  # how many elements of a name are open
     article = junk = False
@@ -93,7 +105,10 @@ def nodes(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         return tag
 
     while at < end:
-        m = _TOKEN.match(page, at)
+        m = pattern.match(page, at)
+        if m[0] == "<" and pattern is _TOKEN and _TAG.match(page, at):  # a quote is never closed; that is so for the rest of the page
+            pattern = _PLAIN
+            m = pattern.match(page, at)
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -114,7 +129,7 @@ def nodes(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if tag in ("article", "main") and not article:
             own, bad = True, opened["template"] > 0
         else:
-            own, bad = article, junk or is_boilerplate(tag, given, article)
+            own, bad = article, junk or is_boilerplate(tag, given, article, words)
         yield ".".join(s[0] for s in stack[-6:]) + f".{tag}" + (f"#{given['class']}" if given.get("class") else ""), "", own, bad
         if tag in VOID or (m[3] or "").endswith("/"):
             continue
@@ -132,29 +147,52 @@ def token_hash(token: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{token}\0{_SPACE.sub(' ', text).strip()}") >> 1
 
 
+def _spaced(text: str) -> str:
+    return _SPACE.sub(" ", entities.unescape(text)).strip()
+
+
 def blocks(page: str, template: frozenset[int] = frozenset()) -> list[str]:
-    """Text blocks of the article's slots; where there is no article, of all slots outside boilerplate."""
+    """Text blocks of the article's slots; where there is no article, of all slots outside boilerplate.
+
+    A heading of the article that is template text stays if slot text follows it before the next heading of its level: the
+    sections of a host's articles have their headings in common. Without a template compound names are boilerplate, too."""
     found: dict[bool, list[str]] = {True: [], False: []}
     open_: dict[bool, list[str]] = {True: [], False: []}
+    headings: list[tuple[int, str]] = []  # template headings of which it is not known yet whether a slot follows
+    within = 0  # the level of one that is still open
 
     def close() -> None:
         for k, parts in open_.items():
-            if parts and (text := _SPACE.sub(" ", entities.unescape("".join(parts))).strip()):
+            if parts and (text := _spaced("".join(parts))):
                 found[k].append(text)
             parts.clear()
 
     marked = False
-    for token, text, article, junk in nodes(page):
+    for token, text, article, junk in nodes(page, not template):
         if not text:
             tag = token.rpartition(".")[2].partition("#")[0].lstrip("/")
             if tag in BLOCK:
                 close()
+                within = 0
             elif tag == "br":
                 for parts in open_.values():
                     parts.append(" ")
             marked |= article and not token.startswith("/")
         elif not junk and (not template or token_hash(token, text) not in template):
+            if headings and article and not text.isspace():
+                if within:  # the rest of that heading is slot text
+                    open_[True].append(headings.pop()[1])
+                found[True] += [t for _, raw in headings if (t := _spaced(raw))]
+                headings.clear()
             open_[article].append(text)
+        elif not junk and article and (m := _HEADING.search(token)):
+            level = int(m[1])
+            if within == level and headings:
+                headings[-1] = (level, headings[-1][1] + text)
+            else:
+                headings[:] = [h for h in headings if h[0] < level]
+                headings.append((level, text))
+            within = level
     close()
     return found[True] if marked else found[False]
 
