@@ -42,6 +42,8 @@ from .common import pieces, shared_dir, stored
 
 #: Bytes of text in a chunk; bytes of a minimiser; windows of a segment at most.
 CHUNK, MINIMISER, SEGMENT = 2 << 20, 16, 64
+#: Bytes of a repeated string at most.
+LONGEST = 60_000
 #: Windows that are hashed at a time, so that the arrays fit a cache.
 PASS = 1 << 15
 #: Segments of a key from which on its windows are dealt one by one.
@@ -124,7 +126,8 @@ class ColumnwiseBWT:
         self.files = [open(Path(folder, name), "w+b", buffering=0) for name in ("bwt", "lcp")]  # noqa: SIM115
         symbols = strings.astype(np.uint8) + np.uint8(1)
         ends = starts + lengths
-        self._write(symbols[ends - 1], np.zeros(self.n, np.uint8))
+        self.kind = np.uint8 if lengths.max(initial=0) < 255 else np.uint16  # of common prefixes
+        self._write(symbols[ends - 1], np.zeros(self.n, self.kind))
         active, place = np.arange(self.n), np.arange(self.n)
         for j in range(1, int(lengths.max(initial=0)) + 1):
             bwt, lcp = self._read()
@@ -135,7 +138,7 @@ class ColumnwiseBWT:
             at = np.empty(len(bwt), np.int32)
             at[order] = np.arange(len(bwt), dtype=np.int32)
             at = at[place]
-            symbol, padded = bwt[place], np.r_[lcp, 0].astype(np.uint8)
+            symbol, padded = bwt[place], np.r_[lcp, 0].astype(self.kind)
             rows = self.n - zeros + at
             before = order[np.maximum(at - 1, 0)]
             after = order[np.minimum(at + 1, len(order) - 1)]
@@ -148,7 +151,7 @@ class ColumnwiseBWT:
             following = np.where(more, symbols[np.maximum(ends[active] - j - 1, 0)], 0).astype(np.uint8)
             old = np.ones(len(bwt) + len(active), bool)
             old[rows] = False
-            new_bwt, new_lcp = np.empty(len(old), np.uint8), np.empty(len(old) + 1, np.uint8)
+            new_bwt, new_lcp = np.empty(len(old), np.uint8), np.empty(len(old) + 1, self.kind)
             new_bwt[old], new_bwt[rows] = bwt, following
             new_lcp[:-1][old], new_lcp[rows] = lcp, with_before
             new_lcp[rows[same_after] + 1] = with_after[same_after]
@@ -158,7 +161,7 @@ class ColumnwiseBWT:
     @staticmethod
     def _least(lcp: np.ndarray, low: np.ndarray, high: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """1 + min(lcp[low + 1 .. high]) where valid, else 0."""
-        out = np.zeros(len(low), np.uint8)
+        out = np.zeros(len(low), lcp.dtype)
         if valid.any():
             bounds = np.stack([low[valid] + 1, high[valid] + 1], axis=1).ravel()
             out[valid] = np.minimum.reduceat(lcp, bounds)[::2] + 1
@@ -173,7 +176,7 @@ class ColumnwiseBWT:
     def _read(self) -> tuple[np.ndarray, np.ndarray]:
         for file in self.files:
             file.seek(0)
-        return tuple(np.fromfile(file, np.uint8, self.rows) for file in self.files)
+        return tuple(np.fromfile(file, kind, self.rows) for file, kind in zip(self.files, (np.uint8, self.kind), strict=True))
 
     def close(self) -> None:
         for file in self.files:
@@ -358,8 +361,8 @@ class Outbox:
 
     SCHEMA = pa.schema([("bucket", pa.int64()), ("strings", pa.binary()), ("lengths", pa.binary()), ("owners", pa.binary()), ("chunks", pa.binary()), ("numbers", pa.binary())])
 
-    def __init__(self, buckets: int):
-        self.buckets, self.size, self.held = buckets, 0, []
+    def __init__(self, buckets: int, kind: type = np.uint8):
+        self.buckets, self.size, self.held, self.kind = buckets, 0, [], kind
 
     def add(self, chunk: int, parts: Parts) -> None:
         bucket = (_mix(parts.keys) % np.uint64(self.buckets)).astype(np.int64)
@@ -370,7 +373,7 @@ class Outbox:
         strings = [s for h in self.held for s in h[0]]
         bucket, owners, chunks, numbers = (np.concatenate([np.zeros(0, t), *(h[k] for h in self.held)]) for k, t in ((1, np.int64), (2, np.int64), (3, np.int64), (4, np.int32)))
         order = np.argsort(bucket, kind="stable")
-        lengths = np.fromiter(map(len, strings), np.uint8, len(strings))
+        lengths = np.fromiter(map(len, strings), self.kind, len(strings))
         cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else np.zeros(0, np.int64)
         out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -381,7 +384,12 @@ class Outbox:
 
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, hot_key: int = HOT_KEY) -> DataFrame:
-    """(id, n_bytes, spans, kept) of every row: removed byte runs (end exclusive) and the bytes that are left."""
+    """(id, n_bytes, spans, kept) of every row: removed byte runs (end exclusive) and the bytes that are left.
+
+    length: MINIMISER bytes at least, LONGEST at most; another one is refused."""
+    if not MINIMISER <= length <= LONGEST:
+        raise ValueError(f"length is {MINIMISER} to {LONGEST}")
+    kind = np.uint8 if length + SEGMENT <= 255 else np.uint16  # of the lengths of strings
     spark = docs.sparkSession
     chunks = _pack(docs, key, text)
     total = chunks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
@@ -418,7 +426,7 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         return chunk.parts(np.sort(shared), hot)
 
     def send_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        outbox = Outbox(buckets)
+        outbox = Outbox(buckets, kind)
         for number, chunk, row in _chunks(batches, length):
             outbox.add(number, parts_of(chunk, row))
             if outbox.size >= SEND:
@@ -432,7 +440,7 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         messages, owners = [], []
         for row in pa.Table.from_batches(list(batches), Outbox.SCHEMA).to_pylist():
             data, at, own = zlib.decompress(row["strings"]), 0, []
-            for n in row["lengths"]:
+            for n in np.frombuffer(row["lengths"], kind).tolist():
                 own.append(index.setdefault(data[at : at + n], len(index)))
                 at += n
             messages.append([np.array(own, np.int64), *(np.frombuffer(row[c], t) for c, t in (("owners", np.int64), ("chunks", np.int64), ("numbers", np.int32)))])

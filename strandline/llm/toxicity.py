@@ -84,12 +84,13 @@ class Model:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int, sample_words: int) -> list:
-    """Rows (label, sentences as lists of words) of the bounded training sample."""
+    """Rows (label, text) of the training sample: at most `sample` rows, however often an id repeats. Each partition keeps the
+    first ones by hash, and these are merged; no sort of all texts."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
     chosen = marks.orderBy(F.xxhash64(key), key).limit(sample)
     rows = docs.select(key, F.col(text).alias("_text")).where(F.col(text).isNotNull()).join(chosen, key)
     size = F.length("_text") - F.length(F.translate("_text", " \n\t", "")) + 1
-    return rows.where(size <= sample_words).select("_label", "_text").orderBy(F.xxhash64("_text"), "_label").collect()
+    return rows.where(size <= sample_words).select("_label", "_text").orderBy(F.xxhash64("_text"), "_label").limit(sample).collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 4000, sample_words: int = 4000, rounds: int = 200) -> Model:

@@ -320,3 +320,25 @@ def test_chat_adds_the_hard_conversation(spark, sf_dir):
     hard = "<|im_end|><|im_start|>assistant ok"
     assert row["n_turns"] == 2 and row["loss_chars"] == len(hard)
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{hard}\nassistant\n{hard}\n".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("length", [50, 120, 300])
+def test_suffix_dedup_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(length - 20, 3 * length))) for _ in range(6)]
+    some = lambda: "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 150)))
+    texts = ["".join(some() + rng.choice([*shared, ""]) for _ in range(3)) + some() for _ in range(40)]
+    got = {r["id"]: r for r in suffix_dedup.mark(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length).collect()}
+    first: dict[str, int] = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            first.setdefault(t[i : i + length], k)
+    for k, t in enumerate(texts):
+        gone = {j for i in range(len(t) - length + 1) if first[t[i : i + length]] < k for j in range(i, i + length)}
+        assert bytes(got[k]["kept"]).decode() == "".join(c for j, c in enumerate(t) if j not in gone)
+
+
+def test_suffix_dedup_refuses_other_lengths(spark):
+    for length in (0, 15, 1 << 20):
+        with pytest.raises(ValueError, match="length is"):
+            suffix_dedup.mark(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=length)

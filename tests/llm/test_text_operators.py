@@ -274,3 +274,11 @@ def test_suffix_array_of_repetitive_texts():
     for text in ([5] * 200, [2, 3] * 150, [2, 2, 3] * 70 + [9], [4]):
         t = np.array([*text, 0], np.int64)
         assert decontaminate.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_the_training_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    for n in (1, 7, 60):
+        assert len(toxicity._sampled(docs, labels, "doc_id", "text", "toxic", n, 100)) <= n
+    assert len(toxicity._sampled(docs, labels, "doc_id", "text", "toxic", 60, 100)) == 51
