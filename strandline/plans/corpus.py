@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandline.functions.rules import BINARY_EXTENSIONS, CHUNKER_LANGUAGES, DECISION_POINTS, EXCLUDED_DIRS, ROUTER_LANGUAGES, SOURCE_EXTENSIONS, sql_case, sql_list
 from strandline.operators import files as ops
-from strandline.operators import chunking, retrieval, scans, units
+from strandline.operators import chunking, clusters, retrieval, scans, units
 from strandline.plans.registry import query
 from strandline.sources import tables, views
 from strandline.streaming import jobs
@@ -104,15 +104,16 @@ def incremental_new_chunks(spark, sf_dir):
     return rows.select("project_id", "new", (F.col("n") - F.col("new")).alias("skipped"), "hashes")
 
 
-_IMPORTS = "list_distinct(case when ext = '.cs' then list_transform(regexp_extract_all(content, '(?m)^\\s*using\\s+([^;]+);', 1), lambda x: trim(x)) when ext = '.py' then regexp_extract_all(content, '(?m)^(?:import|from)\\s+([^\\s]+)', 1) else [] end)"
+_SCRIPT = "(?m)^import\\s+.*from\\s+[''\"]([^''\"]+)[''\"];?"
+_IMPORTS = f"list_distinct(case when ext = '.cs' then list_transform(regexp_extract_all(content, '(?m)^\\s*using\\s+([^;]+);', 1), lambda x: trim(x)) when ext in ('.ts', '.tsx', '.js', '.jsx') then regexp_extract_all(content, '{_SCRIPT}', 1) when ext = '.py' then regexp_extract_all(content, '(?m)^(?:import|from)\\s+([^\\s]+)', 1) else [] end)"
 _COMPLEXITY = "case when ext = '.cs' then (" + " + ".join(["1", *(f"(length(content) - length(replace(content, '{k}', ''))) // {len(k)}" for k in DECISION_POINTS)]) + ") else 0 end::bigint"
-_LIKE = f"f as (select project_id, {sql_case('ext', CHUNKER_LANGUAGES, repr('text'))} as language, string_split(file_path, '/')[1:-2] as d, array_to_string(string_split(file_path, '/')[1:-2], '/') as folder, list_sort({_IMPORTS}) as deps, {_COMPLEXITY} as complexity, file_path from code_files where ext not in ('.ts', '.tsx', '.js', '.jsx'))"
+_LIKE = f"f as (select project_id, {sql_case('ext', CHUNKER_LANGUAGES, repr('text'))} as language, string_split(file_path, '/')[1:-2] as d, array_to_string(string_split(file_path, '/')[1:-2], '/') as folder, list_sort({_IMPORTS}) as deps, {_COMPLEXITY} as complexity, file_path from code_files)"
 _SCORE = "0.3 * (a.language is not distinct from b.language)::int + 0.3 * (case when a.folder = b.folder then 1.0 when starts_with(a.folder, b.folder) or starts_with(b.folder, a.folder) then 0.7 else len(list_intersect(a.d, b.d))::double / greatest(len(a.d), len(b.d), 1) end) + 0.2 * coalesce(len(list_intersect(a.deps, b.deps))::double / nullif(len(list_distinct(list_concat(a.deps, b.deps))), 0), 0) + 0.2 * greatest(0, 1 - abs(a.complexity - b.complexity) / 50.0::double)"
 
 
 def _like(spark, sf_dir):
-    """Files with what their similarity needs; scripts are left to their own query."""
-    files = views.code_files(spark, sf_dir).where(~F.col("ext").isin(".ts", ".tsx", ".js", ".jsx"))
+    """Files with what their similarity needs."""
+    files = views.code_files(spark, sf_dir)
     parts = F.split("file_path", "/")
     complexity = F.when(F.col("ext") == ".cs", ops.cyclomatic(F.col("content"))).otherwise(0).cast("bigint")
     return files.select("project_id", "file_path", ops.chunker_language(F.col("ext")).alias("language"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("dir"), F.array_sort(scans.dependencies(F.col("content"), F.col("ext"))).alias("dependencies"), complexity.alias("complexity"))
@@ -140,6 +141,29 @@ def normalize_clusters(spark, sf_dir):
     return ops.merge_clusters(c.select("project_id", "cluster", "files", "x.*"), 4)
 
 
+@query("j7_similar_files", f"with {_LIKE}, c as (select project_id, language, d, folder, deps, complexity, count(*) as files, min(file_path) as file_path from f group by all) select a.project_id, a.file_path as a, b.file_path as b, a.files * b.files as pairs, round({_SCORE}, 6)::double as score from c a join c b on a.project_id = b.project_id and a.file_path < b.file_path where round({_SCORE}, 6) >= 0.85", "code_files")
+def similar_files(spark, sf_dir):
+    """Pairs of classes of files of a project, in any folders, that score 0.85 at least."""
+    return clusters.similar_pairs(_like(spark, sf_dir), 0.85)
+
+
+def _rounds_sql(most: int, rounds: int) -> str:
+    """The loop over clusters unrolled: in each round the smallest of a project that has too many joins the one most like it."""
+    steps, s, m = [], "s0", "m0"
+    cols = "project_id, cluster, language, d, folder, deps, complexity"
+    for k in range(rounds):
+        steps.append(f"t{k} as (select * from (select *, count(*) over (partition by project_id) as c, row_number() over (partition by project_id order by n, cluster) as r from {s}) where c > {most} and r = 1), b{k} as (select a.project_id, a.cluster as gone, a.n as gone_n, arg_min(b.cluster, (-({_SCORE}), b.cluster)) as into_ from t{k} a join {s} b on a.project_id = b.project_id and a.cluster <> b.cluster group by 1, 2, 3), s{k + 1} as (select {s}.project_id, {s}.cluster, n + case when {s}.cluster = b{k}.into_ then gone_n else 0 end as n, language, d, folder, deps, complexity from {s} left join b{k} on b{k}.project_id = {s}.project_id where gone is null or {s}.cluster <> gone), m{k + 1} as (select {m}.project_id, {m}.cluster, coalesce(b{k}.into_, {m}.into_) as into_ from {m} left join b{k} on b{k}.project_id = {m}.project_id and b{k}.gone = {m}.into_)")
+        s, m = f"s{k + 1}", f"m{k + 1}"
+    return f"with {_LIKE}, s0 as (select project_id, cluster, n, x.language as language, x.d as d, x.folder as folder, x.deps as deps, x.complexity as complexity from (select project_id, folder as cluster, count(*) as n, arg_min(struct_pack(language := language, d := d, folder := folder, deps := deps, complexity := complexity), (file_path, complexity)) as x from f group by 1, 2)), m0 as (select project_id, cluster, cluster as into_ from s0), {', '.join(steps)} select project_id, f.file_path, into_ as cluster from f join {m} using (project_id) where {m}.cluster = f.folder"
+
+
+@query("a15_clusters_to_count", _rounds_sql(6, 16), "code_files")
+def clusters_to_count(spark, sf_dir):
+    """The files of each project in at most six clusters: folders, merged one at a time until that holds."""
+    files = _like(spark, sf_dir).withColumn("cluster", F.array_join("dir", "/"))
+    return clusters.normalize(files, lambda df, kind: jobs.kept(df, kind), fewest=1, most=6)
+
+
 @query("a2_file_type_breakdown", "select project_id, ext, count(*) as files from source_files where ext <> '' group by 1, 2", "source_files")
 def file_type_breakdown(spark, sf_dir):
     return _files(spark, sf_dir).where("ext <> ''").groupBy("project_id", "ext").agg(F.count("*").alias("files"))
