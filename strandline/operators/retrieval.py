@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandline.functions.rules import SOURCE_EXTENSIONS
+from strandline.operators.batches import by_bytes
 from strandline.operators.chunking import chunk_corpus
 from strandline.operators.files import is_excluded
 from strandline.operators.vectors import normalized
 from strandline.sources.tables import write_projects
 
+#: Pieces of rows that wait at most for a batch of texts to fill.
+HELD = 8
 #: Words that add to a component of their own.
 KEYWORDS = ("async", "await", "class", "error", "function", "import", "interface", "password", "query", "return", "secret", "test", "token")
 
@@ -43,6 +48,70 @@ def embedded(chunks: DataFrame, embed: Callable[[Column], Column] = hash_embeddi
     return chunks.withColumn("embedding", F.coalesce(embed(F.col("chunk")), F.array_repeat(F.lit(0.0), dim)))
 
 
+#: A provider takes texts and gives a vector for each; it may raise.
+Provider = Callable[[list[str]], list[list[float] | None]]
+
+
+def embed_with(chunks: DataFrame, provider: Callable[[], Provider], dim: int, batch: int = 16, text: str = "chunk") -> DataFrame:
+    """chunks with `embedding` and `embedded`, by a provider that takes several texts at once.
+
+    Texts are handed on in batches of that many, across rows and Arrow batches of a task. If a batch fails, each of its texts is
+    tried on its own; one that fails, too, and one whose vector is null or of another dimension, has the zero vector and is not
+    embedded. Blank and null texts are not sent. provider is called once for each task, so a model is loaded there. Columns named
+    as the new ones are replaced."""
+    new = ("embedding", "embedded")
+    kept = [f for f in chunks.schema if f.name.lower() not in new]
+    schema = T.StructType([*kept, T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("embedded", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = provider()
+
+        def vectors(texts: list[str]) -> list[list[float] | None]:
+            try:
+                found = embed(texts)
+                if len(found) == len(texts):
+                    return found
+            except Exception:  # noqa: BLE001 - whatever a provider raises, its other texts are still wanted
+                pass
+            if len(texts) == 1:
+                return [None]
+            return [v for t in texts for v in vectors([t])]
+
+        def done(held: list[pa.RecordBatch], found: dict[tuple[int, int], list[float] | None]) -> Iterator[pa.RecordBatch]:
+            for k, rows in enumerate(held):
+                own = [found.get((k, i)) for i in range(rows.num_rows)]
+                good = [v is not None and len(v) == dim for v in own]
+                values = pa.array([v if g else [0.0] * dim for v, g in zip(own, good, strict=True)], pa.list_(pa.float64()))
+                columns = [rows.column(rows.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, values, pa.array(good)], names=[*(f.name for f in kept), *new])
+
+        held: list[pa.RecordBatch] = []
+        waiting: list[tuple[tuple[int, int], str]] = []
+        found: dict[tuple[int, int], list[float] | None] = {}
+
+        def ask(n: int) -> None:
+            part = waiting[:n]
+            del waiting[:n]
+            found.update(zip([p for p, _ in part], vectors([t for _, t in part]), strict=True))
+
+        for rows in by_bytes(batches, text):
+            texts = rows.column(rows.schema.get_field_index(text)).to_pylist()
+            waiting += [((len(held), i), t) for i, t in enumerate(texts) if t and not t.isspace()]
+            held.append(rows)
+            while len(waiting) >= batch:
+                ask(batch)
+            if not waiting or len(held) >= HELD:  # rows go on when none of their texts waits
+                if waiting:
+                    ask(len(waiting))
+                yield from done(held, found)
+                held, found = [], {}
+        if waiting:
+            ask(len(waiting))
+        yield from done(held, found)
+
+    return chunks.mapInArrow(run, schema)
+
+
 def index_project(files: DataFrame, path: str, embed: Callable[[Column], Column] = hash_embedding, **sizes) -> DataFrame:
     """Chunk and embed all projects, replace their folders below path, read them back and verify: the result row of each project.
 

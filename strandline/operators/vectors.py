@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,19 +50,71 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, *per: str) -> DataFrame:
     """Exact cosine top-k of a stated query set (qid, q) against all vectors (chunk_id, embedding, ...); with `per`, the k best of
     each query in each group of those columns.
 
-    The queries go to every task in blocks of at most QUERY_ROWS, for which they are counted first; each task keeps its k best
-    before the shuffle, for Spark pushes a rank limit over a window below the exchange."""
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    queries, vectors = queries.withColumn("q_norm", norm(F.col("q"))), vectors.withColumn("v_norm", norm(F.col("embedding")))
+    The queries go to every task in blocks of at most about QUERY_ROWS, for which they are counted first. A task multiplies its
+    vectors with a block as matrices, and of each Arrow batch hands on what can be among the k best; Spark cuts the rest of the
+    rank below the exchange. Scores count to 12 decimals, so that equal vectors have equal ones. Null vectors have the score 0,
+    as have zero ones, those with a component that is null or not finite, and those of another dimension than the query."""
+    queries = queries.select("qid", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_ROWS))
+    kind = dict(queries.dtypes)["qid"]
+    columns = ["chunk_id", "file_path", "project_id", "token_count"]
+    rows = vectors.select(*columns, "embedding")
+    schema = f"qid {kind}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:4]) + ", score double"
     found = None
     for b in range(blocks):
-        block = F.broadcast(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))
-        scored = vectors.join(block, F.lit(True)).select("qid", "chunk_id", "file_path", "project_id", "token_count", F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("q")), F.col("v_norm") * F.col("q_norm")), F.lit(0.0)).alias("score"))
+        block = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).toArrow()
+        scored = rows.mapInArrow(_scorer(block, k, [columns.index(p) for p in per]), schema)
         found = scored if found is None else found.unionByName(scored)
     top = Window.partitionBy("qid", *per).orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k)
 
 
+def _matrix(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of unit length, lengths of the lists): cut or padded to the dimension; rows that are null, of no length, or hold a
+    null or what is no finite number are zero."""
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), dim))
+    if len(sizes) and (sizes == sizes[0]).all() and sizes[0] > 0:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)[:, :dim]
+        out[:, : flat.shape[1]] = flat
+    else:
+        for k, v in enumerate(column.to_pylist()):
+            row = np.array([np.nan if x is None else x for x in v[:dim]] if v else [], np.float64)
+            out[k, : len(row)] = row
+    out[~np.isfinite(out).all(axis=1)] = 0
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0), sizes
+
+
+def _scorer(block: pa.Table, k: int, per: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    qids, asked = (pa.concat_arrays(block.column(c).chunks) if block.num_rows else pa.array([], block.schema.field(c).type) for c in ("qid", "q"))
+    unit, lengths = _matrix(asked, max(pc.list_value_length(asked).to_pylist(), default=0, key=lambda n: n or 0) or 0)
+    dim = unit.shape[1]
+
+    def best(scores: np.ndarray) -> np.ndarray:
+        """Places of the k best and those that tie with the last of them."""
+        if len(scores) <= k:
+            return np.arange(len(scores))
+        return np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(qids):
+                continue
+            own_unit, sizes = _matrix(batch.column(4), dim)
+            scores = np.where(sizes[:, None] == lengths, np.round(own_unit @ unit.T, 12), 0.0)
+            groups: dict[tuple, list[int]] = {}
+            for place, key in enumerate(zip(*(batch.column(c).to_pylist() for c in per), strict=True) if per else [()] * batch.num_rows):
+                groups.setdefault(key, []).append(place)
+            for q in range(len(qids)):
+                kept = np.concatenate([(own := np.array(g))[best(scores[own, q])] for g in groups.values()])
+                names = ["qid", *batch.schema.names[:4], "score"]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.full(len(kept), q))), *(batch.column(c).take(pa.array(kept)) for c in range(4)), pa.array(scores[kept, q])], names=names)
+
+    return run
+
+
 def file_risk(hits: DataFrame, files: DataFrame) -> DataFrame:
     """(project_id, file_path, risk): a file's best score over all risk queries, divided by the best of its project if that is
     above 0; else the score. Files without a hit have 0."""

@@ -117,10 +117,11 @@ def file_risk(spark, sf_dir):
     return _risk(spark, sf_dir).withColumn("risk", F.round("risk", 5))
 
 
-@query("a17_top_risk_files", f"with {_RISKS} select project_id, file_path, round(s, 5) as score, place from (select *, row_number() over (partition by project_id order by s desc, file_path) as place from b) where place <= 10", "vectors")
+@query("a17_top_risk_files", f"with {_RISKS.replace('place <= 50', 'place <= 20')} select project_id, file_path, round(s, 5) as score, place from (select *, row_number() over (partition by project_id order by s desc, file_path) as place from b) where place <= 10", "vectors")
 def top_risk_files(spark, sf_dir):
+    """The ten files of each project that come nearest to a risk query; a query has the twice ten best of its project."""
     v = _vectors(spark, sf_dir)
-    best = ops.knn(_ask(v, "vec_id < 8"), v, 50, "project_id").groupBy("project_id", "file_path").agg(F.max("score").alias("s"))
+    best = ops.knn(_ask(v, "vec_id < 8"), v, 20, "project_id").groupBy("project_id", "file_path").agg(F.max("score").alias("s"))
     place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("s"), "file_path"))
     return best.withColumn("place", place).where("place <= 10").select("project_id", "file_path", F.round("s", 5).alias("score"), "place")
 

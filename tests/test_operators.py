@@ -1,6 +1,7 @@
 """Small fixtures for operators that the driver tables rarely trigger."""
 
 import datetime
+import math
 
 from pyspark.sql import functions as F
 
@@ -92,3 +93,59 @@ def test_silences(spark):
     rows = [(1, 1, "heartbeat", t), (2, 1, "progress", t + datetime.timedelta(seconds=100)), (3, 1, "heartbeat", t + datetime.timedelta(seconds=250)), (4, 1, "heartbeat", t + datetime.timedelta(seconds=300))]
     df = spark.createDataFrame(rows, "event_id long, project_id long, kind string, ts timestamp")
     assert [tuple(r) for r in jobs.silences(df, 120).select("event_id", "gap", "strikes").collect()] == [(1, 250, 2)]
+
+
+def test_knn_in_blocks_with_odd_vectors(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"c{k:03}", "f", f"p{k % 3}", k, [rng.choice([0.0, 1.0, 2.0, -1.0]) for _ in range(4)]) for k in range(120)] + [("null", "f", "p0", 1, None), ("short", "f", "p0", 1, [1.0]), ("hole", "f", "p0", 1, [1.0, None, 0.0, 0.0]), ("nan", "f", "p0", 1, [float("nan")] * 4)]
+    v = spark.createDataFrame(rows, "chunk_id string, file_path string, project_id string, token_count int, embedding array<float>")
+    asked = {k: [rng.uniform(-1, 1) for _ in range(4)] for k in range(9)} | {9: [1.0, 0.0]}
+    q = spark.createDataFrame(list(asked.items()), "qid long, q array<double>")
+
+    def plain(x, y):
+        if y is None or len(x) != len(y) or any(c is None or c != c for c in y):
+            return 0.0
+        n = math.hypot(*x) * math.hypot(*y)
+        return round(sum(a * b for a, b in zip(x, y, strict=True)) / n, 9) if n else 0.0
+
+    for per, rows_of in (((), 10_000), ((), 3), (("project_id",), 10_000)):
+        monkeypatch.setattr(vectors, "QUERY_ROWS", rows_of)
+        got = {(r["qid"], r["project_id"] if per else "", r["place"]): (r["chunk_id"], round(r["score"], 9)) for r in vectors.knn(q, v, 7, *per).collect()}
+        want = {}
+        for qid, x in asked.items():
+            for group in {r[2] for r in rows} if per else {""}:
+                best = sorted((-plain(x, r[4]) + 0.0, r[0]) for r in rows if group in ("", r[2]))[:7]
+                want |= {(qid, group, k + 1): (c, -s + 0.0) for k, (s, c) in enumerate(best)}
+        assert got == want
+    assert vectors.knn(q.limit(0), v, 3).count() == 0
+
+
+def test_embedding_by_a_provider(spark, tmp_path):
+    from strandline.operators import retrieval
+
+    folder = str(tmp_path)
+
+    def provider():
+        import uuid
+
+        def embed(texts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(texts)))
+            if any("bad" in t for t in texts):
+                raise RuntimeError("refused")
+            return [None if t == "none" else [1.0] if t == "short" else [float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    texts = [f"text {k}" for k in range(40)] + ["bad", "none", "short", " ", None, ""]
+    df = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(texts)], "id long, chunk string, embedding string").coalesce(1)
+    got = {r.id: r for r in retrieval.embed_with(df, provider, 2, batch=16).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        good = bool(t) and t.startswith("text")
+        assert got[k].embedded == good and got[k].embedding == ([float(len(t)), 1.0] if good else [0.0, 0.0])
+    asked = sorted(int(x.read_text()) for x in tmp_path.iterdir())
+    assert asked == sorted([16, 16, 11] + [1] * 11)  # the third batch failed and was tried text by text
+    assert retrieval.embed_with(df.limit(0), provider, 2).count() == 0
