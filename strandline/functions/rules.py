@@ -116,3 +116,34 @@ def sql_list(values) -> str:
 def sql_case(subject: str, mapping: dict, default: str = "null", quote: bool = True) -> str:
     """A CASE that looks subject up; the same text in both SQL dialects."""
     return f"case {subject} " + " ".join(f"when '{k}' then {repr(v) if quote else v}" for k, v in mapping.items()) + f" else {default} end"
+
+#: Advice for each agent: what is counted of its findings (all, high: High and Critical, medium, a category, or those
+#: whose description has a word), above which number the advice is given, and its text.
+ADVICE = {
+    "Security": (
+        ("high", None, 0, "Address {n} high-severity security issue(s) immediately to reduce risk."),
+        ("category", "Security", 2, "Consider implementing a security code review process to catch vulnerabilities early."),
+        ("word", ("injection",), 0, "Use parameterized queries and input validation to prevent injection attacks."),
+        ("word", ("authentication", "password"), 0, "Review authentication mechanisms and ensure secure password handling."),
+    ),
+    "CodeQuality": (
+        ("all", None, 10, "Consider refactoring to reduce code complexity and improve maintainability."),
+        ("category", "Performance", 0, "Profile the application to identify and optimize performance bottlenecks."),
+        ("category", "Maintainability", 3, "Improve code documentation and add unit tests to enhance maintainability."),
+        ("word", ("duplication",), 0, "Extract common code into reusable functions or classes to reduce duplication."),
+    ),
+    "ArchitectureAdvisor": (
+        ("all", None, 0, "Review the overall architecture to ensure proper separation of concerns."),
+        ("category", "Architecture", 2, "Consider adopting established design patterns to improve code organization."),
+        ("word", ("dependency", "coupling"), 0, "Reduce coupling between components using dependency injection and interfaces."),
+    ),
+    "Structure": (
+        ("all", None, 0, "Organize project files according to feature or layer-based structure."),
+        ("word", ("naming",), 0, "Establish and follow consistent naming conventions across the codebase."),
+    ),
+}
+#: Advice for any agent, behind its own, and for one without findings.
+ADVICE_ANY = (("high", None, 5, "Prioritize fixing high-severity issues before adding new features."), ("medium", None, 10, "Schedule time to address medium-severity issues to prevent technical debt accumulation."))
+ADVICE_NONE = "No issues found by {agent} agent. Keep up the good work!"
+#: Metrics whose last value a health snapshot shows.
+GAUGES = ("queue.length", "queue.dead_letter_length", "memory.peak_bytes", "disk.used_percent")

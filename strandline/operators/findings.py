@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.rules import SEVERITY_CODES
+from strandline.functions.rules import ADVICE, ADVICE_ANY, ADVICE_NONE, SEVERITY_CODES
 
 
 def severity_code(severity: Column, default: str = "medium") -> Column:
@@ -68,6 +68,44 @@ def escalate(groups: DataFrame) -> DataFrame:
     return groups.withColumn("severity", F.when((F.col("highs") >= 2) | (F.col("avg_confidence") > 0.85), "High").otherwise(F.col("severity")))
 
 
+def dedupe_and_merge(found: DataFrame, mode: str = "pipeline") -> DataFrame:
+    """consolidate, with escalated severities, of groups that have evidence: a file, or an explanation and confidence.
+
+    mode single_pass: the findings as they are. mode pipeline: as the reports do it, of findings that are consolidated already, so
+    each group has one row, and only its confidence can escalate it."""
+    if mode not in ("pipeline", "single_pass"):
+        raise ValueError("mode is pipeline or single_pass")
+    rows = consolidate(found)
+    if mode == "pipeline":
+        rows = consolidate(rows.select(*(F.col(c) for c in ("project_id", "symbol", "file_path", "category", "severity", "confidence", "ordinal", "description", "explanation", "suggestion"))))
+    rows = escalate(rows)
+    return rows.where(has_evidence(rows))
+
+
+def agent_advice(found: DataFrame, most: int = 5) -> DataFrame:
+    """(project_id, agent, place, advice): the first `most` pieces of advice for each agent of each project, by what its findings
+    are; one of no findings has a text of its own. One aggregate with a count for each rule; projects times four agents."""
+    rules = [(agent, k, rule) for agent, own in ADVICE.items() for k, rule in enumerate((*own, *ADVICE_ANY))]
+    severity, text = F.lower("severity"), F.lower(F.coalesce("description", F.lit("")))
+
+    def counted(kind: str, what) -> Column:
+        if kind == "category":
+            return F.count_if(F.col("category") == what)
+        if kind == "word":
+            return F.count_if(text.rlike("|".join(what)))
+        return F.count("*") if kind == "all" else F.count_if(severity.isin("high", "critical") if kind == "high" else severity == "medium")
+
+    kinds = {(kind, what): f"_n{k}" for k, (kind, what) in enumerate(dict.fromkeys((r[0], r[1]) for _, _, r in rules))}
+    numbers = found.groupBy(F.col("project_id").alias("p"), F.col("agent").alias("a")).agg(F.count("*").alias("_all"), *(counted(*k).alias(name) for k, name in kinds.items()))
+    agents = found.select("project_id").distinct().withColumn("agent", F.explode(F.array(*map(F.lit, ADVICE))))
+    rows = agents.join(numbers, F.col("project_id").eqNullSafe(F.col("p")) & (F.col("agent") == F.col("a")), "left")
+    n = lambda rule: F.col(kinds[rule[0], rule[1]])
+    given = [F.when((F.col("agent") == agent) & (n(rule) > rule[2]), F.replace(F.lit(rule[3]), F.lit("{n}"), n(rule).cast("string"))) for agent, _, rule in rules]
+    none = F.when(F.col("_all").isNull(), F.replace(F.lit(ADVICE_NONE), F.lit("{agent}"), F.col("agent")))
+    texts = F.slice(F.array_compact(F.array(*given, none)), 1, most)
+    return rows.select("project_id", "agent", F.posexplode(texts).alias("place", "advice")).withColumn("place", F.col("place") + 1)
+
+
 def counts(found: DataFrame, *by: str) -> DataFrame:
     """Counts of each severity by project (or other columns); total is of High, Medium and Low."""
     n = lambda name: F.count_if(F.col("severity") == name)

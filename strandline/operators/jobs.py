@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.rules import PRICES, REPOSITORY_HOSTS
+from strandline.functions.rules import GAUGES, PRICES, REPOSITORY_HOSTS
 
 
 def repo_url_allowed(url: Column, hosts: Sequence[str] = REPOSITORY_HOSTS) -> Column:
@@ -97,3 +97,20 @@ def telemetry(usage: DataFrame) -> DataFrame:
     models = F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "calls"))))
     embedding = F.sum(F.when(F.col("model").contains("embedding"), F.col("calls")).otherwise(0))
     return by.groupBy("org_id").agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls"), embedding.alias("embedding_calls"), models.alias("calls_by_model"), cost.alias("cost"))
+
+
+def health_snapshot(finished: DataFrame, running: DataFrame, gauges: DataFrame, usage: DataFrame, as_of: Column, most_failures: int = 5) -> DataFrame:
+    """One row: the state of the system at a time, by the hour before it and the last value of each gauge.
+
+    finished: (ts, success, seconds) of jobs that ended; running: (started_at, ended_at, null while it runs); gauges: (ts, number,
+    name, value); usage: (ts, tokens). Each part is one aggregate without a key, combined before it meets."""
+    hour = (F.col("ts") >= as_of - F.expr("interval 1 hour")) & (F.col("ts") <= as_of)
+    jobs = finished.where(hour).agg(F.coalesce(F.round(F.avg("seconds"), 5), F.lit(0.0)).alias("avg_seconds"), F.count_if(~F.col("success")).alias("failures"))
+    active = running.agg(F.count_if((F.col("started_at") <= as_of) & (F.col("ended_at").isNull() | (F.col("ended_at") > as_of))).alias("active"))
+    tokens = usage.where(hour).agg(F.coalesce(F.sum("tokens"), F.lit(0).cast("long")).alias("tokens"))
+    last = [F.coalesce(F.max_by(F.when(F.col("name") == g, F.col("value")), F.when(F.col("name") == g, F.struct("ts", "number"))), F.lit(0.0)).alias(g.replace(".", "_")) for g in GAUGES]
+    shown = gauges.where(F.col("ts") <= as_of).agg(*last)
+    row = jobs.crossJoin(active).crossJoin(tokens).crossJoin(shown)  # one row each
+    dead = F.floor("queue_dead_letter_length").cast("long")
+    alerts = F.array_compact(F.array(F.when(dead > 0, F.concat(F.lit("Dead letter queue has "), dead.cast("string"), F.lit(" messages"))), F.when(F.col("failures") > most_failures, F.concat(F.col("failures").cast("string"), F.lit(" jobs failed in the last hour")))))
+    return row.select(F.floor("queue_length").cast("long").alias("queue_length"), dead.alias("dead_letters"), "active", "avg_seconds", "failures", "tokens", F.floor("memory_peak_bytes").cast("long").alias("peak_bytes"), F.round(100 - F.col("disk_used_percent"), 5).alias("disk_free"), (F.size(alerts) == 0).alias("healthy"), alerts.alias("alerts"))

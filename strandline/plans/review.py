@@ -312,6 +312,19 @@ def preflight_archive(spark, sf_dir):
     return intake.archive_sizes(rows, "project_id")
 
 
+_QUOTAS = [("src1", True, 10.0), ("src2", False, 0.0001), *((f"src{k}", False, 10.0) for k in range(3, 20))]
+
+
+@query("a5_preflight_decisions", "with q(org_id, suspended, credits) as (values " + ", ".join(f"('{o}', {str(s).lower()}, {c}::double)" for o, s, c in _QUOTAS) + "), e as (select project_id as path, project_id as org_id, ext, case when doc_id % 400 = 399 then null else size_bytes end as size_bytes from code_files), g as (select path, any_value(org_id) as org_id, bool_or(size_bytes is null) as bad, count(size_bytes) as files, sum(size_bytes)::bigint as bytes, max(size_bytes) as largest, sum(case when ext in " + _strings(R.SOURCE_EXTENSIONS) + " then size_bytes when size_bytes is not null then 0 end)::bigint as code_bytes from e group by 1), t as (select *, floor((case when code_bytes > 0 then code_bytes else coalesce(bytes, 0) end) * 0.25)::bigint as tokens from g), c as (select *, round(tokens::decimal(20,0) * 0.00003::decimal(8,5) * 1.1::decimal(3,1) + files::decimal(20,0) * 0.001::decimal(4,3), 5) as cost from t) select path, files, bytes, largest, code_bytes, tokens, cost::double as cost, case when bad then 'invalid_source' when files > 400 then 'too_many_files' when largest > 60000 then 'file_too_large' when bytes > 150000 then 'repository_too_large' when coalesce(suspended, false) then 'suspended' when coalesce(credits, 0) < cost then 'insufficient_credits' else 'accepted' end as decision from c left join q using (org_id)", "code_files")
+def preflight_decisions(spark, sf_dir):
+    """Archives, here projects, by their listed files: sizes, tokens, cost, and whether they are accepted. Some lists are broken."""
+    size = F.when(F.col("doc_id") % 400 != 399, F.col("size_bytes"))
+    entries = _files(spark, sf_dir).select(F.col("project_id").alias("path"), F.col("project_id").alias("org_id"), "ext", size.alias("size_bytes"))
+    quotas = spark.createDataFrame(_QUOTAS, "org_id string, suspended boolean, credits double")
+    rows = intake.preflight_archives(entries, quotas, 400, 60_000, 150_000)
+    return rows.select("path", F.coalesce("files", F.lit(0).cast("long")).alias("files"), "bytes", "largest", "code_bytes", "tokens", F.col("cost").cast("double").alias("cost"), "decision")
+
+
 @query("r12_review", sql("""select c.project_id, critical_count, high_count, medium_count, low_count, info_count, total, health_score, band, 'The overall code health is ' || band || ' with a score of ' || health_score || '/100. Found ' || high_count || ' high, ' || medium_count || ' medium and ' || low_count || ' low severity findings.' as summary, coalesce(advice, '') as recommendations
 from (select *, case when health_score >= 90 then 'excellent' when health_score >= 75 then 'good' when health_score >= 50 then 'fair' when health_score >= 25 then 'needs improvement' else 'critical' end as band
 from (select *, greatest(0, 100 - least(high_count * 10, 50) - least(medium_count * 3, 30) - least(low_count, 20))::int as health_score

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from strandline.operators import retrieval
 from strandline.operators import vectors as ops
+from strandline.plans import corpus
 from strandline.plans.registry import query
 from strandline.sources import views
 
@@ -148,3 +149,41 @@ def retrieve(spark, sf_dir):
 def summary_plan(spark, sf_dir):
     b = _hits(spark, sf_dir, 40).withColumn("bucket", F.floor((F.col("place") - 1) / 10).cast("int"))
     return b.groupBy("qid", "bucket").agg(F.sum("token_count").alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]), " ").alias("document"))
+
+
+_FILED = "filed as (select s.project_id, s.file_path, s.content, e.vec_id, cast(e.vec_id as varchar) as chunk_id, e.embedding, cast(50 + e.vec_id % 700 as int) as token_count from embeddings e join source_files s on s.doc_id = e.vec_id)"
+
+
+def _filed(spark, sf_dir):
+    """Vectors as the chunks of the files of the same number."""
+    v = _vectors(spark, sf_dir).drop("project_id", "file_path")
+    return v.join(views.source_files(spark, sf_dir).select("doc_id", "project_id", "file_path", "content"), F.col("vec_id") == F.col("doc_id")).drop("doc_id")
+
+
+@query("r11_plan_with_risk", f"with {corpus._PLAN}, {_FILED}, {_RISKS.replace('vectors', 'filed')}, j as (select p.*, coalesce(r.risk, 0) as risk from p left join r on r.project_id = p.project_id and r.file_path = p.file_path) select doc_id, decision, reason, tokens, language, round(risk, 5) as risk, risk > 0.7 as high_risk, row_number() over (partition by project_id order by risk > 0.7 desc, case when risk > 0.7 then risk end desc nulls last, file_path) as place from j", "source_files")
+def plan_with_risk(spark, sf_dir):
+    """The analysis plan with each file's risk, and the order in which its project's files are worked on."""
+    v = _filed(spark, sf_dir)
+    hits = ops.knn(_ask(v, "vec_id < 8"), v, 50, "project_id")
+    risks = ops.file_risk(hits, v.select("project_id", "file_path").distinct())
+    rows = retrieval.plan_with_risk(corpus.plan(spark, sf_dir), risks)
+    return rows.select("doc_id", "decision", "reason", "tokens", "language", F.round("risk", 5).alias("risk"), "high_risk", "place")
+
+
+@query("r7_retrieve_context", f"with {_FILED}, {_HITS.replace('vectors', 'filed')}, k as (select h.*, content, sum(h.token_count) over (partition by qid order by place)::bigint as running, sum(h.token_count) over (partition by qid)::bigint as total from h join filed using (chunk_id) where place <= 20 and score >= 0.2) select qid, count(*) as chunks, sum(token_count)::bigint as tokens, bool_or(total > 2500) as summarise, string_agg(k.project_id || '/' || k.file_path, ' ' order by place) as sources, sha256(string_agg('## ' || k.file_path || ' (lines 1-' || len(string_split(content, chr(10))) || ')' || chr(10) || content, chr(10) || chr(10) order by place)) as context from k where running <= 2000 group by 1", "source_files")
+def retrieve_context(spark, sf_dir):
+    """For each query the texts of its best chunks, at least 0.2 alike, while their tokens fit, with their sources."""
+    v = _filed(spark, sf_dir)
+    hits = ops.knn(_ask(v, "vec_id % 100 = 0"), v, 20)
+    texts = v.select("chunk_id", F.lit(1).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), F.col("content").alias("chunk"))
+    rows = retrieval.retrieve(hits, texts, most=2000, summarise=2500, least=0.2)
+    return rows.select("qid", "chunks", "tokens", "summarise", F.array_join("sources", " ").alias("sources"), F.sha2("context", 256).alias("context"))
+
+
+@query("r8_summary_texts", f"with {_FILED}, {_HITS.replace('vectors', 'filed')}, k as (select h.*, content, ((place - 1) // 10)::int as bucket from h join filed using (chunk_id) where place <= 40) select qid, bucket, sum(token_count)::bigint as tokens, sha256(string_agg('## ' || k.file_path || ' (lines 1-' || len(string_split(content, chr(10))) || ')' || chr(10) || content, chr(10) || chr(10) order by place)) as document, sum(sum(token_count)) over (partition by qid) > 14000 as again from k group by 1, 2", "source_files")
+def summary_texts(spark, sf_dir):
+    """The document of each bucket of ten hits that is to be summarised, and whether the summaries need one more."""
+    v = _filed(spark, sf_dir)
+    texts = v.select("chunk_id", F.lit(1).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), F.col("content").alias("chunk"))
+    rows = retrieval.summary_documents(ops.knn(_ask(v, "vec_id % 100 = 0"), v, 40), texts, 10, 14_000)
+    return rows.withColumn("document", F.sha2("document", 256))
