@@ -191,6 +191,31 @@ def high_priority(measured: DataFrame, complexity: float = 25, loc: int = 1000)
     return measured.withColumn("risk", risk).where((F.col("complexity") > complexity) | (F.col("loc") > loc) | F.col("risk").isin("High", "Critical")).orderBy(F.desc("complexity"), "file_path")
 
 
+#: Words in the paths of files that a security review reads first.
+CRITICAL_PATHS = ("auth", "security", "login", "password", "crypto", "controller")
+
+
+def deep_dive(measured: DataFrame, most: int = 5, by: str = "complexity") -> DataFrame:
+    """(project_id, file_path, place): the files of each project that are looked into: by complexity, then lines of code; by loc,
+    the longest ones; by path, the first ones by name whose path has a word of security."""
+    order = {"complexity": [F.desc("complexity"), F.desc("loc")], "loc": [F.desc("loc")], "path": []}[by]
+    rows = measured.where(F.lower("file_path").rlike("|".join(CRITICAL_PATHS))) if by == "path" else measured
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(*order, "file_path", "doc_id"))
+    return rows.select("project_id", "file_path", place.alias("place")).where(F.col("place") <= most)
+
+
+def indexing_result(files: DataFrame, chunks: DataFrame, errors: DataFrame) -> DataFrame:
+    """(project_id, files, skipped, chunks, tokens, errors) of each project with files (project_id, file_path): from the chunk
+    table (project_id, file_path, tokens) and the errors (project_id, error); a file without a chunk is skipped."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    own = lambda df, name, *aggs: df.groupBy(F.col("project_id").alias(name)).agg(*aggs)
+    seen = files.groupBy("project_id").agg(F.count_distinct("file_path").alias("files"))
+    done = own(chunks, "c", F.count_distinct("file_path").alias("done"), F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+    failed = own(errors, "e", F.count("*").alias("errors"))
+    rows = seen.join(done, F.col("project_id").eqNullSafe(F.col("c")), "left").join(failed, F.col("project_id").eqNullSafe(F.col("e")), "left")
+    return rows.select("project_id", "files", (F.col("files") - F.coalesce("done", F.lit(0))).alias("skipped"), n("chunks"), n("tokens"), n("errors"))
+
+
 def directories(files: DataFrame) -> DataFrame:
     """(project_id, file_path, dir, depth) of each folder above each file."""
     parts = F.split("file_path", "/")
@@ -204,13 +229,14 @@ def new_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     return chunks.dropDuplicates(["project_id", "chunk_hash"]).join(stored.select("project_id", "chunk_hash"), ["project_id", "chunk_hash"], "left_anti")
 
 
-def chunk_lines(files: DataFrame, lines: int = 20, overlap: int = 4) -> DataFrame:
-    """Fixed windows of lines with an overlap: (doc_id, chunk_index, start_line, end_line, chunk), lines counted from 1."""
-    split = files.select("doc_id", F.split("content", "\n").alias("l"))
+def chunk_lines(files: DataFrame, lines: int = 20, overlap: int = 4, *more: str) -> DataFrame:
+    """Fixed windows of lines with an overlap: (doc_id, chunk_index, start_line, end_line, chunk), lines counted from 1; `more` are
+    columns of the file that its chunks carry."""
+    split = files.select("doc_id", *more, F.split("content", "\n").alias("l"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("l") - overlap - 1, F.lit(0)), F.lit(lines - overlap))
-    cut = split.select("doc_id", "l", F.posexplode(starts).alias("chunk_index", "at"))
+    cut = split.select("doc_id", *more, "l", F.posexplode(starts).alias("chunk_index", "at"))
     end = F.least(F.col("at") + lines, F.size("l"))
-    return cut.select("doc_id", "chunk_index", (F.col("at") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice("l", F.col("at") + 1, end - F.col("at")), "\n").alias("chunk"))
+    return cut.select("doc_id", *more, "chunk_index", (F.col("at") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice("l", F.col("at") + 1, end - F.col("at")), "\n").alias("chunk"))
 
 
 def token_spans(text: Column) -> Column:

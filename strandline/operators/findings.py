@@ -124,6 +124,16 @@ def report_json(found: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*(c.split()[0] for c in REPORT_JSON.split(", ")))).alias("value"))
 
 
+def nested(reports: DataFrame, found: DataFrame, most: int, *fields: str) -> DataFrame:
+    """reports with `findings`, the first `most` of each in the order of `ordinal`, as an array of those fields; empty if there are
+    none. The rank is cut below the shuffle, so that a row is bounded."""
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("ordinal"))
+    first = found.withColumn("_place", place).where(F.col("_place") <= most)
+    own = first.groupBy(F.col("project_id").alias("_p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", F.struct(*fields).alias("row")))), lambda x: x["row"]).alias("findings"))
+    rows = reports.join(own, F.col("project_id").eqNullSafe(F.col("_p")), "left").drop("_p")
+    return rows.withColumn("findings", F.coalesce("findings", F.array().cast(dict(own.dtypes)["findings"])))
+
+
 def health(high: Column, medium: Column, low: Column) -> Column:
     return F.greatest(F.lit(0), 100 - F.least(high * 10, F.lit(50)) - F.least(medium * 3, F.lit(30)) - F.least(low, F.lit(20)))
 

@@ -58,6 +58,15 @@ def bad_transitions(log: DataFrame, forbidden: Sequence[tuple[str, str]] = FORBI
     return log.withColumn("before", before).where(bad).select("project_id", "event_id", "before", "status")
 
 
+def reset_faults(log: DataFrame) -> DataFrame:
+    """(project_id, event_id, fault) of the resets in a status log with started_at, ended_at and error: a reset is a move from
+    analyzing or queued back to created, and leaves none of these; its first field that is left is the fault."""
+    before = F.lag("status").over(Window.partitionBy("project_id").orderBy("ts", "event_id"))
+    fault = F.when(F.col("started_at").isNotNull(), "started_at").when(F.col("ended_at").isNotNull(), "ended_at").when(F.col("error").isNotNull(), "error")
+    reset = (F.col("status") == "created") & F.col("before").isin("analyzing", "queued")
+    return log.withColumn("before", before).where(reset).select("project_id", "event_id", fault.alias("fault")).where("fault is not null")
+
+
 def progress(rows: DataFrame) -> DataFrame:
     """rows (.., phase, done, total) with percent: indexing runs from 5 to 20, retrieval from 5 to 35, analysis from 40 to 80."""
     share = F.coalesce(F.try_divide(F.col("done").cast("double"), F.col("total")), F.lit(0.0))
@@ -99,6 +108,23 @@ def telemetry(usage: DataFrame) -> DataFrame:
     return by.groupBy("org_id").agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls"), embedding.alias("embedding_calls"), models.alias("calls_by_model"), cost.alias("cost"))
 
 
+def retrieval_telemetry(calls: DataFrame, model: str = "text-embedding-3-small", mode: str = "exact") -> DataFrame:
+    """Telemetry of each project: calls (project_id, kind, model, input_tokens, output_tokens, chunks, ms, summarized) of kind model,
+    embedding or retrieval; models' calls, tokens, retrievals with their chunks, time and summaries, and the cost.
+
+    mode exact: each model's own tokens at its price. mode reference: as the published summary does it, each model's calls times the
+    whole tokens of an average call, counted over all models; the price of the embedding model is that of all embeddings."""
+    if mode not in ("exact", "reference"):
+        raise ValueError("mode is exact or reference")
+    n = lambda kind, c=None: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.lit(1) if c is None else F.col(c))), F.lit(0)).cast("long")
+    by = calls.groupBy("project_id", "kind", "model").agg(F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("chunks").alias("chunks"), F.sum("ms").alias("ms"), F.count_if("summarized").alias("summaries"))
+    own = by.withColumns({"model_calls": F.sum(F.when(F.col("kind") == "model", F.col("calls"))).over(Window.partitionBy("project_id")), "model_tokens": F.sum(F.when(F.col("kind") == "model", F.col("tokens"))).over(Window.partitionBy("project_id"))})
+    counted = F.col("tokens") if mode == "exact" else F.floor(F.col("model_tokens") / F.greatest(F.lit(1), F.col("model_calls"))) * F.col("calls")
+    spent = F.when(F.col("kind") == "model", counted.cast("decimal(20,0)") * price(F.col("model"))).when(F.col("kind") == "embedding", F.col("tokens").cast("decimal(20,0)") * price(F.lit(model)))
+    cost = F.round(F.coalesce(F.sum(spent), F.lit(0).cast("decimal(20,2)")) / 1_000_000, 6).cast("double")
+    return own.groupBy("project_id").agg(n("model", "calls").alias("model_calls"), n("model", "tokens").alias("tokens"), n("embedding", "calls").alias("embedding_calls"), n("embedding", "tokens").alias("embedding_tokens"), n("retrieval", "calls").alias("retrievals"), n("retrieval", "chunks").alias("chunks"), n("retrieval", "ms").alias("retrieval_ms"), n("retrieval", "summaries").alias("summaries"), cost.alias("cost"))
+
+
 def health_snapshot(finished: DataFrame, running: DataFrame, gauges: DataFrame, usage: DataFrame, as_of: Column, most_failures: int = 5) -> DataFrame:
     """One row: the state of the system at a time, by the hour before it and the last value of each gauge.
 

@@ -52,12 +52,17 @@ def _get(name: str, kind: str) -> Column:
 
 def parse_findings(replies: DataFrame) -> DataFrame:
     """Rows of the JSON arrays in `reply`. Keys match in any case; fields of another type are converted where that is possible and
-    null where not. Items that are no objects are in `rejected`."""
+null where not. Items that are no objects are in `rejected`. A reply on a cluster (column `cluster`, if there is one, not null)
+    is about the cluster as a whole: its name is the path where an item names no file."""
     text = {"severity": "severity", "category": "category", "title": "title", "description": "description", "explanation": "explanation", "suggestedfix": "suggestion", "symbol": "symbol"}
     path = F.coalesce(_get("filepath", "string"), _get("file_path", "string"), _get("file", "string"))
     line = lambda *keys: F.coalesce(*(F.expr(f"try_variant_get(m['linerange'], '$.{k}', 'int')") for k in keys))
     fields = [_get(k, "string").alias(v) for k, v in text.items()]
-    return _items(replies).where("m is not null").select("reply_id", "ordinal", *fields, path.alias("file_path"), line("start", "Start").alias("line_start"), line("end", "End").alias("line_end"), _get("confidence", "double").alias("confidence"))
+    items = _items(replies)
+    if "cluster" in replies.columns:
+        items = items.join(replies.select(F.col("reply_id").alias("_r"), "cluster"), F.col("reply_id") == F.col("_r"))
+        path = F.coalesce(path, F.col("cluster"))
+    return items.where("m is not null").select("reply_id", "ordinal", *fields, path.alias("file_path"), line("start", "Start").alias("line_start"), line("end", "End").alias("line_end"), _get("confidence", "double").alias("confidence"))
 
 
 def rejected(replies: DataFrame) -> DataFrame:

@@ -138,9 +138,18 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r", "_new")
 
 
+#: Rows of a stated list that are broadcast at most; a longer one is joined by a shuffle.
+LISTED = 1_000_000
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """The list, broadcast where its checked size allows."""
+    return F.broadcast(rows) if rows.limit(LISTED + 1).count() <= LISTED else rows
+
+
 def delete(vectors: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Vectors without those whose project or chunk is among `gone`, a stated list."""
-    return vectors.join(F.broadcast(gone.select(key)), key, "left_anti")
+    return vectors.join(_listed(gone.select(key)), key, "left_anti")
 
 
 def missing(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -170,7 +179,7 @@ def validity(vector: Column, dim: int) -> Column:
 
 def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables without the rows of the projects that are gone, a stated list, and (table, removed, kept) of each."""
-    ids = F.broadcast(gone.select("project_id").distinct())
+    ids = _listed(gone.select("project_id").distinct())
     left = {name: df.join(ids, "project_id", "left_anti") for name, df in tables.items()}
     counts = None
     for name, df in tables.items():

@@ -204,12 +204,11 @@ def files_ordered(spark, sf_dir):
     return _files(spark, sf_dir).select("project_id", "file_path").orderBy("project_id", "file_path")
 
 
-@query("k3_chunks_of_file", "with l as (select doc_id, file_path, len(string_split(content, chr(10))) as n from source_files), c as (select doc_id, file_path, n, unnest(range(0, greatest(n - 4 - 1, 0) + 1, 16)) as pos from l) select file_path, ((pos // 16))::int as chunk_index, (pos + 1)::int as start_line, least(pos + 20, n)::int as end_line from c where doc_id % 10 = 7", "source_files")
+@query("k3_chunks_of_file", "with l as (select doc_id, file_path, len(string_split(content, chr(10))) as n from source_files), c as (select doc_id, file_path, n, unnest(range(0, greatest(n - 4 - 1, 0) + 1, 16)) as pos from l) select file_path, ((pos // 16))::int as chunk_index, (pos + 1)::int as start_line, least(pos + 20, n)::int as end_line from c", "source_files")
 def chunks_of_file(spark, sf_dir):
-    """The chunks of every tenth file, by file and number."""
-    files = _files(spark, sf_dir)
-    chunks = ops.chunk_lines(files).join(files.select("doc_id", "file_path"), "doc_id")
-    return chunks.where("doc_id % 10 = 7").select("file_path", "chunk_index", "start_line", "end_line").orderBy("file_path", "chunk_index")
+    """The chunks of all files, by file and number. A range sort, so that a large file's project is many tasks."""
+    chunks = ops.chunk_lines(_files(spark, sf_dir), 20, 4, "file_path")
+    return chunks.select("file_path", "chunk_index", "start_line", "end_line").orderBy("file_path", "chunk_index")
 
 
 @query("x1_count_tokens", """select doc_id, case when length(content) = 0 then 0 else greatest(1, ceil((ceil(length(content) / 4.0) * 6 + ceil(len(regexp_extract_all(content, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+')) * 13 / 10.0) * 3 + len(regexp_extract_all(content, '[{}()\\[\\];,.<>:=+\\-*/&|!?@#$%^~`\\\\''"]')) // 2) / 10)) end::bigint as tokens from source_files""", "source_files")
@@ -316,6 +315,14 @@ def indexing_result(spark, sf_dir):
     return rows.withColumn("embeddings", F.col("chunks"))
 
 
+@query("a21_chunk_table", f"with recursive {_sliding_sql(300, 60, 20)}, ct as (select e.*, f.project_id, f.file_path from every e join source_files f using (doc_id)) select f.project_id, f.files, f.files - coalesce(done, 0) as skipped, coalesce(chunks, 0) as chunks, coalesce(tokens, 0)::bigint as tokens, coalesce(errors, 0) as errors from (select project_id, count(distinct file_path) as files, count(*) filter (where size_bytes > 20000) as errors from source_files group by 1) f left join (select project_id, count(distinct file_path) as done, count(*) as chunks, sum(tokens) as tokens from ct group by 1) c using (project_id)", "source_files")
+def chunk_table(spark, sf_dir):
+    """What indexing gives, counted from the chunk table; files beyond a size are errors."""
+    files = _files(spark, sf_dir)
+    chunks = chunking.chunk_sliding(files, 300, 60, 20).join(files.select("doc_id", "project_id", "file_path"), "doc_id")
+    return ops.indexing_result(files, chunks, files.where("size_bytes > 20000").select("project_id", F.lit("too large").alias("error")))
+
+
 @query("r11_analysis_plan", f"with {_PLAN} select doc_id, decision, reason, tokens, language from p", "source_files")
 def analysis_plan(spark, sf_dir):
     return plan(spark, sf_dir).select("doc_id", "decision", "reason", "tokens", "language")

@@ -70,6 +70,36 @@ def status_transition_check(spark, sf_dir):
     return ops.bad_transitions(views.job_events(spark, sf_dir).withColumn("status", F.expr(_STATUS)))
 
 
+@query("f25_reset_faults", f"with l as (select project_id, event_id, {_STATUS} as status, lag({_STATUS}) over (partition by project_id order by ts, event_id) as before from job_events) select project_id, event_id, case when event_id % 3 = 0 then 'started_at' when event_id % 5 = 0 then 'ended_at' else 'error' end as fault from l where status = 'created' and before in ('analyzing', 'queued') and (event_id % 3 = 0 or event_id % 5 = 0 or event_id % 7 = 0)", "job_events")
+def reset_faults(spark, sf_dir):
+    n = F.col("event_id")
+    log = views.job_events(spark, sf_dir).withColumns({"status": F.expr(_STATUS), "started_at": F.when(n % 3 == 0, F.col("ts")), "ended_at": F.when(n % 5 == 0, F.col("ts")), "error": F.when(n % 7 == 0, "failed")})
+    return ops.reset_faults(log)
+
+
+def _telemetry_sql(mode: str) -> str:
+    counted = "tokens" if mode == "exact" else "(model_tokens // greatest(1, model_calls)) * calls"
+    n = lambda kind, c: f"coalesce(sum({c}) filter (where kind = '{kind}'), 0)::bigint"
+    return f"with c as (select 'p' || (event_id % 50) as project_id, (['model', 'embedding', 'retrieval'])[event_id % 3 + 1] as kind, model, tokens, event_id % 20 as chunks, tokens % 300 as ms, event_id % 6 = 2 as summarized from token_events), b as (select project_id, kind, model, count(*) as calls, sum(tokens)::bigint as tokens, sum(chunks)::bigint as chunks, sum(ms)::bigint as ms, count(*) filter (where summarized) as summaries from c group by 1, 2, 3), o as (select *, (sum(calls) filter (where kind = 'model') over (partition by project_id))::bigint as model_calls, (sum(tokens) filter (where kind = 'model') over (partition by project_id))::bigint as model_tokens from b) select project_id, {n('model', 'calls')} as model_calls, {n('model', 'tokens')} as tokens, {n('embedding', 'calls')} as embedding_calls, {n('embedding', 'tokens')} as embedding_tokens, {n('retrieval', 'calls')} as retrievals, {n('retrieval', 'chunks')} as chunks, {n('retrieval', 'ms')} as retrieval_ms, {n('retrieval', 'summaries')} as summaries, round(sum(case kind when 'model' then ({counted})::decimal(20,0) * ({_PRICE})::decimal(8,2) when 'embedding' then tokens::decimal(20,0) * {PRICES['text-embedding-3-small']}::decimal(8,2) else 0 end) / 1000000, 6)::double as cost from o group by 1"
+
+
+def _telemetry(spark, sf_dir, mode):
+    n = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("model", "embedding", "retrieval"))), (n % 3 + 1).cast("int"))
+    calls = views.token_events(spark, sf_dir).select(F.concat(F.lit("p"), (n % 50).cast("string")).alias("project_id"), kind.alias("kind"), "model", F.col("tokens").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), (n % 20).alias("chunks"), (F.col("tokens") % 300).alias("ms"), (n % 6 == 2).alias("summarized"))
+    return ops.retrieval_telemetry(calls, mode=mode)
+
+
+@query("a18_retrieval_telemetry", _telemetry_sql("exact"), "token_events")
+def retrieval_telemetry(spark, sf_dir):
+    return _telemetry(spark, sf_dir, "exact")
+
+
+@query("a18_telemetry_reference", _telemetry_sql("reference"), "token_events")
+def telemetry_reference(spark, sf_dir):
+    return _telemetry(spark, sf_dir, "reference")
+
+
 @query("j1_project_report", "select p.project_id, c.c_name as owner, p.status from projects p left join customer c on c.c_custkey = p.api_key_id and c.c_acctbal > 5000", "projects")
 def project_report(spark, sf_dir):
     owners = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 5000").select(F.col("c_custkey").alias("api_key_id"), F.col("c_name").alias("owner"))

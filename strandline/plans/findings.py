@@ -168,6 +168,22 @@ def report_findings(spark, sf_dir):
     return ops.counts(found).select("project_id", "total").join(found.select("project_id", "ordinal", "severity"), "project_id", "left")
 
 
+@query("j2_report_nested", f"with c as (select {_COUNTS} from findings group by 1), n as (select project_id, string_agg(severity || ':' || ordinal, ',' order by severity desc, ordinal) as nested, count(*) as n from (select *, row_number() over (partition by project_id order by ordinal) as r from findings) where r <= 100 group by 1) select c.project_id, c.total, n.n, n.nested from c left join n using (project_id)", "findings")
+def report_nested(spark, sf_dir):
+    """Each report with its first hundred findings as a list inside the row."""
+    found = _found(spark, sf_dir)
+    rows = ops.nested(ops.counts(found).select("project_id", "total"), found, 100, "severity", "ordinal")
+    text = F.transform(F.array_sort("findings", lambda a, b: F.when(a["severity"] > b["severity"], -1).when(a["severity"] < b["severity"], 1).when(a["ordinal"] < b["ordinal"], -1).otherwise(1)), lambda x: F.concat(x["severity"], F.lit(":"), x["ordinal"].cast("string")))
+    return rows.select("project_id", "total", F.size("findings").cast("long").alias("n"), F.array_join(text, ",").alias("nested"))
+
+
+@query("j2_project_files", "select p.project_id, f.doc_id, f.file_path from (select distinct project_id from findings) p left join (select * from source_files where size_bytes < 3000) f on f.project_id = p.project_id", "findings", "source_files")
+def project_files(spark, sf_dir):
+    """Projects with their files, and once without where none is left."""
+    files = views.source_files(spark, sf_dir).where("size_bytes < 3000").select("project_id", "doc_id", "file_path")
+    return _found(spark, sf_dir).select("project_id").distinct().join(files, "project_id", "left")
+
+
 @query("j8_findings_files", "select f.ordinal, d.doc_id from findings f left join (select project_id, 'src/f' || (doc_id % 50) || '.cs' as path, min(doc_id) as doc_id from source_files group by 1, 2) d on d.project_id = f.project_id and d.path = f.file_path", "findings", "source_files")
 def findings_files(spark, sf_dir):
     files = views.source_files(spark, sf_dir).groupBy("project_id", F.concat(F.lit("src/f"), (F.col("doc_id") % 50).cast("string"), F.lit(".cs")).alias("file_path")).agg(F.min("doc_id").alias("doc_id"))

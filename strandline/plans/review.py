@@ -221,8 +221,17 @@ def top_files_per_cluster(spark, sf_dir):
 
 @query("k4_deep_dive_files", sql("select * from (select project_id, file_path, row_number() over (partition by project_id order by complexity desc, loc desc, file_path, doc_id) as place from m) where place <= 5", "m"), "code_files")
 def deep_dive_files(spark, sf_dir):
-    w = Window.partitionBy("project_id").orderBy(F.desc("complexity"), F.desc("loc"), "file_path", "doc_id")
-    return ops.metrics(_files(spark, sf_dir)).select("project_id", "file_path", F.row_number().over(w).alias("place")).where("place <= 5")
+    return ops.deep_dive(ops.metrics(_files(spark, sf_dir)))
+
+
+@query("k4_legacy_files", sql("select * from (select project_id, file_path, row_number() over (partition by project_id order by loc desc, file_path, doc_id) as place from m) where place <= 10", "m"), "code_files")
+def legacy_files(spark, sf_dir):
+    return ops.deep_dive(ops.metrics(_files(spark, sf_dir)), 10, "loc")
+
+
+@query("k4_security_files", "select * from (select project_id, file_path, row_number() over (partition by project_id order by file_path, doc_id) as place from code_files where regexp_matches(lower(file_path), 'auth|security|login|password|crypto|controller')) where place <= 5", "code_files")
+def security_files(spark, sf_dir):
+    return ops.deep_dive(_files(spark, sf_dir), 5, "path")
 
 
 @query("x6_cyclomatic", f"select doc_id, ({_COMPLEXITY})::bigint as complexity from code_files", "code_files")
