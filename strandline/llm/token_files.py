@@ -21,19 +21,18 @@ stand in the order of their texts' hashes; an empty table gives no file and no r
 from __future__ import annotations
 
 import functools
-import itertools
-import operator
 import os
 import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -52,17 +51,20 @@ CACHE = 1_000_000
 #: Characters that end a part without changing what stands before them.
 STOPS = ".,;:!?"
 #: Rows that are encoded together.
-ROWS = 256
+ROWS = 1024
 #: Ids that the reader hands on in one batch, unless one document has more.
 HANDED = 1 << 20
 
 
+_NONE = np.zeros(0, "<u4")
+
+
 class Encoder:
     """Ids of texts as bytes, by the tokenizers library.
 
     A text is cut before each space that something other than white space follows, and a part before the stops that end it
     behind a letter. There the pre-tokenizer of byte-level BPE always begins a new piece, and nothing before it matters behind
-    it. So parts are encoded once and remembered; those that a batch of texts adds go to the library together."""
+    it. So parts are encoded once and remembered by what follows their space; new ones go to the library together."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -92,40 +94,67 @@ class Encoder:
         data, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
         return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
-    def learn(self, parts: set[str]) -> list[str]:
-        """Get to know these parts. Returns those to forget behind the batch: words with stops, which are put together at once.
-        Where there are too many known ones all go, for they can be learned again."""
+    def lookup(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts, each with its space. A word with stops is put together from both and not remembered; where
+        there are too many known ones all go, for they can be learned again."""
         if len(self.known) + len(parts) > CACHE:
             self.known.clear()
-        known = self.known
-        whole, words, stops = set(), {}, set()
-        for part in parts:
+        known, out = self.known, list(map(self.known.get, parts))
+        new, words, stops = [], {}, {}
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            part = parts[k]
             word = part.rstrip(STOPS)
             if word != part and word[-1:].isalpha():
-                words[part] = word
-                stops.add(part[len(word) :])
+                words[k] = word
+                stops[part[len(word) :]] = b""
                 if word not in known:
-                    whole.add(word)
-            else:
-                whole.add(part)
-        new = list(whole)
-        behind = dict(zip(stops, self.library(list(stops)), strict=True))
+                    known[word] = b""
+                    new.append(word)
+            elif part not in known:
+                known[part] = b""
+                new.append(part)
+        stops = dict(zip(stops, self.library(list(stops)), strict=True))
         known.update(zip(new, self.apart(new), strict=True))
-        known.update((part, known[word] + behind[part[len(word) :]]) for part, word in words.items())
-        return list(words)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [self.cut(t) if self.wide(t) else t.split(" ") for t in texts]
-        firsts = self.library([parts.pop(0) for parts in rows])
-        get, unknown = self.known.get, set()
-        found = [list(map(get, parts)) for parts in rows]
-        for parts, ids in zip(rows, found, strict=True):
-            unknown.update(itertools.compress(parts, map(operator.not_, ids)))
-        passing = self.learn(unknown)
-        found = [ids if all(ids) else [x or get(p) for p, x in zip(parts, ids, strict=True)] for parts, ids in zip(rows, found, strict=True)]
-        for part in passing:
-            del self.known[part]
-        return [first + b"".join(ids) for first, ids in zip(firsts, found, strict=True)]
+        for k, ids in enumerate(out):
+            if not ids:
+                out[k] = known[words[k]] + stops[parts[k][len(words[k]) :]] if k in words else known[parts[k]]
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. The parts of all of them are split and told apart by Arrow, so that Python handles each distinct
+        one once; their ids are then copied to where the parts stand."""
+        if not texts:
+            return []
+        wide = [k for k, t in enumerate(texts) if self.wide(t)]
+        if wide:
+            found: list[np.ndarray] = [_NONE] * len(texts)
+            rest = sorted(set(range(len(texts))) - set(wide))
+            for k, ids in zip(rest, self.encode([texts[k] for k in rest]), strict=True):
+                found[k] = ids
+            rows = [self.cut(texts[k]) for k in wide]
+            return self._placed([r[0] for r in rows], pa.array([p for r in rows for p in r], pa.string()), np.cumsum([0, *map(len, rows)]), found, wide)
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        return self._placed([t.partition(" ")[0] for t in texts], split.values, split.offsets.to_numpy().astype(np.int64), [_NONE] * len(texts), range(len(texts)))
+
+    def _placed(self, firsts: list[str], parts: pa.Array, offsets: np.ndarray, out: list[np.ndarray], where: Iterable[int]) -> list[np.ndarray]:
+        """out with the ids of the texts `where`, whose parts stand behind one another; a text's first part has no space."""
+        coded = parts.dictionary_encode()
+        number = coded.indices.to_numpy().copy()
+        number[offsets[:-1]] = len(coded.dictionary) + np.arange(len(firsts), dtype=number.dtype)
+        ids = self.lookup(coded.dictionary.to_pylist()) + self.library(firsts)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[number]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        place = np.repeat((begins[number] - (ends - counts)).astype(kind), counts)
+        place += np.arange(total, dtype=kind)
+        whole = flat[place]
+        bounds = np.concatenate([[0], ends])[offsets].tolist()
+        for k, a, b in zip(where, bounds, bounds[1:], strict=False):
+            out[k] = whole[a:b]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -272,7 +301,7 @@ def write(docs: DataFrame, path: str, end: int | None, key: str = "doc_id", text
     folder = shared_dir(spark, "tokens")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     order = [F.asc_nulls_last("id"), F.xxhash64("text").asc()]
-    behind = b"" if end is None else struct.pack("<I", end)
+    behind = np.array([] if end is None else [end], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, name = encoder(path).encode, None, ""
@@ -283,7 +312,7 @@ def write(docs: DataFrame, path: str, end: int | None, key: str = "doc_id", text
                     store.create_dir(top, recursive=True)
                     name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
                     writer = Writer(store.open_output_stream(f"{top}/{name}", compression=None), kind)
-                writer.add(doc, np.frombuffer(ids + behind, "<u4"))
+                writer.add(doc, np.concatenate([ids, behind]))
         if writer is not None:
             writer.close()
             values = [[TaskContext.get().partitionId()], [f"{folder}/{name}"], [writer.n_ids], [len(writer.docs)]]
