@@ -398,3 +398,26 @@ def python_units(spark, sf_dir):
 @query("r2_r3_extract_units")
 def extract_units(spark, sf_dir):
     return units.extract_units(views.code_files(spark, sf_dir), SIZES["most"])
+
+
+_JAVA = r"\b[A-Za-z_][A-Za-z0-9_]*\s*\([^)]*\)\s*\{"
+_SCRIPT_UNIT = r"function\s+[A-Za-z_][A-Za-z0-9_]*\s*\(|\b[A-Za-z_][A-Za-z0-9_]*\s*=\s*\([^)]*\)\s*=>"
+_LINE = "length({0}) - length(replace({0}, chr(10), '')) + 1"
+_UNITS_SQL = f"""with c as (select doc_id, ext, content, case when ext = '.java' then string_split_regex(content, '{_JAVA}') else string_split_regex(content, '{_SCRIPT_UNIT}') end as gaps, case when ext = '.java' then regexp_extract_all(content, '{_JAVA}') else regexp_extract_all(content, '{_SCRIPT_UNIT}') end as heads from code_files where ext in ('.java', '.ts', '.js')),
+u as (select doc_id, content, head, k, 1 + list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(heads[1:k - 1], lambda x: length(x))), 0) as start from (select *, unnest(heads) as head, generate_subscripts(heads, 1) as k from c)),
+b as (select doc_id, pos, content[pos] as brace, sum(case when content[pos] = '{{' then 1 else -1 end) over (partition by doc_id order by pos) as depth from (select doc_id, content, unnest(list_filter(range(1, length(content) + 1), lambda i: content[i] in ('{{', '}}'))) as pos from c)),
+o as (select u.doc_id, u.k, any_value(u.content) as content, any_value(u.head) as head, any_value(u.start) as start, min(b.pos) as open from u left join b on b.doc_id = u.doc_id and b.brace = '{{' and b.pos >= u.start group by 1, 2),
+e as (select o.doc_id, o.k, any_value(o.content) as content, any_value(o.head) as head, any_value(o.start) as start, any_value(o.open) as open, min(z.pos) as close from o left join b a on a.doc_id = o.doc_id and a.pos = o.open left join b z on z.doc_id = o.doc_id and z.pos > o.open and z.brace = '}}' and z.depth = a.depth - 1 group by 1, 2),
+m as (select doc_id, coalesce(nullif(regexp_extract(head, 'function\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), ''), regexp_extract(head, '^([A-Za-z_][A-Za-z0-9_]*)', 1)) as name, 'method' as type, {_LINE.format('content[:start::bigint - 1]')} as start_line, case when open is null then {_LINE.format('content[:least(length(content), start + 199)::bigint]')} when close is null then {_LINE.format('content')} else {_LINE.format('content[:close]')} end as end_line from e),
+p as (select doc_id, text, line, n from (select doc_id, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line, len(string_split(content, chr(10))) as n from code_files where ext = '.py')),
+d as (select doc_id, regexp_extract(text, '^\\s*def\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1) as name, 'method' as type, line as start_line, greatest(line, coalesce(min(case when regexp_matches(text, '^\\s*(?:def |class )') or regexp_matches(text, '^\\s*def\\s+[A-Za-z_][A-Za-z0-9_]*\\s*\\(') then line end) over (partition by doc_id order by line rows between 1 following and unbounded following) - 1, n)) as end_line, regexp_matches(text, '^\\s*def\\s+[A-Za-z_][A-Za-z0-9_]*\\s*\\(') as is_def from p),
+own as (select doc_id, name, type, start_line, end_line from m union all select doc_id, name, type, start_line, end_line from d where is_def),
+k as (select doc_id, regexp_extract(content, case when ext = '.java' then '\\bclass\\s+([A-Za-z_][A-Za-z0-9_]*)' else '(?m)^\\s*class\\s+([A-Za-z_][A-Za-z0-9_]*)' end, 1) as name, 'class' as type, 1 as start_line, {_LINE.format('content')} as end_line from code_files where ext in ('.java', '.py') and doc_id not in (select doc_id from own))
+select doc_id, name, type, start_line::int as start_line, end_line::int as end_line from own union all select doc_id, name, type, start_line::int, end_line::int from k where name <> ''"""
+
+
+@query("r2_units", _UNITS_SQL, "code_files")
+def language_units(spark, sf_dir):
+    """Functions of Java, script and Python files, or their class."""
+    files = views.code_files(spark, sf_dir).where(F.col("ext").isin(".java", ".ts", ".js", ".py"))
+    return units.extract_units(files).drop("namespace")
