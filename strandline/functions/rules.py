@@ -119,7 +119,7 @@ def sql_case(subject: str, mapping: dict, default: str = "null", quote: bool = T
 
 #: Advice for each agent: what is counted of its findings (all, high: High and Critical, medium, a category, or those
 #: whose description has a word), above which number the advice is given, and its text.
-ADVICE = {
+AGENT_ADVICE = {
     "Security": (
         ("high", None, 0, "Address {n} high-severity security issue(s) immediately to reduce risk."),
         ("category", "Security", 2, "Consider implementing a security code review process to catch vulnerabilities early."),

@@ -5,7 +5,7 @@ counted once and summed up; words never go beyond a line, so the tokens of any s
 sums, and since they grow with the stretch a window's end is found by bisection. So a file takes time by its length, and
 nothing leaves its row: narrow steps without a shuffle, a few megabytes of texts in memory.
 
-As in the reference rule, empty lines at the beginning of a window are no part of its text, and a window steps back over whole
+As in the published rule, empty lines at the beginning of a window are no part of its text, and a window steps back over whole
 lines until the overlap is reached. A line always gets ahead: where the overlap leaves no room for the next line, the next
 window begins with that line.
 

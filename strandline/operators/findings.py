@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.rules import ADVICE, ADVICE_ANY, ADVICE_NONE, SEVERITY_CODES
+from strandline.functions.rules import AGENT_ADVICE, ADVICE_ANY, ADVICE_NONE, SEVERITY_CODES
 
 
 def severity_code(severity: Column, default: str = "medium") -> Column:
@@ -85,7 +85,7 @@ def dedupe_and_merge(found: DataFrame, mode: str = "pipeline") -> DataFrame:
 def agent_advice(found: DataFrame, most: int = 5) -> DataFrame:
     """(project_id, agent, place, advice): the first `most` pieces of advice for each agent of each project, by what its findings
     are; one of no findings has a text of its own. One aggregate with a count for each rule; projects times four agents."""
-    rules = [(agent, k, rule) for agent, own in ADVICE.items() for k, rule in enumerate((*own, *ADVICE_ANY))]
+    rules = [(agent, k, rule) for agent, own in AGENT_ADVICE.items() for k, rule in enumerate((*own, *ADVICE_ANY))]
     severity, text = F.lower("severity"), F.lower(F.coalesce("description", F.lit("")))
 
     def counted(kind: str, what) -> Column:
@@ -97,7 +97,7 @@ def agent_advice(found: DataFrame, most: int = 5) -> DataFrame:
 
     kinds = {(kind, what): f"_n{k}" for k, (kind, what) in enumerate(dict.fromkeys((r[0], r[1]) for _, _, r in rules))}
     numbers = found.groupBy(F.col("project_id").alias("p"), F.col("agent").alias("a")).agg(F.count("*").alias("_all"), *(counted(*k).alias(name) for k, name in kinds.items()))
-    agents = found.select("project_id").distinct().withColumn("agent", F.explode(F.array(*map(F.lit, ADVICE))))
+    agents = found.select("project_id").distinct().withColumn("agent", F.explode(F.array(*map(F.lit, AGENT_ADVICE))))
     rows = agents.join(numbers, F.col("project_id").eqNullSafe(F.col("p")) & (F.col("agent") == F.col("a")), "left")
     n = lambda rule: F.col(kinds[rule[0], rule[1]])
     given = [F.when((F.col("agent") == agent) & (n(rule) > rule[2]), F.replace(F.lit(rule[3]), F.lit("{n}"), n(rule).cast("string"))) for agent, _, rule in rules]

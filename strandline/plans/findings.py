@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.functions.rules import ADVICE, ADVICE_ANY, ADVICE_NONE, SEVERITY_CODES, sql_case
+from strandline.functions.rules import AGENT_ADVICE, ADVICE_ANY, ADVICE_NONE, SEVERITY_CODES, sql_case
 from strandline.operators import findings as ops
 from strandline.plans.registry import query
 from strandline.sources import views
@@ -104,12 +104,12 @@ def _advice_sql() -> str:
         return {"all": "count(*)", "high": "count(*) filter (where lower(severity) in ('high', 'critical'))", "medium": "count(*) filter (where lower(severity) = 'medium')"}[kind]
 
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
-    rules = [(agent, rule) for agent, own in ADVICE.items() for rule in (*own, *ADVICE_ANY)]
+    rules = [(agent, rule) for agent, own in AGENT_ADVICE.items() for rule in (*own, *ADVICE_ANY)]
     kinds = {k: f"n{i}" for i, k in enumerate(dict.fromkeys((r[0], r[1]) for _, r in rules))}
     cases = [f"case when agent = '{agent}' and {kinds[r[0], r[1]]} > {r[2]} then replace({quoted(r[3])}, '{{n}}', {kinds[r[0], r[1]]}::varchar) end" for agent, r in rules]
     cases.append(f"case when n is null then replace({quoted(ADVICE_NONE)}, '{{agent}}', agent) end")
     numbers = ", ".join(f"{number(*k)} as {name}" for k, name in kinds.items())
-    return f"with f as (select * from findings where not (agent = 'Structure' and project_id in ('src1', 'src2'))), c as (select project_id, agent, count(*) as n, {numbers} from f group by 1, 2), a as (select project_id, unnest([{', '.join(quoted(k) for k in ADVICE)}]) as agent from (select distinct project_id from f)), t as (select project_id, agent, list_slice(list_filter([{', '.join(cases)}], lambda x: x is not null), 1, 5) as t from a left join c using (project_id, agent)) select project_id, agent, generate_subscripts(t, 1)::int as place, unnest(t) as advice from t"
+    return f"with f as (select * from findings where not (agent = 'Structure' and project_id in ('src1', 'src2'))), c as (select project_id, agent, count(*) as n, {numbers} from f group by 1, 2), a as (select project_id, unnest([{', '.join(quoted(k) for k in AGENT_ADVICE)}]) as agent from (select distinct project_id from f)), t as (select project_id, agent, list_slice(list_filter([{', '.join(cases)}], lambda x: x is not null), 1, 5) as t from a left join c using (project_id, agent)) select project_id, agent, generate_subscripts(t, 1)::int as place, unnest(t) as advice from t"
 
 
 @query("a32_agent_advice", _advice_sql(), "findings")
