@@ -220,3 +220,10 @@ def test_units_of_rows(spark):
     got = units.extract_units(df.drop("units")).collect()
     assert [tuple(r) for r in got] == [(1, "A", "class", 1, 1, "N")]
     assert [len(r.units) for r in units.with_units(df).orderBy("doc_id").collect()] == [1, 0, 0]
+
+
+def test_the_plan_folds_nothing_in_a_filter(spark):
+    df = spark.createDataFrame([(1, "p", "a.cs", "x", ".cs")], FILE)
+    for plan in (chunking.chunk_sliding(df).where("tokens > 0"), chunking.chunk_corpus(df).where("tokens > 0")):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in text and text.count("MapInArrow") == 1
