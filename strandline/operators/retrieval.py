@@ -19,19 +19,26 @@ from strandline.sources.tables import write_projects
 
 #: Pieces of rows that wait at most for a batch of texts to fill.
 HELD = 8
-#: Words that add to a component of their own.
-KEYWORDS = ("async", "await", "class", "error", "function", "import", "interface", "password", "query", "return", "secret", "test", "token")
+#: Words that add to a component of their own, in order of the components.
+KEYWORDS = (
+    "class", "public", "private", "void", "async", "await", "return", "if", "else", "for", "while", "try", "catch", "throw", "new",
+    "null", "interface", "abstract", "static", "readonly", "const", "using", "namespace", "var", "string", "int", "bool", "list", "dictionary", "task",
+)
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """A deterministic unit vector of a text: noise from its hash, half a unit for each keyword, and its length and words.
+    """A deterministic unit vector of a text: noise from its digest; half a unit for each keyword that stands between spaces; then a
+    component for its length, in thousands of characters, and one for its words, in hundreds, each at most 1.
 
     A blank text is the zero vector."""
-    noise = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.pmod(F.xxhash64(text, i), F.lit(2001)) / 1000.0 - 1.0)
-    low = F.lower(text)
-    bumps = F.array(*(F.when(low.contains(k), 0.5).otherwise(0.0) for k in KEYWORDS), F.log1p(F.length(text).cast("double")) / 10, F.log1p(F.size(F.split(text, r"\s+")).cast("double")) / 10)
-    padded = F.concat(bumps, F.array_repeat(F.lit(0.0), dim - len(KEYWORDS) - 2))
-    vector = normalized(F.zip_with(noise, padded, lambda a, b: a + b))
+    noise = lambda d: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(F.md5(F.concat(d, F.lit(":"), i.cast("string"))), F.lit(1), F.lit(8)), 16, 10).cast("bigint") % 2001 / 1000.0 - 1.0)
+    spaced = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    bumps = F.array(*(F.when(spaced.contains(f" {k} "), 0.5).otherwise(0.0) for k in KEYWORDS), *(F.lit(0.0),) * max(0, dim - len(KEYWORDS)))
+    words = F.size(F.filter(F.split(text, " "), lambda x: x != ""))
+    sizes = F.array(*(F.least(n / limit, F.lit(1.0)) for n, limit in ((F.length(text), 1000), (words, 100))))
+    raw = F.zip_with(F.transform(F.array(F.sha2(text, 256)), noise)[0], F.slice(bumps, 1, dim), lambda a, b: a + b)
+    n = len(KEYWORDS)
+    vector = normalized(F.slice(F.concat(F.slice(raw, 1, n), sizes, F.slice(raw, n + 3, max(0, dim - n - 2))), 1, dim))
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array_repeat(F.lit(0.0), dim)).otherwise(vector)
 
 

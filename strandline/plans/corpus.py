@@ -342,9 +342,14 @@ def normalize_path(spark, sf_dir):
     return _files(spark, sf_dir).select("doc_id", scans.normalized_path(odd).alias("normalized"), scans.sanitized_path(F.concat(F.lit("../"), "file_path")).alias("sanitized"))
 
 
-@query("r6_hash_embedding")
+_BUMPS = "[" + ", ".join(f"case when contains(' ' || lower(content) || ' ', ' {k} ') then 0.5 else 0 end" for k in retrieval.KEYWORDS) + "]"
+
+
+@query("r6_hash_embedding", f"with d as (select doc_id, content, sha256(content) as d from source_files), v as (select doc_id, content, list_transform(range(0, 64), lambda i: (('0x' || substr(md5(d || ':' || i), 1, 8))::bigint % 2001) / 1000::double - 1) as noise, {_BUMPS} as bumps from d), w as (select doc_id, content, list_concat(list_transform(range(1, 31), lambda i: noise[i] + bumps[i]::double), [least(length(content) / 1000::double, 1), least(len(list_filter(string_split(content, ' '), lambda x: x <> '')) / 100::double, 1)], noise[33:64]) as e from v) select doc_id, case when trim(content) = '' then array_to_string(list_transform(range(0, 64), lambda i: 0), ',') else array_to_string(list_transform(e, lambda x: round(x / sqrt(list_inner_product(e, e)) * 100000)::bigint), ',') end as vector from w", "source_files")
 def hash_embedding(spark, sf_dir):
-    return _files(spark, sf_dir).select("doc_id", retrieval.hash_embedding(F.col("content")).alias("embedding"))
+    """The vectors, in hundred-thousandths."""
+    e = _files(spark, sf_dir).select("doc_id", retrieval.hash_embedding(F.col("content")).alias("e"))
+    return e.select("doc_id", F.array_join(F.transform("e", lambda x: F.round(x * 100_000).cast("bigint").cast("string")), ",").alias("vector"))
 
 
 SIZES = {"most": 60, "overlap": 15, "least": 5}
