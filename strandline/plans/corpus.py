@@ -336,10 +336,14 @@ def scan_words(spark, sf_dir):
     return found.select("doc_id", "line", "rule", scans.lookup(F.col("rule"), {"mail": "Low", "insult": "High"}).alias("severity"), "match")
 
 
-@query("x18_normalize_path", "select doc_id, file_path as normalized, file_path as sanitized from source_files", "source_files")
+_CLIMBING = "case doc_id % 5 when 0 then 'a/../' || file_path when 1 then './' || file_path || '/.' when 2 then '../../' || file_path when 3 then file_path || '/../z' || doc_id else '/' || replace(file_path, '/', '\\\\') end"
+
+
+@query("x18_normalize_path", "select doc_id, case when doc_id % 5 = 3 then regexp_replace(file_path, '/[^/]+$', '') || '/z' || doc_id else file_path end as normalized, case doc_id % 5 when 0 then 'a/' || file_path when 3 then file_path || '/z' || doc_id else file_path end as sanitized from source_files", "source_files")
 def normalize_path(spark, sf_dir):
-    odd = F.concat(F.lit("/./a/../"), "file_path")
-    return _files(spark, sf_dir).select("doc_id", scans.normalized_path(odd).alias("normalized"), scans.sanitized_path(F.concat(F.lit("../"), "file_path")).alias("sanitized"))
+    """Paths that climb, stay, or are written otherwise: popped at each climb, or with the climbs left out."""
+    odd = _files(spark, sf_dir).select("doc_id", F.expr(_CLIMBING).alias("p"))
+    return odd.select("doc_id", scans.normalized_path(F.col("p")).alias("normalized"), scans.sanitized_path(F.col("p")).alias("sanitized"))
 
 
 _BUMPS = "[" + ", ".join(f"case when contains(' ' || lower(content) || ' ', ' {k} ') then 0.5 else 0 end" for k in retrieval.KEYWORDS) + "]"
