@@ -96,5 +96,5 @@ def test_queries_equal_their_sql(name, spark, sf_dir):
 
 def test_entry_has_all_queries():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and [n for n in names if n.startswith("op")] == ["op1_bpe", "op2_pii", "op3_toxicity", "op4_decontaminate", "op5_suffix_dedup", "op6_near_dup", "op7_ann", "op8_warc", "op9_html", "op10_chat"]
+    assert "pipeline" in names and [n for n in names if n.startswith("op")] == ["op1_bpe", "op2_pii", "op3_toxicity", "op4_decontaminate", "op5_suffix_dedup", "op6_near_dup", "op7_ann", "op8_warc", "op9_html", "op10_chat", "op11_periodic", "op12_spelling", "op13_token_files"]
     assert set(__spark_entry__.oracle_sql()) <= set(names)
