@@ -50,20 +50,20 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, *per: str) -> DataFrame:
     """Exact cosine top-k of a stated query set (qid, q) against all vectors (chunk_id, embedding, ...); with `per`, the k best of
     each query in each group of those columns.
 
-    The queries go to every task in blocks of at most about QUERY_ROWS, for which they are counted first. A task multiplies its
+    The queries go to every task in blocks of at most about QUERY_ROWS; where there are more, they are counted first. A task multiplies its
     vectors with a block as matrices, and of each Arrow batch hands on what can be among the k best; Spark cuts the rest of the
     rank below the exchange. Scores count to 12 decimals, so that equal vectors have equal ones. Null vectors have the score 0,
     as have zero ones, those with a component that is null or not finite, and those of another dimension than the query."""
     queries = queries.select("qid", F.transform("q", lambda x: x.cast("double")).alias("q"))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_ROWS))
+    head = queries.limit(QUERY_ROWS + 1).toArrow()
+    blocks = 1 if head.num_rows <= QUERY_ROWS else -(-queries.count() // QUERY_ROWS)
     kind = dict(queries.dtypes)["qid"]
     columns = ["chunk_id", "file_path", "project_id", "token_count"]
     rows = vectors.select(*columns, "embedding")
     schema = f"qid {kind}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:4]) + ", score double"
     found = None
     for b in range(blocks):
-        block = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).toArrow()
+        block = head if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
         scored = rows.mapInArrow(_scorer(block, k, [columns.index(p) for p in per]), schema)
         found = scored if found is None else found.unionByName(scored)
     top = Window.partitionBy("qid", *per).orderBy(F.desc("score"), "chunk_id")
