@@ -342,3 +342,20 @@ def test_suffix_dedup_refuses_other_lengths(spark):
     for length in (0, 15, 1 << 20):
         with pytest.raises(ValueError, match="length is"):
             suffix_dedup.mark(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=length)
+
+
+@pytest.mark.parametrize(("dim", "near"), [(64, True), (61, False)])
+def test_nearest_neighbours_where_codes_are_poor(spark, dim, near):
+    """Queries that lie apart from all other vectors, close to each other; and vectors that have no parts to be coded in."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, dim))
+    if near:
+        x[::4] = 0.1 * x[::4] + 5 * np.eye(dim)[0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 20 = 0"), k=20, lists=8).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(own.vec_id))
+    assert got.query_id.nunique() == 300 and hits / (300 * 20) >= 0.9, hits / (300 * 20)
