@@ -11,7 +11,8 @@ samples are folded, so that the bits of two sketches' XOR estimate how many samp
    with the members of other components, in blocks of bounded size that any number of tasks share: first each with its
    likeliest partner alone, then, in what is still apart, with all. So no bucket pair between components stays uncompared.
    Large buckets confirm their pairs inside the blocks, so rows grow with their members, not with pairs. Buckets crowded with
-   unlike members are cut by a second band first, so that the work there does not grow with the square of the members.
+   unlike members are cut by a second band, so that texts and pairs of chance meetings do not move; those pairs of the whole
+   bucket that share no second band meet by their sketches alone, so the same pairs are compared in buckets of every size.
 4. Components again, over all confirmed links.
 
 With 32 bands of 4 samples a pair of similarity 0.8 shares no band with a probability of 5e-8.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, stored
@@ -186,19 +187,27 @@ def _places(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]
     return known, mixed.select(F.col("bucket").alias("bk"), F.col("also").alias("al"), "n", "most", "big", F.ceil((F.col("w") - F.col("w_big")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("w") / BLOCK).cast("int").alias("rights"))
 
 
-def _cells(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+def _stored_places(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    known, mixed = _places(members, comps)
+    return known, stored(mixed, "mixed")
+
+
+def _crowded() -> Column:
+    return F.col("n") - F.col("most") > CROWD
+
+
+def _cells(members: DataFrame, comps: DataFrame, classes: DataFrame, places: tuple[DataFrame, DataFrame] | None = None, rest: bool = False) -> DataFrame:
     """The blocks (bucket, also, i, j) in which members of different components meet, with n, the size of the bucket.
 
     side 0: members outside the largest component, each in one row i of blocks; 1 and 2: these again and those of the largest
     component, each in one column j. A crowded bucket, with very many members outside its largest component, is cut by a second
-    band: its members meet only where they share another band (`also`) too, as linked ones do but for a share of 1e-7."""
+    band: its members meet only where they share another band (`also`) too, as linked ones do but for a share of 1e-7. rest: the
+    crowded buckets alone, uncut, for the pairs of that share. places: what `_places` gives, its buckets stored."""
     at = lambda known, mixed: known.join(mixed, (F.col("bucket") == F.col("bk")) & (F.col("also") == F.col("al")))
-    known, mixed = _places(members, comps)
-    mixed = stored(mixed, "mixed")
-    crowded = F.col("n") - F.col("most") > CROWD
-    rows = at(known, mixed.where(~crowded))
-    if not mixed.where(crowded).isEmpty():
-        dense = at(known, mixed.where(crowded)).select("bucket", "rep").join(classes.select(F.col("rep").alias("r"), "bands", "n_shingles"), F.col("rep") == F.col("r"))
+    known, mixed = places or _stored_places(members, comps)
+    rows = at(known, mixed.where(_crowded() if rest else ~_crowded()))
+    if not rest and not mixed.where(_crowded()).isEmpty():
+        dense = at(known, mixed.where(_crowded())).select("bucket", "rep").join(classes.select(F.col("rep").alias("r"), "bands", "n_shingles"), F.col("rep") == F.col("r"))
         cut = dense.select("bucket", F.explode("bands").alias("also"), "rep", "n_shingles").where("also <> bucket")
         rows = rows.unionByName(at(*_places(cut, comps)))
     rows = rows.join(classes.select(F.col("rep").alias("r"), "n_shingles", "sketch", "bands"), F.col("rep") == F.col("r"))
@@ -211,10 +220,11 @@ def _cells(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFram
     return as_left.unionByName(as_right).select("bucket", "also", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "side", "rep", "comp", "n_shingles", "sketch", "bands", "n")
 
 
-def _meetings(b: pa.Table, threshold: float, best: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _meetings(b: pa.Table, threshold: float, best: bool, alone: bool = False) -> Iterator[tuple[int, np.ndarray]]:
     """For each left member of a block, the places of the right members that may be linked with it.
 
-    best: the likeliest one alone. Else a pair counts in the first bucket that both have, and there in one of its blocks."""
+    best: the likeliest one alone. Else a pair counts in the first bucket that both have, and there in one of its blocks. alone:
+    pairs that have this bucket only in common."""
     bits, percent = most_bits(threshold), round(threshold * 100)
     side, rep, comp, n = (b.column(k).to_numpy() for k in (4, 5, 6, 7))
     sketch = b.column(8).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)  # unsigned, so that the count is of all bits
@@ -230,6 +240,9 @@ def _meetings(b: pa.Table, threshold: float, best: bool) -> Iterator[tuple[int,
             y = y[apart <= bits]
             if len(y):
                 same = bands[y] == bands[x]
+                if alone:
+                    same[same.sum(axis=1) > 1] = False
+                    y, same = y[same.any(axis=1)], same[same.any(axis=1)]
                 first = bands[x][np.argmax(same, axis=1)] == bucket
                 if also != bucket:  # and in the first other band that both have
                     first &= bands[x][np.argmax(same & (bands[x] != bucket), axis=1)] == also
@@ -237,7 +250,7 @@ def _meetings(b: pa.Table, threshold: float, best: bool) -> Iterator[tuple[int,
         yield x, y
 
 
-def _between(cells: DataFrame, threshold: float, best: bool) -> DataFrame:
+def _between(cells: DataFrame, threshold: float, best: bool, alone: bool = False) -> DataFrame:
     """Candidate pairs (a, b) of the blocks."""
     blocks = cells.drop("n").repartition("bucket", "also", "i", "j").sortWithinPartitions("bucket", "also", "i", "j")
 
@@ -245,7 +258,7 @@ def _between(cells: DataFrame, threshold: float, best: bool) -> DataFrame:
         held, size = [], 0
         for cell in by_group(batches, 4):
             rep = cell.column(5).to_numpy()
-            for x, y in _meetings(cell, threshold, best):
+            for x, y in _meetings(cell, threshold, best, alone):
                 held.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])))
                 size += len(y)
             if size >= 65_536:
@@ -330,8 +343,11 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
             break
         links = links.union(more)
         comps = components(links)
-    cells = _cells(members, comps, classes)
+    places = _stored_places(members, comps)
+    cells = _cells(members, comps, classes, places)
     more = exact(_between(cells.where(F.col("n") < LARGE), threshold, False)).union(stored(_inside(cells.where(F.col("n") >= LARGE), docs, key, text, size, threshold), "inside"))
+    if not places[1].where(_crowded()).isEmpty():
+        more = more.union(exact(_between(_cells(members, comps, classes, places, rest=True), threshold, False, alone=True)))
     if not more.isEmpty():
         comps = components(links.union(more))
     reps = classes.select(F.col("set_id").alias("s"), "rep").join(comps, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("component", "rep").alias("component"))

@@ -359,3 +359,17 @@ def test_nearest_neighbours_where_codes_are_poor(spark, dim, near):
         s[q] = -np.inf
         hits += len(set(np.argsort(-s)[:20]) & set(own.vec_id))
     assert got.query_id.nunique() == 300 and hits / (300 * 20) >= 0.9, hits / (300 * 20)
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """At a similarity of 0.5 many pairs share a single band: the classes are the same however a bucket is worked off."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(12):
+        base = [f"w{family}x{k}" for k in range(40)]
+        rows += [(family * 100 + k, " ".join(w if rng.random() < 0.8 else f"o{rng.randrange(10**6)}" for w in base)) for k in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = lambda: {r["id"]: r["component_id"] for r in near_dup.classes_of(df, size=1, threshold=0.5).collect()}
+    whole = classes()
+    monkeypatch.setattr(near_dup, "CROWD", 0)
+    assert classes() == whole
