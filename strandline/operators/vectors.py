@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Query rows that are broadcast at most; more are worked off in blocks of this size.
 QUERY_ROWS = 10_000
+#: Scores of an Arrow batch that a task holds at once, unless one query has more: 8 bytes each, and some copies of them.
+SCORES = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,8 +53,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, *per: str) -> DataFrame:
     each query in each group of those columns.
 
     The queries go to every task in blocks of at most about QUERY_ROWS; where there are more, they are counted first. A task multiplies its
-    vectors with a block as matrices, and of each Arrow batch hands on what can be among the k best; Spark cuts the rest of the
-    rank below the exchange. Scores count to 12 decimals, so that equal vectors have equal ones. Null vectors have the score 0,
+    vectors with a block as matrices, SCORES at a time, and of each Arrow batch hands on what can be among the k best; Spark cuts
+    the rest of the rank below the exchange. Scores count to 12 decimals, so that equal vectors have equal ones. Null vectors have the score 0,
     as have zero ones, those with a component that is null or not finite, and those of another dimension than the query."""
     queries = queries.select("qid", F.transform("q", lambda x: x.cast("double")).alias("q"))
     head = queries.limit(QUERY_ROWS + 1).toArrow()
@@ -103,14 +105,17 @@ def _scorer(block: pa.Table, k: int, per: list[int]) -> Callable[[Iterator[pa.Re
             if not batch.num_rows or not len(qids):
                 continue
             own_unit, sizes = _matrix(batch.column(4), dim)
-            scores = np.where(sizes[:, None] == lengths, np.round(own_unit @ unit.T, 12), 0.0)
             groups: dict[tuple, list[int]] = {}
             for place, key in enumerate(zip(*(batch.column(c).to_pylist() for c in per), strict=True) if per else [()] * batch.num_rows):
                 groups.setdefault(key, []).append(place)
-            for q in range(len(qids)):
-                kept = np.concatenate([(own := np.array(g))[best(scores[own, q])] for g in groups.values()])
+            of_group = [np.array(g) for g in groups.values()]
+            step = max(1, SCORES // batch.num_rows)
+            for at in range(0, len(qids), step):
+                scores = np.where(lengths[at : at + step, None] == sizes, np.round(unit[at : at + step] @ own_unit.T, 12), 0.0)
+                kept = [np.concatenate([own[best(row[own])] for own in of_group]) for row in scores]
+                rows, q = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(x) for x in kept])
                 names = ["qid", *batch.schema.names[:4], "score"]
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.full(len(kept), q))), *(batch.column(c).take(pa.array(kept)) for c in range(4)), pa.array(scores[kept, q])], names=names)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(at + q)), *(batch.column(c).take(pa.array(rows)) for c in range(4)), pa.array(scores[q, rows])], names=names)
 
     return run
 

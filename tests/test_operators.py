@@ -149,3 +149,28 @@ def test_embedding_by_a_provider(spark, tmp_path):
     asked = sorted(int(x.read_text()) for x in tmp_path.iterdir())
     assert asked == sorted([16, 16, 11] + [1] * 11)  # the third batch failed and was tried text by text
     assert retrieval.embed_with(df.limit(0), provider, 2).count() == 0
+
+
+def test_scores_of_many_queries_are_not_held_at_once():
+    """2,000 queries of one batch of 5,000 vectors: all their scores would have 80 MB, and some copies of them."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandline.operators import vectors
+
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(2000, 8)), rng.normal(size=(5000, 8))
+    block = pa.table({"qid": pa.array(range(2000)), "q": pa.array(list(q), pa.list_(pa.float64()))})
+    names = ["chunk_id", "file_path", "project_id", "token_count", "embedding"]
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(5000))), pa.array(["f"] * 5000), pa.array(["p"] * 5000), pa.array([1] * 5000, pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=names)
+    run = vectors._scorer(block, 10, [])
+    tracemalloc.start()
+    found = [(b.column(0).to_numpy(), b.column(1).to_pylist()) for b in run(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    asked, got = np.concatenate([a for a, _ in found]), np.array([int(v) for _, own in found for v in own])
+    score = lambda k: np.round(x @ q[k] / np.linalg.norm(x, axis=1) / np.linalg.norm(q[k]), 12)
+    assert len(got) == 20_000 and all(set(got[asked == k]) == set(np.argsort(-score(k))[:10]) for k in range(0, 2000, 97))
