@@ -181,3 +181,45 @@ def test_the_percentile_is_a_value_of_the_window(spark, n):
     values = [float(k * 7919 % 10_007) for k in range(n)]
     rows = spark.createDataFrame([("k", at(k / n), k, v) for k, v in enumerate(values)], "kind string, ts timestamp, event_id long, value double")
     assert jobs.metrics(rows).first().p95 == sorted(values)[-(-95 * n // 100) - 1]
+
+
+class Store(dict):
+    """A value or map state, and the handle that gives it, without Spark."""
+
+    def __init__(self):
+        self.timers = []
+
+    getMapState = getValueState = lambda self, name, *_: self.setdefault(("state", name), Store())  # noqa: E731, N815
+    exists = lambda self: bool(len(self))
+    get = lambda self, key=None: dict.get(self, key)
+    getValue = get  # noqa: N815
+    update = lambda self, row: self.__setitem__(None, row)
+    updateValue = dict.__setitem__  # noqa: N815
+    removeKey = dict.__delitem__  # noqa: N815
+    registerTimer = lambda self, ms: self.timers.append(ms)  # noqa: E731, N815
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_key_of_many_rows_is_kept_and_merged_in_pieces(monkeypatch):
+    """2,000 rows of a key in any order, in runs of 300 and pieces of 16 rows, with a watermark that stops in their middle."""
+    import pandas as pd
+
+    monkeypatch.setattr(stateful, "RUN", 300)
+    monkeypatch.setattr(stateful, "PIECE", 16)
+    rng = random.Random(8)
+    kinds = ["credits", "tokens", "storage", "storage", "suspend", "resume"]
+    rows = [("o", at(rng.randrange(0, 5 * 86_400)), k, rng.choice(kinds), float(rng.randrange(-20, 20))) for k in range(2000)]
+    frame = pd.DataFrame([(micros(ts), number, kind, amount) for _, ts, number, kind, amount in rows], columns=["us", "number", "kind", "amount"])
+    handle, machine = Store(), stateful.Quota(50, 50, 50)
+    machine.init(handle)
+    list(machine.handleInputRows(("o",), iter([frame.iloc[k : k + 100] for k in range(0, 2000, 100)]), Clock(0)))
+    assert 2000 / 16 <= len(machine.waiting) <= 2000 / 16 + 10
+    out = []
+    for day in (2.5, 2.5, 6):
+        out += list(machine.handleExpiredTimer(("o",), Clock(micros(at(day * 86_400)) // 1000), None))
+    got = [tuple(r) for frame in out for r in frame.itertuples(index=False)]
+    assert sorted(got) == plain_quota(rows, at(6 * 86_400)) and not len(machine.waiting) and len(out) > 20
