@@ -32,10 +32,10 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 
     A blank text is the zero vector."""
     noise = lambda d: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(F.md5(F.concat(d, F.lit(":"), i.cast("string"))), F.lit(1), F.lit(8)), 16, 10).cast("bigint") % 2001 / 1000.0 - 1.0)
-    spaced = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    bumps = F.array(*(F.when(spaced.contains(f" {k} "), 0.5).otherwise(0.0) for k in KEYWORDS), *(F.lit(0.0),) * max(0, dim - len(KEYWORDS)))
-    words = F.size(F.filter(F.split(text, " "), lambda x: x != ""))
-    sizes = F.array(*(F.least(n / limit, F.lit(1.0)) for n, limit in ((F.length(text), 1000), (words, 100))))
+    words = F.array_remove(F.split(F.lower(text), " "), "")  # the text is lower-cased and cut once, for all keywords
+    held = F.array_intersect(F.array(*map(F.lit, KEYWORDS)), words)
+    bumps = F.transform(F.array(held), lambda h: F.array(*(F.when(F.array_contains(h, k), 0.5).otherwise(0.0) for k in KEYWORDS), *(F.lit(0.0),) * max(0, dim - len(KEYWORDS))))[0]
+    sizes = F.array(*(F.least(n / limit, F.lit(1.0)) for n, limit in ((F.length(text), 1000), (F.size(words), 100))))
     raw = F.zip_with(F.transform(F.array(F.sha2(text, 256)), noise)[0], F.slice(bumps, 1, dim), lambda a, b: a + b)
     n = len(KEYWORDS)
     vector = normalized(F.slice(F.concat(F.slice(raw, 1, n), sizes, F.slice(raw, n + 3, max(0, dim - n - 2))), 1, dim))

@@ -174,3 +174,16 @@ def test_scores_of_many_queries_are_not_held_at_once():
     asked, got = np.concatenate([a for a, _ in found]), np.array([int(v) for _, own in found for v in own])
     score = lambda k: np.round(x @ q[k] / np.linalg.norm(x, axis=1) / np.linalg.norm(q[k]), 12)
     assert len(got) == 20_000 and all(set(got[asked == k]) == set(np.argsort(-score(k))[:10]) for k in range(0, 2000, 97))
+
+
+def test_a_text_is_cut_once_for_all_keywords(spark):
+    """Keywords between spaces count, at the ends too, not within words or beside line feeds; no pass over the text for each."""
+    from strandline.operators import retrieval
+
+    texts = ["class a", "a  CLASS", "subclass classes", "class\nx", "a class public\tint"]
+    noise = retrieval.hash_embedding(F.col("t"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", noise.alias("e"), F.md5(F.concat(F.sha2("t", 256), F.lit(":0"))).alias("m"), F.md5(F.concat(F.sha2("t", 256), F.lit(":1"))).alias("n"))
+    of = lambda m: int(m[:8], 16) % 2001 / 1000 - 1
+    for row, bump in zip(df.collect(), [0.5, 0.5, 0.0, 0.0, 0.5], strict=True):
+        assert abs(row.e[0] * of(row.n) - row.e[1] * (of(row.m) + bump)) < 1e-9
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") <= 3
