@@ -43,6 +43,14 @@ def _unpacked(piece: bytes) -> pd.DataFrame:
     return rows.set_column(2, "kind", rows.column(2).cast(pa.string())).to_pandas()
 
 
+def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
+    order = np.lexsort((rows["number"].to_numpy(), rows["us"].to_numpy()))
+    return rows if (order[1:] > order[:-1]).all() else rows.take(order)
+
+
+NO_ROWS = pd.DataFrame({"us": [], "number": [], "kind": [], "amount": []})
+
+
 class Ordered(StatefulProcessor):
     """Hands a key's rows (us, number, kind, amount) on in order of time, then number, once the watermark has passed them.
 
@@ -66,7 +74,7 @@ class Ordered(StatefulProcessor):
     def _keep(self, frames: list[pd.DataFrame], n: int) -> int:
         """Keep rows as pieces; n is the number of the next piece."""
         rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
-        rows = rows.sort_values(["us", "number"], kind="stable")
+        rows = _sorted(rows)
         for at in range(0, len(rows), PIECE):
             piece = rows.iloc[at : at + PIECE]
             self.waiting.updateValue((int(piece["us"].iloc[0]), n), (_packed(piece),))
@@ -104,7 +112,7 @@ class Ordered(StatefulProcessor):
             ready, held = (None, None) if held is None else (held[held["us"] < follows], held[held["us"] >= follows])
             if piece is not None and follows < until and not len(ready):
                 continue
-            ready = pd.DataFrame({"us": [], "number": [], "kind": [], "amount": []}) if ready is None else ready.sort_values(["us", "number"], kind="stable")
+            ready = NO_ROWS if ready is None else _sorted(ready)
             state, out, check = self.advance(state, ready, follows)
             if out:
                 yield pd.DataFrame(dict(zip(self.OUT, ([key[0]] * len(out[0]), *out), strict=True)))
