@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -93,37 +92,63 @@ def _sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     return rows.where(size <= sample_words).select("_label", "_text").orderBy(F.xxhash64("_text"), "_label").limit(sample).collect()
 
 
+def _gather(values: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each of the rows, one after another, and how many each has; row i's values begin at first[i]."""
+    n = first[rows + 1] - first[rows]
+    starts = np.cumsum(n, dtype=np.int64) - n
+    return values[np.repeat(first[rows] - starts, n) + np.arange(int(n.sum()))], n
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 4000, sample_words: int = 4000, rounds: int = 200) -> Model:
     """Fit the sentence model on a bounded sample of the labelled documents."""
     rows = _sampled(docs, labels, key, text, label, sample, sample_words)
-    y = [float(row["_label"] > 0) for row in rows]
-    bags = [[set(WORD.findall(x)) for x in SENTENCE.findall(row["_text"].lower())] for row in rows]
-    if not any(y):
+    y = np.array([float(row["_label"] > 0) for row in rows])
+    if not y.any():
         return Model({}, -40.0)
-    near = {w: features(w[:80]) for bag in bags for words in bag for w in words}
-    seen: Counter[str] = Counter()
-    toxic: Counter[str] = Counter()
-    for mark, bag in zip(y, bags, strict=True):
-        own = {f for words in bag for w in words for f in near[w]}
-        seen.update(own)
-        if mark:
-            toxic.update(own)
+    # a text becomes numbers at once: the words of its sentences, sorted; the driver holds each distinct word and feature once
+    words: dict[str, int] = {}
+    word_of, length, doc_of = array("i"), array("i"), array("i")
+    for d in range(len(rows)):
+        for sentence in SENTENCE.findall(rows[d]["_text"].lower()):
+            own = sorted(set(WORD.findall(sentence)))
+            if own:
+                word_of.extend([words.setdefault(w, len(words)) for w in own])
+                length.append(len(own))
+                doc_of.append(d)
+        rows[d] = None
+    del rows
+    features_of = array("i")
+    known: dict[str, int] = {}
+    first = array("i", [0])
+    for w in words:
+        features_of.extend([known.setdefault(f, len(known)) for f in features(w[:80])])
+        first.append(len(features_of))
+    del words
+    word_of, length, doc_of, features_of, first = (np.asarray(x) for x in (word_of, length, doc_of, features_of, first))
+    sentence_of = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    ends = np.searchsorted(doc_of[sentence_of], np.arange(len(y) + 1))
+    seen, toxic = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    for d in range(len(y)):
+        own = np.unique(_gather(features_of, first, np.unique(word_of[ends[d] : ends[d + 1]]))[0])
+        seen[own] += 1
+        if y[d]:
+            toxic[own] += 1
     # a feature of few toxic documents says nothing of others; one that toxic documents have no more often cannot help
-    base = sum(y) / len(y)
-    ids = {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n >= SEEN and n > min(3 * base, (1 + base) / 2) * seen[f]))}
-    feature, sentence_of, doc_of, n_sentences = array("i"), array("i"), array("i"), 0
-    for d, bag in enumerate(bags):
-        for words in filter(None, bag):
-            for w in sorted(words):
-                own = [ids[f] for f in near[w] if f in ids]
-                feature.extend(own)
-                sentence_of.extend([n_sentences] * len(own))
-            doc_of.append(d)
-            n_sentences += 1
-    del rows, bags, near, seen, toxic  # the driver holds numbers from here on
-    flat, inner, doc_of, y = np.array(feature, np.int32), np.array(sentence_of, np.int32), np.array(doc_of, np.int32), np.array(y)
-    w, b = np.zeros(len(ids)), -4.0
-    g2, gb2 = np.full(len(ids), 1e-3), 1e-3
+    base = y.sum() / len(y)
+    kept = (toxic >= SEEN) & (toxic > min(3 * base, (1 + base) / 2) * seen)
+    names = sorted((f, i) for f, i in known.items() if kept[i])
+    del known, seen, toxic
+    ids = np.full(len(kept), -1, np.int32)
+    ids[[i for _, i in names]] = np.arange(len(names), dtype=np.int32)
+    names = [f for f, _ in names]
+    # of each word the features that are left
+    left = ids[features_of] >= 0
+    first = np.concatenate([[0], np.cumsum(left)])[first].astype(np.int32)
+    flat, taken = _gather(ids[features_of[left]], first, word_of)
+    inner, n_sentences = np.repeat(sentence_of, taken), len(length)
+    del word_of, features_of, first, left, taken, sentence_of
+    w, b = np.zeros(len(names)), -4.0
+    g2, gb2 = np.full(len(names), 1e-3), 1e-3
     for _ in range(rounds):
         z = b + np.bincount(inner, weights=w[flat], minlength=n_sentences)
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -50, 50))), 1e-12, 1 - 1e-12)
@@ -132,14 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         # d log-likelihood / dz: -p for a clean document, p (1 - P) / P for a toxic one
         pull = np.where(y > 0, np.exp(clean) / found, -1.0)
         dz = p * pull[doc_of]
-        gw = np.bincount(flat, weights=dz[inner], minlength=len(ids)) - 0.02 * w
+        gw = np.bincount(flat, weights=dz[inner], minlength=len(names)) - 0.02 * w
         gb = dz.sum()
         g2 += gw * gw
         gb2 += gb * gb
         w += 0.5 * gw / np.sqrt(g2)
         b += 0.5 * gb / np.sqrt(gb2)
         w = np.sign(w) * np.maximum(np.abs(w) - 0.05 / np.sqrt(g2), 0)  # most features mean nothing: proximal step of an L1 term
-    names = list(ids)
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(b))
 
 

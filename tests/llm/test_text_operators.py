@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from itertools import pairwise
 
 import numpy as np
@@ -282,3 +283,20 @@ def test_the_training_sample_is_bounded_in_rows(spark):
     for n in (1, 7, 60):
         assert len(toxicity._sampled(docs, labels, "doc_id", "text", "toxic", n, 100)) <= n
     assert len(toxicity._sampled(docs, labels, "doc_id", "text", "toxic", 60, 100)) == 51
+
+
+def test_training_holds_numbers_not_sets_of_words(spark, monkeypatch):
+    words = [f"word{k:05d}" for k in range(3000)]
+    deal = random.Random(5)
+    rows = [{"_label": i % 4 == 0, "_text": ". ".join(" ".join(deal.choices(words, k=15)) for _ in range(100)) + (" you fool." if i % 4 == 0 else ".")} for i in range(300)]
+    size = sum(len(r["_text"]) for r in rows)
+    monkeypatch.setattr(toxicity, "_sampled", lambda *_: list(rows))
+    tracemalloc.start()
+    try:
+        model = toxicity.train(None, None, rounds=5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert "fool" in model.weights and peak < 6 * size
+    rows[:] = [{"_label": i % 2, "_text": t} for i, t in enumerate(["", "...", "\n", " ! "])]  # no words at all
+    assert toxicity.train(None, None, rounds=5).weights == {}
