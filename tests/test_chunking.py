@@ -227,3 +227,27 @@ def test_the_plan_folds_nothing_in_a_filter(spark):
     for plan in (chunking.chunk_sliding(df).where("tokens > 0"), chunking.chunk_corpus(df).where("tokens > 0")):
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert "aggregate(" not in text and text.count("MapInArrow") == 1
+
+
+def test_words_of_a_whole_text_are_counted_at_once(monkeypatch):
+    rng = random.Random(4)
+    for alphabet in ("ab_1 .;(\n", "a\u00e9\u0301\u203f\u00bd\u2160\U0001d7d8 \u4e2d;=\n\r\u2028", "\n", "a"):
+        for _ in range(60):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
+            lines = text.split("\n")
+            counts = Counts(text)
+            of = lambda part: tokens(len(part), len(_WORDS.findall(part)), len(_SPECIALS.findall(part)))
+            assert counts.each == [sum(map(of, lines[:k])) for k in range(len(lines) + 1)] and counts.filled == [k for k, x in enumerate(lines) if x]
+            assert all(counts.whole(a, b) == of("\n".join(lines[a : b + 1])) for a in range(len(lines)) for b in range(a, len(lines)))
+            assert all(counts.part(a, b) == of(text[a:b]) for a in range(len(text) + 1) for b in range(len(text) + 2))
+    calls = []
+
+    class Counted:
+        def findall(self, text):
+            calls.append(text)
+            return []
+
+    monkeypatch.setattr(chunking, "_WORDS", Counted())
+    monkeypatch.setattr(chunking, "_SPECIALS", Counted())
+    chunking.semantic("a b;\n" * 500, "x/a.md", ".md", 60, 15, 5)
+    assert not calls  # before: two searches for each line
