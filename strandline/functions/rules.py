@@ -90,6 +90,23 @@ DEBT_MARKER = r"\b(TODO|FIXME|HACK|XXX)\b"
 EMPTY_CATCH = r"catch\s*\([^)]*\)\s*\{\s*\}"
 MAGIC_NUMBER = r"(^|[^\w.])([2-9]\d+)\b"
 
+#: Words, lower-cased, of which each match of a pattern has one; a text without them is not held against it.
+_WORDS = {
+    "sql_injection": tuple(q + w for q in "\"'" for w in ("select", "insert", "update", "delete")),
+    "credential": ("password", "passwd", "pwd", "secret", "api", "token", "auth"),
+    "weak_crypto": ("md5", "sha1", "des"),
+    "weak_random": ("random",),
+    "path_traversal": ("path.",),
+    "command_injection": ("process.start",),
+    "xss": ("innerhtml", "document.write(", ".html("),
+    "deserialization": ("binaryformatter", "netdatacontractserializer", "objectstateformatter"),
+    "debug_code": ("console.log(", "debug.writeline", "debugger;"),
+    "tls_off": ("verify", "checkserveridentity"),
+    "open_endpoint": ("[allowanonymous]", "[authorize"),
+}
+_CONFIG_WORDS = {"password": ("password",), "connection": ("connectionstring",), "api_key": ("apikey",), "secret": ("secret",)}
+NEEDED = {r[1]: _WORDS[r[0]] for r in SECURITY_RULES} | {pattern: _CONFIG_WORDS[name] for name, pattern in CONFIG_RULES} | {DEBT_MARKER: ("todo", "fixme", "hack", "xxx")}
+
 #: Types, methods and namespaces of C#.
 TYPES = r"\b(class|struct|interface|record|enum)\s+\w+"
 METHODS = r"\b(public|private|protected|internal)\s+(static\s+)?(async\s+)?[\w<>\[\],\s]+\s+\w+\s*\("

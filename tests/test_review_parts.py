@@ -5,7 +5,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import files, findings, jobs, replies, retrieval
+from strandline.functions import rules as R
+from strandline.operators import files, findings, jobs, replies, retrieval, scans
+from strandline.sources import views
 
 FOUND = "project_id string, agent string, severity string, category string, file_path string, symbol string, description string, explanation string, suggestion string, confidence double, ordinal long"
 T = datetime.datetime(2024, 1, 1, 12)
@@ -109,3 +111,18 @@ def test_results_from_the_chunk_table(spark):
     chunks = spark.createDataFrame([("p", "a", 5), ("p", "a", 6)], "project_id string, file_path string, tokens long")
     errors = spark.createDataFrame([("q", "x")], "project_id string, error string")
     assert sorted(tuple(r) for r in files.indexing_result(seen, chunks, errors).collect()) == [("p", 2, 1, 2, 11, 0), ("q", 1, 1, 0, 0, 1)]
+
+
+def test_words_that_a_pattern_needs_leave_out_no_match(spark, monkeypatch):
+    rules = [r[:2] for r in R.SECURITY_RULES] + [(f"config {n}", p) for n, p in R.CONFIG_RULES] + [("debt", R.DEBT_MARKER)]
+    assert {p for _, p in rules} == set(R.NEEDED)
+    odd = ["'Delete' + a", '"UPDATE x" + y', "API_KEY = 'a'", "Pwd:\"b\"", "token='c'", "x SHA1 y", "DES", "New  Random ( )", "path.join(request.form", "process.START (a +", "a.HTML(", "ObjectStateFormatter", "DEBUG.writeline",
+           "SSL-verify = False", "checkserveridentity: Null", "[authorize ( )]", "'ConnectionString' = Password =", "APIKEY: 'd'", "Secret = 'e'", "fixme", "hackİ", "K XXX", None, ""]
+    names = "doc_id long, project_id string, file_path string, ext string, content string"
+    own = spark.createDataFrame([(-k, "p", "a.json", ".json", x if x is None else f"a\n{x}\r\n{x.lower()}") for k, x in enumerate(odd)], names)
+    rows = views.code_files(spark, "/root/testdata/sf0.001").select("doc_id", "project_id", "file_path", "ext", "content").unionByName(own)
+    found = lambda: sorted(map(tuple, scans.matches(rows, [], own=(F.lit(True), rules)).collect()))
+    fast = found()
+    assert {r[6] for r in fast} == {n for n, _ in rules}
+    monkeypatch.setattr(scans, "NEEDED", {})
+    assert found() == fast
